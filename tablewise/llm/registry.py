@@ -5,22 +5,32 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewise.llm import bpe, media
+from tablewise.llm import bpe, media, quality, toxicity
 from tablewise.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
+    "op6_quality": op6_quality,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
