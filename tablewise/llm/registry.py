@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewise.llm import bpe, media, quality, toxicity
+from tablewise.llm import bpe, media, quality, simhash, toxicity
 from tablewise.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(read_table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
+    "op3_simhash": op3_simhash,
     "op6_quality": op6_quality,
     "op10_bpe": op10_bpe,
 }
