@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewise.llm import bpe, media, quality, simhash, toxicity
+from tablewise.llm import bpe, media, quality, simhash, toxicity, warc
 from tablewise.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(read_table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -35,7 +39,20 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
     "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
     "op6_quality": op6_quality,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+OP4_SQL = """
+WITH heads AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+    SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM heads WHERE payload_bytes >= 1000 GROUP BY ALL
+)
+SELECT h.page_id, CAST(h.payload_bytes AS BIGINT) AS payload_bytes, h.payload_digest,
+       CASE WHEN f.keeper IS NULL OR f.keeper IS NOT DISTINCT FROM h.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.keeper IS DISTINCT FROM h.page_id THEN f.keeper END AS refers_to
+FROM heads h LEFT JOIN firsts f USING (payload_digest, payload_bytes)
+"""
+
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL}
