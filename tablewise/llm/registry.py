@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewise.llm import bpe, media, quality, simhash, toxicity, warc
+from tablewise.llm import bpe, langid, media, quality, simhash, toxicity, warc
 from tablewise.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op6_quality": op6_quality,
+    "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
 }
 OP4_SQL = """
