@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewise.llm import bpe, langid, media, quality, simhash, suffixes, toxicity, warc
+from tablewise.llm import bpe, langid, media, quality, simhash, suffixes, toxicity, vectors, warc
 from tablewise.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_table(spark, sf_dir, "embeddings")
+    return vectors.nearest(found, found.where("vec_id % 20 = 0"))
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -50,6 +55,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op6_quality": op6_quality,
+    "op7_graph_ann": op7_graph_ann,
     "op8_suffixes": op8_suffixes,
     "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
