@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @functools.cache
@@ -46,7 +47,7 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` under the operators' usual name."""
     return df.mapInArrow(function, schema)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, langid, media, quality, simhash, suffixes, toxicity, vectors, warc
+from tablewise.llm import bpe, langid, media, mixing, quality, simhash, suffixes, toxicity, vectors, warc
 from tablewise.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +28,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(read_table(spark, sf_dir, "pages"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.sampled(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op2_media": op2_media,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
+    "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_graph_ann": op7_graph_ann,
     "op8_suffixes": op8_suffixes,
@@ -72,4 +79,36 @@ SELECT h.page_id, CAST(h.payload_bytes AS BIGINT) AS payload_bytes, h.payload_di
 FROM heads h LEFT JOIN firsts f USING (payload_digest, payload_bytes)
 """
 
-ORACLES: dict[str, str] = {"op4_warc": OP4_SQL}
+
+
+def _op5_sql() -> str:
+    """The raking rounds of ``mixing.rake`` as a chain of grouped queries."""
+    topic = " ".join(f"WHEN contains(coalesce(text, ''), '{part}') THEN '{name}'" for name, part in mixing.TOPICS)
+    temper = mixing.TEMPER
+    steps = [f"""d AS MATERIALIZED (
+    SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {topic} ELSE '{mixing.OTHER_TOPIC}' END AS topic,
+           CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS n_tokens FROM documents
+), cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)"""]
+    for level in ("source", "lang", "topic"):
+        steps.append(f"goal_{level} AS MATERIALIZED (SELECT {level}, pow(sum(n), {temper}) / sum(pow(sum(n), {temper})) OVER () AS goal FROM cells GROUP BY {level})")
+    steps.append("l0 AS MATERIALIZED (SELECT lang, 1.0::DOUBLE AS b FROM goal_lang), t0 AS MATERIALIZED (SELECT topic, 1.0::DOUBLE AS c FROM goal_topic)")
+    fit_source = "s{k} AS MATERIALIZED (SELECT source, any_value(goal) / sum(n * b * c) AS a FROM cells JOIN l{i} USING (lang) JOIN t{j} USING (topic) JOIN goal_source USING (source) GROUP BY source)"
+    k = 0
+    for r in range(mixing.ROUNDS):
+        steps.append(fit_source.format(k=k, i=r, j=r))
+        steps.append(f"l{r + 1} AS MATERIALIZED (SELECT lang, any_value(b) * any_value(goal) / sum(n * a * b * c) AS b FROM cells JOIN s{k} USING (source) JOIN l{r} USING (lang) JOIN t{r} USING (topic) JOIN goal_lang USING (lang) GROUP BY lang)")
+        k += 1
+        steps.append(fit_source.format(k=k, i=r + 1, j=r))
+        steps.append(f"t{r + 1} AS MATERIALIZED (SELECT topic, any_value(c) * any_value(goal) / sum(n * a * b * c) AS c FROM cells JOIN s{k} USING (source) JOIN l{r + 1} USING (lang) JOIN t{r} USING (topic) JOIN goal_topic USING (topic) GROUP BY topic)")
+        k += 1
+    steps.append(fit_source.format(k=k, i=mixing.ROUNDS, j=mixing.ROUNDS))
+    factor = "coalesce(a, 1) * coalesce(b, 1) * coalesce(c, 1)"
+    joins = f"LEFT JOIN s{k} USING (source) LEFT JOIN l{mixing.ROUNDS} USING (lang) LEFT JOIN t{mixing.ROUNDS} USING (topic)"
+    steps.append(f"top AS MATERIALIZED (SELECT max({factor}) AS most, sum(n) AS whole FROM cells {joins})")
+    steps.append(f"w AS (SELECT d.*, {factor} * whole AS weight, least(1.0, {factor} / most) AS p FROM d {joins} CROSS JOIN top)")
+    return "WITH " + ",\n".join(steps) + """
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(p, 6) AS probability,
+       CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < p AS INTEGER) AS sampled FROM w"""
+
+
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op5_mixing": _op5_sql()}

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tablewise.llm.common import held_out, labelled_sample, map_batches
 
@@ -151,23 +152,30 @@ class Scorer:
         return out
 
 
-def score(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """(key, held_out, score, predicted) for every document; learns from rows not held out.
+def with_scores(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", score: str = "score") -> DataFrame:
+    """``documents`` with one more column, the score; learns from rows that are not held out.
 
     ``labels`` joins by ``doc_id``. Neither labels nor anything but the text enters a score.
     """
     docs = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
     sample = labelled_sample(docs, labels.where(~held_out(labels["doc_id"], 5, 0)), label, ROWS_PER_CLASS)
-    rows = sorted((r.doc_id, r.text, r.y) for r in sample.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).collect())
+    rows = sorted((r.doc_id, r.text or "", r.y) for r in sample.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).collect())
     truth = np.array([y for _, _, y in rows])
-    model = train([t or "" for _, t, _ in rows], truth) if len(set(truth)) == 2 else None
+    model = train([t for _, t, _ in rows], truth) if len(set(truth)) == 2 else None
 
     def run(batches):
         scorer = Scorer(*model) if model else None
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(place).to_pylist()
             p = [x for at in range(0, len(texts), 500) for x in scorer.score(texts[at : at + 500])] if scorer else [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, score])
+
+    place = documents.columns.index(text)
+    return map_batches(documents, run, StructType([*documents.schema.fields, StructField(score, DoubleType())]))
+
 
-    scored = map_batches(docs, run, "doc_id bigint, score double")
+def score(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """(key, held_out, score, predicted) for every document."""
+    docs = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
+    scored = with_scores(docs, labels, label=label)
     return scored.select(F.col("doc_id").alias(key), held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
