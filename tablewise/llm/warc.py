@@ -5,7 +5,7 @@ keeps its largest id as the response, and the others become revisit records that
 are never grouped; they meet their header's decision by page id and go straight to the archive.
 
 A WARC record ends with an empty line, that is CR LF CR LF, so Spark's text writer with that line
-separator writes plain WARC files: tasks commit like any other Spark output, and the archives may
+separator writes WARC files, gzipped: tasks commit like any other Spark output, and the archives may
 lie in any store that Spark can write to. Files are read back whole, split by Content-Length and
 every response's SHA-1 is computed anew and held against its header.
 
@@ -17,6 +17,7 @@ further input columns are ignored; no pages give no records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 
@@ -35,6 +36,7 @@ CRLF, END = "\r\n", "\r\n\r\n"
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_URI = "urn:page:"
+GZIP = b"\x1f\x8b"
 HTTP_HEAD = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + END
 
 
@@ -74,7 +76,12 @@ def write_archives(pages: DataFrame, path: str, html: str = "html", key: str = "
     )
     mean = pages.select(F.avg(F.octet_length(pages[html]))).first()[0] or 0
     most = max(1, min(FILE_RECORDS, int(FILE_BYTES / (mean + 600))))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).mode("overwrite").text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").mode("overwrite").text(path)
+
+
+def unpacked(data: bytes) -> bytes:
+    """The bytes of a file, out of gzip if it is a gzip file of one or more members."""
+    return gzip.decompress(data) if data[:2] == GZIP else data
 
 
 def split_records(data: bytes):
@@ -107,7 +114,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         for b in batches:
             for cell in b.column(0):
                 rows = []
-                for h, payload in split_records(cell.as_py()):
+                for h, payload in split_records(unpacked(cell.as_py())):
                     digest, response = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"] == "response"
                     if response and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {h['warc-record-id']} does not match its digest")
