@@ -6,19 +6,19 @@ grams with the smallest hash. Equal strings have their anchor at the same place,
 suffixes (and the few bytes before them) at anchors finds every repeat, with one suffix in about
 14 bytes. A document's consecutive strings with one anchor form a *run*.
 
-1. Suffix heads are range-partitioned by their leading bytes with splitters from a bounded sample.
-   A head that only one document has needs nothing more; this leaves the *shared* ones, which go
-   back to the home partition of their document.
-2. The shared suffixes, with the bytes of their runs, are range-partitioned the same way. A bucket
-   is sorted by multikey quicksort, eight bytes at a step; splitters are heads, so equal heads never
-   lie across a boundary. Runs with the same bytes are one class and all but its smallest document
-   lose the run; classes that share a head are compared string by string.
+1. The heads of suffixes (24 bytes) are range-partitioned by their leading bytes with splitters
+   from a bounded sample, each with hashes of the head and of its run's bytes. Runs with the same
+   bytes are one class, and all but its smallest document lose the run. Classes that share a head
+   with other classes stay open; heads with one class need nothing more.
+2. Open runs go with their bytes to the bucket of their head. A bucket is sorted by multikey
+   quicksort, eight bytes at a step, and strings under equal heads are compared. Splitters are
+   leading bytes, so equal heads never lie across a boundary.
 3. Removed spans meet their documents at the home partition and are cut out.
 
-Hot passages: tasks reduce equal heads and equal runs to one entry before they are sent, so a
-bucket gets at most one entry a task for a passage, however many documents hold it; heads with
-more than ``HOT_CLASSES`` different runs are compared by a plain grouped minimum over strings
-instead. A range whose splitters coincide is spread by the hash of the head.
+Hot passages: tasks reduce equal runs to one entry before they are sent, so a bucket gets at most
+one entry a task for a passage, however many documents hold it; heads with more than
+``HOT_CLASSES`` different runs are compared by a plain grouped minimum over strings instead. A
+range whose splitters coincide is spread by the hash of the head.
 
 Defined results: null and empty texts lose nothing; documents shorter than 50 bytes neither lose
 nor cause a loss; rows with the same id never cost each other anything; null ids count as larger
@@ -44,9 +44,12 @@ PART_BYTES = 16 << 20
 #: Documents (about) and heads that the splitters are sampled from.
 SAMPLE_DOCS, SAMPLE_HEADS = 2_000, 200_000
 HOT_CLASSES = 100_000
+#: Strings compared at once within a bucket.
+STRINGS = 2_000_000
 #: Bytes that are hashed at once; positions within them take POSITION bits.
 BLOCK, POSITION = 1 << 18, 20
 _LAST = (1 << 63) - 1
+_LOW = np.uint64((1 << 40) - 1)
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _BYTE_HASH = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -152,10 +155,6 @@ def home_of(doc: np.ndarray, homes: int) -> np.ndarray:
     return (doc ^ (doc >> 17)) % homes
 
 
-def _home(doc, homes: int):
-    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)), F.lit(homes)).cast("int")
-
-
 def groups_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by the columns, first one first, and the starts of equal groups in it."""
     order = np.lexsort(columns[::-1])
@@ -225,47 +224,107 @@ def _sampled_splitters(docs: DataFrame, rows: int, parts: int) -> np.ndarray:
     return lead[np.arange(1, parts) * len(lead) // parts] if len(lead) else lead
 
 
+def _name(doc: np.ndarray, head: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """A document's runs with one head and content, as one number."""
+    return _mix(_mix(doc.astype(np.uint64), head & _LOW), same & _LOW)
+
+
+def _parts(texts: list[bytes]) -> Iterator[slice]:
+    """Slices of about PART_BYTES each."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= PART_BYTES:
+            yield slice(at, k + 1)
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 def _heads(docs: DataFrame, splitters: np.ndarray, homes: int) -> DataFrame:
-    """Head hashes by bucket, and those that a task alone knows to be shared by home."""
+    """Heads of runs by bucket, one entry for each content that a task has; and by home the runs
+    that a smaller document in the same task has too."""
 
     def run(batches):
         for b in batches:
-            doc, texts = b.column(0).to_numpy(), [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            heads, docs_, slots = [], [], []
-            for part, owner, _ in blocks(texts):
-                r = Runs(part, False)
-                heads.append(r.head)
-                docs_.append(doc[np.array(owner)[r.doc]])
-                slots.append(bucket_of(splitters, leading(r.data, r.anchor), r.head))
-            if not heads:
-                continue
-            head, own, slot = np.concatenate(heads), np.concatenate(docs_), np.concatenate(slots)
-            order, starts = groups_of(head)
-            low, high = np.minimum.reduceat(own[order], starts), np.maximum.reduceat(own[order], starts)
-            for bucket, d, h in _split_by(slot[order[starts]], low, head[order[starts]]):
-                yield pa.RecordBatch.from_pydict({"local": [False], "slot": [bucket], "docs": [_pack(d, "<i8")], "low": [_pack(h, "<u4")], "high": [_pack(h >> np.uint64(32), "<u1")]}, schema)
-            shared = order[np.repeat(low != high, np.diff(np.append(starts, len(order))))]
-            for home, d, h in _split_by(home_of(own[shared], homes), own[shared], head[shared]):
-                yield pa.RecordBatch.from_pydict({"local": [True], "slot": [home], "docs": [_pack(d, "<i8")], "low": [_pack(h, "<u4")], "high": [_pack(h >> np.uint64(32), "<u1")]}, schema)
-
-    schema = pa.schema([("local", pa.bool_()), ("slot", pa.int32()), ("docs", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
-    return map_batches(docs.select("doc", "text"), run, "local boolean, slot int, docs binary, low binary, high binary")
+            every, bodies = b.column(0).to_numpy(), [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+            for own in _parts(bodies):
+                doc, heads, sames, docs_, slots = every[own], [], [], [], []
+                for part, owner, _ in blocks(bodies[own]):
+                    r = Runs(part, True)
+                    heads.append(r.head)
+                    sames.append(r.content)
+                    docs_.append(doc[np.array(owner)[r.doc]])
+                    slots.append(bucket_of(splitters, leading(r.data, r.anchor), r.head).astype(np.int32))
+                if not heads:
+                    continue
+                head, same, owners, slot = (np.concatenate(x) for x in (heads, sames, docs_, slots))
+                order, starts = groups_of(head ^ same * _A, owners)
+                content = (head ^ same * _A)[order]
+                new = np.ones(len(starts), bool)
+                new[1:] = content[starts[1:]] != content[starts[:-1]]
+                first = order[starts[new]]
+                late = order[starts[~new]]
+                for home, d, h, c in _split_by(home_of(owners[late], homes), owners[late], head[late], same[late]):
+                    yield pa.RecordBatch.from_pydict({"local": [True], "slot": [home], "docs": [None], "count": [None], "head": [None], "head5": [None], "same": [None], "same5": [None], "names": [_pack(np.unique(_name(d, h, c)), "<u8")]}, schema)
+                for bucket, d, h, c in _split_by(slot[first], owners[first], head[first], same[first]):
+                    by_doc = np.argsort(d, kind="stable")
+                    ids, count = np.unique(d, return_counts=True)
+                    h, c = h[by_doc], c[by_doc]
+                    yield pa.RecordBatch.from_pydict({"local": [False], "slot": [bucket], "docs": [_pack(ids, "<i8")], "count": [_pack(count, "<u4")], "head": [_pack(h, "<u4")], "head5": [_pack(h >> np.uint64(32), "<u1")], "same": [_pack(c, "<u4")], "same5": [_pack(c >> np.uint64(32), "<u1")], "names": [None]}, schema)
+
+    fields = ["docs", "count", "head", "head5", "same", "same5", "names"]
+    schema = pa.schema([("local", pa.bool_()), ("slot", pa.int32()), *((f, pa.binary()) for f in fields)])
+    return map_batches(docs.select("doc", "text"), run, "local boolean, slot int, " + ", ".join(f"{f} binary" for f in fields))
 
 
 def _shared_heads(heads: DataFrame, homes: int) -> DataFrame:
-    """(home, docs, low, high): heads that more than one document has, at those documents' homes."""
+    """(home, settled, names): runs that go because a smaller document has the same run, and runs
+    to compare because their head also has other runs."""
 
     def run(table: pa.Table) -> pa.Table:
-        if not table.num_rows or table.column("local")[0].as_py():
-            return table.rename_columns(["local", "home", "docs", "low", "high"]).select(["home", "docs", "low", "high"])
-        doc, low, high = _joined(table, "docs", "<i8"), _joined(table, "low", "<u4"), _joined(table, "high", "<u1")
-        order, starts = groups_of(low, high)
-        least, most = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
-        keep = order[np.repeat(least != most, np.diff(np.append(starts, len(order))))]
-        rows = list(_split_by(home_of(doc[keep], homes), doc[keep], low[keep], high[keep]))
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2, 3))], ["home", "docs", "low", "high"])
+        rows: list[tuple] = []
+        if table.num_rows and table.column("local")[0].as_py():
+            rows = [(r["slot"], True, r["names"]) for r in table.select(["slot", "names"]).to_pylist()]
+        elif table.num_rows:
+            doc = np.repeat(_joined(table, "docs", "<i8"), _joined(table, "count", "<u4"))
+            head, same = (_joined(table, f, "<u4").astype(np.uint64) | _joined(table, f + "5", "<u1").astype(np.uint64) << np.uint64(32) for f in ("head", "same"))
+            order = np.lexsort((doc, same, head))
+            head, same, doc = head[order], same[order], doc[order]
+            new_head, new = np.ones(len(order), bool), np.ones(len(order), bool)
+            new_head[1:] = head[1:] != head[:-1]
+            new[1:] = new_head[1:] | (same[1:] != same[:-1])
+            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            group = np.cumsum(new_head) - 1
+            classes = np.bincount(group[new])
+            for settled, pick in ((True, doc > least), (False, (doc == least) & (classes[group] > 1))):
+                for home, d, h, c in _split_by(home_of(doc[pick], homes), doc[pick], head[pick], same[pick]):
+                    rows.append((home, settled, _pack(np.unique(_name(d, h, c)), "<u8")))
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["home", "settled", "names"])
+
+    return heads.groupBy("local", "slot").applyInArrow(run, "home int, settled boolean, names binary")
+
+
+def _packed(docs: DataFrame, homes: int) -> DataFrame:
+    """(home, rows): a batch's rows for a home as one compressed Arrow stream; ``doc`` names the
+    home. Text shrinks far better this way than row by row."""
 
-    return heads.groupBy("local", "slot").applyInArrow(run, "home int, docs binary, low binary, high binary")
+    def run(batches):
+        option = pa.ipc.IpcWriteOptions(compression="zstd")
+        for b in batches:
+            home = home_of(b.column(place).to_numpy(), homes)
+            for at, rows in _split_by(home, np.arange(len(home))):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=option) as stream:
+                    stream.write_batch(b.take(pa.array(rows)))
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["home", "rows"])
+
+    place = docs.columns.index("doc")
+    return map_batches(docs, run, "home int, rows binary")
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()]).combine_chunks()
 
 
 def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
@@ -281,61 +340,55 @@ def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray, np.n
     return order, doc, texts, begin - base
 
 
-_RUN_SCHEMA = "local boolean, slot int, docs binary, start binary, stop binary, ahead binary, same binary, bytes binary"
-_RUN_NAMES = ["local", "slot", "docs", "start", "stop", "ahead", "same", "bytes"]
+_RUN_SCHEMA = "local boolean, slot int, docs binary, start binary, stop binary, ahead binary, bytes binary"
 
 
 def _run_rows(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.bool_(), pa.int32()] + [pa.binary()] * 6
-    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], _RUN_NAMES)
+    kinds = [pa.bool_(), pa.int32()] + [pa.binary()] * 5
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["local", "slot", "docs", "start", "stop", "ahead", "bytes"])
 
 
-def _shared_runs(docs: DataFrame, shared: DataFrame, splitters: np.ndarray, homes: int) -> DataFrame:
-    """Runs at shared heads by bucket, those of the smallest document for each content a home has, and the spans that are
-    settled at home because a smaller document there has the same run."""
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _open_runs(docs: DataFrame, shared: DataFrame, splitters: np.ndarray, homes: int) -> DataFrame:
+    """Runs to compare, with their bytes, by bucket; and by home the spans of settled runs."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _run_rows([])
-        _, doc, texts, offset = _ordered(left)
-        wanted_doc = _joined(right, "docs", "<i8")
-        wanted = _mix(wanted_doc.astype(np.uint64), _joined(right, "low", "<u4").astype(np.uint64) | _joined(right, "high", "<u1").astype(np.uint64) << np.uint64(32))
-        wanted = np.unique(wanted)
+        _, doc, texts, offset = _ordered(_unpacked(left))
+        flag = np.array(right.column("settled").to_pylist())
+        gone, open_ = (np.unique(_joined(right.filter(pa.array(flag == want)), "names", "<u8")) for want in (True, False))
+        spans: list[tuple] = []
         found: list[tuple] = []
         for part, owner, at in blocks(texts):
             r = Runs(part, True)
             own = np.array(owner)[r.doc]
-            name = _mix(doc[own].astype(np.uint64), r.head & np.uint64((1 << 40) - 1))
-            place = np.searchsorted(wanted, name)
-            keep = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == name)
-            if not len(keep):
-                continue
-            start = r.first[keep] - r.begin[keep] + np.array(at)[r.doc[keep]] + offset[own[keep]]
-            size = r.last[keep] - r.first[keep] + LENGTH
-            lead = leading(r.data, r.anchor[keep])
-            at_byte = np.repeat(r.first[keep] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            found.append((doc[own[keep]], start, start + size, r.anchor[keep] - r.first[keep], r.content[keep], r.head[keep], bucket_of(splitters, lead, r.head[keep]), size, r.data[at_byte]))
-        if not found:
-            return _run_rows([])
-        d, start, stop, ahead, same, head, slot, size, text = (np.concatenate(c) for c in zip(*found))
-        byte_at = np.cumsum(size) - size
-        order, starts = groups_of(head, same, d)
-        new_class = np.ones(len(starts), bool)
-        lead_rows = order[starts]
-        new_class[1:] = (head[lead_rows[1:]] != head[lead_rows[:-1]]) | (same[lead_rows[1:]] != same[lead_rows[:-1]])
-        group = np.cumsum(np.isin(np.arange(len(order)), starts[new_class])) - 1
-        least = d[order[starts[new_class]]][group]
-        rows = []
-        settled = order[d[order] > least]
-        for home, *columns in _split_by(home_of(d[settled], homes), d[settled], start[settled], stop[settled]):
-            rows.append((True, home, *(_pack(c, "<i8") for c in columns), None, None, None))
-        rest = order[d[order] == least]
-        for bucket, own in _split_by(slot[rest], rest):
-            where = np.repeat(byte_at[own] - np.concatenate([[0], np.cumsum(size[own])[:-1]]), size[own]) + np.arange(size[own].sum())
-            rows.append((False, bucket, _pack(d[own], "<i8"), _pack(start[own], "<i8"), _pack(stop[own], "<i8"), _pack(ahead[own], "<u1"), _pack(same[own], "<u8"), text[where].tobytes()))
+            name = _name(doc[own], r.head, r.content)
+            start = r.first - r.begin + np.array(at)[r.doc] + offset[own]
+            size = r.last - r.first + LENGTH
+            keep = np.flatnonzero(_within(name, gone))
+            spans.append(merged(doc[own[keep]], start[keep], (start + size)[keep]))
+            keep = np.flatnonzero(_within(name, open_))
+            if len(keep):
+                size = size[keep]
+                at_byte = np.repeat(r.first[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                slot = bucket_of(splitters, leading(r.data, r.anchor[keep]), r.head[keep])
+                found.append((doc[own[keep]], start[keep], start[keep] + size, r.anchor[keep] - r.first[keep], slot, size, r.data[at_byte]))
+        rows = [(True, home, *(_pack(c, "<i8") for c in columns), None, None) for home, *columns in _by_home(*(np.concatenate(c) for c in zip(*spans)), homes)] if spans else []
+        if found:
+            d, start, stop, ahead, slot, size, text = (np.concatenate(c) for c in zip(*found))
+            byte_at = np.cumsum(size) - size
+            for bucket, own in _split_by(slot, np.arange(len(slot))):
+                where = np.repeat(byte_at[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
+                rows.append((False, bucket, _pack(d[own], "<i8"), _pack(start[own], "<i8"), _pack(stop[own], "<i8"), _pack(ahead[own], "<u1"), text[where].tobytes()))
         return _run_rows(rows)
 
-    return docs.select("home", "doc", "text").groupBy("home").cogroup(shared.groupBy("home")).applyInArrow(run, _RUN_SCHEMA)
+    return _packed(docs, homes).groupBy("home").cogroup(shared.groupBy("home")).applyInArrow(run, _RUN_SCHEMA)
 
 
 _SPAN_SCHEMA = "home int, docs binary, start binary, stop binary, string binary"
@@ -352,7 +405,7 @@ def _compared(runs: DataFrame, homes: int) -> DataFrame:
         if not table.num_rows or table.column("local")[0].as_py():
             return _spans([(r["slot"], r["docs"], r["start"], r["stop"], None) for r in table.select(["slot", "docs", "start", "stop"]).to_pylist()])
         doc, start, stop = (_joined(table, c, "<i8") for c in ("docs", "start", "stop"))
-        ahead, same, text = _joined(table, "ahead", "<u1").astype(np.int64), _joined(table, "same", "<u8"), _joined(table, "bytes", "<u1")
+        ahead, text = _joined(table, "ahead", "<u1").astype(np.int64), _joined(table, "bytes", "<u1")
         size = stop - start
         begin = np.cumsum(size) - size
         anchor = begin + ahead
@@ -360,37 +413,28 @@ def _compared(runs: DataFrame, homes: int) -> DataFrame:
         order, group = multikey_order([word(k) for k in range(GRAM // 8)])
         head = np.empty(len(order), np.int64)
         head[order] = group
-        order, starts = groups_of(head, same, doc)
-        first = order[starts]
-        fresh = np.ones(len(first), bool)
-        fresh[1:] = (head[first[1:]] != head[first[:-1]]) | (same[first[1:]] != same[first[:-1]])
-        of = np.cumsum(np.isin(np.arange(len(order)), starts[fresh])) - 1
-        least = doc[first[fresh]][of]
-        gone = order[doc[order] > least]
-        spans = [(doc[gone], start[gone], stop[gone])]
-        # Several classes under one head: compare the strings of each one's smallest document.
-        classes = np.bincount(head[first[fresh]])
-        several = order[(doc[order] == least) & (classes[head[order]] > 1)]
-        rows = []
-        if len(several):
-            n = size[several] - LENGTH + 1
-            owner = np.repeat(several, n)
+        hot_head = np.bincount(head) > HOT_CLASSES
+        rows, spans = [], []
+        hashes = gram_hashes(text, (LENGTH,))[0]
+        # Whole heads at a time, so that strings in memory stay few.
+        share = np.cumsum((size - LENGTH + 1)[order]) // STRINGS
+        last_of_head = np.append(group[1:] != group[:-1], True)
+        cuts = np.flatnonzero(last_of_head & (share > np.concatenate([[-1], share[:-1]]))) + 1
+        for own in np.split(order, cuts[cuts < len(order)]):
+            n = size[own] - LENGTH + 1
+            owner = np.repeat(own, n)
             shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            string = gram_hashes(text, (LENGTH,))[0][begin[owner] + shift]
-            hot = classes[head[owner]] > HOT_CLASSES
+            string, hot = hashes[begin[owner] + shift], hot_head[head[owner]]
             for home, d, s, h in _split_by(home_of(doc[owner[hot]], homes), doc[owner[hot]], (start[owner] + shift)[hot], string[hot]):
                 rows.append((home, _pack(d, "<i8"), _pack(s, "<i8"), None, _pack(h, "<u8")))
             owner, shift, string = owner[~hot], shift[~hot], string[~hot]
-            order, starts = groups_of(string, doc[owner])
-            new = np.ones(len(starts), bool)
-            new[1:] = string[order[starts[1:]]] != string[order[starts[:-1]]]
-            of = np.cumsum(np.isin(np.arange(len(order)), starts[new])) - 1
-            late = order[doc[owner[order]] > doc[owner[order[starts[new]]]][of]] if len(order) else order
+            by, starts = groups_of(string)
+            least = np.repeat(np.minimum.reduceat(doc[owner[by]], starts), np.diff(np.append(starts, len(by)))) if len(by) else by
+            late = by[doc[owner[by]] > least]
             at = start[owner[late]] + shift[late]
-            spans.append((doc[owner[late]], at, at + LENGTH))
-        d, s, e = (np.concatenate(c) for c in zip(*spans))
-        for home, *columns in _by_home(d, s, e, homes):
-            rows.append((home, *(_pack(c, "<i8") for c in columns), None))
+            spans.append(merged(doc[owner[late]], at, at + LENGTH))
+        if spans:
+            rows += [(home, *(_pack(c, "<i8") for c in columns), None) for home, *columns in _by_home(*(np.concatenate(c) for c in zip(*spans)), homes)]
         return _spans(rows)
 
     return runs.groupBy("local", "slot").applyInArrow(run, _SPAN_SCHEMA)
@@ -444,20 +488,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     rows, total = plain.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     homes = max(1, math.ceil(total / PART_BYTES))
     splitters = _sampled_splitters(plain, rows, homes)
-    placed = plain.withColumn("home", _home(F.col("doc"), homes))
     shared = _shared_heads(_heads(plain, splitters, homes), homes)
-    spans = stored(_compared(_shared_runs(placed, shared, splitters, homes), homes))
+    spans = stored(_compared(_open_runs(plain, shared, splitters, homes), homes))
     closed = spans.where("string is null")
     if spans.where("string is not null").limit(1).count():
         closed = closed.unionByName(_hot_spans(spans, homes))
 
-    names, own = docs.columns, {"doc", "text", "home"}
+    names = docs.columns
     kept_names = [f"c{i}" for i in range(len(names))]
     wide = docs.select(*[docs[c].alias(k) for c, k in zip(names, kept_names)], F.coalesce(docs[key], F.lit(_LAST)).alias("doc"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    wide = wide.drop(kept_names[names.index(text)]).withColumn("home", _home(F.col("doc"), homes))
-    passed = [c for c in wide.columns if c not in own]
+    wide = wide.drop(kept_names[names.index(text)])
+    passed = [c for c in wide.columns if c not in ("doc", "text")]
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+    def cut(packed: pa.Table, right: pa.Table) -> pa.Table:
+        if not packed.num_rows:
+            return none
+        left = _unpacked(packed)
         order, doc, texts, offset = _ordered(left)
         d, s, e = merged(*(_joined(right, c, "<i8") for c in ("docs", "start", "stop")))
         out, figures = [], []
@@ -478,6 +524,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         return pa.table(columns, [*passed, "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wide.schema if f.name in passed)
-    result = wide.groupBy("home").cogroup(closed.groupBy("home")).applyInArrow(cut, f"{types}, text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    none = pa.table({})
+    result = _packed(wide, homes).groupBy("home").cogroup(closed.groupBy("home")).applyInArrow(cut, f"{types}, text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     figures = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return result.select(*[(F.col("text") if c == text else F.col(k)).alias(c) for c, k in zip(names, kept_names)], *[f for f in figures if f not in names])
