@@ -1,4 +1,817 @@
 """Queries over the standard tables and the DuckDB SQL each must equal."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablewise.operators import drift, graph, health, insights, marts, metrics, profile, quality, relate, similarity, staging
+from tablewise.operators.metrics import Metric
+from tablewise.operators.quality import Rule
+from tablewise.operators.relate import Edge
+from tablewise.sources import files, jdbc, sinks
+from tablewise.sources.paths import scratch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+TPCH = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+
+
+class Tables:
+    """The Parquet tables of a folder by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return files.read_parquet(self.spark, f"{self.folder}/{name}.parquet")
+
+    def many(self, *names: str) -> dict[str, DataFrame]:
+        return {n: getattr(self, n) for n in names}
+
+
+def query(sql: str | None = None):
+    """Register a function of ``Tables`` under its own name."""
+
+    def add(function):
+        QUERIES[function.__name__] = lambda spark, folder: function(Tables(spark, folder))
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def union_sql(part: Callable[[str], str], columns: list[str]) -> str:
+    return "\nUNION ALL\n".join(part(c) for c in columns)
+
+
+# Profiles -----------------------------------------------------------------------------------------
+
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_COLUMNS = [*LINE_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
+UNIVERSAL = """SELECT '{c}' AS "column", CAST(count(*) AS BIGINT) AS row_count, CAST(count(*) - count({c}) AS BIGINT) AS null_count, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count,
+round((count(*) - count({c})) / count(*) + 1e-12, 4) AS null_rate, coalesce(round(count(DISTINCT {c}) / nullif(count({c}), 0) + 1e-12, 4), 0.0) AS uniqueness_ratio FROM {t}"""
+
+
+@query(union_sql(lambda c: UNIVERSAL.format(c=c, t="lineitem"), LINE_COLUMNS))
+def profile_universal(t):
+    return profile.universal(profile.frequencies(t.lineitem))
+
+
+@query(union_sql(lambda c: f"""SELECT '{c}' AS "column", CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev,
+quantile_cont(CAST({c} AS DOUBLE), 0.25) AS p25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS p75, round(quantile_cont(CAST({c} AS DOUBLE), 0.95), 6) AS p95 FROM lineitem""", LINE_NUMBERS))
+def profile_numeric(t):
+    got = profile.numeric(profile.frequencies(t.lineitem, LINE_NUMBERS))
+    return got.withColumns({c: F.round(c, 6) for c in ("mean", "stddev", "p95")})
+
+
+TEXTS = [("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("customer", "c_name"), ("customer", "c_mktsegment"), ("pages", "url")]
+
+
+def _texts(t, step):
+    parts = [step(profile.frequencies(getattr(t, table), [c])) for table, c in TEXTS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(union_sql(lambda x: f"""SELECT '{x[1]}' AS "column", min(length({x[1]})) AS min_length, max(length({x[1]})) AS max_length, round(avg(length({x[1]})), 1) AS avg_length FROM {x[0]}""", TEXTS))
+def profile_strings(t):
+    return _texts(t, profile.lengths).withColumns({c: F.col(c).cast("bigint") for c in ("min_length", "max_length")})
+
+
+@query(union_sql(lambda x: f"""SELECT "column", rank, value, n FROM (SELECT '{x[1]}' AS "column", CAST(row_number() OVER (ORDER BY count(*) DESC, {x[1]}) AS INTEGER) AS rank, {x[1]} AS value, count(*) AS n, count(*) OVER () AS d FROM {x[0]} WHERE {x[1]} IS NOT NULL GROUP BY {x[1]}) WHERE d <= 100 AND rank <= 30""", TEXTS))
+def top_values(t):
+    return _texts(t, profile.top_values)
+
+
+_SQL_PATTERNS = " ".join(f"WHEN avg(CASE WHEN regexp_matches(CAST({{c}} AS VARCHAR), '{p}') THEN 1.0 ELSE 0.0 END) > 0.7 THEN '{n}'" for n, p in profile.PATTERNS)
+PATTERNED = [("pages", "url"), ("customer", "c_name"), ("orders", "o_orderdate"), ("documents", "n_chars")]
+
+
+@query(union_sql(lambda x: f"""SELECT '{x[1]}' AS "column", CASE {_SQL_PATTERNS.replace('{c}', x[1])} END AS detected_pattern FROM {x[0]} WHERE {x[1]} IS NOT NULL""", PATTERNED))
+def patterns(t):
+    return reduce(DataFrame.unionByName, [profile.patterns(profile.frequencies(getattr(t, table), [c])) for table, c in PATTERNED])
+
+
+_RANGE = """SELECT '{c}' AS "column", strftime(min({c}), '%Y-%m-%d') AS min_day, strftime(max({c}), '%Y-%m-%d') AS max_day, count(DISTINCT CAST({c} AS DATE)) AS days, count(*) AS rows, date_diff('day', CAST(min({c}) AS DATE), CAST(max({c}) AS DATE)) AS span_days FROM {t}"""
+_RANGES = " UNION ALL ".join(_RANGE.format(c=c, t=table) for table, c in (("orders", "o_orderdate"), ("events", "ts"), ("lineitem", "l_shipdate")))
+
+
+def _ranges(t):
+    return reduce(DataFrame.unionByName, [profile.temporal(df) for df in (t.orders, t.events, t.lineitem)])
+
+
+@query(f"SELECT \"column\", min_day, max_day, days, rows, CAST(span_days AS INTEGER) AS span_days FROM ({_RANGES})")
+def profile_temporal(t):
+    return _ranges(t).select("column", F.substring("min_date", 1, 10).alias("min_day"), F.substring("max_date", 1, 10).alias("max_day"), "days", "rows", "span_days")
+
+
+@query(f"""SELECT "column", CASE WHEN span_days <= 0 THEN 'event-based' WHEN days / span_days > 0.8 THEN 'daily' WHEN days / span_days > 0.2 THEN 'weekly' WHEN days / span_days > 0.02 THEN 'monthly' ELSE 'yearly' END AS grain,
+CASE WHEN span_days = 0 THEN 'snapshot' WHEN rows / span_days >= 10 THEN 'event-based' WHEN rows / span_days >= 0.8 THEN 'daily' WHEN rows / span_days >= 0.2 THEN 'weekly' WHEN rows / span_days >= 0.03 THEN 'monthly' ELSE 'yearly' END AS row_grain FROM ({_RANGES})""")
+def temporal_grain(t):
+    return profile.grain_by_rows(profile.grain_by_days(_ranges(t))).select("column", "grain", "row_grain")
+
+
+@query(union_sql(lambda c: f"""SELECT '{c}' AS "column", count(*) AS row_count, count(*) - count(x.{c}) AS null_count, count(DISTINCT x.{c}) + CASE WHEN count(*) > count(x.{c}) THEN 1 ELSE 0 END AS distinct_count, min(TRY_CAST(x.{c} AS DOUBLE)) AS min_value, max(TRY_CAST(x.{c} AS DOUBLE)) AS max_value
+FROM (SELECT user_id, event_type, CASE WHEN event_id % 50 = 0 THEN NULL ELSE value END AS value FROM events) x""", ["user_id", "event_type", "value"]))
+def connector_profile(t):
+    rows = with_null_values(t.events).select("user_id", "event_type", "value")
+    return profile.connector_profile(profile.frequencies(rows))
+
+
+@query(union_sql(lambda c: f"""SELECT '{c}' AS "column", count({c}) AS filled, CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev FROM part""", ["p_partkey", "p_size", "p_retailprice"]))
+def profile_single_pass(t):
+    got = profile.numeric_approx(t.part)
+    return got.select("column", "filled", "min_value", "max_value", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
+
+
+def with_null_values(events: DataFrame) -> DataFrame:
+    """Events with the value of every fiftieth event missing."""
+    return events.withColumn("value", F.when(F.col("event_id") % 50 != 0, F.col("value")))
+
+
+def _universal_all(t, names=TPCH) -> DataFrame:
+    return reduce(DataFrame.unionByName, [profile.universal(profile.frequencies(df)).withColumn("table", F.lit(n)) for n, df in t.many(*names).items()])
+
+
+TPCH_COLUMNS = [("region", c) for c in ("r_regionkey", "r_name")] + [("nation", c) for c in ("n_nationkey", "n_name", "n_regionkey")] + [("customer", c) for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")] + [("supplier", c) for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")] + [("part", c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")] + [("orders", c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]
+ALL_UNIVERSAL = union_sql(lambda x: f"SELECT '{x[0]}' AS \"table\", * FROM ({UNIVERSAL.format(c=x[1], t=x[0])})", TPCH_COLUMNS)
+SMALLER = TPCH[:-1]
+
+
+@query(f"""SELECT "table", "column" FROM ({ALL_UNIVERSAL}) WHERE null_count = 0 AND distinct_count = row_count AND row_count > 0 AND regexp_matches("column", 'key$')""")
+def pk_candidates(t):
+    return _universal_all(t, SMALLER).where(profile.is_primary_key(F.col("column").rlike("key$"))).select("table", "column")
+
+
+def _typed(t, names):
+    parts = [profile.profile(df, n) for n, df in t.many(*names).items()]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return profile.roles(profile.semantic_type(every), profile.is_primary_key(F.col("column").rlike("key$")))
+
+
+_ROLE_SQL = """WITH p AS ({profile}), k AS (
+    SELECT *, dtype IN ('int64', 'float64') AS num, greatest(2, least(200, CAST(floor(sqrt(row_count)) AS INTEGER))) AS lim,
+        CASE WHEN regexp_matches("column", '(^|_)id$') THEN 'id' WHEN regexp_matches("column", 'email|phone|ssn') THEN 'pii'
+             WHEN regexp_matches("column", 'name$|type$|category|status|code$|flag$|indicator$|number$|_num$|_no$') THEN 'dimension'
+             WHEN regexp_matches("column", 'date|_at$|timestamp') THEN 'temporal' WHEN regexp_matches("column", 'score|amount|(^|_)value$') THEN 'metric' END AS named FROM p
+), s AS (
+    SELECT *, CASE WHEN named = 'dimension' AND num AND uniqueness_ratio > 0.9 THEN 'id' WHEN named IS NOT NULL THEN named WHEN num AND uniqueness_ratio > 0.9 THEN 'id'
+        WHEN num AND dev > 0 AND hi > lo THEN 'metric' WHEN distinct_count <= lim THEN 'dimension' WHEN num THEN 'metric' END AS semantic_type,
+        null_count = 0 AND distinct_count = row_count AND regexp_matches("column", 'key$') AS pk FROM k
+)
+SELECT "table", "column", dtype, semantic_type,
+    CASE WHEN pk OR regexp_matches("column", '(_id|_key)$') OR coalesce(semantic_type = 'id', false) OR (dtype = 'int64' AND uniqueness_ratio >= 0.8) THEN 'identifier'
+         WHEN semantic_type = 'metric' AND num THEN 'metric' WHEN semantic_type = 'dimension' THEN 'dimension'
+         WHEN dtype IN ('date', 'timestamp') OR coalesce(semantic_type = 'temporal', false) THEN 'temporal'
+         WHEN num AND semantic_type IS NULL THEN 'metric' WHEN dtype = 'varchar' AND distinct_count <= 200 THEN 'dimension' ELSE 'unknown' END AS role
+FROM s"""
+_KINDS = {"r_regionkey": "int64", "n_nationkey": "int64", "n_regionkey": "int64", "c_custkey": "int64", "c_nationkey": "int64", "s_suppkey": "int64", "s_nationkey": "int64", "p_partkey": "int64", "p_size": "int64", "o_orderkey": "int64", "o_custkey": "int64", "c_acctbal": "float64", "s_acctbal": "float64", "p_retailprice": "float64", "o_totalprice": "float64", "o_orderdate": "timestamp"}
+_ROLE_PROFILE = union_sql(lambda x: f"SELECT '{x[0]}' AS \"table\", '{_KINDS.get(x[1], 'varchar')}' AS dtype, stddev_samp(TRY_CAST({x[1]} AS DOUBLE)) AS dev, min(TRY_CAST({x[1]} AS DOUBLE)) AS lo, max(TRY_CAST({x[1]} AS DOUBLE)) AS hi, " + UNIVERSAL.format(c=x[1], t=x[0])[7:], [x for x in TPCH_COLUMNS if x[0] != "region" and x[1] != "o_orderdate"] + [("orders", "o_orderdate")]).replace("TRY_CAST(o_orderdate AS DOUBLE)", "NULL::DOUBLE")
+
+
+@query(_ROLE_SQL.format(profile=_ROLE_PROFILE))
+def column_roles(t):
+    return _typed(t, SMALLER[1:]).select("table", "column", "dtype", "semantic_type", "role")
+
+
+@query()
+def column_confidence(t):
+    return profile.sibling_roles(_typed(t, SMALLER[1:])).select("table", "column", "semantic_type", "role", "is_metric", "is_dimension", "confidence")
+
+
+# Relations and joins ------------------------------------------------------------------------------
+
+FK = [("customer", "c_nationkey", "nation", "n_nationkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("supplier", "s_nationkey", "nation", "n_nationkey")]
+_FK_SQL = union_sql(lambda e: f"""SELECT '{e[0]}' AS from_table, '{e[1]}' AS from_column, '{e[2]}' AS to_table, '{e[3]}' AS to_column, (SELECT count({e[1]}) FROM {{{e[0]}}}) AS n_values, count(*) AS n_distinct, count(k.{e[3]}) AS n_matched
+FROM (SELECT DISTINCT {e[1]} FROM {{{e[0]}}} WHERE {e[1]} IS NOT NULL) f LEFT JOIN (SELECT DISTINCT {e[3]} FROM {{{e[2]}}}) k ON f.{e[1]} = k.{e[3]}""", FK)
+
+
+def _fk_sql(**replaced) -> str:
+    return _FK_SQL.format(**{n: replaced.get(n, n) for n in TPCH})
+
+
+def keyless_customers(t, expression: str = "c_custkey % 3 <> 0") -> DataFrame:
+    """All customers, but only those that meet the expression have their key, so that the orders of
+    the others have no parent."""
+    return t.customer.withColumn("c_custkey", F.when(F.expr(expression), F.col("c_custkey")))
+
+
+def fewer_customers(t) -> dict[str, DataFrame]:
+    return t.many(*TPCH) | {"customer": keyless_customers(t)}
+
+
+_FEWER = {"customer": "(SELECT * REPLACE (CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS c_custkey) FROM customer)"}
+
+
+@query(f"SELECT from_table, from_column, to_table, to_column, n_values, n_distinct, n_matched, n_matched / n_distinct AS ref_integrity, CASE WHEN n_values = n_distinct THEN 'one_to_one' ELSE 'many_to_one' END AS rel_type FROM ({_fk_sql()})")
+def fk_integrity(t):
+    tables = t.many(*TPCH)
+    found = relate.candidates({n: df.columns for n, df in tables.items()}, KEYS, prefixed=True)
+    return relate.integrity(tables, found).drop("edge")
+
+
+@query(f"""SELECT * FROM (SELECT from_table, from_column, to_table, to_column, round(n_matched / n_distinct, 6) AS ref_integrity, CASE WHEN n_matched / n_distinct > 0.9 THEN 0.9 ELSE 0.7 END AS confidence, CASE WHEN n_matched = n_distinct THEN 'inferred_value' ELSE 'inferred_name' END AS source FROM ({_fk_sql(**_FEWER)})) WHERE ref_integrity >= 0.5""")
+def fk_edges(t):
+    got = relate.detect(fewer_customers(t), KEYS, prefixed=True)
+    return got.select("from_table", "from_column", "to_table", "to_column", F.round("ref_integrity", 6).alias("ref_integrity"), "confidence", "source")
+
+
+@query("SELECT c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = CASE WHEN c_custkey % 3 = 0 THEN c_custkey END GROUP BY c_mktsegment")
+def join_left_nullable(t):
+    edge = Edge("orders", "o_custkey", "customer", "c_custkey", ref_integrity=0.33)
+    joined = relate.join_edge(t.orders, keyless_customers(t, "c_custkey % 3 = 0"), edge)
+    return joined.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+EDGES = [Edge(*e) for e in FK]
+
+
+@query("SELECT n_name, count(*) AS orders, round(avg(o_totalprice), 2) AS avg_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def join_two_hop(t):
+    joined = relate.join_path(t.many("orders", "customer", "nation"), EDGES, "orders", "nation")
+    return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.avg("o_totalprice"), 2).alias("avg_price"))
+
+
+@query("SELECT r_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def join_path(t):
+    joined = relate.join_path(t.many("orders", "customer", "nation", "region"), EDGES, "orders", "region")
+    return joined.groupBy("r_name").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query("SELECT c_mktsegment, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
+def join_inner_fk(t):
+    return relate.join_edge(t.orders, t.customer, Edge("orders", "o_custkey", "customer", "c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("orders"))
+
+
+# Staging, sources and sinks -----------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS order_key, o_custkey AS customer_no, o_totalprice AS total_price, strftime(o_orderdate, '%Y-%m-%d') AS order_date FROM orders")
+def staging_orders(t):
+    raw = t.orders.select(F.col("o_orderkey").alias("OrderKey"), F.col("o_custkey").alias("Customer No."), F.col("o_totalprice").alias("total price"), F.col("o_orderdate").cast("string").alias("Order-Date"))
+    return staging.stage(raw, {"Order-Date": "date"}).drop("_loaded_at").withColumn("order_date", F.col("order_date").cast("string"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS name_1, c_mktsegment AS col FROM customer")
+def header_normalization(t):
+    raw = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").toDF(" ID ", "Name", "name!", "--")
+    return staging.normalized_headers(raw)
+
+
+@query("""SELECT * FROM (VALUES ('event_id', 0, 'int64'), ('ts', 1, 'timestamp'), ('user_id', 2, 'int64'), ('event_type', 3, 'varchar'), ('value', 4, 'float64'), ('props', 5, 'varchar'), ('tags', 6, 'list'), ('pair', 7, 'json')) v("column", position, dtype)""")
+def type_normalization(t):
+    return staging.normalized_schema(t.events.withColumn("tags", F.array("event_type")).withColumn("pair", F.struct("event_id", "value")))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def guarded_sql(t):
+    t.nation.createOrReplaceTempView("tablewise_nation")
+    return staging.guarded_sql(t.spark, "SELECT n_nationkey, n_name FROM tablewise_nation WHERE n_regionkey = 1")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 50 = 0 ORDER BY event_id LIMIT 20")
+def null_drilldown(t):
+    return staging.null_rows(with_null_values(t.events).orderBy("event_id"), "value").select("event_id", "user_id")
+
+
+@query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def equality_filters(t):
+    return staging.matching(t.orders, {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT count(*) AS pairs FROM events WHERE event_id % 50 <> 0 AND ts IS NOT NULL AND value IS NOT NULL")
+def filled_pairs(t):
+    return staging.filled_pairs(with_null_values(t.events), "ts", "value").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query("""SELECT * FROM (VALUES ('time', 'l_shipdate'), ('metric', 'l_discount'), ('metric', 'l_extendedprice'), ('metric', 'l_linenumber'), ('metric', 'l_orderkey'), ('metric', 'l_partkey'), ('metric', 'l_quantity'), ('metric', 'l_suppkey'), ('metric', 'l_tax')) v(kind, "column")""")
+def column_picks(t):
+    rows = [("time", c) for c in staging.time_columns(t.lineitem)] + [("metric", c) for c in staging.metric_columns(t.lineitem)]
+    return t.spark.createDataFrame(rows, "kind string, column string")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day FROM orders GROUP BY o_orderpriority")
+def csv_folder(t):
+    folder = scratch(t.spark)
+    t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice", F.to_date("o_orderdate").alias("o_orderdate")).write.option("header", True).csv(f"{folder}/orders.csv")
+    read = files.load_folder(t.spark, folder, "csv", "tablewise_csv_")["orders"]
+    return read.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderdate").cast("date").cast("string").alias("first_day"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_mktsegment")
+def ndjson_folder(t):
+    folder = scratch(t.spark)
+    t.customer.write.json(f"{folder}/customer.json")
+    read = files.load_folder(t.spark, folder, "ndjson", "tablewise_json_")["customer"]
+    return read.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("SELECT p_brand, count(*) AS n, max(CAST(p_size AS VARCHAR)) AS size_text FROM part GROUP BY p_brand")
+def csv_as_text(t):
+    path = f"{scratch(t.spark)}/part.csv"
+    t.part.write.option("header", True).csv(path)
+    return files.read_csv_as_text(t.spark, path).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.max("p_size").alias("size_text"))
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT 1000")
+def uniform_sample(t):
+    return files.sample_exact(t.events, 1000, "event_id").select("event_id", "user_id")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_returnflag")
+def materialized_model(t):
+    sinks.ensure_database(t.spark, "tablewise_marts")
+    model = t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    name = f"tablewise_marts.flags_{abs(hash(t.folder))}"
+    outcome = sinks.materialize(model, name)
+    if not outcome.success or not sinks.table_exists(t.spark, name):
+        raise RuntimeError(outcome.error)
+    return t.spark.table(name)
+
+
+@query("\nUNION ALL\n".join(f"SELECT '{n}' AS \"table\", (SELECT count(*) FROM {n}) AS row_count, (SELECT count(*) FROM (DESCRIBE {n})) AS columns" for n in TPCH))
+def lake_catalog(t):
+    return sinks.catalog(t.many(*TPCH)).groupBy("table").agg(F.max("row_count").alias("row_count"), F.count(F.lit(1)).alias("columns"))
+
+
+@query("SELECT 'o_custkey' AS \"column\", count(*) AS row_count, count(*) - count(o_custkey) AS null_count, count(DISTINCT o_custkey) AS distinct_count, CAST(min(o_custkey) AS VARCHAR) AS min_value, CAST(max(o_custkey) AS VARCHAR) AS max_value FROM orders UNION ALL SELECT 'o_orderstatus', count(*), count(*) - count(o_orderstatus), count(DISTINCT o_orderstatus), min(o_orderstatus), max(o_orderstatus) FROM orders")
+def pushed_down_profile(t):
+    names = ["o_custkey", "o_orderstatus"]
+    t.orders.createOrReplaceTempView("tablewise_orders")
+    sql = jdbc.profile_query("tablewise_orders", names).replace('"', "`").replace("VARCHAR(4000)", "STRING")
+    return jdbc.unfold(t.spark.sql(sql), names)
+
+
+# Marts and metric queries -------------------------------------------------------------------------
+
+
+@query("SELECT period, round(avg_o_totalprice, 4) AS avg_o_totalprice, row_count, lag(row_count) OVER (ORDER BY period) AS prev_row_count FROM (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, avg(o_totalprice) AS avg_o_totalprice, count(*) AS row_count FROM orders GROUP BY 1)")
+def mart_period(t):
+    return marts.period_comparison(t.orders, "o_orderdate", ["o_totalprice"]).withColumn("avg_o_totalprice", F.round("avg_o_totalprice", 4))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, round(avg(o_totalprice), 4) AS avg_o_totalprice, round(sum(o_totalprice), 4) AS sum_o_totalprice, count(*) AS row_count FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def mart_entity(t):
+    got = marts.entity_summary(t.orders, t.customer, "o_custkey", "c_custkey", ["o_totalprice"])
+    return got.withColumns({c: F.round(c, 4) for c in ("avg_o_totalprice", "sum_o_totalprice")})
+
+
+@query("SELECT " + ", ".join(f"round(avg({c}), 6) AS avg_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}" for c in LINE_NUMBERS[4:]) + ", count(*) AS row_count FROM lineitem")
+def mart_summary(t):
+    got = marts.whole_summary(t.lineitem, LINE_NUMBERS[4:])
+    return got.withColumns({f"avg_{c}": F.round(f"avg_{c}", 6) for c in LINE_NUMBERS[4:]})
+
+
+@query()
+def mart_archetypes(t):
+    tables = t.many(*SMALLER)
+    return marts.archetypes(_typed(t, SMALLER), relate.detect(tables, KEYS, prefixed=True))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS revenue, count(*) AS orders FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL")
+def metric_by_dim(t):
+    got = metrics.metric_by(t.orders.where("o_orderstatus <> 'P'"), [Metric("revenue", "o_totalprice", "sum"), Metric("orders")], ["o_orderstatus", "o_orderpriority"])
+    return got.withColumn("revenue", F.round("revenue", 2))
+
+
+@query("SELECT event_type, count(value) AS n_count, round(sum(value), 4) AS n_sum, round(avg(value), 6) AS n_avg, min(value) AS n_min, max(value) AS n_max, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")
+def metric_aggregates(t):
+    kinds = [Metric(f"n_{k}", "value", k) for k in ("count", "sum", "avg", "min", "max")] + [Metric("n_users", "user_id", "count_distinct")]
+    return metrics.metric_by(t.events, kinds, ["event_type"]).withColumns({"n_sum": F.round("n_sum", 4), "n_avg": F.round("n_avg", 6)})
+
+
+@query("SELECT l_shipdate_year, round(count(returned) * 1.0 / count(*), 6) AS return_share FROM (SELECT year(l_shipdate) AS l_shipdate_year, CASE WHEN l_returnflag = 'R' THEN 1 END AS returned FROM lineitem) GROUP BY 1")
+def ratio_metric(t):
+    rows = t.lineitem.select(F.year("l_shipdate").cast("bigint").alias("l_shipdate_year"), F.when(F.col("l_returnflag") == "R", 1).alias("returned"))
+    got = metrics.metric_by(rows, [metrics.ratio("return_share", "count(returned)", "count(*)")], ["l_shipdate_year"])
+    return got.withColumn("return_share", F.round("return_share", 6))
+
+
+@query("SELECT event_type, round(avg(value), 2) AS avg_value, count(*) AS row_count FROM events GROUP BY event_type")
+def breakdown(t):
+    return metrics.breakdown(t.events, "event_type", "value")
+
+
+@query("SELECT user_id, round(avg(value), 2) AS avg_value, count(*) AS row_count FROM events GROUP BY user_id ORDER BY avg_value DESC, user_id LIMIT 15")
+def top_n(t):
+    return metrics.top_n(t.events, "user_id", "value")
+
+
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, o_orderpriority, round(avg(o_totalprice), 4) AS avg_o_totalprice, count(*) AS row_count FROM orders GROUP BY ALL")
+def trend(t):
+    return metrics.trend(t.orders, "o_orderdate", "o_totalprice", "o_orderpriority").withColumn("avg_o_totalprice", F.round("avg_o_totalprice", 4))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS period, round(avg(value), 6) AS avg_value, count(*) AS row_count FROM events GROUP BY 1 ORDER BY 1 LIMIT 100")
+def daily_trend(t):
+    return metrics.time_series(t.events, F.to_date("ts"), "value").select(F.col("period").cast("string").alias("period"), F.round("avg_value", 6).alias("avg_value"), "row_count")
+
+
+@query("SELECT event_type, count(*) AS row_count FROM events GROUP BY event_type")
+def count_by(t):
+    return metrics.count_by(t.events, "event_type")
+
+
+@query("SELECT min(l_extendedprice) AS min_value, max(l_extendedprice) AS max_value, round(avg(l_extendedprice), 2) AS avg_value, count(l_extendedprice) AS value_count FROM lineitem")
+def distribution(t):
+    return metrics.distribution(t.lineitem, "l_extendedprice")
+
+
+@query("SELECT l_suppkey, count(*) AS row_count, round(avg(l_quantity), 2) AS avg_value, max(l_quantity) AS max_value FROM lineitem GROUP BY l_suppkey ORDER BY max_value DESC, l_suppkey LIMIT 20")
+def extremes(t):
+    return metrics.extremes(t.lineitem, "l_suppkey", "l_quantity")
+
+
+@query("SELECT c_custkey, c_name, count(*) AS children, round(avg(o_totalprice), 4) AS avg_value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_name ORDER BY children DESC, c_custkey LIMIT 20")
+def children_per_parent(t):
+    return metrics.children_per_parent(t.orders, t.customer, "o_custkey", "c_custkey", "o_totalprice", ["c_name"]).withColumn("avg_value", F.round("avg_value", 4))
+
+
+@query("SELECT c_mktsegment, count(*) AS row_count, round(avg(o_totalprice), 4) AS avg_value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment ORDER BY row_count DESC, c_mktsegment LIMIT 20")
+def join_breakdown(t):
+    return metrics.join_breakdown(t.orders, t.customer, "o_custkey", "c_custkey", "c_mktsegment", "o_totalprice").withColumn("avg_value", F.round("avg_value", 4))
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1 ORDER BY n DESC, l_orderkey LIMIT 20")
+def duplicates(t):
+    return metrics.duplicates(t.lineitem, "l_orderkey")
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
+def value_freq(t):
+    return metrics.value_frequencies(t.part, "p_brand")
+
+
+# Quality ------------------------------------------------------------------------------------------
+
+_EVENT_RULES = [
+    Rule("value_filled", "not_null", "value"), Rule("user_filled", "not_null", "user_id"), Rule("id_unique", "unique", "event_id"), Rule("value_unique", "unique", "value"),
+    Rule("value_range", "range", "value", "value BETWEEN 0 AND 50", severity="warning"), Rule("types", "cardinality", "event_type", "event_type IN ('click', 'view')"),
+    Rule("enough", "row_count", low=100), Rule("custom", "custom", expression="user_id > 0"), Rule("off", "not_null", "value", status="proposed"),
+]
+_EVENTS = "(SELECT event_id, user_id, event_type, CASE WHEN event_id % 50 = 0 THEN NULL ELSE value END AS value FROM events)"
+_CHECKS = f"""WITH e AS (SELECT * FROM {_EVENTS}), r AS (
+SELECT 'value_filled' AS rule, 'not_null' AS kind, 'value' AS "column", 'error' AS severity, count(*) - count(value) AS observed FROM e UNION ALL
+SELECT 'user_filled', 'not_null', 'user_id', 'error', count(*) - count(user_id) FROM e UNION ALL
+SELECT 'id_unique', 'unique', 'event_id', 'error', count(*) - count(DISTINCT event_id) FROM e UNION ALL
+SELECT 'value_unique', 'unique', 'value', 'error', count(*) - count(DISTINCT value) FROM e UNION ALL
+SELECT 'value_range', 'range', 'value', 'warning', count(*) FILTER (NOT (value BETWEEN 0 AND 50)) FROM e UNION ALL
+SELECT 'types', 'cardinality', 'event_type', 'error', count(*) FILTER (event_type NOT IN ('click', 'view')) FROM e UNION ALL
+SELECT 'custom', 'custom', NULL, 'error', count(*) FILTER (NOT (user_id > 0)) FROM e)
+SELECT *, observed = 0 AS passed FROM r UNION ALL SELECT 'enough', 'row_count', NULL, 'error', count(*), count(*) >= 100 FROM e"""
+
+
+@query(_CHECKS)
+def contracts_checked(t):
+    return quality.check(with_null_values(t.events), _EVENT_RULES).drop("error")
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, CAST(0 AS BIGINT) AS skipped, round(count(*) FILTER (passed) * 100.0 / count(*), 1) AS pass_rate FROM ({_CHECKS})")
+def quality_report(t):
+    return quality.report(quality.check(with_null_values(t.events), _EVENT_RULES))
+
+
+@query(f"""SELECT 'orders' AS "table", 'o_fk' AS rule, 'custom' AS kind, false AS passed UNION ALL SELECT 'orders', 'rows', 'row_count', (SELECT count(*) FROM orders) BETWEEN 1 AND 10 UNION ALL SELECT 'missing', 'any', 'not_null', false""")
+def contracts_isolated(t):
+    rules = {"orders": [Rule("o_fk", "custom", expression="no_such_column > 0"), Rule("rows", "row_count", low=1, high=10)], "missing": [Rule("any", "not_null", "x")]}
+    return quality.check_tables({"orders": t.orders}, rules).select("table", "rule", "kind", "passed")
+
+
+@query("SELECT 'orders_customer' AS rule, count(*) AS observed, count(DISTINCT o_custkey) AS orphan_values, count(*) = 0 AS passed FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+def referential_check(t):
+    return quality.check_reference(t.orders, fewer_customers(t)["customer"], quality.Reference("orders_customer", "o_custkey", "customer", "c_custkey"))
+
+
+_GEN = """WITH p AS ({profile}), r AS (
+SELECT "column", 'not_null' AS rule_type, '`' || "column" || '` IS NOT NULL' AS expression, 0.95 AS confidence FROM p WHERE null_count = 0 AND distinct_count > 0 UNION ALL
+SELECT "column", 'unique', '`' || "column" || '`', 0.9 FROM p WHERE uniqueness_ratio = 1 AND distinct_count > 1 UNION ALL
+SELECT "column", 'range', '`' || "column" || '` BETWEEN ' || CAST(CAST(round(CASE WHEN lo >= 0 THEN greatest(0.0, lo - abs(hi - lo) * 0.5) ELSE lo * 1.5 END, 2) AS DECIMAL(38, 2)) AS VARCHAR) || ' AND ' || CAST(CAST(round(hi + abs(hi - lo) * 0.5, 2) AS DECIMAL(38, 2)) AS VARCHAR), 0.8 FROM p WHERE lo IS NOT NULL UNION ALL
+SELECT "column", 'cardinality', '`' || "column" || '` IN (' || vals || ')', 0.75 FROM p WHERE vals IS NOT NULL AND distinct_count <= 30)
+SELECT "column", rule_type, expression, CAST(confidence AS DOUBLE) AS confidence FROM r"""
+
+
+def _gen_profile() -> str:
+    numbers, texts = ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]
+    head = lambda c: UNIVERSAL.format(c=c, t="orders")[7:].replace(" FROM orders", "")
+    parts = [f"SELECT {head(c)}, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, NULL AS vals FROM orders" for c in numbers]
+    parts += [f"SELECT {head(c)}, NULL, NULL, (SELECT string_agg('''' || v || '''', ', ' ORDER BY n DESC, v) FROM (SELECT {c} AS v, count(*) AS n FROM orders GROUP BY 1)) FROM orders" for c in texts]
+    parts.append(f"SELECT {head('o_orderdate')}, NULL, NULL, NULL FROM orders")
+    return " UNION ALL ".join(parts)
+
+
+@query(_GEN.format(profile=_gen_profile()))
+def contracts_generated(t):
+    found = profile.profile(t.orders, "orders")
+    tops = profile.top_values(profile.frequencies(t.orders, ["o_orderstatus", "o_orderpriority"]))
+    return quality.generate(found, tops).select("column", "rule_type", "expression", "confidence")
+
+
+# Insights -----------------------------------------------------------------------------------------
+
+
+@query("SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, count(*) AS n, round(corr(l_quantity, l_extendedprice), 8) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', count(*), round(corr(l_quantity, l_discount), 8) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', count(*), round(corr(l_extendedprice, l_discount), 8) FROM lineitem")
+def correlations(t):
+    return insights.correlations(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"]).select("a", "b", "n", F.round("r", 8).alias("r"))
+
+
+@query()
+def correlations_strong(t):
+    chars = t.documents.select("n_chars", F.length("text").alias("text_length"))
+    return insights.strong_correlations(insights.correlations(chars, ["n_chars", "text_length"]).unionByName(insights.correlations(t.part, ["p_partkey", "p_size", "p_retailprice"])))
+
+
+_ROLLING = """WITH s AS (SELECT date_trunc('hour', ts) AS t, avg(value) AS value FROM events GROUP BY 1), n AS (SELECT count(*) AS n, greatest(5, CAST(floor(count(*) / 3) AS INTEGER)) AS w FROM s),
+x AS (SELECT t, value, row_number() OVER (ORDER BY t) AS i FROM s),
+y AS (SELECT a.t, a.i, any_value(a.value) AS value, avg(b.value) AS m, stddev_samp(b.value) AS d, any_value(n.w) AS w, any_value(n.n) AS n FROM x a, n JOIN x b ON b.i BETWEEN a.i - n.w + 1 AND a.i GROUP BY a.t, a.i),
+z AS (SELECT *, (value - m) / nullif(d, 0) AS z FROM y WHERE i > w AND n >= 7),
+f AS (SELECT * FROM z WHERE abs(z) >= 2)"""
+
+
+def _hourly(t):
+    return insights.series(t.events, F.date_trunc("hour", "ts").cast("timestamp_ntz"), ["value"])
+
+
+@query(_ROLLING + " SELECT 'value' AS metric, CAST(t AS TIMESTAMP) AS t, round(value, 6) AS value, round(z, 5) AS z, round((value - m) * 100 / abs(nullif(m, 0)), 4) AS magnitude, CASE WHEN abs(z) >= 3 THEN 'critical' WHEN abs(z) >= 2.5 THEN 'warning' ELSE 'info' END AS severity FROM f")
+def anomalies(t):
+    return insights.anomalies(_hourly(t)).select("metric", "t", F.round("value", 6).alias("value"), F.round("z", 5).alias("z"), F.round("magnitude", 4).alias("magnitude"), "severity")
+
+
+@query(_ROLLING + ", g AS (SELECT *, CAST(sign(z) AS INTEGER) AS sg, i - row_number() OVER (PARTITION BY sign(z) ORDER BY i) AS isl FROM f) SELECT 'value' AS metric, sg AS sign, CAST(min(t) AS TIMESTAMP) AS first_t, CAST(max(t) AS TIMESTAMP) AS last_t, count(*) AS periods, round(arg_max(z, i), 5) AS z FROM g GROUP BY sg, isl")
+def anomaly_streaks(t):
+    return insights.streaks(insights.anomalies(_hourly(t))).select("metric", "sign", "first_t", "last_t", "periods", F.round("z", 5).alias("z"))
+
+
+@query("""WITH x AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_orderdate, o_orderkey, o_totalprice) AS i, count(*) OVER () AS n FROM orders),
+h AS (SELECT count(*) FILTER (i <= n // 2) AS n1, count(*) FILTER (i > n // 2) AS n2, avg(v) FILTER (i <= n // 2) AS m1, avg(v) FILTER (i > n // 2) AS m2, var_samp(v) FILTER (i <= n // 2) AS v1, var_samp(v) FILTER (i > n // 2) AS v2 FROM x)
+SELECT 'o_totalprice' AS metric, n1 AS n_early, n2 AS n_late, round(m1, 4) AS mean_early, round(m2, 4) AS mean_late, round((m2 - m1) / sqrt(v1 / n1 + v2 / n2), 5) AS t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 2) AS df FROM h""")
+def period_shift_stats(t):
+    got = insights.shift_statistics(insights.halves(t.orders, "o_orderdate", ["o_totalprice"], "o_orderkey"))
+    return got.select("metric", "n_early", "n_late", F.round("mean_early", 4).alias("mean_early"), F.round("mean_late", 4).alias("mean_late"), F.round("t", 5).alias("t"), F.round("df", 2).alias("df"))
+
+
+@query()
+def insights_all(t):
+    return insights.detect({"events": t.events.drop("event_id"), "documents": t.documents.select("n_chars", F.length("text").alias("text_length"))}, {"events": "user_id"})
+
+
+# Drift --------------------------------------------------------------------------------------------
+
+
+def _versions(t) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots: customer loses a column, gets one and changes another; supplier goes, part comes."""
+    old = drift.snapshot(t.many("customer", "supplier", "nation"), 1)
+    changed = t.customer.drop("c_name").withColumn("c_acctbal", F.col("c_acctbal").cast("string")).withColumn("c_since", F.lit("2024-01-01").cast("date"))
+    return old, drift.snapshot({"customer": changed, "nation": t.nation, "part": t.part}, 2)
+
+
+@query("SELECT * FROM (VALUES ('customer', 'c_acctbal', 'type_changed', 'float64', 'varchar'), ('customer', 'c_name', 'removed', 'varchar', NULL), ('customer', 'c_since', 'added', NULL, 'date'), ('customer', 'c_since', 'x', NULL, NULL)) v(\"table\", \"column\", change, before, after) WHERE change <> 'x'")
+def schema_diff(t):
+    both = [x.where("table <> 'x'") for x in _versions(t)]
+    return drift.column_changes(*both).where("change <> 'nullability_changed'")
+
+
+@query("SELECT * FROM (VALUES ('part', 'added'), ('supplier', 'removed')) v(\"table\", change)")
+def table_changes(t):
+    return drift.table_changes(*_versions(t))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS added, CAST(1 AS BIGINT) AS removed, CAST(1 AS BIGINT) AS updated, CAST(1 AS BIGINT) AS unchanged")
+def rerun_summary(t):
+    return drift.rerun_summary(*_versions(t))
+
+
+@query("SELECT \"table\", count(*) AS columns FROM (VALUES ('customer'), ('customer'), ('customer'), ('customer'), ('customer'), ('supplier'), ('supplier'), ('supplier'), ('supplier'), ('nation'), ('nation'), ('nation')) v(\"table\") GROUP BY 1")
+def latest_snapshot(t):
+    old, new = _versions(t)
+    return drift.latest_before(old.unionByName(new), 2).groupBy("table").agg(F.count(F.lit(1)).alias("columns"))
+
+
+_OLD_CUSTOMERS = "(SELECT c_custkey, c_name, c_acctbal, c_custkey % 5 = 0 AS locked, CASE WHEN c_custkey % 7 = 0 THEN 1 END AS removed FROM customer)"
+_NEW_CUSTOMERS = "(SELECT c_custkey + 50 AS c_custkey, 'new ' || c_name AS c_name, c_acctbal + 1 AS c_acctbal FROM customer)"
+
+
+def _customers(t) -> tuple[DataFrame, DataFrame]:
+    """All customers with locks and removal marks, and all of them again under keys further on."""
+    old = t.customer.selectExpr("c_custkey", "c_name", "c_acctbal", "c_custkey % 5 = 0 AS locked", "CASE WHEN c_custkey % 7 = 0 THEN 1L END AS removed")
+    new = t.customer.selectExpr("c_custkey + 50 AS c_custkey", "concat('new ', c_name) AS c_name", "c_acctbal + 1 AS c_acctbal")
+    return old, new
+
+
+@query(f"""SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NULL OR coalesce(o.locked, false) THEN o.c_name ELSE n.c_name END AS c_name, round(CASE WHEN n.c_custkey IS NULL THEN o.c_acctbal ELSE n.c_acctbal END, 4) AS c_acctbal,
+coalesce(o.locked, false) AS locked, CAST(CASE WHEN n.c_custkey IS NULL THEN o.removed END AS BIGINT) AS removed FROM {_OLD_CUSTOMERS} o FULL JOIN {_NEW_CUSTOMERS} n ON o.c_custkey = n.c_custkey""")
+def locked_upsert(t):
+    return drift.locked_upsert(*_customers(t), ["c_custkey"], ["c_name"], removed="removed").withColumn("c_acctbal", F.round("c_acctbal", 4))
+
+
+@query(f"SELECT c_custkey, CAST(CASE WHEN removed IS NOT NULL THEN removed WHEN c_custkey NOT IN (SELECT c_custkey FROM {_NEW_CUSTOMERS}) THEN 9 END AS BIGINT) AS removed FROM {_OLD_CUSTOMERS}")
+def soft_delete(t):
+    old, new = _customers(t)
+    return drift.soft_delete(old, new, "c_custkey", 9, "removed").select("c_custkey", "removed")
+
+
+@query(f"SELECT count(*) AS n FROM {_OLD_CUSTOMERS} WHERE removed IS NULL")
+def active_rows(t):
+    return drift.active(_customers(t)[0], "removed").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Graphs -------------------------------------------------------------------------------------------
+
+
+def user_types(t) -> DataFrame:
+    """Users as sources, event types as targets: an edge table that grows with the events."""
+    return t.events.select(F.col("user_id").cast("string").alias("src"), F.col("event_type").alias("dst"))
+
+
+@query("SELECT dst, count(*) AS degree FROM (SELECT DISTINCT user_id AS src, event_type AS dst FROM events) GROUP BY dst HAVING count(*) >= 2")
+def hubs(t):
+    return graph.hubs(user_types(t)).select("dst", "degree")
+
+
+def table_edges(t) -> DataFrame:
+    return relate.detect(fewer_customers(t), KEYS, prefixed=True, least=0.0).select(F.col("from_table").alias("src"), F.col("to_table").alias("dst"), "ref_integrity")
+
+
+_EDGE_SQL = f"SELECT from_table AS src, to_table AS dst, n_matched / n_distinct AS ref_integrity FROM ({_fk_sql(**_FEWER)})"
+
+
+@query(f"SELECT dst, count(*) AS degree FROM ({_EDGE_SQL}) GROUP BY dst HAVING count(DISTINCT src) >= 3")
+def star_hubs(t):
+    return graph.star_hubs(table_edges(t)).select("dst", "degree")
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGE_SQL}), p AS (SELECT [src, dst] AS path, 1 AS hops FROM e UNION ALL SELECT list_append(path, e.dst), hops + 1 FROM p JOIN e ON path[-1] = e.src WHERE hops < 4 AND NOT list_contains(path, e.dst))
+SELECT DISTINCT array_to_string(path, '>') AS path, hops FROM p WHERE hops >= 2""")
+def chains(t):
+    return graph.chains(table_edges(t)).select(F.array_join("path", ">").alias("path"), "hops")
+
+
+@query(f"SELECT src, dst, round(ref_integrity, 6) AS ref_integrity FROM ({_EDGE_SQL}) WHERE ref_integrity < 0.9")
+def weak_edges(t):
+    return graph.weak_edges(table_edges(t), 0.9).select("src", "dst", F.round("ref_integrity", 6).alias("ref_integrity"))
+
+
+@query("SELECT 'lineitem>orders>customer>nation' AS path, 3 AS hops WHERE false UNION ALL SELECT 'lineitem>supplier>nation', 2")
+def shortest_path(t):
+    return graph.shortest_path(table_edges(t), "lineitem", "nation").select(F.array_join("path", ">").alias("path"), "hops")
+
+
+@query("""WITH c AS (SELECT o_custkey, 'c' || o_custkey AS node, least('c' || o_custkey, min('o' || o_orderkey)) AS component FROM orders GROUP BY o_custkey)
+SELECT node, component FROM c UNION ALL SELECT DISTINCT 'o' || o_orderkey, component FROM orders JOIN c USING (o_custkey)""")
+def components(t):
+    edges = t.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
+    return graph.components(edges)
+
+
+@query()
+def cluster_labels(t):
+    edges = relate.detect(t.many(*TPCH), KEYS, prefixed=True).select(F.col("from_table").alias("src"), F.col("to_table").alias("dst"))
+    sizes = sinks.catalog(t.many(*TPCH)).select(F.col("table").alias("node"), F.col("row_count").alias("size")).distinct()
+    return graph.cluster_labels(graph.components(edges), sizes)
+
+
+@query("""WITH x AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem) SELECT a.k AS a, b.k AS b, CAST(count(*) AS INTEGER) AS shared FROM x a JOIN x b ON a.p = b.p AND a.k < b.k GROUP BY ALL HAVING count(*) >= 3""")
+def kin_pairs(t):
+    baskets = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    return graph.kin(baskets, "l_orderkey", "parts")
+
+
+# Health -------------------------------------------------------------------------------------------
+
+
+def _with_gaps(t) -> DataFrame:
+    tables = t.many(*SMALLER) | {"events": with_null_values(t.events).drop("props", "ts")}
+    return reduce(DataFrame.unionByName, [profile.universal(profile.frequencies(df)).withColumn("table", F.lit(n)) for n, df in tables.items()])
+
+
+_GAPS = f"WITH p AS ({ALL_UNIVERSAL} UNION ALL " + union_sql(lambda c: f"SELECT 'events' AS \"table\", * FROM ({UNIVERSAL.format(c=c, t=_EVENTS)})", ["event_id", "user_id", "event_type", "value"]) + ")"
+
+
+@query(_GAPS + " SELECT count(DISTINCT \"table\") AS tables, CAST(sum(c) AS BIGINT) AS columns, CAST(sum(r) AS BIGINT) AS rows, CAST(sum(s) AS BIGINT) AS cells, round(least(100.0, (sum(s) - sum(n)) * 100.0 / sum(s)), 1) AS completeness FROM (SELECT \"table\", count(*) AS c, max(row_count) AS r, sum(row_count) AS s, sum(null_count) AS n FROM p GROUP BY 1)")
+def overview(t):
+    return health.overview(_with_gaps(t))
+
+
+@query(_GAPS + " SELECT \"table\", count(*) AS columns, max(row_count) AS rows, round(avg(null_rate), 4) AS mean_null_rate, round(least(100.0, (sum(row_count) - sum(null_count)) * 100.0 / sum(row_count)), 1) AS completeness, count(*) FILTER (null_count = 0 AND distinct_count = row_count) AS key_columns, \"table\" <> 'events' AND \"table\" <> 'part' AS has_relationships FROM p GROUP BY 1")
+def table_health(t):
+    edges = relate.detect(t.many(*SMALLER), KEYS, prefixed=True)
+    return health.table_health(_with_gaps(t), edges)
+
+
+@query(_GAPS.replace("event_id % 50 = 0", "event_id % 10 = 0") + " SELECT \"table\", \"column\", 'high_nulls' AS issue, CASE WHEN null_rate > 0.2 THEN 'error' ELSE 'warning' END AS severity FROM p WHERE null_rate > 0.05 UNION ALL SELECT \"table\", \"column\", 'constant_column', 'warning' FROM p WHERE distinct_count = 1 AND row_count > 1 UNION ALL SELECT \"table\", \"column\", 'repeated_id', 'info' FROM p WHERE regexp_matches(\"column\", '(^|_)id$|key$') AND uniqueness_ratio < 1 AND uniqueness_ratio > 0.95")
+def column_issues(t):
+    events = t.events.withColumn("value", F.when(F.col("event_id") % 10 != 0, F.col("value"))).drop("props", "ts")
+    tables = t.many(*SMALLER) | {"events": events}
+    return health.column_issues(reduce(DataFrame.unionByName, [profile.universal(profile.frequencies(df)).withColumn("table", F.lit(n)) for n, df in tables.items()]))
+
+
+@query(_GAPS + " SELECT \"table\", \"column\", null_rate FROM p WHERE null_rate > 0")
+def null_ranking(t):
+    return health.null_ranking(_with_gaps(t))
+
+
+@query(_GAPS + " SELECT \"table\", \"column\", distinct_count FROM p WHERE uniqueness_ratio = 1 AND distinct_count > 1")
+def unique_columns(t):
+    return health.unique_columns(_with_gaps(t))
+
+
+@query("SELECT * FROM (SELECT 'pages' AS \"table\", 'url' AS \"column\", 'url' AS detected_pattern) WHERE (SELECT count(*) FROM pages) > 0")
+def pattern_listing(t):
+    return health.pattern_listing(profile.profile_all(t.many("pages", "nation")))
+
+
+@query("SELECT CASE WHEN \"table\" IN ('orders', 'lineitem') THEN 'sales' ELSE 'master' END AS domain, count(*) AS tables, CAST(sum(n) AS BIGINT) AS rows FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS n FROM {n}" for n in TPCH) + ") GROUP BY 1")
+def domain_rollup(t):
+    counts = sinks.catalog(t.many(*TPCH)).select("table", "row_count").distinct()
+    return health.domain_rollup(counts.withColumn("domain", F.when(F.col("table").isin("orders", "lineitem"), F.lit("sales")).otherwise(F.lit("master"))))
+
+
+@query()
+def data_profile(t):
+    edges = relate.detect(t.many(*SMALLER), KEYS, prefixed=True)
+    return health.data_profile(_with_gaps(t), edges, quality.check(with_null_values(t.events), _EVENT_RULES))
+
+
+@query()
+def findings(t):
+    edges = relate.detect({k: v for k, v in fewer_customers(t).items() if k != "lineitem"}, KEYS, prefixed=True)
+    results = quality.check(with_null_values(t.events), _EVENT_RULES).withColumn("table", F.lit("events"))
+    return health.findings(_with_gaps(t), edges, results)
+
+
+@query(_GAPS + f" SELECT 'repeated_id' AS kind, \"table\", \"column\", round(uniqueness_ratio, 4) AS figure FROM p WHERE regexp_matches(\"column\", '(_id|key)$') AND uniqueness_ratio > 0 AND uniqueness_ratio < 1 UNION ALL SELECT 'weak_reference', from_table, from_column, round(n_matched / n_distinct, 4) FROM ({_fk_sql(**_FEWER)}) WHERE n_matched / n_distinct < 0.95 AND n_matched / n_distinct >= 0.5")
+def dedup_suggestions(t):
+    edges = relate.detect(fewer_customers(t), KEYS, prefixed=True)
+    return health.dedup_suggestions(_with_gaps(t), edges).withColumn("figure", F.round("figure", 4))
+
+
+def decisions(t) -> DataFrame:
+    """Events read as a decision log: types as actions, the value as an edit distance in JSON."""
+    action = F.element_at(F.array(*[F.lit(a) for a in ("accepted", "edited", "locked", "false_positive", "confirmed")]), (F.col("event_id") % 5 + 1).cast("int"))
+    payload = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("value").alias("edit_distance")))).otherwise(F.lit("{}"))
+    return t.events.select("event_id", action.alias("action"), payload.alias("payload"))
+
+
+_DECISIONS = "(SELECT event_id, value, ['accepted', 'edited', 'locked', 'false_positive', 'confirmed'][CAST(event_id % 5 AS INTEGER) + 1] AS action FROM events)"
+
+
+@query(f"SELECT count(*) FILTER (action = 'accepted') AS accepted, count(*) FILTER (action IN ('accepted', 'edited', 'locked')) AS decided, CASE WHEN count(*) FILTER (action IN ('accepted', 'edited', 'locked')) >= 5 THEN round(count(*) FILTER (action = 'accepted') / count(*) FILTER (action IN ('accepted', 'edited', 'locked')), 4) END AS rate FROM {_DECISIONS}")
+def acceptance_rate(t):
+    return health.acceptance_rate(decisions(t))
+
+
+@query("SELECT round(avg(value), 6) AS mean_distance, count(value) AS n FROM events WHERE event_id % 2 = 0")
+def edit_distance(t):
+    return health.mean_edit_distance(decisions(t)).withColumn("mean_distance", F.round("mean_distance", 6))
+
+
+@query(f"SELECT count(*) FILTER (action = 'false_positive') AS false_positives, count(*) FILTER (action IN ('false_positive', 'confirmed')) AS decided, round(1 - count(*) FILTER (action = 'false_positive') / count(*) FILTER (action IN ('false_positive', 'confirmed')), 4) AS precision FROM {_DECISIONS}")
+def contract_precision(t):
+    return health.contract_precision(decisions(t))
+
+
+@query(f"SELECT action AS status, count(*) AS n, round(least(100.0, count(*) * 100.0 / (SELECT count(*) FROM events)), 1) AS percent FROM {_DECISIONS} GROUP BY 1")
+def review_progress(t):
+    return health.review_progress(decisions(t).withColumnRenamed("action", "status"))
+
+
+# Text and vectors ---------------------------------------------------------------------------------
+
+
+@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS distance FROM q JOIN embeddings e ON q.vec_id <> e.vec_id)
+SELECT query_id, id, rank, round(distance, 6) AS distance, round(greatest(0.3, 1 - distance), 6) AS confidence FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM d) WHERE rank <= 5 AND distance <= 1.2""")
+def knn(t):
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = similarity.match_confidence(similarity.nearest(rows.where("id % 20 = 0"), rows, 5), 1.2)
+    return found.select("query_id", "id", "rank", F.round("distance", 6).alias("distance"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT label % 4 AS part, count(*) AS n FROM embeddings GROUP BY 1")
+def replaced_partitions(t):
+    path = scratch(t.spark)
+    rows = t.embeddings.withColumn("part", F.col("label") % 4)
+    similarity.replace_partition(rows, path, "part")
+    similarity.replace_partition(rows.where("part = 0"), path, "part")
+    return t.spark.read.parquet(path).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TERM_SQL = """WITH terms AS (SELECT DISTINCT lower(p_type) AS term FROM part), docs AS (SELECT n_nationkey AS doc_id, n_name AS title, n_name || ' ' || (SELECT string_agg(p_type, ' ' ORDER BY p_partkey) FROM part WHERE p_partkey % 25 = n_nationkey) AS text FROM nation)
+SELECT doc_id, term, CASE WHEN contains(lower(title), term) THEN 0.9 ELSE 0.7 END AS confidence FROM docs, terms WHERE contains(lower(title), term) OR (length(text) - length(replace(lower(text), term, ''))) // length(term) >= 2"""
+
+
+@query(_TERM_SQL)
+def doc_term_match(t):
+    lists = t.part.groupBy((F.col("p_partkey") % 25).alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))), lambda x: x["p_type"]), " ").alias("words"))
+    docs = t.nation.join(lists, F.col("n_nationkey") == F.col("n")).select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("title"), F.concat_ws(" ", "n_name", "words").alias("text"))
+    return similarity.match_terms(docs, t.part.select(F.col("p_type").alias("term")))
+
+
+@query("SELECT lower(p_name) AS synonym, count(DISTINCT p_brand) AS n_items FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+def synonym_collisions(t):
+    items = t.part.groupBy(F.col("p_brand").alias("item")).agg(F.collect_set("p_name").alias("synonyms"))
+    return similarity.synonym_collisions(items).select("synonym", "n_items")
