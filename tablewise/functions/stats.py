@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def incomplete_beta(a: np.ndarray, b: float, x: np.ndarray, steps: int = 300) -> np.ndarray:
@@ -42,13 +43,13 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(ok, incomplete_beta(n / 2, 0.5, x), np.nan)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     p = t_two_sided(t.to_numpy(float), df.to_numpy(float))
     return pd.Series(p).where(~np.isnan(p), None)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_p_value(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
 

@@ -137,7 +137,8 @@ def generate(profiled: DataFrame, tops: DataFrame) -> DataFrame:
 
     ``profiled`` has column, dtype, null_count, distinct_count, uniqueness_ratio and, for numbers,
     min_value and max_value; ``tops`` has the frequent values. Ranges get half their span as headroom;
-    a floor that is negative is widened to one and a half times itself, one that is not stays at 0 or above."""
+    a floor that is negative is widened to one and a half times itself, one that is not stays at 0 or above.
+    A column with nulls gets no uniqueness rule, since that rule counts nulls as repeats."""
     c, low, high = F.col("column"), F.col("min_value"), F.col("max_value")
     room = F.abs(high - low) * 0.5
     floor = F.when(low >= 0, F.greatest(F.lit(0.0), low - room)).otherwise(low * 1.5)
@@ -153,7 +154,7 @@ def generate(profiled: DataFrame, tops: DataFrame) -> DataFrame:
     cents = lambda x: F.round(x, 2).cast("decimal(38,2)").cast("string")
     made = F.array_compact(F.array(
         F.when((F.col("null_count") == 0) & (F.col("distinct_count") > 0), rule("not_null", F.concat(tick, F.lit(" IS NOT NULL")), "error", 0.95)),
-        F.when((F.col("uniqueness_ratio") == 1) & (F.col("distinct_count") > 1), rule("unique", tick, "error", 0.9)),
+        F.when((F.col("uniqueness_ratio") == 1) & (F.col("null_count") == 0) & (F.col("distinct_count") > 1), rule("unique", tick, "error", 0.9)),
         F.when(low.isNotNull() & high.isNotNull(), rule("range", F.concat(tick, F.lit(" BETWEEN "), cents(floor), F.lit(" AND "), cents(high + room)), "warning", 0.8)),
         F.when(F.col("listed").isNotNull() & (F.col("distinct_count") <= FEW_VALUES) & (F.col("dtype") == "varchar"), rule("cardinality", F.concat(tick, F.lit(" IN ("), F.col("listed"), F.lit(")")), "warning", 0.75)),
     ))

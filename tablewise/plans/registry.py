@@ -490,7 +490,7 @@ def referential_check(t):
 
 _GEN = """WITH p AS ({profile}), r AS (
 SELECT "column", 'not_null' AS rule_type, '`' || "column" || '` IS NOT NULL' AS expression, 0.95 AS confidence FROM p WHERE null_count = 0 AND distinct_count > 0 UNION ALL
-SELECT "column", 'unique', '`' || "column" || '`', 0.9 FROM p WHERE uniqueness_ratio = 1 AND distinct_count > 1 UNION ALL
+SELECT "column", 'unique', '`' || "column" || '`', 0.9 FROM p WHERE uniqueness_ratio = 1 AND null_count = 0 AND distinct_count > 1 UNION ALL
 SELECT "column", 'range', '`' || "column" || '` BETWEEN ' || CAST(CAST(round(CASE WHEN lo >= 0 THEN greatest(0.0, lo - abs(hi - lo) * 0.5) ELSE lo * 1.5 END, 2) AS DECIMAL(38, 2)) AS VARCHAR) || ' AND ' || CAST(CAST(round(hi + abs(hi - lo) * 0.5, 2) AS DECIMAL(38, 2)) AS VARCHAR), 0.8 FROM p WHERE lo IS NOT NULL UNION ALL
 SELECT "column", 'cardinality', '`' || "column" || '` IN (' || vals || ')', 0.75 FROM p WHERE vals IS NOT NULL AND distinct_count <= 30)
 SELECT "column", rule_type, expression, CAST(confidence AS DOUBLE) AS confidence FROM r"""
