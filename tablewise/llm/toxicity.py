@@ -33,37 +33,42 @@ GRAMS = (3, 4, 5, 6)
 #: Words of a window.
 WINDOW = 2
 ROWS_PER_CLASS, TRAIN_CHARS = 2_000, 20_000
-EPOCHS, RATE, SHRINK = 80, 0.1, 1e-5
+EPOCHS, RATE, SHRINK = 80, 0.1, 2e-3
 #: Margins remembered by a task, and the longest word that is.
 MEMO_WORDS, MEMO_CHARS = 1_000_000, 64
 
 
-def subword_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed rows of the words' character n-grams, and how many each word has (at least one)."""
-    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
-    rows, owners = [], []
+def subword_rows(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each n-gram size: hashed rows of the words' n-grams, word by word, and each one's word."""
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
+    found = []
     for n in GRAMS:
         if len(codes) < n:
             continue
         hashed = np.full(len(codes) - n + 1, n, np.uint64)
         for k in range(n):
-            hashed = (hashed ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            hashed ^= codes[k : len(codes) - n + 1 + k]
+            hashed *= np.uint64(0x9E3779B97F4A7C15)
             hashed ^= hashed >> np.uint64(29)
+        hashed >>= np.uint64(64 - BUCKETS.bit_length() + 1)
         whole = owner[: len(hashed)] == owner[n - 1 :]
-        rows.append((hashed[whole] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32))
-        owners.append(owner[: len(hashed)][whole])
-    if not rows:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    row, owner = np.concatenate(rows), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return row[order], np.bincount(owner, minlength=len(words))
+        found.append((hashed[whole].astype(np.int32), owner[: len(hashed)][whole]))
+    return found
+
+
+def word_means(grams: list[tuple[np.ndarray, np.ndarray]], row_values: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mean over each word's n-gram rows, and how many it has (at least one)."""
+    total, count = np.zeros(words), np.zeros(words)
+    for rows, owner in grams:
+        total += np.bincount(owner, row_values[rows], words)
+        count += np.bincount(owner, minlength=words)
+    return total / count, count
 
 
 def margins(words: list[str], row_margin: np.ndarray) -> np.ndarray:
     """The mean margin of each word's n-gram rows."""
-    rows, count = subword_rows(words)
-    return np.add.reduceat(row_margin[rows], np.cumsum(count) - count) / count if len(words) else np.zeros(0)
+    return word_means(subword_rows(words), row_margin, len(words))[0] if words else np.zeros(0)
 
 
 def window_means(values: np.ndarray) -> np.ndarray:
@@ -77,31 +82,30 @@ def window_means(values: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], truth: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """The margin of every embedding row under the trained softmax, and the bias."""
-    docs = [t.lower().split() or [" "] for t in texts]
     number: dict[str, int] = {}
-    token = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), np.int64)
-    rows, count = subword_rows(list(number))
-    first, owner = np.cumsum(count) - count, np.repeat(np.arange(len(number)), count)
+    by_doc = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split() or [" "]), np.int32) for t in texts]
+    token, sizes = np.concatenate(by_doc), np.array([len(d) for d in by_doc])
+    grams = subword_rows(list(number))
+    n_words, n_docs = len(number), len(by_doc)
+    del number, by_doc
     # Windows of one document: starts at each token but the last few; shorter documents have one.
-    sizes = np.array([len(d) for d in docs])
-    begin = np.cumsum(sizes) - sizes
     width = np.minimum(sizes, WINDOW)
     n_win = sizes - width + 1
-    win_doc = np.repeat(np.arange(len(docs)), n_win)
-    win_at = np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win) + begin[win_doc]
-    win_len = width[win_doc]
     win_first = np.cumsum(n_win) - n_win
+    win_doc = np.repeat(np.arange(n_docs, dtype=np.int32), n_win)
+    win_at = (np.arange(n_win.sum()) + np.repeat(np.cumsum(sizes) - sizes - win_first, n_win)).astype(np.int32)
+    win_len = width[win_doc].astype(np.int32)
 
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.array([-float(np.log(n_win.mean()))], np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
-    weight = np.where(truth == 1, 0.5 / max(1, (truth == 1).sum()), 0.5 / max(1, (truth == 0).sum())) * len(docs)
+    weight = np.where(truth == 1, 0.5 / max(1, (truth == 1).sum()), 0.5 / max(1, (truth == 0).sum())) * n_docs
     for epoch in range(1, EPOCHS + 1):
         u = soft[:, 1] - soft[:, 0]
         of_row = table @ u
-        of_word = np.add.reduceat(of_row[rows], first) / count
+        of_word, count = word_means(grams, of_row, n_words)
         total = np.concatenate([[0.0], np.cumsum(of_word[token], dtype=np.float64)])
         odds = (total[win_at + win_len] - total[win_at]) / win_len + bias[0]
         top = np.maximum.reduceat(odds, win_first)
@@ -113,8 +117,8 @@ def train(texts: list[str], truth: np.ndarray, seed: int = 7) -> tuple[np.ndarra
         change = np.zeros(len(token) + 1)
         change += np.bincount(win_at, by_window, len(change))
         change -= np.bincount(win_at + win_len, by_window, len(change))
-        by_word = np.bincount(token, np.cumsum(change[:-1]), len(number)) / count
-        by_row = np.bincount(rows, by_word[owner], BUCKETS).astype(np.float32)
+        by_word = (np.bincount(token, np.cumsum(change[:-1]), n_words) / count).astype(np.float32)
+        by_row = sum(np.bincount(rows, by_word[owner], BUCKETS) for rows, owner in grams).astype(np.float32)
         d_u = by_row @ table
         steps = (np.outer(by_row, u) + SHRINK * table, np.stack([-d_u, d_u], 1) + SHRINK * soft, np.array([slope.sum()], np.float32))
         for value, (m, v), g in zip((table, soft, bias), moments, steps):
@@ -158,10 +162,16 @@ def with_scores(documents: DataFrame, labels: DataFrame, text: str = "text", key
     ``labels`` joins by ``doc_id``. Neither labels nor anything but the text enters a score.
     """
     docs = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
-    sample = labelled_sample(docs, labels.where(~held_out(labels["doc_id"], 5, 0)), label, ROWS_PER_CLASS)
+    known = labels.where(~held_out(labels["doc_id"], 5, 0))
+    sample = labelled_sample(docs, known, label, ROWS_PER_CLASS)
     rows = sorted((r.doc_id, r.text or "", r.y) for r in sample.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).collect())
     truth = np.array([y for _, _, y in rows])
-    model = train([t for _, t, _ in rows], truth) if len(set(truth)) == 2 else None
+    model = None
+    if len(set(truth)) == 2:
+        row_margin, bias = train([t for _, t, _ in rows], truth)
+        # Training weighs both classes alike; all labels say how frequent they are.
+        share = known.agg(F.count_if(F.col(label) == 1).alias("ones"), F.count_if(F.col(label) == 0).alias("zeros")).first()
+        model = row_margin, bias + float(np.log(share.ones / share.zeros))
 
     def run(batches):
         scorer = Scorer(*model) if model else None
