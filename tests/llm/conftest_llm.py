@@ -1,0 +1,9 @@
+"""Brute-force versions, importable from tests."""
+
+import importlib.util
+import pathlib
+
+_spec = importlib.util.spec_from_file_location("_llm_fixtures", pathlib.Path(__file__).with_name("conftest.py"))
+_module = importlib.util.module_from_spec(_spec)
+_spec.loader.exec_module(_module)
+brute_components, brute_repeats = _module.brute_components, _module.brute_repeats
