@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.types import columns_of, normalized, numeric_columns, temporal_columns
+from tablewise.sources.paths import stored
 
 TOP_VALUES, TOP_DISTINCT, PATTERN_SHARE = 30, 100, 0.7
 #: Patterns in the order in which they are tried.
@@ -44,21 +45,53 @@ def universal(freq: DataFrame) -> DataFrame:
     return got.withColumn("null_rate", F.round(F.try_divide("null_count", "row_count"), 4)).withColumn("uniqueness_ratio", F.coalesce(F.round(F.try_divide("distinct_count", filled), 4), F.lit(0.0)))
 
 
-def numeric(freq: DataFrame) -> DataFrame:
+CUTS = (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))
+#: Distinct values of a column beyond which percentiles are found by rank.
+IN_TASK_VALUES = 1_000_000
+
+
+def percentiles_by_rank(values: DataFrame, cuts=CUTS, parts: int | None = None) -> DataFrame:
+    """(column, *cuts): exact linear percentiles of (column, v, n), whatever the number of values.
+
+    Values are range-partitioned and written with their partition; counts per partition, a small
+    table, say where each rank falls, and only those partitions are put in order."""
+    spark = values.sparkSession
+    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = stored(values.repartitionByRange(parts, "column", "v").withColumn("part", F.spark_partition_id()))
+    sums = placed.groupBy("column", "part").agg(F.sum("n").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("column").orderBy("part")) - F.col("size")
+    sums = sums.withColumns({"before": before, "total": F.sum("size").over(Window.partitionBy("column"))})
+    at = [(F.lit(name), F.lit(p) * (F.col("total") - 1)) for name, p in cuts]
+    ranks = F.explode(F.array(*[F.struct(n.alias("cut"), r.alias("h"), side.alias("rank")) for n, r in at for side in (F.floor(r), F.ceil(r))])).alias("r")
+    wanted = sums.select("column", "part", "before", "size", ranks).select("column", "part", "before", "size", "r.*").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size"))).distinct()
+    held = placed.join(F.broadcast(wanted.select("column", "part", "before").distinct()), ["column", "part"])
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("column", "part").orderBy("v"))
+    held = held.withColumn("upto", upto).select("column", "v", "upto", (F.col("upto") - F.col("n")).alias("since"))
+    hit = held.join(F.broadcast(wanted.select("column", "cut", "h", "rank")), "column").where((F.col("rank") >= F.col("since")) & (F.col("rank") < F.col("upto")))
+    value = F.min("v") + (F.max("h") - F.floor(F.max("h"))) * (F.max("v") - F.min("v"))
+    found = hit.groupBy("column", "cut").agg(value.alias("value"))
+    return found.groupBy("column").agg(*[F.max(F.when(F.col("cut") == n, F.col("value"))).alias(n) for n, _ in cuts])
+
+
+def numeric(freq: DataFrame, by_rank: bool = False) -> DataFrame:
     """Range, mean, spread and linear percentiles; values that are no numbers are left out.
 
-    ``percentile`` holds the distinct values of a column; ``numeric_approx`` does not."""
+    Percentiles come from ``percentile``, which holds a column's distinct values in one task, or, for
+    columns with too many of them, by rank."""
     value = F.col("value").try_cast("double")
     got = freq.select("column", value.alias("v"), "n").where(F.col("v").isNotNull() & ~F.isnan("v"))
     total = F.sum("n")
     mean = F.sum(F.col("v") * F.col("n")) / total
-    cuts = F.expr("percentile(v, array(0.25, 0.5, 0.75, 0.95), n)")
-    rows = got.groupBy("column").agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), mean.alias("mean"), cuts.alias("cuts"), total.alias("filled"))
+    cuts = [] if by_rank else [F.expr("percentile(v, array(0.25, 0.5, 0.75, 0.95), n)").alias("cuts")]
+    rows = got.groupBy("column").agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), mean.alias("mean"), *cuts, total.alias("filled"))
     # Spread around the mean, not as a difference of squares.
     around = got.join(F.broadcast(rows.select("column", "mean")), "column").groupBy("column").agg(F.sum(F.col("n") * F.pow(F.col("v") - F.col("mean"), F.lit(2))).alias("square"))
-    names = ("p25", "median", "p75", "p95")
     spread = F.when(F.col("filled") > 1, F.sqrt(F.col("square") / (F.col("filled") - 1))).otherwise(F.lit(0.0))
-    return rows.join(around, "column").select("column", "min_value", "max_value", "mean", spread.alias("stddev"), *[F.col("cuts")[i].alias(n) for i, n in enumerate(names)])
+    found = rows.join(around, "column")
+    plain = ["column", "min_value", "max_value", "mean", spread.alias("stddev")]
+    if by_rank:
+        return found.select(*plain).join(percentiles_by_rank(got), "column")
+    return found.select(*plain, *[F.col("cuts")[i].alias(n) for i, (n, _) in enumerate(CUTS)])
 
 
 def numeric_approx(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
@@ -118,7 +151,9 @@ def profile(df: DataFrame, table: str) -> DataFrame:
     tops = top_values(pick(texts)).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
     tops = tops.select("column", F.transform("t", lambda t: F.struct(t["value"].alias("value"), t["n"].alias("count"))).alias("top_values"))
     out = universal(freq)
-    parts = [numeric(pick(numeric_columns(schema))), lengths(pick(texts)), tops, patterns(pick(texts))]
+    numbers = pick(numeric_columns(schema))
+    many = numbers.groupBy("column").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > IN_TASK_VALUES).limit(1).count() > 0
+    parts = [numeric(numbers, by_rank=many), lengths(pick(texts)), tops, patterns(pick(texts))]
     if temporal_columns(schema):
         parts.append(temporal(df).drop("rows"))
     out = reduce(lambda a, b: a.join(F.broadcast(b), "column", "left"), parts, out)

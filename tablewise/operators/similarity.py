@@ -23,7 +23,16 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "id",
     condition = F.col("query_id") != F.col("id")
     for c in equal or []:
         condition = condition & (F.col(f"q_{c}") == F.col(f"b_{c}"))
-    pairs = b.join(F.broadcast(q) if small else q, condition)
+    if small:
+        pairs = b.join(F.broadcast(q), condition)
+    else:
+        # Blocks of queries meet shards of vectors: each pair of block and shard is one join key.
+        blocks, shards = -(-q.count() * width // BLOCK_CELLS), max(2, q.sparkSession.sparkContext.defaultParallelism)
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = q.withColumn("q_block", deal("query_id", blocks)).withColumn("q_shard", every(shards))
+        b = b.withColumn("b_shard", deal("id", shards)).withColumn("b_block", every(blocks))
+        pairs = b.join(q, (F.col("q_block") == F.col("b_block")) & (F.col("q_shard") == F.col("b_shard")) & condition)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return pairs.select("query_id", "id", gap.alias("distance")).withColumn("rank", place).where(F.col("rank") <= k)
 

@@ -71,6 +71,12 @@ def profile_numeric(t):
     return got.withColumns({c: F.round(c, 6) for c in ("mean", "stddev", "p95")})
 
 
+@query(union_sql(lambda c: f"""SELECT '{c}' AS "column", quantile_cont(CAST({c} AS DOUBLE), 0.25) AS p25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS p75, round(quantile_cont(CAST({c} AS DOUBLE), 0.95), 6) AS p95 FROM lineitem""", LINE_NUMBERS))
+def percentiles_by_rank(t):
+    got = profile.numeric(profile.frequencies(t.lineitem, LINE_NUMBERS), by_rank=True)
+    return got.select("column", "p25", "median", "p75", F.round("p95", 6).alias("p95"))
+
+
 TEXTS = [("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("customer", "c_name"), ("customer", "c_mktsegment"), ("pages", "url")]
 
 
@@ -275,6 +281,12 @@ def guarded_sql(t):
     return staging.guarded_sql(t.spark, "SELECT n_nationkey, n_name FROM tablewise_nation WHERE n_regionkey = 1")
 
 
+@query("SELECT o_orderkey, o_orderstatus, (SELECT count(*) FROM orders) AS total_rows FROM orders ORDER BY o_orderkey LIMIT 100")
+def table_preview(t):
+    rows, total = staging.preview(t.orders.select("o_orderkey", "o_orderstatus").orderBy("o_orderkey"))
+    return rows.withColumn("total_rows", F.lit(total).cast("bigint"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE event_id % 50 = 0 ORDER BY event_id LIMIT 20")
 def null_drilldown(t):
     return staging.null_rows(with_null_values(t.events).orderBy("event_id"), "value").select("event_id", "user_id")
@@ -681,6 +693,13 @@ def kin_pairs(t):
     return graph.kin(baskets, "l_orderkey", "parts")
 
 
+@query("""WITH x AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem), s AS (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.p = b.p AND a.k < b.k GROUP BY ALL HAVING count(*) >= 3)
+SELECT b AS item, min(a) AS leader FROM s WHERE a NOT IN (SELECT b FROM s) GROUP BY b""")
+def kin_groups(t):
+    baskets = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    return graph.kin_groups(baskets, "l_orderkey", "parts")
+
+
 # Health -------------------------------------------------------------------------------------------
 
 
@@ -731,13 +750,21 @@ def domain_rollup(t):
     return health.domain_rollup(counts.withColumn("domain", F.when(F.col("table").isin("orders", "lineitem"), F.lit("sales")).otherwise(F.lit("master"))))
 
 
-@query()
+_SMALL_FK = f"SELECT * FROM ({_fk_sql()}) WHERE from_table <> 'lineitem'"
+_SMALL_FEWER = f"SELECT *, n_matched / n_distinct AS share FROM ({_fk_sql(**_FEWER)}) WHERE from_table <> 'lineitem' AND n_matched / n_distinct >= 0.5"
+
+
+@query(_GAPS + f""", k AS (SELECT "table", bool_or(null_count = 0 AND distinct_count = row_count) AS has_key, count(*) FILTER (null_rate > 0.05) AS sparse, count(*) FILTER (distinct_count = 1) AS constant FROM p GROUP BY 1)
+SELECT round(count(*) FILTER (has_key) * 100.0 / count(*), 1) AS key_coverage, CAST(sum(sparse) AS BIGINT) AS high_null_columns, CAST(sum(constant) AS BIGINT) AS constant_columns, (SELECT round(avg(n_matched / n_distinct) * 100, 1) FROM ({_SMALL_FK})) AS mean_integrity, (SELECT round(count(*) FILTER (passed) * 100.0 / count(*), 1) FROM ({_CHECKS})) AS pass_rate FROM k""")
 def data_profile(t):
     edges = relate.detect(t.many(*SMALLER), KEYS, prefixed=True)
     return health.data_profile(_with_gaps(t), edges, quality.check(with_null_values(t.events), _EVENT_RULES))
 
 
-@query()
+@query(_GAPS + f""", h AS (SELECT "table", count(*) FILTER (null_count = 0 AND distinct_count = row_count) AS keys, round(avg(null_rate), 4) AS gaps FROM p GROUP BY 1), e AS ({_SMALL_FEWER})
+SELECT 1 AS priority, 'failed_contract' AS kind, 'events' AS "table", "column" FROM ({_CHECKS}) WHERE NOT passed UNION ALL SELECT 2, 'weak_reference', from_table, from_column FROM e WHERE share < 0.95
+UNION ALL SELECT 3, 'no_key', "table", NULL FROM h WHERE keys = 0 UNION ALL SELECT 4, 'high_nulls', "table", "column" FROM p WHERE null_rate > 0.05
+UNION ALL SELECT 5, 'isolated_table', "table", NULL FROM h WHERE "table" NOT IN (SELECT from_table FROM e UNION SELECT to_table FROM e) UNION ALL SELECT 6, 'complete_table', "table", NULL FROM h WHERE gaps = 0""")
 def findings(t):
     edges = relate.detect({k: v for k, v in fewer_customers(t).items() if k != "lineitem"}, KEYS, prefixed=True)
     results = quality.check(with_null_values(t.events), _EVENT_RULES).withColumn("table", F.lit("events"))

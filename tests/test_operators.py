@@ -235,3 +235,21 @@ def test_stream_checks(spark, tmp_path, items):
     stream = spark.readStream.schema(items.schema).parquet(str(tmp_path / "in"))
     check_stream(stream, [Rule("name", "not_null", "name")], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg({"observed": "sum"}).first()[0] == 1
+
+
+def test_percentiles_by_rank(spark):
+    rng = np.random.default_rng(0)
+    rows = [(c, float(v), int(n)) for c in "ab" for v, n in zip(rng.permutation(500), rng.integers(1, 9, 500))] + [("c", 7.0, 1)]
+    values = spark.createDataFrame(rows, "column string, v double, n bigint")
+    got = {r.column: r for r in profile.percentiles_by_rank(values, parts=7).collect()}
+    for c in "abc":
+        flat = np.repeat([v for k, v, _ in rows if k == c], [n for k, _, n in rows if k == c])
+        for name, p in profile.CUTS:
+            assert got[c][name] == pytest.approx(np.percentile(flat, 100 * p))
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "id int, v array<double>")
+    want = sorted(map(tuple, similarity.nearest(df, df, 3).collect()))
+    monkeypatch.setattr(similarity, "BLOCK_CELLS", 20)
+    assert sorted(map(tuple, similarity.nearest(df, df, 3).collect())) == want
