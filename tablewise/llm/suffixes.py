@@ -27,20 +27,23 @@ than all others; extra columns are kept as they are; an empty table gives an emp
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tablewise.llm.common import map_batches, stored
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text that a partition of any step stands for.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Documents (about) and heads that the splitters are sampled from.
 SAMPLE_DOCS, SAMPLE_HEADS = 2_000, 200_000
 HOT_CLASSES = 100_000
@@ -155,6 +158,24 @@ def home_of(doc: np.ndarray, homes: int) -> np.ndarray:
     return (doc ^ (doc >> 17)) % homes
 
 
+def returning(function):
+    """A group function that gives memory back after each group."""
+
+    def one(table):
+        try:
+            return function(table)
+        finally:
+            _give_back()
+
+    def two(left, right):
+        try:
+            return function(left, right)
+        finally:
+            _give_back()
+
+    return one if function.__code__.co_argcount == 1 else two
+
+
 def groups_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by the columns, first one first, and the starts of equal groups in it."""
     order = np.lexsort(columns[::-1])
@@ -212,7 +233,7 @@ def _sampled_splitters(docs: DataFrame, rows: int, parts: int) -> np.ndarray:
     def run(batches):
         for b in batches:
             found = []
-            for texts, _, _ in blocks([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]):
+            for texts, _, _ in blocks(b.column(1).cast(pa.binary()).to_pylist()):
                 r = Runs(texts, False)
                 pick = np.flatnonzero(r.head % np.uint64(8) == 0)
                 found.append(leading(r.data, r.anchor[pick])[: each * len(texts)])
@@ -229,16 +250,22 @@ def _name(doc: np.ndarray, head: np.ndarray, same: np.ndarray) -> np.ndarray:
     return _mix(_mix(doc.astype(np.uint64), head & _LOW), same & _LOW)
 
 
-def _parts(texts: list[bytes]) -> Iterator[slice]:
-    """Slices of about PART_BYTES each."""
-    at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= PART_BYTES:
-            yield slice(at, k + 1)
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+def _parts(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
+    """Slices of about PART_BYTES of a text column with their bytes, one after the other."""
+    total = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield slice(at, stop), column.slice(at, stop - at).cast(pa.binary()).to_pylist()
+        at = stop
+
+
+def _give_back() -> None:
+    """Return memory that is free inside this process to the system, for the next task's sake."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _heads(docs: DataFrame, splitters: np.ndarray, homes: int) -> DataFrame:
@@ -247,10 +274,10 @@ def _heads(docs: DataFrame, splitters: np.ndarray, homes: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            every, bodies = b.column(0).to_numpy(), [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            for own in _parts(bodies):
+            every = b.column(0).to_numpy()
+            for own, bodies in _parts(b.column(1)):
                 doc, heads, sames, docs_, slots = every[own], [], [], [], []
-                for part, owner, _ in blocks(bodies[own]):
+                for part, owner, _ in blocks(bodies):
                     r = Runs(part, True)
                     heads.append(r.head)
                     sames.append(r.content)
@@ -259,6 +286,7 @@ def _heads(docs: DataFrame, splitters: np.ndarray, homes: int) -> DataFrame:
                 if not heads:
                     continue
                 head, same, owners, slot = (np.concatenate(x) for x in (heads, sames, docs_, slots))
+                heads = sames = docs_ = slots = bodies = None
                 order, starts = groups_of(head ^ same * _A, owners)
                 content = (head ^ same * _A)[order]
                 new = np.ones(len(starts), bool)
@@ -272,6 +300,7 @@ def _heads(docs: DataFrame, splitters: np.ndarray, homes: int) -> DataFrame:
                     ids, count = np.unique(d, return_counts=True)
                     h, c = h[by_doc], c[by_doc]
                     yield pa.RecordBatch.from_pydict({"local": [False], "slot": [bucket], "docs": [_pack(ids, "<i8")], "count": [_pack(count, "<u4")], "head": [_pack(h, "<u4")], "head5": [_pack(h >> np.uint64(32), "<u1")], "same": [_pack(c, "<u4")], "same5": [_pack(c >> np.uint64(32), "<u1")], "names": [None]}, schema)
+                _give_back()
 
     fields = ["docs", "count", "head", "head5", "same", "same5", "names"]
     schema = pa.schema([("local", pa.bool_()), ("slot", pa.int32()), *((f, pa.binary()) for f in fields)])
@@ -302,7 +331,7 @@ def _shared_heads(heads: DataFrame, homes: int) -> DataFrame:
                     rows.append((home, settled, _pack(np.unique(_name(d, h, c)), "<u8")))
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["home", "settled", "names"])
 
-    return heads.groupBy("local", "slot").applyInArrow(run, "home int, settled boolean, names binary")
+    return heads.groupBy("local", "slot").applyInArrow(returning(run), "home int, settled boolean, names binary")
 
 
 def _packed(docs: DataFrame, homes: int) -> DataFrame:
@@ -330,7 +359,7 @@ def _unpacked(table: pa.Table) -> pa.Table:
 def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """Rows by id and text: their order, ids, texts, and the offset of each among those of its id."""
     doc = table.column("doc").to_numpy()
-    texts = [t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+    texts = table.column("text").cast(pa.binary()).to_pylist()
     order = np.array(sorted(range(len(texts)), key=lambda k: (doc[k], texts[k])), np.int64)
     doc, texts = doc[order], [texts[k] for k in order]
     end = np.cumsum([len(t) for t in texts])
@@ -388,7 +417,7 @@ def _open_runs(docs: DataFrame, shared: DataFrame, splitters: np.ndarray, homes:
                 rows.append((False, bucket, _pack(d[own], "<i8"), _pack(start[own], "<i8"), _pack(stop[own], "<i8"), _pack(ahead[own], "<u1"), text[where].tobytes()))
         return _run_rows(rows)
 
-    return _packed(docs, homes).groupBy("home").cogroup(shared.groupBy("home")).applyInArrow(run, _RUN_SCHEMA)
+    return _packed(docs, homes).groupBy("home").cogroup(shared.groupBy("home")).applyInArrow(returning(run), _RUN_SCHEMA)
 
 
 _SPAN_SCHEMA = "home int, docs binary, start binary, stop binary, string binary"
@@ -437,7 +466,7 @@ def _compared(runs: DataFrame, homes: int) -> DataFrame:
             rows += [(home, *(_pack(c, "<i8") for c in columns), None) for home, *columns in _by_home(*(np.concatenate(c) for c in zip(*spans)), homes)]
         return _spans(rows)
 
-    return runs.groupBy("local", "slot").applyInArrow(run, _SPAN_SCHEMA)
+    return runs.groupBy("local", "slot").applyInArrow(returning(run), _SPAN_SCHEMA)
 
 
 def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -506,7 +535,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         left = _unpacked(packed)
         order, doc, texts, offset = _ordered(left)
         d, s, e = merged(*(_joined(right, c, "<i8") for c in ("docs", "start", "stop")))
-        out, figures = [], []
+        out, found = [], []
         for own, data, base in zip(doc, texts, offset.tolist()):
             low, high = np.searchsorted(d, own, "left"), np.searchsorted(d, own, "right")
             mine = [(max(0, a - base), min(len(data), b - base)) for a, b in zip(s[low:high].tolist(), e[low:high].tolist()) if b > base and a < base + len(data)]
@@ -518,13 +547,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             keep.append(data[at:])
             rest = b"".join(keep)
             out.append(rest.decode("utf-8", "ignore"))
-            figures.append((len(data), removed, len(mine), hashlib.sha256(rest).hexdigest()))
+            found.append((len(data), removed, len(mine), hashlib.sha256(rest).hexdigest()))
         columns = [left.column(c).take(pa.array(order)) for c in passed]
-        columns += [pa.array(out, pa.string())] + [pa.array([f[k] for f in figures], t) for k, t in enumerate([pa.int64()] * 3 + [pa.string()])]
+        columns += [pa.array(out, pa.string())] + [pa.array([f[k] for f in found], t) for k, t in enumerate([pa.int64()] * 3 + [pa.string()])]
         return pa.table(columns, [*passed, "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wide.schema if f.name in passed)
+    figures = [StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())]
+    schema = StructType([*(wide.schema[c] for c in passed), StructField("text", StringType()), *figures])
     none = pa.table({})
-    result = _packed(wide, homes).groupBy("home").cogroup(closed.groupBy("home")).applyInArrow(cut, f"{types}, text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    figures = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return result.select(*[(F.col("text") if c == text else F.col(k)).alias(c) for c, k in zip(names, kept_names)], *[f for f in figures if f not in names])
+    result = _packed(wide, homes).groupBy("home").cogroup(closed.groupBy("home")).applyInArrow(returning(cut), schema)
+    return result.select(*[(F.col("text") if c == text else F.col(k)).alias(c) for c, k in zip(names, kept_names)], *[f.name for f in figures if f.name not in names])
