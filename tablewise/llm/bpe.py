@@ -23,6 +23,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import batched
 from struct import pack
 
 import numpy as np
@@ -30,10 +31,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tablewise.llm.common import map_batches
+from tablewise.llm.common import give_back, map_batches
 
 #: Remembered encodings of white-space-delimited chunks, a bound per task.
 MEMO_ENTRIES = 700_000
+#: Chunks that are encoded together, in sorted order.
+LEARN_CHUNKS = 100_000
 #: Chunks longer than this are not remembered; they stream through the transducer.
 MEMO_CHARS = 64
 #: White space of the word pattern, which str.split() exceeds by four control characters.
@@ -259,13 +262,14 @@ class Encoder:
         if len(self.memo) + len(new) > MEMO_ENTRIES:
             self.memo.clear()
             new = set(chunks)
-        self.learn(new)
+        for part in batched(new, LEARN_CHUNKS):
+            self.learn(part)
 
     def prime(self, texts: list[str | None]) -> None:
         """Encode the distinct chunks of some texts together, up to the memo's bound."""
         seen: set[str] = set()
         for text in texts:
-            seen.update(self.chunks(text or ""))
+            seen.update(c for c in self.chunks(text or "") if c not in self.memo)
             if len(seen) > MEMO_ENTRIES:
                 break
         self.prepare(seen)
@@ -353,6 +357,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
             n, of_ids, of_text = [], [], []
             texts = b.column(1).to_pylist()
             encoder.prime(texts)
+            give_back()
             for text in texts:
                 ids = encoder.encode(text)
                 said = hashlib.sha256()

@@ -27,7 +27,6 @@ than all others; extra columns are kept as they are; an empty table gives an emp
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import math
 from collections.abc import Iterator
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tablewise.llm.common import map_batches, stored
+from tablewise.llm.common import give_back, map_batches, stored
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text that a partition of any step stands for.
@@ -165,13 +164,13 @@ def returning(function):
         try:
             return function(table)
         finally:
-            _give_back()
+            give_back()
 
     def two(left, right):
         try:
             return function(left, right)
         finally:
-            _give_back()
+            give_back()
 
     return one if function.__code__.co_argcount == 1 else two
 
@@ -260,14 +259,6 @@ def _parts(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
         at = stop
 
 
-def _give_back() -> None:
-    """Return memory that is free inside this process to the system, for the next task's sake."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _heads(docs: DataFrame, splitters: np.ndarray, homes: int) -> DataFrame:
     """Heads of runs by bucket, one entry for each content that a task has; and by home the runs
     that a smaller document in the same task has too."""
@@ -300,7 +291,7 @@ def _heads(docs: DataFrame, splitters: np.ndarray, homes: int) -> DataFrame:
                     ids, count = np.unique(d, return_counts=True)
                     h, c = h[by_doc], c[by_doc]
                     yield pa.RecordBatch.from_pydict({"local": [False], "slot": [bucket], "docs": [_pack(ids, "<i8")], "count": [_pack(count, "<u4")], "head": [_pack(h, "<u4")], "head5": [_pack(h >> np.uint64(32), "<u1")], "same": [_pack(c, "<u4")], "same5": [_pack(c >> np.uint64(32), "<u1")], "names": [None]}, schema)
-                _give_back()
+                give_back()
 
     fields = ["docs", "count", "head", "head5", "same", "same5", "names"]
     schema = pa.schema([("local", pa.bool_()), ("slot", pa.int32()), *((f, pa.binary()) for f in fields)])
