@@ -57,23 +57,30 @@ def shortest_path(edges: DataFrame, start: str, goal: str, hops: int = 3) -> Dat
     return front.limit(0).select("path", F.lit(0).alias("hops"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges in either direction.
 
-    Labels flow to neighbours and are then looked up again, so paths shorten by halves; each round
-    is written before the next, and rounds end when nothing changes."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src is not null and dst is not null").distinct()
-    labels = stored(both.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct())
-    for _ in range(rounds):
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        low = stored(labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("low"), F.col("label").alias("was")))
-        jump = low.select(F.col("node").alias("low"), F.col("low").alias("further"))
-        now = stored(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("further", "low")).alias("label"), "was"))
-        changed = now.where("label <> was").limit(1).count()
-        labels = now.select("node", "label")
-        if not changed:
+    Alternating large-star and small-star steps until nothing changes: each is two aggregations and
+    a join, and their number grows with the logarithm of the longest path, in whatever order its
+    nodes are. Each round is written before the next; a node whose only edges lead to itself is a
+    component of its own."""
+    ends = edges.where("src is not null and dst is not null")
+    nodes = stored(ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    now, before = stored(ends.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()), None
+    while True:
+        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if mark == before or mark[0] == 0:
             break
-    return labels.select("node", F.col("label").alias("component"))
+        before = mark
+        # Large star: everything larger than u links to u's smallest neighbour.
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        large = stored(both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        # Small star: u and everything smaller than u link to the smallest of them.
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+    return nodes.join(now, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("component"))
 
 
 def cluster_labels(components_: DataFrame, sizes: DataFrame) -> DataFrame:

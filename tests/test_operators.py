@@ -168,6 +168,14 @@ def test_components_of_long_paths(spark):
     assert {r.component for r in got} == {"000", "x"} and len(got) == 63
 
 
+def test_components_of_a_shuffled_path(spark):
+    ids = [f"{i:03d}" for i in range(400)]
+    random.Random(3).shuffle(ids)
+    e = spark.createDataFrame([*zip(ids, ids[1:]), ("x", "x"), (None, "y")], "src string, dst string")
+    got = {r.node: r.component for r in graph.components(e).collect()}
+    assert got == {**{i: "000" for i in ids}, "x": "x"}
+
+
 def test_kin(spark):
     rows = [("a", ["x", "y", "z"]), ("b", ["x", "y", "z", "w"]), ("c", ["x", "y"]), ("d", ["w", "z", "y"]), ("e", None)]
     df = spark.createDataFrame(rows, "k string, tokens array<string>")
