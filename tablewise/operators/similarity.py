@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Queries that one block holds, a bound on what is broadcast: rows times vector length.
 BLOCK_CELLS = 1_000_000
+#: Leading characters of a term that documents are looked up by.
+GRAM = 4
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "id", vector: str = "v", equal: list[str] | None = None) -> DataFrame:
@@ -56,12 +58,14 @@ def match_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", title: s
     """(key, term, confidence): a term in the title counts 0.9, so often in the text 0.7, and a
     document of global scope 0.5 for every term; the largest counts.
 
-    Terms are a dictionary of names (``term``), small enough for every task. Texts are cut to their
-    distinct words first, so a document meets only terms whose first word it holds."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", title, text)), "[^0-9a-z]+"), lambda w: w != ""))
-    own = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(title, F.lit(""))).alias("t"), F.lower(F.coalesce(text, F.lit(""))).alias("b"), F.explode(words).alias("lead"))
-    known = terms.select(F.lower("term").alias("term")).distinct().withColumn("lead", F.element_at(F.filter(F.split("term", "[^0-9a-z]+"), lambda w: w != ""), 1))
-    hits = own.join(known, "lead")
+    A term counts wherever its characters stand, within longer words too. Each term has one gram,
+    its first ``GRAM`` characters (all of a shorter term), and a document meets the terms whose gram
+    is among its own grams of that length, so no pair is missed."""
+    own = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(title, F.lit(""))).alias("t"), F.lower(F.coalesce(text, F.lit(""))).alias("b"))
+    known = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct().withColumn("lead", F.substring("term", 1, GRAM))
+    grams = F.concat(*[F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", "t", "b"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in range(1, GRAM + 1)])
+    met = own.select("key", F.explode(grams).alias("lead")).join(known, "lead").select(F.col("key").alias("met"), "term").distinct()
+    hits = own.join(met, F.col("key").eqNullSafe(F.col("met")))
     score = F.greatest(F.when(F.contains("t", F.col("term")), 0.9).otherwise(0.0), F.when(mentions(F.col("b"), F.col("term")) >= least, 0.7).otherwise(0.0))
     found = hits.select("key", "term", score.alias("confidence")).where("confidence > 0")
     if scope is not None:

@@ -205,6 +205,13 @@ def test_similarity(spark):
     assert got == {(1, "pump"): 0.9, (2, "pump"): 0.5, (2, "valve"): 0.7}
 
 
+def test_terms_within_words(spark):
+    docs = spark.createDataFrame([(1, "Reordering", "x"), (2, None, "orders, orders"), (3, "", "reorder reorder"), (4, "", "насосы и насос"), (5, "泵", None), (6, "", "only one order"), (None, "", "or or")], "doc_id int, title string, text string")
+    terms = spark.createDataFrame([("Order",), ("насос",), ("泵",), ("or",), ("",), (None,)], "term string")
+    got = {(r.doc_id, r.term): r.confidence for r in similarity.match_terms(docs, terms).collect()}
+    assert got == {(1, "order"): 0.9, (1, "or"): 0.9, (2, "order"): 0.7, (2, "or"): 0.7, (3, "order"): 0.7, (3, "or"): 0.7, (4, "насос"): 0.7, (5, "泵"): 0.9, (None, "or"): 0.7}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "b.csv").write_text("id,day\n1,2024-01-05\n2,2024-01-06\n")
     (tmp_path / "a.json").write_text('{"x": 1}\n{"x": 2, "y": {"z": 3}}\n')
