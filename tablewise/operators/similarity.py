@@ -74,7 +74,8 @@ def match_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", title: s
     return found.groupBy(F.col("key").alias(key), "term").agg(F.max("confidence").alias("confidence"))
 
 
-def synonym_collisions(items: DataFrame, key: str = "item", synonyms: str = "synonyms") -> DataFrame:
-    """(synonym, items): names, without regard to case, that stand for more than one item."""
-    flat = items.select(F.col(key).alias("item"), F.explode(synonyms).alias("s")).select("item", F.lower(F.trim("s")).alias("synonym")).where("synonym <> ''").distinct()
-    return flat.groupBy("synonym").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item")).alias("items")).where("n_items > 1").orderBy(F.col("n_items").desc(), "synonym")
+def synonym_collisions(items: DataFrame, key: str = "item", synonym: str = "synonym") -> DataFrame:
+    """(synonym, n_items) of rows of an item and one of its names: names, without regard to case,
+    that stand for more than one item."""
+    flat = items.select(F.col(key).alias("item"), F.lower(F.trim(synonym)).alias("synonym")).where("synonym <> ''").distinct()
+    return flat.groupBy("synonym").agg(F.count("item").alias("n_items")).where("n_items > 1").orderBy(F.col("n_items").desc(), "synonym")

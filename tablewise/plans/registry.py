@@ -840,5 +840,13 @@ def doc_term_match(t):
 
 @query("SELECT lower(p_name) AS synonym, count(DISTINCT p_brand) AS n_items FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def synonym_collisions(t):
-    items = t.part.groupBy(F.col("p_brand").alias("item")).agg(F.collect_set("p_name").alias("synonyms"))
-    return similarity.synonym_collisions(items).select("synonym", "n_items")
+    items = t.part.select(F.col("p_brand").alias("item"), F.col("p_name").alias("synonym"))
+    return similarity.synonym_collisions(items)
+
+
+@query("""WITH terms AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS term FROM part UNION SELECT DISTINCT lower(p_type) FROM part)
+SELECT doc_id, term, CAST(0.7 AS DOUBLE) AS confidence FROM documents, terms WHERE length(term) > 0 AND (length(lower(text)) - length(replace(lower(text), term, ''))) // length(term) >= 2 GROUP BY ALL""")
+def document_term_match(t):
+    docs = t.documents.select("doc_id", F.lit("").alias("title"), "text")
+    terms = t.part.select(F.explode(F.split("p_name", " ")).alias("term")).unionByName(t.part.select(F.col("p_type").alias("term"))).distinct()
+    return similarity.match_terms(docs, terms)

@@ -212,6 +212,12 @@ def test_terms_within_words(spark):
     assert got == {(1, "order"): 0.9, (1, "or"): 0.9, (2, "order"): 0.7, (2, "or"): 0.7, (3, "order"): 0.7, (3, "or"): 0.7, (4, "насос"): 0.7, (5, "泵"): 0.9, (None, "or"): 0.7}
 
 
+def test_synonyms_of_flat_rows(spark):
+    rows = [("a", "Name"), ("b", " name "), ("b", "name"), ("c", "other"), ("c", "Other"), ("d", ""), ("e", None)]
+    got = similarity.synonym_collisions(spark.createDataFrame(rows, "item string, synonym string")).collect()
+    assert [(r.synonym, r.n_items) for r in got] == [("name", 2)]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "b.csv").write_text("id,day\n1,2024-01-05\n2,2024-01-06\n")
     (tmp_path / "a.json").write_text('{"x": 1}\n{"x": 2, "y": {"z": 3}}\n')
