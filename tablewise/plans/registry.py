@@ -152,7 +152,7 @@ SMALLER = TPCH[:-1]
 
 @query(f"""SELECT "table", "column" FROM ({ALL_UNIVERSAL}) WHERE null_count = 0 AND distinct_count = row_count AND row_count > 0 AND regexp_matches("column", 'key$')""")
 def pk_candidates(t):
-    return _universal_all(t, SMALLER).where(profile.is_primary_key(F.col("column").rlike("key$"))).select("table", "column")
+    return _universal_all(t).where(profile.is_primary_key(F.col("column").rlike("key$"))).select("table", "column")
 
 
 def _typed(t, names):
@@ -188,7 +188,7 @@ def column_roles(t):
 
 @query()
 def column_confidence(t):
-    return profile.sibling_roles(_typed(t, SMALLER[1:])).select("table", "column", "semantic_type", "role", "is_metric", "is_dimension", "confidence")
+    return profile.sibling_roles(_typed(t, TPCH)).select("table", "column", "semantic_type", "role", "is_metric", "is_dimension", "confidence")
 
 
 # Relations and joins ------------------------------------------------------------------------------
@@ -382,8 +382,8 @@ def mart_summary(t):
 
 @query()
 def mart_archetypes(t):
-    tables = t.many(*SMALLER)
-    return marts.archetypes(_typed(t, SMALLER), relate.detect(tables, KEYS, prefixed=True))
+    tables = t.many(*TPCH)
+    return marts.archetypes(_typed(t, TPCH), relate.detect(tables, KEYS, prefixed=True))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS revenue, count(*) AS orders FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL")
@@ -703,8 +703,8 @@ def kin_groups(t):
 # Health -------------------------------------------------------------------------------------------
 
 
-def _with_gaps(t) -> DataFrame:
-    tables = t.many(*SMALLER) | {"events": with_null_values(t.events).drop("props", "ts")}
+def _with_gaps(t, names=SMALLER) -> DataFrame:
+    tables = t.many(*names) | {"events": with_null_values(t.events).drop("props", "ts")}
     return reduce(DataFrame.unionByName, [profile.universal(profile.frequencies(df)).withColumn("table", F.lit(n)) for n, df in tables.items()])
 
 
@@ -725,18 +725,18 @@ def table_health(t):
 @query(_GAPS.replace("event_id % 50 = 0", "event_id % 10 = 0") + " SELECT \"table\", \"column\", 'high_nulls' AS issue, CASE WHEN null_rate > 0.2 THEN 'error' ELSE 'warning' END AS severity FROM p WHERE null_rate > 0.05 UNION ALL SELECT \"table\", \"column\", 'constant_column', 'warning' FROM p WHERE distinct_count = 1 AND row_count > 1 UNION ALL SELECT \"table\", \"column\", 'repeated_id', 'info' FROM p WHERE regexp_matches(\"column\", '(^|_)id$|key$') AND uniqueness_ratio < 1 AND uniqueness_ratio > 0.95")
 def column_issues(t):
     events = t.events.withColumn("value", F.when(F.col("event_id") % 10 != 0, F.col("value"))).drop("props", "ts")
-    tables = t.many(*SMALLER) | {"events": events}
+    tables = t.many(*TPCH) | {"events": events}
     return health.column_issues(reduce(DataFrame.unionByName, [profile.universal(profile.frequencies(df)).withColumn("table", F.lit(n)) for n, df in tables.items()]))
 
 
 @query(_GAPS + " SELECT \"table\", \"column\", null_rate FROM p WHERE null_rate > 0")
 def null_ranking(t):
-    return health.null_ranking(_with_gaps(t))
+    return health.null_ranking(_with_gaps(t, TPCH))
 
 
 @query(_GAPS + " SELECT \"table\", \"column\", distinct_count FROM p WHERE uniqueness_ratio = 1 AND distinct_count > 1")
 def unique_columns(t):
-    return health.unique_columns(_with_gaps(t))
+    return health.unique_columns(_with_gaps(t, TPCH))
 
 
 @query("SELECT * FROM (SELECT 'pages' AS \"table\", 'url' AS \"column\", 'url' AS detected_pattern) WHERE (SELECT count(*) FROM pages) > 0")

@@ -44,6 +44,22 @@ def test_query(spark, sf, duck, name):
         assert len(got.columns) > 0
 
 
+def test_lineitem_is_looked_at(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    for name in TABLES:
+        if name != "lineitem":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines = lines.withColumns({"l_tax": F.when(F.col("l_orderkey") % 2 == 0, F.col("l_tax")), "l_linestatus": F.lit("O"), "l_partkey": F.monotonically_increasing_id()})
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = lambda name: {r["column"] for r in QUERIES[name](spark, str(tmp_path)).where("table = 'lineitem'").collect()}
+    assert found("null_ranking") == {"l_tax"} and found("column_issues") == {"l_tax", "l_linestatus"}
+    assert found("pk_candidates") == found("unique_columns") == {"l_partkey"}
+    assert found("column_confidence") == set(lines.columns)
+    assert QUERIES["mart_archetypes"](spark, str(tmp_path)).where("table = 'lineitem'").count() > 0
+
+
 def test_entry(spark, sf):
     import __spark_entry__ as entry
 
