@@ -2,38 +2,47 @@
 
 A byte goes if a string of ``LENGTH`` = 50 bytes covers it that also starts in a document with a
 smaller id. Only suffixes at *anchors* are kept: in every 50-byte string the first of its 24-byte
-grams with the smallest hash. Equal strings have their anchor at the same place, so comparing the
-suffixes (and the few bytes before them) at anchors finds every repeat, with one suffix in about
-14 bytes. A document's consecutive strings with one anchor form a *run*.
-
-1. The heads of suffixes (24 bytes) are range-partitioned by their leading bytes with splitters
-   from a bounded sample, each with hashes of the head and of its run's bytes. Runs with the same
-   bytes are one class, and all but its smallest document lose the run. Classes that share a head
-   with other classes stay open; heads with one class need nothing more.
-2. Open runs go with their bytes to the bucket of their head. A bucket is sorted by multikey
-   quicksort, eight bytes at a step, and strings under equal heads are compared. Splitters are
-   leading bytes, so equal heads never lie across a boundary.
-3. Removed spans meet their documents at the home partition and are cut out.
-
-Hot passages: tasks reduce equal runs to one entry before they are sent, so a bucket gets at most
-one entry a task for a passage, however many documents hold it; heads with more than
-``HOT_CLASSES`` different runs are compared by a plain grouped minimum over strings instead. A
-range whose splitters coincide is spread by the hash of the head.
+grams with the smallest hash. Equal strings have their anchor at the same place, so the suffix at
+the anchor and the few bytes before it say everything, with one suffix in about 14 bytes. A
+document's consecutive strings with one anchor form a *run*, and the gram at the anchor is its head.
+
+1. Texts are packed into parts of about ``Sizes.part`` bytes, written to the shared folder with
+   short hashes of the heads that occur in each part and a bounded sample of suffixes.
+2. Heads that occur in more than one document are candidates; nothing is decided by their hashes.
+   A part sends the runs at candidates with their bytes to the bucket of their suffix: the sampled
+   suffixes are the splitters, compared byte by byte. Equal runs of a part are reduced to the
+   smallest document's first, again by comparing bytes.
+3. A bucket sorts its suffixes by multikey quicksort, eight bytes at a step. Neighbours' longest
+   common prefixes cut the order into ranges whose suffixes agree as far as a string reaches;
+   within a range the bytes before the anchor are sorted the same way, and all but the smallest
+   document of each group of equal strings lose that string.
+4. Boundaries: suffixes that agree with a splitter as far as a string reaches may have equals on the
+   other side. Each bucket sends one such string of each kind, and a grouped minimum over strings
+   compares them across boundaries. Everything else is settled inside its bucket.
+5. Spans meet their parts and are cut out.
+
+Splitters may fall anywhere, so a frequent head is divided by the bytes that follow it, and a suffix
+that is itself frequent makes several equal splitters, among which it is spread by part: a bucket
+never gathers more than its share, whatever the texts. Splitters are one short row a bucket, as in
+any range partitioning.
 
 Defined results: null and empty texts lose nothing; documents shorter than 50 bytes neither lose
 nor cause a loss; rows with the same id never cost each other anything; null ids count as larger
-than all others; extra columns are kept as they are; an empty table gives an empty table.
+than all others and as one id; further columns stay as they are, but for those with the name of a
+computed figure, which the figure replaces; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -41,19 +50,32 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tablewise.llm.common import give_back, map_batches, stored
 
 LENGTH, GRAM = 50, 24
-#: Bytes of text that a partition of any step stands for.
-PART_BYTES = 8 << 20
-#: Documents (about) and heads that the splitters are sampled from.
-SAMPLE_DOCS, SAMPLE_HEADS = 2_000, 200_000
-HOT_CLASSES = 100_000
-#: Strings compared at once within a bucket.
-STRINGS = 2_000_000
-#: Bytes that are hashed at once; positions within them take POSITION bits.
-BLOCK, POSITION = 1 << 18, 20
+#: Figures that are added to a document.
+FIGURES = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+#: Rows that a part holds at most.
+PART_ROWS = 200_000
 _LAST = (1 << 63) - 1
-_LOW = np.uint64((1 << 40) - 1)
+#: Bits of a position within a block, and of a head's hash that are sent (one more marks heads of several documents).
+_POSITION, _SENT = 20, 39
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
-_BYTE_HASH = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
+_BYTE_HASH, _OFFSET_HASH = np.random.default_rng(5).integers(0, 1 << 63, (2, 256), dtype=np.uint64)
+#: Masks that keep the first, or the last, so many bytes of a word.
+_FIRST = np.array([(1 << 64) - (1 << 8 * (8 - n)) for n in range(9)], np.uint64)
+_FINAL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_FRONT, _BACK = 32, 64
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of text that a part, and a bucket, stands for; string starts hashed at once; strings
+    compared at once; suffixes sampled for splitters; bits of hashes (candidates, equal runs) that
+    are looked at: fewer of them cost time but change no result."""
+
+    part: int = 8 << 20
+    block: int = 1 << 18
+    strings: int = 1_500_000
+    sample: int = 60_000
+    bits: int = 63
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,125 +87,49 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def gram_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """Hashes of all grams of each size, put together from grams of powers of two."""
-    level, n, made, done = _BYTE_HASH[data], 1, {}, {}
-    while n <= max(sizes):
-        for size in sizes:
-            if size & n:
-                if size not in made:
-                    made[size], done[size] = level, n
-                else:
-                    m = min(len(made[size]), len(level) - done[size])
-                    made[size] = _mix(made[size][:m], level[done[size] : done[size] + m]) if m > 0 else level[:0]
-                    done[size] += n
-        if len(level) <= n:
-            level = level[:0]
-        else:
-            level = _mix(level[:-n], level[n:])
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all grams of a size, put together from grams of powers of two."""
+    level, n, made, done = _BYTE_HASH[data], 1, None, 0
+    while True:
+        if size & n:
+            if made is None:
+                made = level
+            else:
+                m = max(0, min(len(made), len(level) - done))
+                made = _mix(made[:m], level[done : done + m])
+            done += n
+        if 2 * n > size:
+            return made[: max(0, len(data) - size + 1)]
+        level = _mix(level[:-n], level[n:]) if len(level) > n else level[:0]
         n *= 2
-    return [made[s][: max(0, len(data) - s + 1)] for s in sizes]
 
 
-class Runs:
-    """Runs of one block: document, anchor, first and last string start, head hash, bytes' hash."""
-
-    def __init__(self, texts: list[bytes], with_content: bool):
-        self.data = data = np.frombuffer(b"".join(texts), np.uint8)
-        size = np.array([len(t) for t in texts])
-        end = np.cumsum(size)
-        head, *strings = gram_hashes(data, (GRAM, LENGTH) if with_content else (GRAM,))
-        width = LENGTH - GRAM + 1
-        keyed = head >> np.uint64(POSITION) << np.uint64(POSITION) | np.arange(len(head), dtype=np.uint64)
+def find_runs(data: np.ndarray, end: np.ndarray, block: int) -> tuple[np.ndarray, ...]:
+    """First and last string start, anchor and head hash of all runs; texts end at ``end``."""
+    begin = np.concatenate([[0], end[:-1]]) if len(end) else end
+    late = np.zeros(len(data) + 1, bool)
+    tail = end[:, None] - np.arange(1, LENGTH)
+    late[tail[tail >= begin[:, None]]] = True
+    out = []
+    width = LENGTH - GRAM + 1
+    for at in range(0, len(data) - LENGTH + 1, block):
+        head = gram_hashes(data[at : at + block + LENGTH - 1], GRAM)
+        keyed = head >> np.uint64(_POSITION) << np.uint64(_POSITION) | np.arange(len(head), dtype=np.uint64)
         n = 1
         while 2 * n <= width:
             keyed = np.minimum(keyed[:-n], keyed[n:])
             n *= 2
         if n < width:
             keyed = np.minimum(keyed[: len(keyed) - (width - n)], keyed[width - n :])
-        at = (keyed & np.uint64((1 << POSITION) - 1)).astype(np.int64)
-        owner = np.repeat(np.arange(len(texts)), size)[: len(at)]
-        whole = np.arange(len(at)) + LENGTH <= end[owner]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
-        self.first = np.flatnonzero(new & whole)
-        stop = np.append(np.flatnonzero(new | ~whole), len(at))
-        self.last = stop[np.searchsorted(stop, self.first, "right")] - 1
-        self.anchor, self.doc = at[self.first], owner[self.first]
-        self.begin = (end - size)[self.doc]
-        self.head = head[self.anchor]
-        if with_content:
-            self.content = _mix(strings[0][self.first], strings[0][self.last]) + (self.anchor - self.first).astype(np.uint64)
-
-
-def blocks(texts: list[bytes]) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
-    """Texts in blocks of about BLOCK bytes, with each piece's text and offset. Longer texts are cut
-    into pieces that overlap by all but one byte of a string."""
-    part: list[bytes] = []
-    owner: list[int] = []
-    offset: list[int] = []
-    size = 0
-    for k, text in enumerate(texts):
-        if len(text) < LENGTH:
-            continue
-        for at in range(0, len(text) - LENGTH + 1, BLOCK):
-            piece = text if len(text) <= BLOCK else text[at : at + BLOCK + LENGTH - 1]
-            part.append(piece)
-            owner.append(k)
-            offset.append(at)
-            size += len(piece)
-            if size >= BLOCK:
-                yield part, owner, offset
-                part, owner, offset, size = [], [], [], 0
-            if piece is text:
-                break
-    if part:
-        yield part, owner, offset
-
-
-def leading(data: np.ndarray, at: np.ndarray, step: int = 0) -> np.ndarray:
-    """Eight bytes from each position on (plus 8 * step), as numbers that sort as bytes do."""
-    words = np.ascontiguousarray(data[at[:, None] + (8 * step + np.arange(8))])
-    return words.view(">u8").ravel().astype(np.uint64)
-
-
-def bucket_of(splitters: np.ndarray, lead: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Range of each leading word; where several splitters equal it, its head's hash decides."""
-    low, high = np.searchsorted(splitters, lead, "left"), np.searchsorted(splitters, lead, "right")
-    return high - np.where(high > low + 1, (head % np.maximum(1, high - low).astype(np.uint64)).astype(np.int64), 0)
-
-
-def home_of(doc: np.ndarray, homes: int) -> np.ndarray:
-    return (doc ^ (doc >> 17)) % homes
-
-
-def returning(function):
-    """A group function that gives memory back after each group."""
-
-    def one(table):
-        try:
-            return function(table)
-        finally:
-            give_back()
-
-    def two(left, right):
-        try:
-            return function(left, right)
-        finally:
-            give_back()
-
-    return one if function.__code__.co_argcount == 1 else two
-
-
-def groups_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by the columns, first one first, and the starts of equal groups in it."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        own = c[order]
-        new[1:] |= own[1:] != own[:-1]
-    return order, np.flatnonzero(new)
+        where = (keyed & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
+        own = late[at : at + len(where)]
+        new = np.ones(len(where), bool)
+        new[1:] = (where[1:] != where[:-1]) | own[:-1]
+        first = np.flatnonzero(new & ~own)
+        stop = np.append(np.flatnonzero(new | own), len(where))
+        last = stop[np.searchsorted(stop, first, "right")] - 1
+        out.append((first + at, last + at, where[first] + at, head[where[first]]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
 
 
 def multikey_order(words: list) -> tuple[np.ndarray, np.ndarray]:
@@ -210,341 +156,468 @@ def multikey_order(words: list) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
-def _pack(array: np.ndarray, kind: str) -> bytes:
-    return array.astype(kind).tobytes()
-
-
-def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), kind)
+def _starts(group: np.ndarray) -> np.ndarray:
+    """Where each group begins in an order."""
+    return np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
 
 
 def _split_by(slot: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(slot, columns' parts) for each slot."""
-    order, starts = groups_of(slot)
-    for own in np.split(order, starts[1:]) if len(order) else ():
+    order = np.argsort(slot, kind="stable")
+    for own in np.split(order, _starts(slot[order])[1:]) if len(order) else ():
         yield int(slot[own[0]]), *(c[own] for c in columns)
 
 
-def _sampled_splitters(docs: DataFrame, rows: int, parts: int) -> np.ndarray:
-    every = max(1, rows // SAMPLE_DOCS)
-    each = max(1, SAMPLE_HEADS // SAMPLE_DOCS)
+def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items that stand for ``count`` rows each: every row's item and its number within it."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
 
-    def run(batches):
-        for b in batches:
-            found = []
-            for texts, _, _ in blocks(b.column(1).cast(pa.binary()).to_pylist()):
-                r = Runs(texts, False)
-                pick = np.flatnonzero(r.head % np.uint64(8) == 0)
-                found.append(leading(r.data, r.anchor[pick])[: each * len(texts)])
-            yield pa.RecordBatch.from_arrays([pa.array([_pack(np.concatenate(found), "<u8")] if found else [], pa.binary())], ["lead"])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(every)) == 0).select("doc", "text")
-    got = [np.frombuffer(r.lead, "<u8") for r in map_batches(sample, run, "lead binary").collect()]
-    lead = np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
-    return lead[np.arange(1, parts) * len(lead) // parts] if len(lead) else lead
+def merged(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each key united where they overlap or touch."""
+    order = np.lexsort((start, key))
+    key, start, stop = key[order], start[order], stop[order]
+    if not len(key):
+        return key, start, stop
+    # Ends so far, restarted for each key by lifting later keys above earlier ones.
+    rank = np.cumsum(np.concatenate([[0], np.diff(key) != 0]))
+    lift = rank * (int(stop.max()) + 1)
+    reach = np.maximum.accumulate(stop + lift)
+    new = np.ones(len(key), bool)
+    new[1:] = (start + lift)[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return key[at], start[at], np.maximum.reduceat(stop, at)
 
 
-def _name(doc: np.ndarray, head: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """A document's runs with one head and content, as one number."""
-    return _mix(_mix(doc.astype(np.uint64), head & _LOW), same & _LOW)
+def returning(function):
+    """A group function that gives memory back after each group."""
 
+    def one(table):
+        try:
+            return function(table)
+        finally:
+            give_back()
 
-def _parts(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
-    """Slices of about PART_BYTES of a text column with their bytes, one after the other."""
-    total = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(column):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PART_BYTES, "right")))
-        yield slice(at, stop), column.slice(at, stop - at).cast(pa.binary()).to_pylist()
-        at = stop
+    def two(left, right):
+        try:
+            return function(left, right)
+        finally:
+            give_back()
 
+    return one if function.__code__.co_argcount == 1 else two
 
-def _heads(docs: DataFrame, splitters: np.ndarray, homes: int) -> DataFrame:
-    """Heads of runs by bucket, one entry for each content that a task has; and by home the runs
-    that a smaller document in the same task has too."""
 
-    def run(batches):
-        for b in batches:
-            every = b.column(0).to_numpy()
-            for own, bodies in _parts(b.column(1)):
-                doc, heads, sames, docs_, slots = every[own], [], [], [], []
-                for part, owner, _ in blocks(bodies):
-                    r = Runs(part, True)
-                    heads.append(r.head)
-                    sames.append(r.content)
-                    docs_.append(doc[np.array(owner)[r.doc]])
-                    slots.append(bucket_of(splitters, leading(r.data, r.anchor), r.head).astype(np.int32))
-                if not heads:
-                    continue
-                head, same, owners, slot = (np.concatenate(x) for x in (heads, sames, docs_, slots))
-                heads = sames = docs_ = slots = bodies = None
-                order, starts = groups_of(head ^ same * _A, owners)
-                content = (head ^ same * _A)[order]
-                new = np.ones(len(starts), bool)
-                new[1:] = content[starts[1:]] != content[starts[:-1]]
-                first = order[starts[new]]
-                late = order[starts[~new]]
-                for home, d, h, c in _split_by(home_of(owners[late], homes), owners[late], head[late], same[late]):
-                    yield pa.RecordBatch.from_pydict({"local": [True], "slot": [home], "docs": [None], "count": [None], "head": [None], "head5": [None], "same": [None], "same5": [None], "names": [_pack(np.unique(_name(d, h, c)), "<u8")]}, schema)
-                for bucket, d, h, c in _split_by(slot[first], owners[first], head[first], same[first]):
-                    by_doc = np.argsort(d, kind="stable")
-                    ids, count = np.unique(d, return_counts=True)
-                    h, c = h[by_doc], c[by_doc]
-                    yield pa.RecordBatch.from_pydict({"local": [False], "slot": [bucket], "docs": [_pack(ids, "<i8")], "count": [_pack(count, "<u4")], "head": [_pack(h, "<u4")], "head5": [_pack(h >> np.uint64(32), "<u1")], "same": [_pack(c, "<u4")], "same5": [_pack(c >> np.uint64(32), "<u1")], "names": [None]}, schema)
-                give_back()
-
-    fields = ["docs", "count", "head", "head5", "same", "same5", "names"]
-    schema = pa.schema([("local", pa.bool_()), ("slot", pa.int32()), *((f, pa.binary()) for f in fields)])
-    return map_batches(docs.select("doc", "text"), run, "local boolean, slot int, " + ", ".join(f"{f} binary" for f in fields))
-
-
-def _shared_heads(heads: DataFrame, homes: int) -> DataFrame:
-    """(home, settled, names): runs that go because a smaller document has the same run, and runs
-    to compare because their head also has other runs."""
+# Words of suffixes --------------------------------------------------------------------------------
 
-    def run(table: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        if table.num_rows and table.column("local")[0].as_py():
-            rows = [(r["slot"], True, r["names"]) for r in table.select(["slot", "names"]).to_pylist()]
-        elif table.num_rows:
-            doc = np.repeat(_joined(table, "docs", "<i8"), _joined(table, "count", "<u4"))
-            head, same = (_joined(table, f, "<u4").astype(np.uint64) | _joined(table, f + "5", "<u1").astype(np.uint64) << np.uint64(32) for f in ("head", "same"))
-            order = np.lexsort((doc, same, head))
-            head, same, doc = head[order], same[order], doc[order]
-            new_head, new = np.ones(len(order), bool), np.ones(len(order), bool)
-            new_head[1:] = head[1:] != head[:-1]
-            new[1:] = new_head[1:] | (same[1:] != same[:-1])
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            group = np.cumsum(new_head) - 1
-            classes = np.bincount(group[new])
-            for settled, pick in ((True, doc > least), (False, (doc == least) & (classes[group] > 1))):
-                for home, d, h, c in _split_by(home_of(doc[pick], homes), doc[pick], head[pick], same[pick]):
-                    rows.append((home, settled, _pack(np.unique(_name(d, h, c)), "<u8")))
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["home", "settled", "names"])
-
-    return heads.groupBy("local", "slot").applyInArrow(returning(run), "home int, settled boolean, names binary")
-
-
-def _packed(docs: DataFrame, homes: int) -> DataFrame:
-    """(home, rows): a batch's rows for a home as one compressed Arrow stream; ``doc`` names the
-    home. Text shrinks far better this way than row by row."""
 
-    def run(batches):
-        option = pa.ipc.IpcWriteOptions(compression="zstd")
-        for b in batches:
-            home = home_of(b.column(place).to_numpy(), homes)
-            for at, rows in _split_by(home, np.arange(len(home))):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema, options=option) as stream:
-                    stream.write_batch(b.take(pa.array(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["home", "rows"])
+class Suffixes:
+    """Runs' suffixes as words that sort as their bytes do, zeros beyond the end of the run."""
+
+    def __init__(self, text: np.ndarray, anchor: np.ndarray, ahead: np.ndarray, size: np.ndarray):
+        self.text, self.anchor, self.ahead, self.tail = text, anchor, ahead, size - ahead
+        self.words = np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))
+
+    def after(self, k: int, rows=None) -> np.ndarray:
+        anchor, tail = (self.anchor, self.tail) if rows is None else (self.anchor[rows], self.tail[rows])
+        return self.words[anchor + 8 * k].astype(np.uint64) & _FIRST[np.clip(tail - 8 * k, 0, 8)]
+
+    def before(self, k: int, rows: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+        """The k-th word before the anchor, of ``ahead`` bytes that count."""
+        return self.words[self.anchor[rows] - 8 * (k + 1)].astype(np.uint64) & _FINAL[np.clip(ahead - 8 * k, 0, 8)]
+
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """Order and groups of equal runs: by suffix, then by length and by the bytes ahead."""
+        words = [lambda rows, k=k: self.after(k, rows) for k in range(7)]
+        words.append(lambda rows: self.tail[rows].astype(np.uint64) << np.uint64(8) | self.ahead[rows].astype(np.uint64))
+        words += [lambda rows, k=k: self.before(k, rows, self.ahead[rows]) for k in range(4)]
+        return multikey_order(words)
+
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        """(n, 50) bytes of suffixes."""
+        return np.stack([self.after(k, rows) for k in range(7)], 1).astype(">u8").view(np.uint8).reshape(len(rows), 56)[:, :LENGTH]
+
+
+def common_prefix(a: list[np.ndarray], b: list) -> np.ndarray:
+    """Bytes that suffixes, given as words, have in common (50 at most)."""
+    out = np.full(len(a[0]), LENGTH, np.int64)
+    for k in range(6, -1, -1):
+        x = a[k] ^ b[k]
+        lead = sum((x < np.uint64(1 << 8 * n)).astype(np.int64) for n in range(1, 8))
+        out = np.where(x != 0, np.minimum(8 * k + lead, LENGTH), out)
+    return out
+
+
+def bucket_of(splitters: np.ndarray, words: np.ndarray, suffixes: Suffixes, salt: int) -> np.ndarray:
+    """Bucket of each suffix: how many splitters are not above it. A suffix that equals several
+    splitters goes to one of the buckets that they bound, by the salt."""
+    lead = suffixes.after(0)
+    low, out = np.searchsorted(words, lead, "left"), np.searchsorted(words, lead, "right")
+    near = np.flatnonzero(low < out)
+    if len(near):
+        own = np.ascontiguousarray(suffixes.keys(near)).view(f"S{LENGTH}").ravel()
+        low, high = np.searchsorted(splitters, own, "left"), np.searchsorted(splitters, own, "right")
+        out[near] = np.where(high > low + 1, low + 1 + salt % np.maximum(1, high - low), high)
+    return out
 
-    place = docs.columns.index("doc")
-    return map_batches(docs, run, "home int, rows binary")
 
+# Parts --------------------------------------------------------------------------------------------
 
-def _unpacked(table: pa.Table) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()]).combine_chunks()
 
+def _tables(batches: Iterator[pa.RecordBatch], place: int, most: int) -> Iterator[pa.Table]:
+    """The rows in tables of about ``most`` bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
+    for b in batches:
+        total = np.cumsum(pc.binary_length(b.column(place)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = total[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(total, before + most - size, "right")))
+            held.append(b.slice(at, stop - at))
+            size, rows, at = size + total[stop - 1] - before, rows + stop - at, stop
+            if at < b.num_rows or size >= most or rows >= PART_ROWS:
+                yield pa.Table.from_batches(held)
+                held, size, rows = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
 
-def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Rows by id and text: their order, ids, texts, and the offset of each among those of its id."""
-    doc = table.column("doc").to_numpy()
-    texts = table.column("text").cast(pa.binary()).to_pylist()
-    order = np.array(sorted(range(len(texts)), key=lambda k: (doc[k], texts[k])), np.int64)
-    doc, texts = doc[order], [texts[k] for k in order]
-    end = np.cumsum([len(t) for t in texts])
-    begin = end - np.array([len(t) for t in texts])
-    _, starts = groups_of(doc)
-    base = np.repeat(begin[starts], np.diff(np.append(starts, len(doc)))) if len(doc) else begin
-    return order, doc, texts, begin - base
 
+def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, the bytes of all texts (with room around them) and where each text ends in them."""
+    bodies = table.column("text").cast(pa.binary()).to_pylist()
+    data = np.frombuffer(b"".join([bytes(_FRONT), *bodies, bytes(_BACK)]), np.uint8)
+    return table.column("doc").to_numpy(), data, np.cumsum([len(t) for t in bodies], dtype=np.int64)
 
-_RUN_SCHEMA = "local boolean, slot int, docs binary, start binary, stop binary, ahead binary, bytes binary"
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-def _run_rows(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.bool_(), pa.int32()] + [pa.binary()] * 5
-    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["local", "slot", "docs", "start", "stop", "ahead", "bytes"])
 
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
-def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
+class Part:
+    """A part's texts and runs; positions are those in the bytes of all its texts."""
 
-def _open_runs(docs: DataFrame, shared: DataFrame, splitters: np.ndarray, homes: int) -> DataFrame:
-    """Runs to compare, with their bytes, by bucket; and by home the spans of settled runs."""
+    def __init__(self, table: pa.Table, slots: int, sizes: Sizes):
+        self.doc, self.data, self.end = _texts(table)
+        body = self.data[_FRONT : len(self.data) - _BACK]
+        self.first, self.last, self.anchor, head = find_runs(body, self.end, sizes.block)
+        #: The head's slot in the hash range, and the bits of its hash that are sent.
+        head &= np.uint64((1 << sizes.bits) - 1)
+        slot = (head >> np.uint64(_SENT)) * np.uint64(slots) >> np.uint64(63 - _SENT)
+        self.code = slot << np.uint64(_SENT) | head & np.uint64((1 << _SENT) - 1)
+        self.row = np.searchsorted(self.end, self.first, "right").astype(np.int32)
+        self.size, self.ahead = self.last - self.first + LENGTH, self.anchor - self.first
+
+    def suffixes(self) -> Suffixes:
+        return Suffixes(self.data, self.anchor + _FRONT, self.ahead, self.size)
+
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct codes of heads, and whether several documents here have each."""
+        order = np.argsort(self.code, kind="stable")
+        at = _starts(self.code[order])
+        if not len(at):
+            return self.code, np.zeros(0, bool)
+        doc = self.doc[self.row[order]]
+        other = doc != np.repeat(doc[at], np.diff(np.append(at, len(doc))))
+        return self.code[order[at]], np.logical_or.reduceat(other, at)
+
+
+def _parts(docs: DataFrame, slots: int, per_part: int, sizes: Sizes) -> DataFrame:
+    """(part, slot, body): each part's rows (slot -1), a sample of its suffixes (slot -2), and for each
+    slot of the hash range its heads: 39 bits of hash and a mark for those of several documents."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId() << 32
+        for table in _tables(batches, place, sizes.part):
+            rows = [(-1, _packed(table))]
+            own = Part(table, slots, sizes)
+            if len(own.first):
+                pick = np.random.default_rng(part).permutation(len(own.first))[:per_part]
+                rows.append((-2, own.suffixes().keys(pick).tobytes()))
+                code, several = own.heads()
+                sent = code & np.uint64((1 << _SENT) - 1) | several.astype(np.uint64) << np.uint64(_SENT)
+                rows += [(slot, c.astype("<u4").tobytes() + (c >> np.uint64(32)).astype("<u1").tobytes()) for slot, c in _split_by((code >> np.uint64(_SENT)).astype(np.int64), sent)]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "slot", "body"])
+            part += 1
+            give_back()
+
+    place = docs.columns.index("text")
+    return map_batches(docs, run, "part bigint, slot int, body binary")
+
+
+def _shared(heads: DataFrame) -> DataFrame:
+    """(part, known): codes of a part's heads that another part has too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts, bodies = table.column("part").to_pylist(), table.column("body").to_pylist()
+        slot = table.column("slot")[0].as_py() if parts else 0
+        n = np.array([len(b) // 5 for b in bodies], np.int64)
+        sent = [np.frombuffer(b, "<u4", k).astype(np.uint64) | np.frombuffer(b, "<u1", k, 4 * k).astype(np.uint64) << np.uint64(32) for b, k in zip(bodies, n.tolist())]
+        sent = np.concatenate(sent) if sent else np.zeros(0, np.uint64)
+        several, low = sent >> np.uint64(_SENT) != 0, sent & np.uint64((1 << _SENT) - 1)
+        order = np.argsort(low, kind="stable")
+        at = _starts(low[order])
+        alone = np.repeat(np.diff(np.append(at, len(order))) == 1, np.diff(np.append(at, len(order))))
+        pick = order[~alone & ~several[order]]
+        owner = np.repeat(np.arange(len(n)), n)[pick]
+        rows = [(parts[k], (low_ | np.uint64(slot << _SENT)).astype("<u8").tobytes()) for k, low_ in _split_by(owner, low[pick])]
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "known"])
+
+    return heads.groupBy("slot").applyInArrow(returning(run), "part bigint, known binary")
+
+
+# Buckets ------------------------------------------------------------------------------------------
+
+_MOVED = "bucket int, part bigint, n int, size bigint, body binary"
+_SPANS = "part bigint, n int, body binary"
+
+
+def _moved(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["bucket", "part", "n", "size", "body"])
+
+
+def _span_rows(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["part", "n", "body"])
+
+
+def _span_body(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> bytes:
+    return row.astype("<i4").tobytes() + start.astype("<i8").tobytes() + stop.astype("<i8").tobytes()
+
+
+def _read(body: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    """Arrays of n items that stand one after the other; the last one may be as long as it likes."""
+    out, at = [], 0
+    for kind in kinds:
+        out.append(np.frombuffer(body, kind, n, at))
+        at += out[-1].nbytes
+    return [*out, np.frombuffer(body, np.uint8, -1, at) if at < len(body) else np.zeros(0, np.uint8)]
+
+
+def _equal_runs(part: Part, keep: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the runs have the same bytes as one of a smaller document in the part."""
+    gone = np.zeros(len(keep), bool)
+    order = np.argsort(part.code[keep], kind="stable")
+    at = _starts(part.code[keep][order])
+    count = np.diff(np.append(at, len(order)))
+    some = keep[order[np.repeat(count > 1, count)]]
+    name = np.zeros(len(some), np.uint64)
+    for low in range(0, len(some), 50_000):
+        own = some[low : low + 50_000]
+        _, shift = _spread(part.size[own])
+        value = _BYTE_HASH[part.data[np.repeat(part.first[own] + _FRONT, part.size[own]) + shift]] * _OFFSET_HASH[shift]
+        sums = np.add.reduceat(value, np.cumsum(part.size[own]) - part.size[own])
+        name[low : low + 50_000] = _mix(sums, part.code[own] + (part.size[own] << 8 | part.ahead[own]).astype(np.uint64)) & np.uint64((1 << bits) - 1)
+    doc = part.doc[part.row[some]]
+    order = np.lexsort((doc, name))
+    at = _starts(name[order])
+    first = some[np.repeat(order[at], np.diff(np.append(at, len(order))))] if len(at) else some
+    own, doc = some[order], doc[order]
+    later = np.flatnonzero((doc > part.doc[part.row[first]]) & (part.size[own] == part.size[first]) & (part.ahead[own] == part.ahead[first]))
+    same = np.zeros(len(later), bool)
+    for low in range(0, len(later), 50_000):
+        pick = later[low : low + 50_000]
+        size = part.size[own[pick]]
+        _, shift = _spread(size)
+        a, b = (part.data[np.repeat(part.first[x[pick]] + _FRONT, size) + shift] for x in (own, first))
+        same[low : low + 50_000] = np.logical_and.reduceat(a == b, np.cumsum(size) - size)
+    gone[np.searchsorted(keep, own[later[same]])] = True
+    return gone
+
+
+def _candidates(parts: DataFrame, shared: DataFrame, splitters: np.ndarray, slots: int, sizes: Sizes) -> DataFrame:
+    """Runs to compare by bucket, and spans of runs that are settled within their part (bucket < 0)."""
+    words = np.frombuffer(b"".join(s[:8].ljust(8, b"\0") for s in splitters.tolist()), ">u8").astype(np.uint64)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _run_rows([])
-        _, doc, texts, offset = _ordered(_unpacked(left))
-        flag = np.array(right.column("settled").to_pylist())
-        gone, open_ = (np.unique(_joined(right.filter(pa.array(flag == want)), "names", "<u8")) for want in (True, False))
-        spans: list[tuple] = []
-        found: list[tuple] = []
-        for part, owner, at in blocks(texts):
-            r = Runs(part, True)
-            own = np.array(owner)[r.doc]
-            name = _name(doc[own], r.head, r.content)
-            start = r.first - r.begin + np.array(at)[r.doc] + offset[own]
-            size = r.last - r.first + LENGTH
-            keep = np.flatnonzero(_within(name, gone))
-            spans.append(merged(doc[own[keep]], start[keep], (start + size)[keep]))
-            keep = np.flatnonzero(_within(name, open_))
-            if len(keep):
-                size = size[keep]
-                at_byte = np.repeat(r.first[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                slot = bucket_of(splitters, leading(r.data, r.anchor[keep]), r.head[keep])
-                found.append((doc[own[keep]], start[keep], start[keep] + size, r.anchor[keep] - r.first[keep], slot, size, r.data[at_byte]))
-        rows = [(True, home, *(_pack(c, "<i8") for c in columns), None, None) for home, *columns in _by_home(*(np.concatenate(c) for c in zip(*spans)), homes)] if spans else []
-        if found:
-            d, start, stop, ahead, slot, size, text = (np.concatenate(c) for c in zip(*found))
-            byte_at = np.cumsum(size) - size
-            for bucket, own in _split_by(slot, np.arange(len(slot))):
-                where = np.repeat(byte_at[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
-                rows.append((False, bucket, _pack(d[own], "<i8"), _pack(start[own], "<i8"), _pack(stop[own], "<i8"), _pack(ahead[own], "<u1"), text[where].tobytes()))
-        return _run_rows(rows)
-
-    return _packed(docs, homes).groupBy("home").cogroup(shared.groupBy("home")).applyInArrow(returning(run), _RUN_SCHEMA)
-
-
-_SPAN_SCHEMA = "home int, docs binary, start binary, stop binary, string binary"
-
-
-def _spans(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] + [pa.binary()] * 4)], ["home", "docs", "start", "stop", "string"])
-
-
-def _compared(runs: DataFrame, homes: int) -> DataFrame:
-    """Spans to remove, by home. Rows with ``string`` set are strings under hot heads, left open."""
+        if not left.num_rows:
+            return _moved([])
+        name = left.column("part")[0].as_py()
+        part = Part(_unpacked(left.column("body")[0].as_py()), slots, sizes)
+        code, several = part.heads()
+        known = np.concatenate([code[several], *(np.frombuffer(b, "<u8") for b in right.column("known").to_pylist())])
+        keep = np.flatnonzero(np.isin(part.code, known))
+        begin = np.concatenate([[0], part.end[:-1]]) if len(part.end) else part.end
+        start = part.first - begin[part.row]
+        gone = _equal_runs(part, keep, sizes.bits)
+        rows = []
+        if gone.any():
+            out = keep[gone]
+            spans = merged(part.row[out], start[out], start[out] + part.size[out])
+            body = _span_body(*spans)
+            rows.append((-1 - name % 65_521, name, len(spans[0]), len(body), body))
+        keep = keep[~gone]
+        every = part.suffixes()
+        every.anchor, every.ahead, every.tail = every.anchor[keep], every.ahead[keep], every.tail[keep]
+        slot = bucket_of(splitters, words, every, name * 0x9E3779B1 >> 7)
+        for bucket, own in _split_by(slot, keep):
+            size = part.size[own]
+            _, shift = _spread(size)
+            text = part.data[np.repeat(part.first[own] + _FRONT, size) + shift]
+            arrays = (part.row[own].astype("<i4"), part.doc[part.row[own]].astype("<i8"), start[own].astype("<i8"), size.astype("<u1"), part.ahead[own].astype("<u1"), text)
+            body = b"".join(a.tobytes() for a in arrays)
+            rows.append((bucket, name, len(own), len(body), pa.compress(body, "zstd", asbytes=True)))
+        return _moved(rows)
+
+    return parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(returning(run), _MOVED)
+
+
+def _compared(moved: DataFrame, splitters: np.ndarray, sizes: Sizes) -> DataFrame:
+    """(part, n, body): spans to remove; with a null part, strings that a boundary leaves open."""
+    bounds = [np.frombuffer(s.ljust(56, b"\0"), ">u8").astype(np.uint64) for s in splitters.tolist()]
 
     def run(table: pa.Table) -> pa.Table:
-        if not table.num_rows or table.column("local")[0].as_py():
-            return _spans([(r["slot"], r["docs"], r["start"], r["stop"], None) for r in table.select(["slot", "docs", "start", "stop"]).to_pylist()])
-        doc, start, stop = (_joined(table, c, "<i8") for c in ("docs", "start", "stop"))
-        ahead, text = _joined(table, "ahead", "<u1").astype(np.int64), _joined(table, "bytes", "<u1")
-        size = stop - start
-        begin = np.cumsum(size) - size
-        anchor = begin + ahead
-        word = lambda k: lambda rows: leading(text, anchor if rows is None else anchor[rows], k)
-        order, group = multikey_order([word(k) for k in range(GRAM // 8)])
-        head = np.empty(len(order), np.int64)
-        head[order] = group
-        hot_head = np.bincount(head) > HOT_CLASSES
-        rows, spans = [], []
-        hashes = gram_hashes(text, (LENGTH,))[0]
+        if not table.num_rows or table.column("bucket")[0].as_py() < 0:
+            return table.select(["part", "n", "body"])
+        bucket = table.column("bucket")[0].as_py()
+        parts, n = table.column("part").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+        got = [_read(pa.decompress(b.as_py(), s.as_py(), "zstd", asbytes=True), k, "<i4", "<i8", "<i8", "<u1", "<u1") for b, s, k in zip(table.column("body"), table.column("size"), n.tolist())]
+        row, doc, start, size, ahead = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(5))
+        text = np.concatenate([np.zeros(_FRONT, np.uint8), *(g[5] for g in got), np.zeros(_BACK, np.uint8)])
+        got = None
+        part = np.repeat(parts, n)
+        anchor = _FRONT + np.cumsum(size) - size + ahead
+        runs = Suffixes(text, anchor, ahead, size)
+        order, group = runs.order()
+        at = _starts(group)
+        least = np.minimum.reduceat(doc[order], at)
+        late = doc[order] > least[group]
+        out = order[late]
+        spans = [(part[out], row[out], start[out], start[out] + size[out])]
+
+        # One run stands for all equal ones; those of the smallest document go on.
+        own, own_group = order[~late], group[~late]
+        member_at, members = np.searchsorted(own_group, np.arange(len(at))), np.bincount(own_group, minlength=len(at))
+        rep = order[at]
+        order = group = late = None
+        suffix = [runs.after(k, rep) for k in range(7)]
+        prefix = np.concatenate([[0], common_prefix([w[1:] for w in suffix], [w[:-1] for w in suffix])])
+        edges = [bounds[k] for k in (bucket - 1, bucket) if 0 <= k < len(bounds)]
+        edge = np.max([common_prefix(suffix, list(e)) for e in edges], 0) if edges else np.zeros(len(rep), np.int64)
+        suffix = None
+        head = np.cumsum(prefix < GRAM)
+        chosen = np.flatnonzero((np.bincount(head)[head] > 1) | (edge >= LENGTH - ahead[rep]))
+        count = size[rep[chosen]] - LENGTH + 1
         # Whole heads at a time, so that strings in memory stay few.
-        share = np.cumsum((size - LENGTH + 1)[order]) // STRINGS
-        last_of_head = np.append(group[1:] != group[:-1], True)
-        cuts = np.flatnonzero(last_of_head & (share > np.concatenate([[-1], share[:-1]]))) + 1
-        for own in np.split(order, cuts[cuts < len(order)]):
-            n = size[own] - LENGTH + 1
-            owner = np.repeat(own, n)
-            shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            string, hot = hashes[begin[owner] + shift], hot_head[head[owner]]
-            for home, d, s, h in _split_by(home_of(doc[owner[hot]], homes), doc[owner[hot]], (start[owner] + shift)[hot], string[hot]):
-                rows.append((home, _pack(d, "<i8"), _pack(s, "<i8"), None, _pack(h, "<u8")))
-            owner, shift, string = owner[~hot], shift[~hot], string[~hot]
-            by, starts = groups_of(string)
-            least = np.repeat(np.minimum.reduceat(doc[owner[by]], starts), np.diff(np.append(starts, len(by)))) if len(by) else by
-            late = by[doc[owner[by]] > least]
-            at = start[owner[late]] + shift[late]
-            spans.append(merged(doc[owner[late]], at, at + LENGTH))
-        if spans:
-            rows += [(home, *(_pack(c, "<i8") for c in columns), None) for home, *columns in _by_home(*(np.concatenate(c) for c in zip(*spans)), homes)]
-        return _spans(rows)
-
-    return runs.groupBy("local", "slot").applyInArrow(returning(run), _SPAN_SCHEMA)
-
-
-def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of each document united where they overlap or touch."""
-    order = np.lexsort((start, doc))
-    doc, start, stop = doc[order], start[order], stop[order]
-    if not len(doc):
-        return doc, start, stop
-    # Ends so far, restarted for each document by lifting later documents above earlier ones.
-    rank = np.cumsum(np.concatenate([[0], np.diff(doc) != 0]))
-    lift = rank * (int(stop.max()) + 1)
-    reach = np.maximum.accumulate(stop + lift)
-    new = np.ones(len(doc), bool)
-    new[1:] = (start + lift)[1:] > reach[:-1]
-    at = np.flatnonzero(new)
-    return doc[at], start[at], np.maximum.reduceat(stop, at)
+        share = np.cumsum(count) // sizes.strings
+        cuts = np.flatnonzero((np.diff(share) > 0) & (np.diff(head[chosen]) > 0)) + 1 if len(chosen) else []
+        rows: list[tuple] = []
+        for mine in np.split(chosen, cuts) if len(chosen) else ():
+            found, open_ = _late_strings(runs, rep[mine], least[mine], prefix[mine], edge[mine], size[rep[mine]] - LENGTH + 1)
+            for k, (c, shift) in enumerate((found, open_)):
+                c = mine[c]
+                item, step = _spread(members[c])
+                m, shift = own[member_at[c[item]] + step], shift[item]
+                if k == 0:
+                    spans.append((part[m], row[m], start[m] + shift, start[m] + shift + LENGTH))
+                elif len(m):
+                    strings = text[(anchor[m] - ahead[m] + shift)[:, None] + np.arange(LENGTH)]
+                    rows.append((None, len(m), b"".join(x.tobytes() for x in (doc[m].astype("<i8"), part[m].astype("<i8"), row[m].astype("<i4"), (start[m] + shift).astype("<i8"), strings))))
+        return _span_rows(rows + list(_by_part(*(np.concatenate(c) for c in zip(*spans)))))
+
+    return moved.groupBy("bucket").applyInArrow(returning(run), _SPANS)
+
+
+def _late_strings(runs: Suffixes, rep: np.ndarray, doc: np.ndarray, prefix: np.ndarray, edge: np.ndarray, count: np.ndarray) -> tuple[tuple, tuple]:
+    """Strings of the runs ``rep``, which stand in suffix order, that a smaller document has too, and
+    strings that may have equals across a boundary: each as (run, offset in the run).
+
+    ``prefix`` is what each run's suffix has in common with the one before it. For a string with L
+    bytes from the anchor on, equals lie in the range around it where that is L or more."""
+    place = np.arange(len(rep))
+    ranges = np.stack([np.maximum.accumulate(np.where(prefix < length, place, 0)) for length in range(GRAM, LENGTH + 1)])
+    owner, shift = _spread(count)
+    ahead = runs.ahead[rep][owner] - shift
+    key = ranges[LENGTH - GRAM - ahead, owner] * (LENGTH + 1) + ahead
+    words = [lambda rows: key if rows is None else key[rows]]
+    words += [lambda rows, k=k: runs.before(k, rep[owner[rows]], ahead[rows]) for k in range(4)]
+    order, group = multikey_order(words)
+    mine = doc[owner[order]]
+    late = mine > np.minimum.reduceat(mine, _starts(group))[group]
+    found, rest = order[late], order[~late]
+    rest = rest[edge[owner[rest]] >= LENGTH - ahead[rest]]
+    return (owner[found], shift[found]), (owner[rest], shift[rest])
+
+
+def _by_part(part: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple]:
+    """Rows of _SPANS from spans."""
+    for name, r, a, b in _split_by(part, row, start, stop):
+        spans = merged(r, a, b)
+        yield name, len(spans[0]), _span_body(*spans)
+
+
+def _across(spans: DataFrame) -> DataFrame:
+    """Spans of the strings that boundaries left open: a grouped minimum, joined back."""
+
+    def unfold(batches):
+        for b in batches:
+            for n, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                doc, part, row, start, rest = _read(body, n, "<i8", "<i8", "<i4", "<i8")
+                strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), n, [None, pa.py_buffer(rest.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([strings, *map(pa.array, (doc, part, row, start))], ["string", "doc", "part", "row", "start"])
 
+    def fold(batches):
+        for b in batches:
+            part, row, start = (b.column(k).to_numpy().astype(np.int64) for k in range(3))
+            yield from _span_rows(list(_by_part(part, row, start, start + LENGTH))).to_batches()
 
-def _by_home(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, homes: int) -> Iterator[tuple]:
-    doc, start, stop = merged(doc, start, stop)
-    return _split_by(home_of(doc, homes), doc, start, stop)
+    strings = map_batches(spans.select("n", "body"), unfold, "string binary, doc bigint, part bigint, row int, start bigint")
+    least = strings.groupBy("string").agg(F.min("doc").alias("least"))
+    return map_batches(strings.join(least, "string").where("doc > least").select("part", "row", "start"), fold, _SPANS)
 
 
-def _hot_spans(spans: DataFrame, homes: int) -> DataFrame:
-    """Spans of the strings that were left open: a grouped minimum, joined back."""
+def _splitters(sample: list[bytes], buckets: int) -> np.ndarray:
+    every = np.sort(np.frombuffer(b"".join(sample), f"S{LENGTH}"))
+    return every[np.arange(1, buckets) * len(every) // buckets] if len(every) else every
 
-    def open_rows(batches):
-        for b in batches:
-            for d, s, h in zip(*(b.column(k).to_pylist() for k in range(3))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, "<i8")), pa.array(np.frombuffer(s, "<i8")), pa.array(np.frombuffer(h, "<i8"))], ["doc", "at", "h"])
 
-    def close_rows(batches):
-        for b in batches:
-            d, s = b.column(0).to_numpy(), b.column(1).to_numpy()
-            rows = [(home, *(_pack(c, "<i8") for c in columns), None) for home, *columns in _by_home(d, s, s + LENGTH, homes)]
-            yield from _spans(rows).to_batches()
-
-    strings = map_batches(spans.where("string is not null").select("docs", "start", "string"), open_rows, "doc bigint, at bigint, h bigint")
-    least = strings.groupBy("h").agg(F.min("doc").alias("least"))
-    return map_batches(strings.join(least, "h").where("doc > least").select("doc", "at"), close_rows, _SPAN_SCHEMA)
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``, and n_bytes, n_removed, n_spans and
-    kept_sha256 (of the remaining bytes). A cut may fall inside a character, whose rest is dropped
-    from the returned text but not from the digest."""
-    plain = docs.select(F.coalesce(docs[key], F.lit(_LAST)).alias("doc"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    rows, total = plain.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    homes = max(1, math.ceil(total / PART_BYTES))
-    splitters = _sampled_splitters(plain, rows, homes)
-    shared = _shared_heads(_heads(plain, splitters, homes), homes)
-    spans = stored(_compared(_open_runs(plain, shared, splitters, homes), homes))
-    closed = spans.where("string is null")
-    if spans.where("string is not null").limit(1).count():
-        closed = closed.unionByName(_hot_spans(spans, homes))
-
-    names = docs.columns
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", figures: Sequence[str] = FIGURES, sizes: Sizes = Sizes()) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``, and four figures: bytes, bytes removed,
+    maximal removed runs, and the SHA-256 of the remaining bytes, under the names ``figures``. A
+    cut may fall inside a character, whose rest is dropped from the returned text but not from the
+    digest."""
+    names = [c for c in docs.columns if c not in figures]
     kept_names = [f"c{i}" for i in range(len(names))]
-    wide = docs.select(*[docs[c].alias(k) for c, k in zip(names, kept_names)], F.coalesce(docs[key], F.lit(_LAST)).alias("doc"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    wide = wide.drop(kept_names[names.index(text)])
+    wide = docs.select(*[docs[c].alias(k) for c, k in zip(names, kept_names) if c != text], F.coalesce(docs[key].cast("bigint"), F.lit(_LAST)).alias("doc"), F.coalesce(docs[text], F.lit("")).alias("text"))
     passed = [c for c in wide.columns if c not in ("doc", "text")]
-
-    def cut(packed: pa.Table, right: pa.Table) -> pa.Table:
-        if not packed.num_rows:
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(docs[text])), F.lit(0))).first()[0]
+    slots = max(1, math.ceil(total / sizes.part))
+    everything = stored(_parts(wide, slots, math.ceil(sizes.sample / slots), sizes))
+    parts = everything.where("slot = -1").select("part", "body")
+    splitters = _splitters([r.body for r in everything.where("slot = -2").select("body").limit(sizes.sample).collect()], slots)
+    moved = _candidates(parts, _shared(everything.where("slot >= 0")), splitters, slots, sizes)
+    spans = stored(_compared(moved, splitters, sizes))
+    closed, open_ = spans.where("part is not null"), spans.where("part is null")
+    if open_.limit(1).count():
+        closed = closed.unionByName(_across(open_))
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
             return none
-        left = _unpacked(packed)
-        order, doc, texts, offset = _ordered(left)
-        d, s, e = merged(*(_joined(right, c, "<i8") for c in ("docs", "start", "stop")))
-        out, found = [], []
-        for own, data, base in zip(doc, texts, offset.tolist()):
-            low, high = np.searchsorted(d, own, "left"), np.searchsorted(d, own, "right")
-            mine = [(max(0, a - base), min(len(data), b - base)) for a, b in zip(s[low:high].tolist(), e[low:high].tolist()) if b > base and a < base + len(data)]
+        rows = _unpacked(left.column("body")[0].as_py())
+        got = [_read(b, n, "<i4", "<i8", "<i8") for b, n in zip(right.column("body").to_pylist(), right.column("n").to_pylist())]
+        row, start, stop = merged(*(np.concatenate([np.zeros(0, np.int64), *(g[k] for g in got)]) for k in range(3)))
+        low = np.searchsorted(row, np.arange(rows.num_rows + 1)).tolist()
+        start, stop, out, found = start.tolist(), stop.tolist(), [], []
+        for k, data in enumerate(rows.column("text").cast(pa.binary()).to_pylist()):
             at, keep, removed = 0, [], 0
-            for a, b in mine:
-                keep.append(data[at:a])
-                removed += b - a
-                at = b
-            keep.append(data[at:])
-            rest = b"".join(keep)
+            for i in range(low[k], low[k + 1]):
+                keep.append(data[at : start[i]])
+                removed, at = removed + stop[i] - start[i], stop[i]
+            rest = b"".join([*keep, data[at:]])
             out.append(rest.decode("utf-8", "ignore"))
-            found.append((len(data), removed, len(mine), hashlib.sha256(rest).hexdigest()))
-        columns = [left.column(c).take(pa.array(order)) for c in passed]
-        columns += [pa.array(out, pa.string())] + [pa.array([f[k] for f in found], t) for k, t in enumerate([pa.int64()] * 3 + [pa.string()])]
-        return pa.table(columns, [*passed, "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            found.append((len(data), removed, low[k + 1] - low[k], hashlib.sha256(rest).hexdigest()))
+        columns = [rows.column(c) for c in passed] + [pa.array(out, pa.string())] + [pa.array([f[k] for f in found], t) for k, t in enumerate([pa.int64()] * 3 + [pa.string()])]
+        return pa.table(columns, [*passed, "text", *FIGURES])
 
-    figures = [StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())]
-    schema = StructType([*(wide.schema[c] for c in passed), StructField("text", StringType()), *figures])
+    added = [StructField(n, LongType()) for n in FIGURES[:3]] + [StructField(FIGURES[3], StringType())]
+    schema = StructType([*(wide.schema[c] for c in passed), StructField("text", StringType()), *added])
     none = pa.table({})
-    result = _packed(wide, homes).groupBy("home").cogroup(closed.groupBy("home")).applyInArrow(returning(cut), schema)
-    return result.select(*[(F.col("text") if c == text else F.col(k)).alias(c) for c, k in zip(names, kept_names)], *[f.name for f in figures if f.name not in names])
+    result = parts.groupBy("part").cogroup(closed.groupBy("part")).applyInArrow(returning(cut), schema)
+    return result.select(*[(F.col("text") if c == text else F.col(k)).alias(c) for c, k in zip(names, kept_names)], *[F.col(f).alias(n) for f, n in zip(FIGURES, figures)])

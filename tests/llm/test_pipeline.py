@@ -5,7 +5,7 @@ import hashlib
 import duckdb
 import numpy as np
 import public_tokenizers
-from conftest_llm import brute_components, brute_repeats
+from brute import brute_components, brute_repeats
 from tokenizers import Tokenizer
 
 import corpus_pipeline

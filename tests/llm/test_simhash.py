@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
-from conftest_llm import brute_components
+from brute import brute_components
 
 from tablewise.llm import simhash
 from tablewise.llm.components import components
