@@ -6,11 +6,11 @@ grams with the smallest hash. Equal strings have their anchor at the same place,
 the anchor and the few bytes before it say everything, with one suffix in about 14 bytes. A
 document's consecutive strings with one anchor form a *run*, and the gram at the anchor is its head.
 
-1. Texts are packed into parts of about ``Sizes.part`` bytes, written to the shared folder with
-   short hashes of the heads that occur in each part and a bounded sample of suffixes.
-2. Heads that occur in more than one document are candidates; nothing is decided by their hashes.
-   A part sends the runs at candidates with their bytes to the bucket of their suffix: the sampled
-   suffixes are the splitters, compared byte by byte. Equal runs of a part are reduced to the
+1. Texts are packed into parts of about ``Sizes.part`` bytes, written to the shared folder. A bounded
+   sample of suffixes gives the splitters.
+2. Short hashes of heads tell which occur in more than one document; nothing else is decided by them.
+   A part sends the runs at such heads with their bytes to the bucket of their suffix, found by
+   comparing it with the splitters byte by byte. Equal runs of a part are reduced to the
    smallest document's first, again by comparing bytes.
 3. A bucket sorts its suffixes by multikey quicksort, eight bytes at a step. Neighbours' longest
    common prefixes cut the order into ranges whose suffixes agree as far as a string reaches;
@@ -329,27 +329,48 @@ class Part:
         return self.code[order[at]], np.logical_or.reduceat(other, at)
 
 
-def _parts(docs: DataFrame, slots: int, per_part: int, sizes: Sizes) -> DataFrame:
-    """(part, slot, body): each part's rows (slot -1), a sample of its suffixes (slot -2), and for each
-    slot of the hash range its heads: 39 bits of hash and a mark for those of several documents."""
+def _parts(docs: DataFrame, sizes: Sizes) -> DataFrame:
+    """(part, body): the rows in packed parts."""
 
     def run(batches):
         part = TaskContext.get().partitionId() << 32
         for table in _tables(batches, place, sizes.part):
-            rows = [(-1, _packed(table))]
-            own = Part(table, slots, sizes)
-            if len(own.first):
-                pick = np.random.default_rng(part).permutation(len(own.first))[:per_part]
-                rows.append((-2, own.suffixes().keys(pick).tobytes()))
-                code, several = own.heads()
-                sent = code & np.uint64((1 << _SENT) - 1) | several.astype(np.uint64) << np.uint64(_SENT)
-                rows += [(slot, c.astype("<u4").tobytes() + (c >> np.uint64(32)).astype("<u1").tobytes()) for slot, c in _split_by((code >> np.uint64(_SENT)).astype(np.int64), sent)]
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "slot", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([_packed(table)], pa.binary())], ["part", "body"])
             part += 1
-            give_back()
 
     place = docs.columns.index("text")
-    return map_batches(docs, run, "part bigint, slot int, body binary")
+    return map_batches(docs, run, "part bigint, body binary")
+
+
+def _sampled(parts: DataFrame, slots: int, sizes: Sizes) -> list[bytes]:
+    """Suffixes of about ``sizes.sample`` runs, out of at most a hundred or so parts."""
+    few = F.pmod(F.xxhash64("part"), F.lit(max(1, slots // 100))) == 0
+    each = math.ceil(sizes.sample / min(slots, 100))
+
+    def run(batches):
+        for b in batches:
+            for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = Part(_unpacked(body), slots, sizes)
+                pick = np.random.default_rng(name).permutation(len(own.first))[:each]
+                yield pa.RecordBatch.from_arrays([pa.array([own.suffixes().keys(pick).tobytes()], pa.binary())], ["keys"])
+
+    return [r.keys for r in map_batches(parts.where(few).select("part", "body"), run, "keys binary").collect()]
+
+
+def _heads(parts: DataFrame, slots: int, sizes: Sizes) -> DataFrame:
+    """(part, slot, body): for each slot of the hash range a part's heads, as 39 bits of hash and a
+    mark for those of several documents."""
+
+    def run(batches):
+        for b in batches:
+            for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                code, several = Part(_unpacked(body), slots, sizes).heads()
+                sent = code & np.uint64((1 << _SENT) - 1) | several.astype(np.uint64) << np.uint64(_SENT)
+                rows = [(slot, c.astype("<u4").tobytes() + (c >> np.uint64(32)).astype("<u1").tobytes()) for slot, c in _split_by((code >> np.uint64(_SENT)).astype(np.int64), sent)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "slot", "body"])
+                give_back()
+
+    return map_batches(parts, run, "part bigint, slot int, body binary")
 
 
 def _shared(heads: DataFrame) -> DataFrame:
@@ -588,10 +609,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", fig
     passed = [c for c in wide.columns if c not in ("doc", "text")]
     total = docs.agg(F.coalesce(F.sum(F.octet_length(docs[text])), F.lit(0))).first()[0]
     slots = max(1, math.ceil(total / sizes.part))
-    everything = stored(_parts(wide, slots, math.ceil(sizes.sample / slots), sizes))
-    parts = everything.where("slot = -1").select("part", "body")
-    splitters = _splitters([r.body for r in everything.where("slot = -2").select("body").limit(sizes.sample).collect()], slots)
-    moved = _candidates(parts, _shared(everything.where("slot >= 0")), splitters, slots, sizes)
+    parts = stored(_parts(wide, sizes))
+    splitters = _splitters(_sampled(parts, slots, sizes), slots)
+    moved = _candidates(parts, _shared(_heads(parts, slots, sizes)), splitters, slots, sizes)
     spans = stored(_compared(moved, splitters, sizes))
     closed, open_ = spans.where("part is not null"), spans.where("part is null")
     if open_.limit(1).count():
