@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.sources.paths import stored
+from tablewise.sources.paths import discard, stored
 
 
 def hubs(edges: DataFrame, least: int = 2) -> DataFrame:
-    """(dst, degree, sources): nodes that at least so many different nodes point to."""
-    pairs = edges.select("src", "dst").distinct()
-    got = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("degree"), F.array_sort(F.collect_set("src")).alias("sources"))
+    """(dst, degree): nodes that at least so many different nodes point to."""
+    got = edges.select("src", "dst").distinct().groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
     return got.where(F.col("degree") >= least).orderBy(F.col("degree").desc(), "dst")
 
 
+def hub_sources(edges: DataFrame, least: int = 2) -> DataFrame:
+    """(dst, src): who points to a hub, a row each, so that no node's sources are gathered."""
+    return edges.select("src", "dst").distinct().join(hubs(edges, least).select("dst"), "dst", "left_semi").select("dst", "src")
+
+
 def star_hubs(edges: DataFrame) -> DataFrame:
     return hubs(edges, 3)
 
@@ -37,18 +41,26 @@ def weak_edges(edges: DataFrame, below: float = 0.5, column: str = "ref_integrit
     return edges.where(F.col(column) < below).orderBy(column, "src", "dst")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, hops: int = 3) -> DataFrame:
-    """(path, hops): the shortest way from start to goal over edges taken in either direction, the
-    first in order if there are several; empty if it is longer than ``hops``.
+def shortest_path(edges: DataFrame, start: str, goal: str, hops: int = 3, directed: bool = False) -> DataFrame:
+    """(path, hops): the shortest way from start to goal, the first in order if there are several;
+    empty if it is longer than ``hops``. Edges are taken in either direction; with ``directed`` only
+    along them, and if there is no such way, from goal to start, given back in that order.
 
     A frontier keeps one way a node, and nodes seen before are left out, so it never grows beyond
     the nodes of the graph."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    spark = edges.sparkSession
-    front = spark.createDataFrame([(start, [start])], "node string, path array<string>")
+    ways = edges.select("src", "dst")
+    if directed:
+        there = _search(ways, start, goal, hops)
+        return there if there.limit(1).count() else _search(ways, goal, start, hops)
+    return _search(ways.unionByName(ways.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), start, goal, hops)
+
+
+def _search(ways: DataFrame, start: str, goal: str, hops: int) -> DataFrame:
+    ways = ways.where("src <> dst").distinct()
+    front = ways.sparkSession.createDataFrame([(start, [start])], "node string, path array<string>")
     seen = front.select("node")
     for n in range(1, hops + 1):
-        step = front.join(both, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
+        step = front.join(ways, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
         front = stored(step.select(F.col("dst").alias("node"), "path").join(seen, "node", "left_anti"))
         found = front.where(F.col("node") == goal)
         if found.limit(1).count():
@@ -66,7 +78,8 @@ def components(edges: DataFrame) -> DataFrame:
     component of its own."""
     ends = edges.where("src is not null and dst is not null")
     nodes = stored(ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    now, before = stored(ends.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()), None
+    now = stored(ends.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    before = None
     while True:
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == before or mark[0] == 0:
@@ -79,20 +92,22 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: u and everything smaller than u link to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        last, now = now, stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(last, large)
     return nodes.join(now, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("component"))
 
 
 def cluster_labels(components_: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(component, label): the first name token that all members share, else the largest member.
+    """(component, label): the first name token if all members begin with the same one, else the
+    largest member (of equally large ones the last in order). A single member is its own label.
 
-    ``sizes`` has node and size. Common tokens are counted, so members are never gathered."""
-    token = F.explode(F.array_distinct(F.split(F.lower("node"), "[_ ]+"))).alias("token")
-    members = components_.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    shared = components_.select("component", token).where("token <> ''").groupBy("component", "token").agg(F.count(F.lit(1)).alias("n"))
-    common = shared.join(members, "component").where("n = members and members > 1").groupBy("component").agg(F.min("token").alias("common"))
-    largest = components_.join(sizes, "node", "left").groupBy("component").agg(F.max(F.struct(F.coalesce("size", F.lit(0)).alias("s"), "node")).alias("m"))
-    return largest.join(common, "component", "left").select("component", F.coalesce("common", F.col("m.node")).alias("label"))
+    ``sizes`` has node and size. Members are reduced by aggregates, never gathered."""
+    first = F.split(F.lower("node"), "_")[0]
+    rows = components_.join(sizes, "node", "left").withColumn("first", first)
+    largest = F.max(F.struct(F.coalesce("size", F.lit(0)).alias("s"), "node"))
+    got = rows.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.min("first").alias("low"), F.max("first").alias("high"), largest.alias("m"))
+    shared = (F.col("members") > 1) & (F.col("low") == F.col("high")) & (F.col("low") != "")
+    return got.select("component", F.when(shared, F.col("low")).otherwise(F.col("m.node")).alias("label"))
 
 
 def kin(items: DataFrame, key: str, tokens: str, least: int = 3) -> DataFrame:
@@ -112,9 +127,21 @@ def kin(items: DataFrame, key: str, tokens: str, least: int = 3) -> DataFrame:
 
 
 def kin_groups(items: DataFrame, key: str, tokens: str, least: int = 3) -> DataFrame:
-    """(item, leader): each item beside the smallest item that it is akin to, if that one leads a
-    group itself; leaders are those without a smaller kin."""
-    pairs = kin(items, key, tokens, least)
-    followers = pairs.select("b").distinct()
-    leads = pairs.join(followers.withColumnRenamed("b", "a"), "a", "left_anti")
-    return leads.groupBy(F.col("b").alias("item")).agg(F.min("a").alias("leader"))
+    """(item, leader): items taken in order, each one that is still free leads all free ones that are
+    akin to it. Followers are akin to their leader, not necessarily to each other.
+
+    Leaders are found in rounds: whoever has no smaller free kin leads, and the kin of leaders are
+    taken. In the end each taken item follows the smallest leader among its kin."""
+    pairs = stored(kin(items, key, tokens, least).select("a", "b"))
+    free, leaders = pairs, None
+    while free.limit(1).count():
+        lead = free.select(F.col("a").alias("x")).distinct().join(free.select(F.col("b").alias("x")).distinct(), "x", "left_anti")
+        lead = stored(lead)
+        leaders = lead if leaders is None else leaders.unionByName(lead)
+        gone = stored(free.join(lead, free["a"] == lead["x"]).select(F.col("b").alias("x")).unionByName(lead).distinct())
+        rest = free.join(gone.withColumnRenamed("x", "a"), "a", "left_anti").join(gone.withColumnRenamed("x", "b"), "b", "left_anti").select("a", "b")
+        last, free = free, stored(rest)
+        discard(gone, last if last is not pairs else None)
+    if leaders is None:
+        return pairs.select(F.col("b").alias("item"), F.col("a").alias("leader"))
+    return pairs.join(leaders, pairs["a"] == leaders["x"]).groupBy(F.col("b").alias("item")).agg(F.min("a").alias("leader"))
