@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,31 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tablewise.sources.paths import discard, scratch, stored
 
-@functools.cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-tablewise-")
+__all__ = ["discard", "give_back", "held_out", "labelled_sample", "map_batches", "meet", "read_table", "scratch", "stored", "unused"]
 
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    Only where ``spark.checkpoint.dir`` is unset (local tests) a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or _local_dir()
-    return f"{base.rstrip('/')}/tablewise-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    The files outlive any executor, so a later stage never recomputes what stands before.
-    """
-    spark = df.sparkSession
-    path = path or work_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key is hot if more than one in so many rows have it, so there are at most so many hot keys.
+HOT_SHARE = 1_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +27,14 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def give_back() -> None:
     """Return memory that is free inside a worker to the system, for the next task's sake."""
     pa.default_memory_pool().release_unused()
@@ -62,14 +48,35 @@ def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema:
     return df.mapInArrow(function, schema)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows_per_class: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``rows_per_class`` documents of each class.
+def meet(rows: DataFrame, facts: DataFrame, key: str, n: str, value: str) -> DataFrame:
+    """``rows`` with the ``value`` that ``facts`` has for their ``key`` (null if none).
+
+    ``facts`` has one row a key, and in ``n`` how many rows have it. Hot keys, of which there can be
+    no more than HOT_SHARE, are broadcast; their rows and those without a key are dealt evenly, and
+    all others meet by a join."""
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = facts.where(F.col(n) > total / HOT_SHARE).select(F.col(key).alias("_hot_key"), F.col(value).alias("_hot_value"))
+    cold = facts.where(F.col(n) <= total / HOT_SHARE).select(F.lit(False).alias("_hot"), F.xxhash64(key).alias("_at"), F.col(key).alias("_key"), F.col(value).alias("_value"))
+    placed = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    is_hot = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    placed = placed.withColumns({"_is_hot": is_hot, "_place": F.when(is_hot, F.xxhash64(*rows.columns)).otherwise(F.xxhash64(key))})
+    met = placed.join(cold, (F.col("_place") == F.col("_at")) & (F.col("_is_hot") == F.col("_hot")) & (F.col(key) == F.col("_key")), "left")
+    return met.select(*rows.columns, F.coalesce("_hot_value", "_value").alias(value))
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows_per_class: int, most_chars: int) -> DataFrame:
+    """(doc_id, text, y): at most ``rows_per_class`` rows of each class, out of the labelled rows of
+    at most ``most_chars`` characters.
 
-    The choice is by the smallest hashes of doc_id, so it does not depend on order or partitions.
-    The bound makes the id list safe to broadcast.
-    """
+    The choice is by the smallest hashes of id and text, so it does not depend on order or
+    partitions. Ids are chosen first, which bounds what is broadcast, and then rows, which bounds
+    what is collected even if an id repeats. An id whose labels disagree counts as 1."""
+    short = documents.where(F.coalesce(F.char_length("text"), F.lit(0)) <= most_chars).select("doc_id", "text")
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    near = known.join(short.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    parts = [known.where(F.col("y") == y).orderBy(*order).limit(rows_per_class) for y in (0, 1)]
-    picked = parts[0].unionByName(parts[1])
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    ids = [near.where(F.col("y") == y).orderBy(*order).limit(rows_per_class) for y in (0, 1)]
+    found = short.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    order = [F.xxhash64("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))), F.col("doc_id")]
+    rows = [found.where(F.col("y") == y).orderBy(*order).limit(rows_per_class) for y in (0, 1)]
+    return rows[0].unionByName(rows[1])

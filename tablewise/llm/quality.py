@@ -6,12 +6,13 @@ both streams are hashed into one weight table. A feature's value is its share of
 n-grams, so the score is the mean of the hit weights: a sparse dot product that needs one pass
 over the text and no counting table.
 
-Training takes at most ``ROWS_PER_CLASS`` labelled documents of each class, of at most
+Training takes at most ``ROWS_PER_CLASS`` rows of each class, out of the labelled ones of at most
 ``TRAIN_CHARS`` characters: their sparse vectors are collected on the driver. Scores cover whole
 texts.
 
 Defined results: null, empty and wordless texts have no features and score by the bias alone;
-equal texts have equal scores; without labels of both classes every score is 0; further input
+equal texts have equal scores, whatever stands beside them; all rows of a labelled id carry its label,
+and rows with a null id carry none but are scored; without labels of both classes every score is 0; further input
 columns are ignored; an empty table gives an empty table.
 """
 
@@ -152,14 +153,14 @@ class Scorer:
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = []
         for words, sizes in blocks(texts):
-            total = np.zeros(len(words) + 1)
+            at, dot = np.zeros(len(words)), np.zeros(len(sizes))
             if words:
-                at = np.zeros(len(words))
                 for rows, start in self.features.rows(words, sizes):
                     at[start] += self.weights[rows]
-                np.cumsum(at, out=total[1:])
-            end = np.cumsum(sizes)
-            dot = (total[end] - total[end - sizes]) * SCALE / np.maximum(1, sizes) + self.weights[BUCKETS]
+                # Each text's own sum, so that nothing before it in the block enters.
+                some = sizes > 0
+                dot[some] = np.add.reduceat(at, (np.cumsum(sizes) - sizes)[some])
+            dot = dot * SCALE / np.maximum(1, sizes) + self.weights[BUCKETS]
             out.append(1 / (1 + np.exp(-np.clip(dot, -35, 35))))
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -177,8 +178,7 @@ def score(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
     ``labels`` joins by ``doc_id``. Neither labels nor anything but the text enters a score.
     """
     docs = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
-    sample = labelled_sample(docs, labels.where(~held_out(labels["doc_id"], 4, 2)), label, ROWS_PER_CLASS)
-    sample = sample.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).select("doc_id", "text", "y")
+    sample = labelled_sample(docs, labels.where(~held_out(labels["doc_id"], 4, 2)), label, ROWS_PER_CLASS, TRAIN_CHARS)
     found = sorted(tuple(r) for r in map_batches(sample, _vectors, "doc_id bigint, y int, rows binary, value binary").collect())
     truth = np.array([r[1] for r in found])
     vectors = [(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], np.float32)) for r in found]

@@ -24,9 +24,13 @@ exactly if some point is within 1 of one and within 2 of the other, and all that
 a point with something within 1 belong together. That costs 2,081 rows a fingerprint whatever the
 size of the group.
 
+Components are those of fingerprints, so it does not matter which ids stand for them.
+
 Defined results: null, empty and wordless texts have fingerprint zero and link like any other;
-fewer than three words are one shingle; repeated shingles count; equal texts share a component;
-further input columns are ignored; an empty table gives an empty table.
+fewer than three words are one shingle; repeated shingles count; equal texts share a component; rows
+with a null id link like any other and take the smallest id of their component, which is null only
+if none of its rows has an id; rows with one id are rows of their own; further input columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,8 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import map_batches, stored
-from tablewise.llm.components import components
+from tablewise.llm.common import discard, map_batches, meet, stored
+from tablewise.operators.graph import components
 
 RADIUS = 3
 SHINGLE, SEED = 3, 42
@@ -50,6 +54,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xAE3
 #: Fingerprints under one index key beyond which links go through Hamming balls.
 HOT = 5_000
+#: Fingerprints, each with some 200 keys, that a task turns into keys.
+TASK_PRINTS = 10_000
 BLOCK = 100_000
 
 
@@ -159,7 +165,10 @@ def _ball_links(fps: DataFrame) -> DataFrame:
 
 def links(reps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that connect all within RADIUS bits."""
-    index, probe = _keyed(reps, False), _keyed(reps, True)
+    # Splits follow the small input, not its keys, so fingerprints are dealt anew.
+    spark = reps.sparkSession
+    reps = reps.select("fp").repartition(max(spark.sparkContext.defaultParallelism, -(-reps.count() // TASK_PRINTS)), "fp")
+    index, probe = stored(_keyed(reps, False)), _keyed(reps, True)
     hot = stored(index.groupBy("key").count().where(F.col("count") > HOT).select("key"))
     apart = None
     if hot.limit(1).count():
@@ -174,9 +183,11 @@ def links(reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fingerprint, component_id): the smallest key reachable over links, itself included."""
     prints = stored(fingerprints(docs, text, key))
-    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = links(reps)
-    a, b = reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
-    roots = components(linked.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    of_fp = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(of_fp, "fp").select(F.col("doc_id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    found = stored(links(reps))
+    roots = components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    rooted = stored(reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "n", "rep", F.coalesce("component", "fp").alias("root")))
+    discard(found)
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = stored(meet(rooted, least, "root", "members", "component_id"))
+    return meet(prints, named, "fp", "n", "component_id").select(F.col("doc_id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

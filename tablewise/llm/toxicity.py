@@ -10,11 +10,12 @@ enough however long the document is.
 Because the softmax is linear, a word adds one number (its margin) to its windows; scoring looks
 margins up per distinct word, computing unseen words in bulk.
 
-Training takes at most ``ROWS_PER_CLASS`` labelled documents of each class, of at most
+Training takes at most ``ROWS_PER_CLASS`` rows of each class, out of the labelled ones of at most
 ``TRAIN_CHARS`` characters: all of them are collected on the driver. Scores cover whole texts.
 
 Defined results: null, empty and wordless texts have one empty window and so the bias as their
-odds; equal texts have equal scores; without labels of both classes every score is 0; further
+odds; equal texts have equal scores; all rows of a labelled id carry its label, and rows with a null
+id carry none but are scored; without labels of both classes every score is 0; further
 input columns are ignored; an empty table gives an empty table.
 """
 
@@ -163,8 +164,8 @@ def with_scores(documents: DataFrame, labels: DataFrame, text: str = "text", key
     """
     docs = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
     known = labels.where(~held_out(labels["doc_id"], 5, 0))
-    sample = labelled_sample(docs, known, label, ROWS_PER_CLASS)
-    rows = sorted((r.doc_id, r.text or "", r.y) for r in sample.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).collect())
+    sample = labelled_sample(docs, known, label, ROWS_PER_CLASS, TRAIN_CHARS)
+    rows = sorted((r.doc_id, r.text or "", r.y) for r in sample.collect())
     truth = np.array([y for _, _, y in rows])
     model = None
     if len(set(truth)) == 2:

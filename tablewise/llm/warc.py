@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import map_batches, stored, work_dir
+from tablewise.llm.common import map_batches, meet, scratch, stored
 
 #: Payloads smaller than this are never revisits.
 MIN_BYTES = 1_000
@@ -45,7 +45,8 @@ def resolve(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataF
     body = F.coalesce(pages[html], F.lit("")).cast("binary")
     heads = pages.select(pages[key].alias("page_id"), F.sha1(body).alias("digest"), F.octet_length(body).cast("bigint").alias("size"))
     first = heads.where(F.col("size") >= MIN_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return heads.join(first.drop("n"), ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    found = meet(heads, stored(first.select("digest", "n", "refers_to")), "digest", "n", "refers_to")
+    return found.where("refers_to is not null and not (page_id <=> refers_to)").distinct()
 
 
 def _line(name: str, value) -> F.Column:
@@ -133,15 +134,18 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
 def with_originals(records: DataFrame) -> DataFrame:
     """Fill in each revisit's size from the response that it refers to."""
-    originals = records.where("record_type = 'response'").select(F.col("page_id").alias("o_id"), F.col("payload_digest").alias("o_digest"), F.col("payload_bytes").alias("o_bytes")).where(F.col("o_bytes") >= MIN_BYTES).distinct()
-    joined = records.join(originals, (F.col("refers_to") == F.col("o_id")) & (F.col("payload_digest") == F.col("o_digest")), "left")
-    return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "o_bytes")).drop("o_id", "o_digest", "o_bytes")
+    ref = lambda c: F.concat_ws(":", c, "payload_digest")
+    originals = records.where("record_type = 'response'").where(F.col("payload_bytes") >= MIN_BYTES).select(ref(F.col("page_id").cast("string")).alias("ref"), F.col("payload_bytes").alias("its_bytes")).distinct()
+    revisits = records.withColumn("ref", F.when(F.col("refers_to").isNotNull(), ref(F.col("refers_to").cast("string"))))
+    counts = revisits.where("ref is not null").groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
+    joined = meet(revisits, stored(counts.join(originals, "ref")), "ref", "n", "its_bytes")
+    return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "its_bytes")).drop("ref", "its_bytes")
 
 
 def archive_and_read(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
     """Write deduplicated archives to the shared folder, read them back and describe every page."""
     spark = pages.sparkSession
-    path = work_dir(spark)
+    path = scratch(spark)
     write_archives(pages, path, html, key, url)
     found = with_originals(stored(read_archives(spark, path)))
     return found.select(F.col("page_id").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to")

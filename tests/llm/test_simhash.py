@@ -4,7 +4,7 @@ import xxhash
 from brute import brute_components
 
 from tablewise.llm import simhash
-from tablewise.llm.components import components
+from tablewise.operators.graph import components
 
 
 def test_fingerprint_by_hand():
@@ -43,7 +43,7 @@ def test_components_against_all_pairs(spark, hot, monkeypatch):
         fps.append(fps[rng.integers(0, len(fps))] ^ np.bitwise_or.reduce(np.int64(1) << rng.integers(0, 64, rng.integers(0, 6)), initial=0))
     fps = [int(f) for f in fps]
     reps = spark.createDataFrame([(f,) for f in sorted(set(fps))], "fp bigint")
-    roots = {r.node: r.root for r in components(simhash.links(reps)).collect()}
+    roots = {r.node: r.component for r in components(simhash.links(reps).toDF("src", "dst")).collect()}
     got = [roots.get(f, f) for f in sorted(set(fps))]
     want = brute_components(sorted(set(fps)), [f & (2**64 - 1) for f in sorted(set(fps))])
     assert got == want
@@ -58,8 +58,18 @@ def test_tables(spark, odd_docs, sf):
     assert [r.component_id for r in rows] == brute_components([r.doc_id for r in rows], [int(r.fingerprint, 16) for r in rows])
 
 
-def test_long_chains(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 90)] + [(200, 201), (201, 201), (None, 5)], "a bigint, b bigint")
-    got = {r.node: r.root for r in components(edges).collect()}
-    assert got == {**{i: 0 for i in range(91)}, 200: 200, 201: 200}
-    assert components(edges.limit(0)).count() == 0
+def test_links_through_rows_without_or_with_one_id(spark, monkeypatch):
+    """Fingerprints 0, 7 and 63 link in a row, whatever ids they have."""
+    chain = {"a": 0, "b": 7, "c": 63, "d": 1 << 40 | 0xFFFFFF}
+    table = lambda rows: spark.createDataFrame(rows, "doc_id bigint, fp bigint")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, text, key: docs.select("doc_id", "fp"))
+    got = simhash.near_duplicates(table([(1, chain["a"]), (None, chain["b"]), (9, chain["c"])])).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (None, 1), (9, 1)}
+    got = simhash.near_duplicates(table([(5, chain["a"]), (5, chain["d"]), (7, chain["d"]), (6, chain["c"]), (None, 1 << 62 | 0xFF0F0F0F0F)])).collect()
+    assert sorted((str(r.doc_id), int(r.fingerprint, 16), str(r.component_id)) for r in got) == sorted([("5", chain["a"], "5"), ("5", chain["d"], "5"), ("7", chain["d"], "5"), ("6", chain["c"], "6"), ("None", 1 << 62 | 0xFF0F0F0F0F, "None")])
+
+
+def test_one_frequent_fingerprint(spark):
+    docs = spark.createDataFrame([(i, "the same text in many rows here") for i in range(500, 0, -1)] + [(1000 + i, f"another text {i} entirely {i * i} of its own {i % 7}") for i in range(50)], "doc_id bigint, text string").selectExpr("*", "1 AS component_id", "2 AS n")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert {got[i] for i in range(1, 501)} == {1} and len(got) == 550
