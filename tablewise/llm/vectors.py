@@ -7,28 +7,33 @@ kept neighbour is much nearer to, so that edges stay diverse; reverse edges are
 One more coordinate turns largest inner product into smallest Euclidean distance. Graphs are
 written to the shared folder, one row a shard.
 
-Queries are dealt to blocks of ``QUERY_BLOCK`` and every block runs a beam search in every shard;
-each pair of block and shard gives the best ``k`` of each query, scored again in double precision
-on the original vectors, and a ranking over shards keeps ``k``.
+A task takes one shard: its graph comes first in the partition, and the queries stream past it.
+Each beam search gives a query's best ``k`` of the shard, scored again in double precision on the
+original vectors; while the last of a beam ties with the k-th, the query is searched again with a
+wider beam. A ranking over shards keeps ``k``.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no
 part, nor do null ids; only vectors of equal length meet; a repeated row counts once; a query id
-with several vectors asks with the smallest of them; ties go to the smaller id; with fewer than
-``k`` candidates all are returned; further input columns are ignored; no vectors give no rows.
+with several vectors asks with the smallest of them; of equal scores those with the smaller ids
+come first and stay; with fewer than ``k`` candidates all are returned; further input columns are
+ignored; no vectors give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.common import stored
+from tablewise.llm.common import map_batches, stored
 
-SHARD, QUERY_BLOCK = 8_192, 8_192
+SHARD = 4_096
 #: Edges of a node, width of the beam when building and when searching, relaxation of pruning.
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 160, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 80, 1.2
 #: Nodes from which every search starts, nodes expanded at once, searches run at once.
 ENTRIES, EXPAND, LOCKSTEP = 32, 4, 256
 K = 20
@@ -165,7 +170,13 @@ def graphs(nodes: DataFrame, shards: int, k: int = K) -> DataFrame:
     merged = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     dealt = merged.select(F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), "ids", "v")
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A partition is one shard.
+        frames = [f for f in batches if len(f)]
+        for _, frame in pd.concat(frames).groupby(["shard", "dim"]) if frames else ():
+            yield built(frame)
+
+    def built(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ids", key=lambda c: c.map(lambda x: x[0]), kind="stable")
         base = np.stack(frame["v"].to_numpy()).astype(np.float64)
         ids = np.full((len(frame), k + 1), np.iinfo(np.int64).min)
@@ -174,31 +185,61 @@ def graphs(nodes: DataFrame, shards: int, k: int = K) -> DataFrame:
         edges = build_graph(lifted(base)).astype("<i4")
         return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "dim": [base.shape[1]], "n": [len(frame)], "ids": [ids.astype("<i8").tobytes()], "vectors": [base.astype("<f8").tobytes()], "edges": [edges.tobytes()]})
 
-    return stored(dealt.groupBy("shard", "dim").applyInPandas(build, "shard int, dim int, n int, ids binary, vectors binary, edges binary"))
-
-
-def search(graph: pd.Series, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> pd.DataFrame:
-    """Each query's best k ids in one graph, by exact score and then id."""
-    n = int(graph["n"])
-    base = np.frombuffer(graph["vectors"], "<f8").reshape(n, -1)
-    ids = np.frombuffer(graph["ids"], "<i8").reshape(n, -1)
-    edges = np.frombuffer(graph["edges"], "<i4").reshape(n, -1).astype(np.int64)
-    space, none, found = lifted(base), np.iinfo(np.int64).min, []
-    # Length of a query doesn't change its order of neighbours; a common one keeps distances alike.
-    scale = np.sqrt((space[0].astype(np.float64) ** 2).sum()) / np.sqrt((queries**2).sum(1))
-    points = np.concatenate([queries * scale[:, None], np.zeros((len(queries), 1))], 1).astype(np.float32)
-    for at in range(0, len(queries), LOCKSTEP):
-        own, q = query_ids[at : at + LOCKSTEP], queries[at : at + LOCKSTEP]
-        rows, _ = beam_search(space, edges, points[at : at + LOCKSTEP], SEARCH_BEAM)
-        score = np.where(rows >= 0, np.einsum("nbd,nd->nb", base[np.maximum(rows, 0)], q), -np.inf)
-        best = np.argsort(-score, 1, kind="stable")[:, : k + 2]
-        rows, score = np.take_along_axis(rows, best, 1), np.take_along_axis(score, best, 1)
-        member = ids[np.maximum(rows, 0)]
-        valid = (member != none) & (rows >= 0)[..., None] & (member != own[:, None, None])
-        i, b, m = np.nonzero(valid)
-        frame = pd.DataFrame({"query_id": own[i], "vec_id": member[i, b, m], "score": score[i, b]})
-        found.append(frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable").groupby("query_id", sort=False).head(k))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    return stored(dealt.repartitionById(shards, "shard").mapInPandas(build, "shard int, dim int, n int, ids binary, vectors binary, edges binary"))
+
+
+class Graph:
+    """One shard's graph, ready to be searched."""
+
+    def __init__(self, n: int, ids: bytes, vectors: bytes, edges: bytes):
+        self.base = np.frombuffer(vectors, "<f8").reshape(n, -1)
+        self.ids = np.frombuffer(ids, "<i8").reshape(n, -1)
+        self.edges = np.frombuffer(edges, "<i4").reshape(n, -1).astype(np.int64)
+        self.space = lifted(self.base)
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, score): each query's best k, by exact score and then id."""
+        # Length of a query doesn't change its order of neighbours; a common one keeps distances alike.
+        scale = np.sqrt((self.space[0].astype(np.float64) ** 2).sum()) / np.sqrt((queries**2).sum(1))
+        points = np.concatenate([queries * scale[:, None], np.zeros((len(queries), 1))], 1).astype(np.float32)
+        found = []
+        for at in range(0, len(queries), LOCKSTEP):
+            todo, beam = np.arange(at, min(at + LOCKSTEP, len(queries))), SEARCH_BEAM
+            while len(todo):
+                rows, _ = beam_search(self.space, self.edges, points[todo], beam)
+                score = np.where(rows >= 0, np.einsum("nbd,nd->nb", self.base[np.maximum(rows, 0)], queries[todo]), -np.inf)
+                sorted_score = -np.sort(-score, 1)
+                # Its own node may be among the first k + 1; a full beam that ends in a tie with them goes on.
+                tied = (sorted_score[:, -1] == sorted_score[:, min(k, beam - 1)]) & np.isfinite(sorted_score[:, -1]) & (beam < len(self.base))
+                found.append(self._best(own[todo[~tied]], rows[~tied], score[~tied], k))
+                todo, beam = todo[tied], 2 * beam
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def _best(self, own: np.ndarray, rows: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        member = self.ids[np.maximum(rows, 0)]
+        q, b, m = np.nonzero((member != np.iinfo(np.int64).min) & (rows >= 0)[..., None] & (member != own[:, None, None]))
+        vec, value = member[q, b, m], score[q, b]
+        order = np.lexsort((vec, -value, q))
+        q, vec, value = q[order], vec[order], value[order]
+        first = np.searchsorted(q, np.arange(len(own)))
+        keep = np.arange(len(q)) - first[q] < k
+        return own[q[keep]], vec[keep], value[keep]
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Searches of a partition's rows: graphs, each followed by the queries of its shard and length."""
+    graph, of = None, None
+    for b in batches:
+        shard, dim, kind = (b.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "dim", "kind"))
+        new = (kind == 0) | np.concatenate([[True], (np.diff(shard) != 0) | (np.diff(dim) != 0) | (np.diff(kind) != 0)])
+        cuts = [*np.flatnonzero(new).tolist(), b.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            part = b.slice(low, high - low)
+            if kind[low] == 0:
+                graph, of = Graph(*(part.column(n)[0].as_py() for n in ("n", "ids", "vectors", "edges"))), (shard[low], dim[low])
+            elif of == (shard[low], dim[low]):
+                vectors = part.column("v").flatten().to_numpy().reshape(high - low, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in graph.search(part.column("id").to_numpy(), vectors, k)], ["query_id", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", key: str = "vec_id", k: int = K) -> DataFrame:
@@ -206,16 +247,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", k
     nodes = stored(usable(vectors, vector, key))
     asked = usable(queries, vector, key).groupBy("id").agg(F.min("v").alias("v"))
     shards = max(1, -(-nodes.count() // SHARD))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    graph = graphs(nodes, shards, k).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = asked.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return search(left.iloc[0], right["id"].to_numpy(np.int64), np.stack(right["v"].to_numpy()).astype(np.float64), k)
-
-    keys = ["shard", "dim", "block"]
-    found = graph.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
+    graph = graphs(nodes, shards, k).withColumn("kind", F.lit(0))
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    dealt = asked.select("id", "v", F.size("v").alias("dim"), F.lit(1).alias("kind"), every)
+    both = graph.unionByName(dealt, allowMissingColumns=True).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "kind")
+    found = map_batches(both, lambda batches: _streamed(batches, k), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(key), "score")

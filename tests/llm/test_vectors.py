@@ -10,7 +10,7 @@ def exact(ids, x, q, k=20):
     return ids[np.lexsort((ids, -score))[:k]]
 
 
-@pytest.mark.parametrize("shard", [8192, 700])
+@pytest.mark.parametrize("shard", [4096, 700])
 def test_recall(spark, shard, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD", shard)
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
@@ -40,3 +40,13 @@ def test_one_hot_vector(spark):
     got = vectors.nearest(df, df.where("vec_id % 20 = 0")).toPandas()
     assert got[got.query_id == 40].sort_values("rank").vec_id.tolist() == list(range(20))
     assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == list(range(1, 21))
+
+
+def test_ties_of_different_vectors(spark):
+    """399 different vectors with the same inner product: the smallest ids are the nearest."""
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0] + [0.0] * 7)] + [(i, [1.0, *map(float, rng.normal(size=7))]) for i in range(1, 400)] + [(1000 + i, [0.5, *map(float, rng.normal(size=7))]) for i in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), v) for i, v in rows], "vec_id bigint, embedding array<double>")
+    got = vectors.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {1.0}
