@@ -77,6 +77,6 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows_pe
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = [near.where(F.col("y") == y).orderBy(*order).limit(rows_per_class) for y in (0, 1)]
     found = short.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
-    order = [F.xxhash64("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))), F.col("doc_id")]
+    order = [F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.col("doc_id")]
     rows = [found.where(F.col("y") == y).orderBy(*order).limit(rows_per_class) for y in (0, 1)]
     return rows[0].unionByName(rows[1])

@@ -1,21 +1,23 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-A text's words (lower case, without outer punctuation) are read as UTF-8 byte sequences by a
-forward and a backward GRU; every byte position gets a language distribution from both states, and
-a document's distribution is the mean over all of its positions. Weights are trained in numpy by
-backpropagation through time on words of labelled documents.
-
-States start anew at each word, so a word's positions do not depend on where it stands: each
-distinct word is computed once per task, in batches of equal length, and looked up afterwards.
-
-Training takes at most ``DOCS_PER_LANG`` documents of each language, of at most ``TRAIN_CHARS``
-characters, which are collected on the driver, and ``TRAIN_WORDS`` of their words a language.
-Predictions cover whole texts.
-
-Defined results: null texts and texts without a letter are ``und`` with score 0; words longer than
-``PIECE`` bytes are read in pieces; ties go to the first language in order; equal texts have equal
-predictions; without any language to learn all are ``und``; further input columns are ignored; an
-empty table gives an empty table.
+A text's UTF-8 bytes, in lower case, are read by a forward and a backward GRU, across words, digits,
+marks and white space; every byte position gets a language distribution from both states, and a
+document's distribution is the mean over all of its positions. Weights are trained in numpy by
+backpropagation through time on pieces of labelled documents.
+
+Texts are read in windows of ``WINDOW`` positions. Each is read with ``CONTEXT`` further bytes on
+either side, which carry the states but whose positions belong to the neighbouring windows, so
+every position is labelled once and windows of all texts run through the network in batches.
+
+Training takes at most ``DOCS_PER_LANG`` rows of each language, out of those of at most
+``TRAIN_CHARS`` characters, which are collected on the driver, and ``PIECES_PER_LANG`` pieces of
+``PIECE`` bytes of them. Predictions cover whole texts.
+
+Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the first
+language in order; equal texts have equal predictions (means are rounded to five digits before they
+are compared); only a row's own language is learned from its text, whatever other rows share its
+id; rows with a null id are predicted but not learned from; without any language to learn all are
+``und``; further input columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 
 from tablewise.llm.common import held_out, map_batches
 
-HIDDEN = 16
-PIECE = 48
-DOCS_PER_LANG, TRAIN_CHARS, TRAIN_WORDS = 300, 20_000, 12_000
-EPOCHS, BATCH, RATE = 4, 256, 0.01
-#: Words a task remembers, and words run through the network at once.
-MEMO_WORDS, MEMO_CHARS, RUN_WORDS = 1_000_000, 64, 4_096
+HIDDEN = 8
+#: Positions of a window, bytes of context on either side, and the step that lengths are rounded up to.
+WINDOW, CONTEXT, STEP = 224, 16, 16
+DOCS_PER_LANG, TRAIN_CHARS, PIECES_PER_LANG, PIECE = 300, 20_000, 3_000, 64
+EPOCHS, BATCH, RATE = 4, 128, 0.01
+#: Windows run through the network at once, and bytes of text that are read at once.
+RUN_WINDOWS, RUN_BYTES = 1_024, 8 << 20
 UNKNOWN = "und"
 
 
@@ -72,17 +75,39 @@ def _both(x: np.ndarray) -> np.ndarray:
     return np.stack([x.T, x.T[::-1]], 1)
 
 
-def position_sums(w: dict, x: np.ndarray) -> np.ndarray:
-    """Language probabilities summed over the positions of (n, T) words of equal length."""
-    both = _both(x)
-    h = np.zeros((2, len(x), HIDDEN), np.float32)
-    states = np.empty((len(both), 2, len(x), HIDDEN), np.float32)
-    for t, xt in enumerate(both):
-        z, _, c, _ = _gates(w, xt, h)
-        h = c + z * (h - c)
-        states[t] = h
-    top, low = w["out"][:HIDDEN], w["out"][HIDDEN:]
-    return _softmax(states[:, 0] @ top + states[::-1, 1] @ low + w["bias"]).sum(0)
+def position_sums(w: dict, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Language probabilities summed over those positions of (n, T) windows that count.
+
+    The same network as in ``gradients``, with one row a gate and one column a window, so that every
+    operation runs over long contiguous rows."""
+    n, steps = HIDDEN, x.shape[1]
+    columns = np.ascontiguousarray(x.T).astype(np.intp)
+    half = np.repeat(np.array([0.5, 0.5, 1], np.float32), n)[:, None]
+    logits = np.repeat(w["bias"].astype(np.float32)[None, :, None], steps, 0) + np.zeros((1, 1, len(x)), np.float32)
+    for k, order in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
+        byte, state = half * w["byte"][k].T, half * w["state"][k].T
+        byte, state = (np.ascontiguousarray(m, np.float32) for m in (byte, state))
+        states, h = np.empty((steps, n, len(x)), np.float32), np.zeros((n, len(x)), np.float32)
+        for t in order:
+            a, g = state @ h, byte.take(columns[t], 1)
+            zr = a[: 2 * n]
+            zr += g[: 2 * n]
+            np.tanh(zr, zr)
+            zr *= 0.5
+            zr += 0.5
+            c, u = g[2 * n :], a[2 * n :]
+            u *= zr[n:]
+            c += u
+            np.tanh(c, c)
+            h = h - c
+            h *= zr[:n]
+            h += c
+            states[t] = h
+        logits += np.ascontiguousarray(w["out"][k * n : (k + 1) * n].T) @ states
+    logits -= logits.max(1, keepdims=True)
+    p = np.exp(logits, logits)
+    p *= (counts.T / p.sum(1))[:, None, :].astype(np.float32)
+    return p.sum(0).T
 
 
 def gradients(w: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -121,44 +146,45 @@ def gradients(w: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, n
     return float(loss), found | {"byte": d_byte, "state": d_state}
 
 
-def core(chunk: str) -> str:
-    """A white-space-delimited chunk from its first to its last letter, in lower case."""
-    if not chunk.isalpha():
-        at = [i for i, c in enumerate(chunk) if c.isalpha()]
-        chunk = chunk[at[0] : at[-1] + 1] if at else ""
-    return chunk.lower()
+def windows(size: int) -> list[tuple[int, int, int, int]]:
+    """(begin, end, first, stop) of each window of a text: bytes read, and positions that count.
 
+    A window's length is a multiple of STEP, or the whole text's, so that windows fall into few
+    kinds: what is missing is read further ahead of it, or further on."""
+    out = []
+    for first in range(0, size, WINDOW):
+        stop = min(size, first + WINDOW)
+        begin, end = max(0, first - CONTEXT), min(size, stop + CONTEXT)
+        more = -(end - begin) % STEP
+        ahead = min(more, begin)
+        out.append((begin - ahead, min(size, end + more - ahead), first, stop))
+    return out
 
-def pieces(word: str) -> list[bytes]:
-    data = word.encode("utf-8", "surrogatepass")
-    return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
 
-
-def by_length(items: list[bytes]) -> dict[int, np.ndarray]:
-    found = defaultdict(list)
-    for k, item in enumerate(items):
-        found[len(item)].append(k)
-    return {n: np.array(at) for n, at in sorted(found.items())}
+def letters(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def train(texts: list[str], truth: np.ndarray, n_langs: int, seed: int = 7) -> dict[str, np.ndarray]:
-    """Adam over minibatches of equally long words, as many from each language."""
+    """Adam over minibatches of equally long pieces, at most as many from each language."""
     rng = np.random.default_rng(seed)
-    items, y = [], []
+    by_size: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
     for lang in range(n_langs):
-        words = [p for t, own in zip(texts, truth) if own == lang for c in t.split() for p in pieces(core(c))]
-        for k in rng.permutation(len(words))[:TRAIN_WORDS]:
-            items.append(words[k])
-            y.append(lang)
-    w, y = init(n_langs, seed), np.array(y)
+        data = [t.lower().encode("utf-8", "surrogatepass") for t, own in zip(texts, truth) if own == lang and letters(t)]
+        pieces = [d[i : i + PIECE] for d in data for i in range(0, max(1, len(d) - PIECE // 2), PIECE)]
+        for k in rng.permutation(len(pieces))[:PIECES_PER_LANG]:
+            by_size[len(pieces[k])].append((pieces[k], lang))
+    w = init(n_langs, seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-    batches = [at[i : i + BATCH] for at in (rng.permutation(at) for at in by_length(items).values()) for i in range(0, len(at), BATCH)]
+    batches = []
+    for _, items in sorted(by_size.items()):
+        items = [items[k] for k in rng.permutation(len(items))]
+        batches += [items[i : i + BATCH] for i in range(0, len(items), BATCH)]
     step = 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(batches)):
-            at = batches[k]
-            x = np.frombuffer(b"".join([items[i] for i in at]), np.uint8).reshape(len(at), -1)
-            _, found = gradients(w, x, y[at])
+            x = np.frombuffer(b"".join([d for d, _ in batches[k]]), np.uint8).reshape(len(batches[k]), -1)
+            _, found = gradients(w, x, np.array([y for _, y in batches[k]]))
             step += 1
             for name, g in found.items():
                 m, v = moments[name]
@@ -168,76 +194,58 @@ def train(texts: list[str], truth: np.ndarray, n_langs: int, seed: int = 7) -> d
     return w
 
 
-class Reader:
-    """Document distributions; words are remembered up to a bound."""
-
-    def __init__(self, weights: dict, n_langs: int):
-        self.w, self.n = weights, n_langs
-        self.clear()
-
-    def clear(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.cores: dict[str, int] = {"": 0}
-        #: Per core: summed probabilities, then the number of positions.
-        self.sums = np.zeros((1, self.n + 1), np.float32)
-
-    def learn(self, chunks: set[str]) -> None:
-        new = chunks.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.clear()
-            new = chunks
-        found = [(c, core(c)) for c in new]
-        words = list({w for _, w in found}.difference(self.cores))
-        parts = [(k, p) for k, w in enumerate(words) for p in pieces(w)]
-        items, rows = [p for _, p in parts], np.zeros((len(words), self.n + 1), np.float32)
-        owner = np.array([k for k, _ in parts], np.int64)
-        for length, at in by_length(items).items():
-            for i in range(0, len(at), RUN_WORDS):
-                own = at[i : i + RUN_WORDS]
-                x = np.frombuffer(b"".join([items[k] for k in own]), np.uint8).reshape(len(own), length)
-                np.add.at(rows, owner[own], np.concatenate([position_sums(self.w, x), np.full((len(own), 1), length, np.float32)], 1))
-        base = len(self.sums)
-        self.cores.update(zip(words, range(base, base + len(words))))
-        self.sums = np.concatenate([self.sums, rows])
-        self.memo.update([(c, self.cores[w]) for c, w in found])
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the likeliest language (-1: no letter) and its mean probability."""
-        docs = [(t or "").split() for t in texts]
-        self.learn(set().union(*docs))
-        memo, total = self.memo, np.zeros((len(docs), self.n + 1))
-        for k, words in enumerate(docs):
-            if words:
-                total[k] = self.sums[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-        for c in [c for c in memo if len(c) > MEMO_CHARS]:
-            del memo[c]
-        mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
-        lettered = total[:, -1] > 0
-        return np.where(lettered, mean.argmax(1), -1), np.where(lettered, np.clip(mean.max(1), 0, 1), 0.0)
+def read(w: dict, n_langs: int, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the likeliest language (-1: no letter) and its mean probability."""
+    bodies = [t.lower().encode("utf-8", "surrogatepass") if t and letters(t) else b"" for t in texts]
+    sizes = np.array([len(b) for b in bodies])
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    base = np.cumsum(sizes) - sizes
+    spans = np.array([(k, *window) for k, n in enumerate(sizes.tolist()) for window in windows(n)], np.int64).reshape(-1, 5)
+    total = np.zeros((len(texts), n_langs))
+    length = spans[:, 2] - spans[:, 1]
+    for size in np.unique(length).tolist():
+        own = spans[length == size]
+        at = np.arange(size)
+        for i in range(0, len(own), RUN_WINDOWS):
+            doc, begin, _, first, stop = own[i : i + RUN_WINDOWS].T
+            place = begin[:, None] + at
+            counts = (place >= first[:, None]) & (place < stop[:, None])
+            np.add.at(total, doc, position_sums(w, data[base[doc][:, None] + place], counts))
+    mean = np.round(total / np.maximum(sizes, 1)[:, None], 5)
+    return np.where(sizes > 0, mean.argmax(1), -1), np.where(sizes > 0, np.clip(mean.max(1), 0, 1), 0.0)
 
 
 def predict(documents: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """(key, held_out, lang_pred, score); learns from rows with a language that are not held out."""
     docs = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
-    known = documents.select(documents[key].alias("doc_id"), documents[lang].alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.withColumn("place", place).where(F.col("place") <= DOCS_PER_LANG).drop("place")
-    rows = sorted(tuple(r) for r in docs.join(F.broadcast(picked), "doc_id").where(F.length("text") <= TRAIN_CHARS).select("lang", "doc_id", "text").collect())
-    langs = sorted({r[0] for r in rows})
-    weights = train([r[2] for r in rows], np.array([langs.index(r[0]) for r in rows]), len(langs)) if langs else None
+    rows = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"), documents[lang].alias("lang"))
+    known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0) & (F.char_length("text") <= TRAIN_CHARS))
+    # Rows are chosen by a hash of id and text, which is all that the ranking moves.
+    mark = F.xxhash64("doc_id", "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    marks = known.select("lang", mark.alias("mark")).distinct().withColumn("place", place).where(F.col("place") <= DOCS_PER_LANG).select(F.col("lang").alias("its"), "mark")
+    picked = known.withColumn("mark", mark).join(F.broadcast(marks), ["mark"]).where(F.col("lang") == F.col("its"))
+    got = picked.dropDuplicates(["mark", "lang"]).select("lang", "doc_id", "text").collect()
+    got = sorted(tuple(r) for r in got)
+    langs = sorted({r[0] for r in got})
+    weights = train([r[2] for r in got], np.array([langs.index(r[0]) for r in got]), len(langs)) if langs else None
 
     def run(batches):
-        reader = Reader(weights, len(langs)) if langs else None
         for b in batches:
             texts = b.column(1).to_pylist()
             found, score = [], []
-            for at in range(0, len(texts) if reader else 0, 2_000):
-                best, p = reader.read(texts[at : at + 2_000])
+            if weights is None:
+                found, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            at = 0
+            while at < len(texts) and weights is not None:
+                stop, size = at, 0
+                while stop < len(texts) and (stop == at or size < RUN_BYTES):
+                    size, stop = size + 2 * len(texts[stop] or ""), stop + 1
+                best, p = read(weights, len(langs), texts[at:stop])
                 found += [langs[k] if k >= 0 else UNKNOWN for k in best]
                 score += p.tolist()
-            if not reader:
-                found, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                at = stop
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    read = map_batches(docs, run, "doc_id bigint, lang_pred string, score double")
-    return read.select(F.col("doc_id").alias(key), held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+    scored = map_batches(docs, run, "doc_id bigint, lang_pred string, score double")
+    return scored.select(F.col("doc_id").alias(key), held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")

@@ -4,8 +4,8 @@ A word is the bag of its character n-grams (boundary marks included); each n-gra
 embedding row. The rows of a word are averaged, the words of a short window are averaged again and
 a two-class softmax reads the window. Rows, softmax weights and bias are trained jointly by
 full-batch Adam in numpy, so a misspelling that was never seen shares most of its vector with the
-word it comes from. The odds of a document are the summed odds of its windows, so one window is
-enough however long the document is.
+word it comes from. The odds of a document are the ``POWER``-norm of its windows' odds, so one
+window is enough however long the document is, and many harmless ones add little.
 
 Because the softmax is linear, a word adds one number (its margin) to its windows; scoring looks
 margins up per distinct word, computing unseen words in bulk.
@@ -31,8 +31,8 @@ from tablewise.llm.common import held_out, labelled_sample, map_batches
 
 BUCKETS, DIM = 1 << 17, 8
 GRAMS = (3, 4, 5, 6)
-#: Words of a window.
-WINDOW = 2
+#: Words of a window, and the norm that joins the odds of windows (1: their sum).
+WINDOW, POWER = 2, 3
 ROWS_PER_CLASS, TRAIN_CHARS = 2_000, 20_000
 EPOCHS, RATE, SHRINK = 80, 0.1, 2e-3
 #: Margins remembered by a task, and the longest word that is.
@@ -100,7 +100,7 @@ def train(texts: list[str], truth: np.ndarray, seed: int = 7) -> tuple[np.ndarra
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
-    bias = np.array([-float(np.log(n_win.mean()))], np.float32)
+    bias = np.array([-float(np.log(n_win.mean())) / POWER], np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
     weight = np.where(truth == 1, 0.5 / max(1, (truth == 1).sum()), 0.5 / max(1, (truth == 0).sum())) * n_docs
     for epoch in range(1, EPOCHS + 1):
@@ -110,9 +110,9 @@ def train(texts: list[str], truth: np.ndarray, seed: int = 7) -> tuple[np.ndarra
         total = np.concatenate([[0.0], np.cumsum(of_word[token], dtype=np.float64)])
         odds = (total[win_at + win_len] - total[win_at]) / win_len + bias[0]
         top = np.maximum.reduceat(odds, win_first)
-        share = np.exp(odds - top[win_doc])
+        share = np.exp(POWER * (odds - top[win_doc]))
         summed = np.add.reduceat(share, win_first)
-        p = 1 / (1 + np.exp(-np.clip(top + np.log(summed), -60, 60)))
+        p = 1 / (1 + np.exp(-np.clip(top + np.log(summed) / POWER, -60, 60)))
         slope = (p - truth) * weight
         by_window = slope[win_doc] * share / summed[win_doc] / win_len
         change = np.zeros(len(token) + 1)
@@ -151,7 +151,7 @@ class Scorer:
         for words in docs:
             odds = window_means(np.fromiter(map(memo.__getitem__, words), np.float64, len(words))) + self.bias
             top = odds.max()
-            out.append(float(1 / (1 + np.exp(-np.clip(top + np.log(np.exp(odds - top).sum()), -60, 60)))))
+            out.append(float(1 / (1 + np.exp(-np.clip(top + np.log(np.exp(POWER * (odds - top)).sum()) / POWER, -60, 60)))))
         for w in [w for w in memo if len(w) > MEMO_CHARS]:
             del memo[w]
         return out
