@@ -83,11 +83,23 @@ FROM heads h LEFT JOIN firsts f USING (payload_digest, payload_bytes)
 
 def _op5_sql() -> str:
     """The raking rounds of ``mixing.rake`` as a chain of grouped queries."""
-    topic = " ".join(f"WHEN contains(coalesce(text, ''), '{part}') THEN '{name}'" for name, part in mixing.TOPICS)
+    lead = f"""sampled_texts AS MATERIALIZED (
+    SELECT lower(coalesce(text, '')) AS t FROM documents WHERE length(coalesce(text, '')) <= {mixing.SAMPLE_CHARS}
+    ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) LIMIT {mixing.SAMPLE}
+), leads AS MATERIALIZED (
+    SELECT word, row_number() OVER (ORDER BY n DESC, word) AS place FROM (
+        SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(t, '{mixing.LONG_WORD}'))) AS word FROM sampled_texts) GROUP BY word)
+    WHERE n <= {mixing.SAMPLE} / 4 ORDER BY place LIMIT {mixing.LEADS}
+), topics AS MATERIALIZED (
+    SELECT row_id, arg_min(word, place) AS topic FROM (
+        SELECT row_id, word, place, (length(t) - length(replace(t, word, ''))) // length(word) AS k, max(k) OVER (PARTITION BY row_id) AS most
+        FROM (SELECT rowid_ AS row_id, lower(coalesce(text, '')) AS t FROM d0), leads)
+    WHERE k = most AND k > 0 GROUP BY row_id
+)"""
     temper = mixing.TEMPER
-    steps = [f"""d AS MATERIALIZED (
-    SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {topic} ELSE '{mixing.OTHER_TOPIC}' END AS topic,
-           CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS n_tokens FROM documents
+    steps = ["d0 AS MATERIALIZED (SELECT *, row_number() OVER () AS rowid_ FROM documents)", lead, f"""d AS MATERIALIZED (
+    SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(topic, '{mixing.OTHER_TOPIC}') AS topic,
+           CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS n_tokens FROM d0 LEFT JOIN topics ON rowid_ = row_id
 ), cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)"""]
     for level in ("source", "lang", "topic"):
         steps.append(f"goal_{level} AS MATERIALIZED (SELECT {level}, pow(sum(n), {temper}) / sum(pow(sum(n), {temper})) OVER () AS goal FROM cells GROUP BY {level})")
