@@ -43,3 +43,28 @@ def brute_components(ids, fps, radius=3):
     for i, doc in enumerate(ids):
         low[root(i)] = min(doc, low.get(root(i), doc))
     return [low[root(i)] for i in range(len(ids))]
+
+
+def brute_near_copies(ids, texts, n=5):
+    """Smallest id reachable over pairs whose sets of n-word shingles have a similarity of 4/5 or more."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set())
+    parent = list(range(len(ids)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    low = {}
+    for i, doc in enumerate(ids):
+        low[root(i)] = min(doc, low.get(root(i), doc))
+    return [low[root(i)] for i in range(len(ids))]

@@ -5,11 +5,11 @@ import hashlib
 import duckdb
 import numpy as np
 import public_tokenizers
-from brute import brute_components, brute_repeats
+from brute import brute_near_copies, brute_repeats
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tablewise.llm import simhash, toxicity
+from tablewise.llm import toxicity
 from tablewise.llm.registry import ORACLES
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -33,7 +33,7 @@ def test_stages(spark, sf, tmp_path):
     single = spark.read.parquet(str(tmp_path / "2"))
     rows = clean.orderBy("doc_id").collect()
     ids = [r.doc_id for r in rows]
-    want = [i for i, c in zip(ids, brute_components(ids, [simhash.fingerprint(r.text) for r in rows])) if i == c]
+    want = [i for i, c in zip(ids, brute_near_copies(ids, [r.text for r in rows])) if i == c]
     assert sorted(r.doc_id for r in single.collect()) == want
 
     cut = STAGES["suffix_dedup"](spark, single, sf)
@@ -66,12 +66,24 @@ def test_stages(spark, sf, tmp_path):
 
 
 def test_odd_rows(spark, sf, odd_docs):
-    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for frame in (docs, docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES:
-            got = stage(spark, frame, sf)
-            assert got.count() <= frame.count()
-            if name != "bpe":
-                assert got.columns == docs.columns
-    one = STAGES["simhash_near_dedup"](spark, docs, sf).collect()
-    assert sorted(str(r.doc_id) for r in one) == sorted(["1", "3", "4", "5", "7", "8", "None"])
+    """Nulls, repeated rows, an empty table, and columns with names that stages use themselves."""
+    clash = odd_docs.selectExpr("*", "1 AS place", "2D AS toxicity_score", "7L AS n_removed", "8L AS n_bytes", "'x' AS kept_doc", "'y' AS carried", "3 AS component", "'z' AS digest")
+    for docs in (odd_docs.select("doc_id", "text", "lang", "source", "n_chars"), clash):
+        for frame in (docs, docs.limit(0)):
+            for name, stage in corpus_pipeline.STAGES:
+                got = stage(spark, frame, sf)
+                rows = got.collect()
+                assert len(rows) <= frame.count()
+                if name != "bpe":
+                    assert got.columns == docs.columns
+                    assert docs is not clash or all((r.place, r.toxicity_score, r.n_removed, r.kept_doc, r.digest) == (1, 2.0, 7, "x", "z") for r in rows)
+        one = STAGES["simhash_near_dedup"](spark, docs, sf).collect()
+        assert sorted(str(r.doc_id) for r in one) == sorted(["1", "3", "4", "5", "7", "8", "None"])
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, sf):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (3, " ".join(words + ["more"])), (3, " ".join(reversed(words))), (3, " ".join(reversed(words)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    got = STAGES["simhash_near_dedup"](spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([rows[0], rows[2]])
