@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +11,28 @@ from pyspark.sql import functions as F
 from tablewise.functions.types import normalized
 
 
+def _canonical(df: DataFrame, name: str) -> Column:
+    """A value as text that does not depend on how an engine prints fractions."""
+    kind = normalized(df.schema[name].dataType)
+    if kind == "float64":
+        return F.round(F.col(name) * 100).cast("decimal(38,0)").cast("string")
+    return F.to_json(F.struct(name)) if kind in ("json", "list") else F.col(name).cast("string")
+
+
 def snapshot(tables: dict[str, DataFrame], run_id: int) -> DataFrame:
-    """(run_id, table, column, dtype, nullable) of the tables as they are."""
-    rows = [(run_id, t, f.name, normalized(f.dataType), f.nullable) for t, df in tables.items() for f in df.schema]
-    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "run_id bigint, table string, column string, dtype string, nullable boolean")
+    """(run_id, table, column, dtype, nullable, row_count, filled, fingerprint) of whole tables.
+
+    One aggregate a table reads every row: a column is nullable if it holds a null, and its
+    fingerprint adds up digests of its values, so it does not depend on their order."""
+    parts = []
+    for t, df in tables.items():
+        cells = []
+        for i, f in enumerate(df.schema):
+            digest = F.conv(F.substring(F.md5(_canonical(df, f.name)), 1, 8), 16, 10).cast("decimal(38,0)")
+            cells.append(F.struct(F.lit(f.name).alias("column"), F.lit(normalized(f.dataType)).alias("dtype"), F.count(F.lit(1)).alias("row_count"), F.count(F.col(f.name)).alias("filled"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("fingerprint")).alias(f"c{i}"))
+        rows = df.agg(*cells).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(cells))])).alias("r")).select("r.*")
+        parts.append(rows.select(F.lit(run_id).cast("bigint").alias("run_id"), F.lit(t).alias("table"), "column", "dtype", (F.col("filled") < F.col("row_count")).alias("nullable"), "row_count", "filled", "fingerprint"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def latest_before(snapshots: DataFrame, run_id: int) -> DataFrame:
@@ -48,12 +67,24 @@ def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def rerun_summary(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Tables added, removed, changed and truly unchanged, the latter by a hash of their columns."""
-    mark = lambda df, name: df.groupBy("table").agg(F.sum(F.xxhash64("column", "dtype", "nullable").cast("decimal(38,0)")).alias(name))
+    """Tables added, removed, changed and truly unchanged: the latter have the same columns, rows and
+    values, by their snapshots."""
+    names = [c for c in ("column", "dtype", "nullable", "row_count", "fingerprint") if c in before.columns]
+    mark = lambda df, name: df.groupBy("table").agg(F.sum(F.xxhash64(*names).cast("decimal(38,0)")).alias(name))
     both = mark(before, "o").join(mark(after, "n"), "table", "full_outer")
     return both.agg(F.count_if(F.col("o").isNull()).alias("added"), F.count_if(F.col("n").isNull()).alias("removed"), F.count_if(F.col("o") != F.col("n")).alias("updated"), F.count_if(F.col("o") == F.col("n")).alias("unchanged"))
 
 
+def overview(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(first_run, tables_added, tables_removed, column_changes, no_changes); a first run, with
+    nothing before it, adds all tables and is never without changes."""
+    tables, columns = table_changes(before, after), column_changes(before, after)
+    counts = tables.select(F.col("change").alias("kind")).unionByName(columns.select(F.lit("column").alias("kind"))).unionByName(before.limit(1).select(F.lit("before").alias("kind")))
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    got = counts.agg((n("before") == 0).alias("first_run"), n("added").alias("tables_added"), n("removed").alias("tables_removed"), n("column").alias("column_changes"))
+    return got.withColumn("no_changes", ~F.col("first_run") & (F.col("tables_added") + F.col("tables_removed") + F.col("column_changes") == 0))
+
+
 def locked_upsert(old: DataFrame, new: DataFrame, key: Sequence[str], protected: Sequence[str], lock: str = "locked", removed: str | None = None) -> DataFrame:
     """New values over old ones by key, but for protected columns of locked rows.
 

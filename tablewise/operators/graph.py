@@ -133,15 +133,15 @@ def kin_groups(items: DataFrame, key: str, tokens: str, least: int = 3) -> DataF
     Leaders are found in rounds: whoever has no smaller free kin leads, and the kin of leaders are
     taken. In the end each taken item follows the smallest leader among its kin."""
     pairs = stored(kin(items, key, tokens, least).select("a", "b"))
-    free, leaders = pairs, None
+    free, taken = pairs, None
     while free.limit(1).count():
-        lead = free.select(F.col("a").alias("x")).distinct().join(free.select(F.col("b").alias("x")).distinct(), "x", "left_anti")
-        lead = stored(lead)
-        leaders = lead if leaders is None else leaders.unionByName(lead)
-        gone = stored(free.join(lead, free["a"] == lead["x"]).select(F.col("b").alias("x")).unionByName(lead).distinct())
+        lead = stored(free.select(F.col("a").alias("x")).distinct().join(free.select(F.col("b").alias("x")).distinct(), "x", "left_anti"))
+        follow = stored(free.join(lead, free["a"] == lead["x"]).select(F.col("b").alias("x")).distinct())
+        taken = follow if taken is None else taken.unionByName(follow)
+        gone = lead.unionByName(follow)
         rest = free.join(gone.withColumnRenamed("x", "a"), "a", "left_anti").join(gone.withColumnRenamed("x", "b"), "b", "left_anti").select("a", "b")
         last, free = free, stored(rest)
-        discard(gone, last if last is not pairs else None)
-    if leaders is None:
-        return pairs.select(F.col("b").alias("item"), F.col("a").alias("leader"))
-    return pairs.join(leaders, pairs["a"] == leaders["x"]).groupBy(F.col("b").alias("item")).agg(F.min("a").alias("leader"))
+        discard(lead, last if last is not pairs else None)
+    # Whoever is never taken leads, with or without kin that others took later.
+    leads = pairs if taken is None else pairs.join(taken.withColumnRenamed("x", "a"), "a", "left_anti")
+    return leads.groupBy(F.col("b").alias("item")).agg(F.min("a").alias("leader"))

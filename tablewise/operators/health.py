@@ -19,25 +19,29 @@ def overview(profiled: DataFrame) -> DataFrame:
 
 
 def table_health(profiled: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per table: mean null rate, completeness, columns that could be keys, whether it is related."""
+    """Per table: mean null rate, completeness, columns that could be keys, references to other
+    tables, whether it is related. The lists are as long as the table has columns."""
     key = (F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count")) & (F.col("row_count") > 0)
-    got = profiled.groupBy("table").agg(F.count(F.lit(1)).alias("columns"), F.max("row_count").alias("rows"), F.round(F.avg("null_rate"), 4).alias("mean_null_rate"), _percent(F.sum("row_count") - F.sum("null_count"), F.sum("row_count")).alias("completeness"), F.count_if(key).alias("key_columns"))
-    linked = edges.select(F.explode(F.array("from_table", "to_table")).alias("table")).distinct().withColumn("related", F.lit(True))
-    return got.join(F.broadcast(linked), "table", "left").withColumn("has_relationships", F.coalesce("related", F.lit(False))).drop("related")
+    names = F.array_join(F.array_sort(F.collect_list(F.when(key, F.col("column")))), ",").alias("keys")
+    got = profiled.groupBy("table").agg(F.count(F.lit(1)).alias("columns"), F.max("row_count").alias("rows"), F.round(F.avg("null_rate"), 4).alias("mean_null_rate"), _percent(F.sum("row_count") - F.sum("null_count"), F.sum("row_count")).alias("completeness"), F.count_if(key).alias("key_columns"), names)
+    ends = F.explode(F.array(F.struct(F.col("from_table").alias("table"), F.concat_ws(".", F.concat("from_column", F.lit(">"), "to_table"), "to_column").alias("ref")), F.struct(F.col("to_table").alias("table"), F.lit(None).cast("string").alias("ref")))).alias("e")
+    # One row a table, as many as there are edges at most.
+    linked = edges.select(ends).groupBy("e.table").agg(F.array_join(F.array_sort(F.collect_set("e.ref")), ",").alias("references"))
+    return got.join(F.broadcast(linked), "table", "left").withColumn("has_relationships", F.col("references").isNotNull()).withColumn("references", F.coalesce("references", F.lit("")))
 
 
 def column_issues(profiled: DataFrame) -> DataFrame:
-    """(table, column, issue, severity): sparse, empty and constant columns and ids that repeat.
+    """(table, column, issue, severity): sparse, empty and constant columns, and columns that are
+    unexpectedly unique: no repeats, though their name is not an id's.
 
     Nested columns have no distinct count and are not judged by it."""
     filled = F.col("row_count") - F.col("null_count")
-    issue = lambda when, name, level: F.when(when, F.struct(F.lit(name).alias("issue"), F.lit(level).alias("severity")))
-    high = F.when(F.col("null_rate") > 0.2, F.lit("error")).otherwise(F.lit("warning"))
+    issue = lambda when, name, level: F.when(when, F.struct(F.lit(name).alias("issue"), level.alias("severity")))
     found = F.array_compact(F.array(
-        F.when((F.col("null_rate") > 0.05) & (filled > 0), F.struct(F.lit("high_nulls").alias("issue"), high.alias("severity"))),
-        issue((F.col("row_count") > 0) & (filled == 0), "empty_column", "error"),
-        issue((F.col("distinct_count") == 1) & (filled > 1), "constant_column", "warning"),
-        issue(F.col("column").rlike("(?i)(^|_)id$|key$") & (F.col("uniqueness_ratio") < 1) & (F.col("uniqueness_ratio") > 0.95), "repeated_id", "info"),
+        issue((F.col("null_rate") > 0.05) & (filled > 0), "high_nulls", F.when(F.col("null_rate") > 0.2, F.lit("error")).otherwise(F.lit("warning"))),
+        issue((F.col("row_count") > 0) & (filled == 0), "empty_column", F.lit("error")),
+        issue((F.col("uniqueness_ratio") == 1) & (F.col("distinct_count") > 1) & ~F.col("column").endswith("_id"), "unexpected_uniqueness", F.lit("info")),
+        issue((F.col("distinct_count") == 1) & (F.col("null_rate") == 0), "constant_column", F.lit("warning")),
     ))
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     return profiled.select("table", "column", F.explode(found).alias("f")).select("table", "column", "f.*").orderBy(rank, "table", "column", "issue")
@@ -95,19 +99,38 @@ def dedup_suggestions(profiled: DataFrame, edges: DataFrame, ids: str = "(?i)(_i
     return repeated.unionByName(weak)
 
 
-def acceptance_rate(decisions: DataFrame, least: int = 5) -> DataFrame:
-    """Accepted of all that were accepted, edited or locked; null for fewer than five."""
-    got = decisions.agg(F.count_if(F.col("action") == "accepted").alias("accepted"), F.count_if(F.col("action").isin("accepted", "edited", "locked")).alias("decided"))
-    return got.withColumn("rate", F.when(F.col("decided") >= least, F.round(F.col("accepted") / F.col("decided"), 4)))
+#: Actions of a decision log that count as decided.
+DESCRIPTION_ACTIONS = ("locked", "description_accepted", "description_edited")
+CONTRACT_ACTIONS = ("false_positive", "true_positive", "acknowledged")
 
 
-def mean_edit_distance(decisions: DataFrame, field: str = "edit_distance") -> DataFrame:
+def acceptance_rate(decisions: DataFrame, source: str | None = None, least: int = 5) -> DataFrame:
+    """(accepted, decided, rate): column descriptions kept as they were; null for fewer than five.
+
+    ``decisions`` has artifact_type, artifact_id (``source.table.column``), action and payload."""
+    rows = decisions.where((F.col("artifact_type") == "column") & F.col("action").isin(*DESCRIPTION_ACTIONS))
+    if source is not None:
+        rows = rows.where(F.col("artifact_id").startswith(f"{source}."))
+    got = rows.agg(F.count_if(F.col("action") == "description_accepted").alias("accepted"), F.count(F.lit(1)).alias("decided"))
+    return got.withColumn("rate", F.when(F.col("decided") >= least, F.round(F.try_divide("accepted", "decided"), 4)))
+
+
+def mean_edit_distance(decisions: DataFrame, source: str | None = None, field: str = "edit_distance") -> DataFrame:
+    """(mean_distance, n) over edited models whose payload has a distance."""
+    rows = decisions.where((F.col("artifact_type") == "model") & (F.col("action") == "edited"))
+    if source is not None:
+        rows = rows.where(F.col("artifact_id").startswith(source))
     value = F.get_json_object("payload", f"$.{field}").try_cast("double")
-    return decisions.agg(F.avg(value).alias("mean_distance"), F.count(value).alias("n"))
+    return rows.agg(F.round(F.avg(value), 4).alias("mean_distance"), F.count(value).alias("n"))
 
 
-def contract_precision(decisions: DataFrame) -> DataFrame:
-    got = decisions.agg(F.count_if(F.col("action") == "false_positive").alias("false_positives"), F.count_if(F.col("action").isin("false_positive", "confirmed")).alias("decided"))
+def contract_precision(decisions: DataFrame, contracts: DataFrame | None = None, source: str | None = None) -> DataFrame:
+    """(false_positives, decided, precision) of contract alerts; with ``source``, of the ``contracts``
+    (id, model_name) whose model's name holds it."""
+    rows = decisions.where((F.col("artifact_type") == "contract") & F.col("action").isin(*CONTRACT_ACTIONS))
+    if source is not None:
+        rows = rows.join(contracts.where(F.contains("model_name", F.lit(source))).select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi")
+    got = rows.agg(F.count_if(F.col("action") == "false_positive").alias("false_positives"), F.count(F.lit(1)).alias("decided"))
     return got.withColumn("precision", F.round(1 - F.try_divide("false_positives", "decided"), 4))
 
 

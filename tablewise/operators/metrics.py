@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,15 +11,27 @@ from pyspark.sql import functions as F
 from tablewise.operators.staging import matching
 
 _AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}
-#: How names of columns are added up, in the order in which they are tried.
-_BY_NAME = (
-    ("count", r"(^|_)count$|^total$|^num_"), ("sum", r"_sum$|^sum_"), ("avg", r"_avg$|^avg_|_average$|^mean_"), ("avg", r"_(rate|ratio|pct)$|^pct_"),
-    ("avg", r"score$"), ("sum", r"_(amount|value|cost|price|budget)$"), ("min", r"_min$"), ("max", r"_max$"),
-)
+#: How columns are added up, by the beginning, the end or the whole of their name, tried from
+#: top to bottom.
+BY_NAME = (
+    ("count", {"begins": ["num_"], "ends": ["_count"], "whole": ["count", "total"]}),
+    ("sum", {"begins": ["sum_"], "ends": ["_sum"]}),
+    ("avg", {"begins": ["avg_", "mean_"], "ends": ["_avg", "_average"]}),
+    ("avg", {"begins": ["pct_"], "ends": ["_rate", "_ratio", "_pct"]}),
+    ("avg", {"ends": ["score"]}),
+    ("sum", {"ends": ["_amount", "_value", "_cost", "_price", "_budget"]}),
+    ("min", {"ends": ["_min"]}),
+    ("max", {"ends": ["_max"]}),
+)
 
 
 def aggregate_for(column: str) -> str:
-    return next((kind for kind, pattern in _BY_NAME if re.search(pattern, column.lower())), "avg")
+    """The aggregate that a metric column's name asks for; the mean if it doesn't say."""
+    name = column.lower()
+    for kind, words in BY_NAME:
+        if name.startswith(tuple(words.get("begins", ()))) or name.endswith(tuple(words.get("ends", ()))) or name in words.get("whole", ()):
+            return kind
+    return "avg"
 
 
 @dataclass(frozen=True)

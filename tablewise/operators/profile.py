@@ -1,11 +1,14 @@
-"""Column profiles from frequency tables, and what names and profiles say about a column.
+"""Column profiles, and what names and profiles say about a column.
 
-``frequencies`` turns a table into (column, value, n), one shuffle whatever its width; every exact
-figure is an aggregate of that. Nested columns only have their nulls counted.
+Counts, ranges, lengths, moments and patterns are one map-side aggregate of a table. Distinct values
+come from ``frequencies``, which groups each column by itself, in its own type and reading nothing
+else; long texts are grouped by a digest. Nested columns only have their nulls counted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +18,8 @@ from tablewise.functions.types import columns_of, normalized, numeric_columns, t
 from tablewise.sources.paths import stored
 
 TOP_VALUES, TOP_DISTINCT, PATTERN_SHARE = 30, 100, 0.7
+#: Characters beyond which a text is grouped, and shown, by its digest.
+LONG_TEXT = 200
 #: Patterns in the order in which they are tried.
 PATTERNS = (
     ("email", r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z]{2,}$"),
@@ -31,11 +36,32 @@ def _clean(df: DataFrame, name: str) -> Column:
     return F.nanvl(F.col(name), F.lit(None).cast(kind)) if kind in ("float", "double") else F.col(name)
 
 
+def _key(df: DataFrame, name: str) -> Column:
+    """What a column is grouped by: its own value, or a long text's digest."""
+    if normalized(df.schema[name].dataType) != "varchar":
+        return _clean(df, name)
+    text = F.col(name).cast("string")
+    return F.when(F.char_length(text) <= LONG_TEXT, text).otherwise(F.concat(F.lit("md5:"), F.md5(text)))
+
+
+def flat_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if normalized(f.dataType) not in ("json", "list")]
+
+
 def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, value, n): how often each value occurs; NaN counts as null."""
-    flat = [f.name for f in df.schema if normalized(f.dataType) not in ("json", "list")]
-    cells = [F.struct(F.lit(c).alias("column"), _clean(df, c).cast("string").alias("value")) for c in columns or flat]
-    return df.select(F.explode(F.array(*cells)).alias("cell")).groupBy("cell.column", "cell.value").agg(F.count(F.lit(1)).alias("n"))
+    """(column, value, n): how often each value occurs; NaN counts as null, and a text of more than
+    ``LONG_TEXT`` characters is given as ``md5:`` and its digest.
+
+    Each column is an aggregate of its own that scans only this column, keeps its type and combines
+    within tasks; only distinct values become text."""
+    parts = [df.select(_key(df, c).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column"), F.col("v").cast("string").alias("value"), "n") for c in columns or flat_columns(df)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rows(df: DataFrame, figures: dict[str, dict[str, Column]]) -> DataFrame:
+    """One aggregate over the table, turned into a row per column; figures: column -> name -> aggregate."""
+    cells = [F.struct(F.lit(c).alias("column"), *[v.alias(n) for n, v in own.items()]).alias(f"c{i}") for i, (c, own) in enumerate(figures.items())]
+    return df.agg(*cells).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(cells))])).alias("r")).select("r.*")
 
 
 def universal(freq: DataFrame) -> DataFrame:
@@ -46,7 +72,7 @@ def universal(freq: DataFrame) -> DataFrame:
 
 
 CUTS = (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))
-#: Distinct values of a column beyond which percentiles are found by rank.
+#: Distinct values (about) beyond which a column's percentiles are found by rank.
 IN_TASK_VALUES = 1_000_000
 
 
@@ -73,25 +99,30 @@ def percentiles_by_rank(values: DataFrame, cuts=CUTS, parts: int | None = None)
     return found.groupBy("column").agg(*[F.max(F.when(F.col("cut") == n, F.col("value"))).alias(n) for n, _ in cuts])
 
 
-def numeric(freq: DataFrame, by_rank: bool = False) -> DataFrame:
-    """Range, mean, spread and linear percentiles; values that are no numbers are left out.
+def numeric(df: DataFrame, columns: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Range, mean, spread and exact linear percentiles of numeric columns; NaN counts as null.
 
-    Percentiles come from ``percentile``, which holds a column's distinct values in one task, or, for
-    columns with too many of them, by rank."""
-    value = F.col("value").try_cast("double")
-    got = freq.select("column", value.alias("v"), "n").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    total = F.sum("n")
-    mean = F.sum(F.col("v") * F.col("n")) / total
-    cuts = [] if by_rank else [F.expr("percentile(v, array(0.25, 0.5, 0.75, 0.95), n)").alias("cuts")]
-    rows = got.groupBy("column").agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), mean.alias("mean"), *cuts, total.alias("filled"))
-    # Spread around the mean, not as a difference of squares.
-    around = got.join(F.broadcast(rows.select("column", "mean")), "column").groupBy("column").agg(F.sum(F.col("n") * F.pow(F.col("v") - F.col("mean"), F.lit(2))).alias("square"))
-    spread = F.when(F.col("filled") > 1, F.sqrt(F.col("square") / (F.col("filled") - 1))).otherwise(F.lit(0.0))
-    found = rows.join(around, "column")
-    plain = ["column", "min_value", "max_value", "mean", spread.alias("stddev")]
-    if by_rank:
-        return found.select(*plain).join(percentiles_by_rank(got), "column")
-    return found.select(*plain, *[F.col("cuts")[i].alias(n) for i, (n, _) in enumerate(CUTS)])
+    A first aggregate gives all but the percentiles, and an estimate of each column's distinct
+    values. Columns with up to ``most`` of them have their percentiles in a second aggregate, whose
+    state is the distinct values; all others by rank, whatever the number of values."""
+    names = columns or numeric_columns(df.schema)
+    most = IN_TASK_VALUES if most is None else most
+    value = {c: _clean(df, c).cast("double") for c in names}
+    plain = {c: {"min_value": F.min(v), "max_value": F.max(v), "mean": F.avg(v), "stddev": F.when(F.count(v) > 1, F.stddev_samp(v)).otherwise(F.when(F.count(v) == 1, 0.0)), "filled": F.count(v), "about": F.approx_count_distinct(v)} for c, v in value.items()}
+    got = _rows(df, plain).collect()
+    few = [r["column"] for r in got if r.about <= most]
+    many = [r["column"] for r in got if r.about > most]
+    spark = df.sparkSession
+    base = spark.createDataFrame([tuple(r)[:5] for r in got if r.filled], "column string, min_value double, max_value double, mean double, stddev double")
+    parts = []
+    if few:
+        cuts = F.array(*[F.lit(p) for _, p in CUTS])
+        found = _rows(df, {c: {"cuts": F.percentile(value[c], cuts)} for c in few})
+        parts.append(found.select("column", *[F.col("cuts")[i].alias(n) for i, (n, _) in enumerate(CUTS)]))
+    if many:
+        counts = [df.select(value[c].alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column"), "v", "n") for c in many]
+        parts.append(percentiles_by_rank(reduce(DataFrame.unionByName, counts)))
+    return base.join(reduce(DataFrame.unionByName, parts), "column") if parts else base.select("*", *[F.lit(None).cast("double").alias(n) for n, _ in CUTS])
 
 
 def numeric_approx(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
@@ -105,10 +136,14 @@ def numeric_approx(df: DataFrame, columns: list[str] | None = None, accuracy: in
     return df.agg(*[r.alias(f"c{i}") for i, r in enumerate(rows)]).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(rows))])).alias("r")).select("r.*")
 
 
-def lengths(freq: DataFrame) -> DataFrame:
+def _texts(df: DataFrame, columns: list[str] | None) -> dict[str, Column]:
+    return {c: F.col(c).cast("string") for c in columns or flat_columns(df)}
+
+
+def lengths(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Shortest, longest and mean text length in characters."""
-    size, n = F.char_length("value"), F.col("n")
-    return freq.where("value is not null").groupBy("column").agg(F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.round(F.sum(size * n) / F.sum(n), 1).alias("avg_length"))
+    size = {c: F.char_length(v) for c, v in _texts(df, columns).items()}
+    return _rows(df, {c: {"min_length": F.min(n), "max_length": F.max(n), "avg_length": F.round(F.avg(n), 1)} for c, n in size.items()}).where("min_length is not null")
 
 
 def top_values(freq: DataFrame, k: int = TOP_VALUES, most_distinct: int = TOP_DISTINCT) -> DataFrame:
@@ -119,12 +154,11 @@ def top_values(freq: DataFrame, k: int = TOP_VALUES, most_distinct: int = TOP_DI
     return filled.join(F.broadcast(few), "column").withColumn("rank", place).where(F.col("rank") <= k).select("column", "rank", "value", "n")
 
 
-def patterns(freq: DataFrame, share: float = PATTERN_SHARE) -> DataFrame:
+def patterns(df: DataFrame, columns: list[str] | None = None, share: float = PATTERN_SHARE) -> DataFrame:
     """(column, detected_pattern): the first pattern that more than a share of all values match."""
-    filled = freq.where("value is not null")
-    hits = [(F.sum(F.when(F.col("value").rlike(p), F.col("n")).otherwise(0)) / F.sum("n")).alias(name) for name, p in PATTERNS]
+    hits = {c: {name: F.count_if(v.rlike(p)) / F.count(v) for name, p in PATTERNS} | {"filled": F.count(v)} for c, v in _texts(df, columns).items()}
     found = F.coalesce(*[F.when(F.col(name) > share, F.lit(name)) for name, _ in PATTERNS])
-    return filled.groupBy("column").agg(*hits).select("column", found.alias("detected_pattern"))
+    return _rows(df, hits).where("filled > 0").select("column", found.alias("detected_pattern"))
 
 
 def temporal(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -145,26 +179,34 @@ def profile(df: DataFrame, table: str) -> DataFrame:
     """One row a column with all figures that apply to its type; nested columns have nulls only."""
     schema = df.schema
     kinds = {f.name: normalized(f.dataType) for f in schema}
-    freq = frequencies(df).persist()
-    pick = lambda names: freq.where(F.col("column").isin(names)) if names else freq.limit(0)
-    texts = columns_of(schema, "varchar")
-    tops = top_values(pick(texts)).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
-    tops = tops.select("column", F.transform("t", lambda t: F.struct(t["value"].alias("value"), t["n"].alias("count"))).alias("top_values"))
-    out = universal(freq)
-    numbers = pick(numeric_columns(schema))
-    many = numbers.groupBy("column").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > IN_TASK_VALUES).limit(1).count() > 0
-    parts = [numeric(numbers, by_rank=many), lengths(pick(texts)), tops, patterns(pick(texts))]
+    texts, numbers = columns_of(schema, "varchar"), numeric_columns(schema)
+    flat = flat_columns(df)
+    parts = [] if not numbers else [numeric(df, numbers)]
+    if texts:
+        tops = top_values(frequencies(df, texts)).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
+        parts += [lengths(df, texts), tops.select("column", F.transform("t", lambda t: F.struct(t["value"].alias("value"), t["n"].alias("count"))).alias("top_values")), patterns(df, texts)]
     if temporal_columns(schema):
         parts.append(temporal(df).drop("rows"))
-    out = reduce(lambda a, b: a.join(F.broadcast(b), "column", "left"), parts, out)
+    # Each part has a row for each column of the table, so it is small enough to broadcast.
+    out = reduce(lambda a, b: a.join(F.broadcast(b), "column", "left"), parts, universal(frequencies(df, flat))) if flat else None
     nested = [c for c, k in kinds.items() if k in ("json", "list")]
     if nested:
-        nulls = [F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("row_count"), F.count_if(F.col(c).isNull()).alias("null_count")).alias(f"c{i}") for i, c in enumerate(nested)]
-        out = out.unionByName(df.agg(*nulls).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(nested))])).alias("r")).select("r.*"), allowMissingColumns=True)
+        nulls = _rows(df, {c: {"row_count": F.count(F.lit(1)), "null_count": F.count_if(F.col(c).isNull())} for c in nested})
+        out = nulls if out is None else out.unionByName(nulls, allowMissingColumns=True)
     dtype = F.create_map(*[F.lit(x) for c in kinds.items() for x in c])
+    for name, kind in PROFILE_COLUMNS:
+        if name not in out.columns:
+            out = out.withColumn(name, F.lit(None).cast(kind))
     return out.withColumn("table", F.lit(table)).withColumn("dtype", dtype[F.col("column")])
 
 
+#: Figures of a profile that only some types have.
+PROFILE_COLUMNS = (
+    ("distinct_count", "bigint"), ("null_rate", "double"), ("uniqueness_ratio", "double"), ("min_value", "double"), ("max_value", "double"), ("mean", "double"), ("stddev", "double"),
+    *((name, "double") for name, _ in CUTS), ("min_length", "int"), ("max_length", "int"), ("avg_length", "double"), ("top_values", "array<struct<value:string,count:bigint>>"), ("detected_pattern", "string"),
+)
+
+
 def profile_all(tables: dict[str, DataFrame]) -> DataFrame:
     frames = [profile(df, name) for name, df in tables.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -172,41 +214,70 @@ def profile_all(tables: dict[str, DataFrame]) -> DataFrame:
 
 # What a column means, from its name and its profile -----------------------------------------------
 
-#: Name patterns of semantic types, in the order in which they are tried.
-SEMANTIC_NAMES = (
-    ("id", r"(^|_)id$"),
-    ("pii", r"email|phone|ssn"),
-    ("dimension", r"name$|type$|_type_\d+$|category|status"
-                  r"|^(county|borough|city|state|country|region|district|ward|province|department|zone|sector|priority|severity|channel|source|platform|tier|level|class|group|gender|race|ethnicity)$"
-                  r"|code$|flag$|indicator$|number$|_num$|_no$|(^|_)tract$|(^|_)board$"),
-    ("temporal", r"^(year|month)$|date|_at$|timestamp"),
-    ("metric", r"(^|_)count$|score|(^|_)rate$|amount|budget|pct_|(^|_)value$|_measure$|measure_"),
-    ("geographic", r"latitude|longitude|^(lat|lon)$|address"),
-    ("text", r"description|narrative|notes"),
+
+@dataclass(frozen=True)
+class Words:
+    """Names that say something: the whole name, its end, or any part of it, in lower case."""
+
+    whole: Sequence[str] = ()
+    ends: Sequence[str] = ()
+    holds: Sequence[str] = ()
+
+    def match(self, name: Column) -> Column:
+        tests = [name.isin(*self.whole)] if self.whole else []
+        tests += [name.endswith(w) for w in self.ends] + [F.contains(name, F.lit(w)) for w in self.holds]
+        return reduce(Column.__or__, tests)
+
+
+#: Words of a column's name by the kind that they stand for, tried from top to bottom.
+NAME_KINDS: tuple[tuple[str, Words], ...] = (
+    ("id", Words(whole=["id"], ends=["_id"])),
+    ("pii", Words(holds=["email", "phone", "ssn"])),
+    ("dimension", Words(ends=["name", "type"], holds=["category", "status"])),
+    ("dimension", Words(whole=["county", "borough", "city", "state", "country", "region", "district", "ward", "province", "department", "zone", "sector", "priority", "severity", "channel", "source", "platform", "tier", "level", "class", "group", "gender", "race", "ethnicity"])),
+    ("dimension", Words(whole=["tract", "board"], ends=["code", "flag", "indicator", "number", "_num", "_no", "_tract", "_board"])),
+    ("temporal", Words(whole=["year", "month"], ends=["_at"], holds=["date", "timestamp"])),
+    ("metric", Words(whole=["count", "rate", "value"], ends=["_count", "_rate", "_value", "_measure"], holds=["score", "amount", "budget", "pct_", "measure_"])),
+    ("geographic", Words(whole=["lat", "lon"], holds=["latitude", "longitude", "address"])),
+    ("text", Words(holds=["description", "narrative", "notes"])),
 )
-ID_NAME = r"(?i)(_id|_key|_fk|_pk)$|^(id|key|uuid)$"
-NOT_METRIC_NAME = r"(?i)(code|flag|indicator|_number)$|^(number|lat|lon)$|latitude|longitude"
-TEMPORAL_NAME = r"(?i)date|timestamp|(^time_|_time$)|(^|_)(month|year|day|week)$|^(month|year|day|week)_"
-SURE_NAME = r"(^|_)id$|email|phone|ssn|(^|_)count$|score|(^|_)rate$|amount|budget|latitude|longitude"
+#: Names of identifiers, of numbers that are not metrics, of times, and those that leave no doubt.
+ID_NAMES = Words(whole=["id", "key", "uuid"], ends=["_id", "_key", "_fk", "_pk"])
+NOT_METRIC_NAMES = Words(whole=["number", "lat", "lon"], ends=["code", "flag", "indicator", "_number"], holds=["latitude", "longitude"])
+TIME_NAMES = Words(whole=["month", "year", "day", "week"], ends=["_time", "_month", "_year", "_day", "_week"], holds=["date", "timestamp"])
+SURE_NAMES = Words(whole=["id", "count", "rate"], ends=["_id", "_count", "_rate"], holds=["email", "phone", "ssn", "score", "amount", "budget", "latitude", "longitude"])
 #: Name tokens that say nothing about kinship.
 NOISE = ("id", "date", "name", "type", "code", "at", "status", "flag", "count", "rate", "value", "number", "description", "notes", "created", "updated", "is", "has", "pct")
+#: Beginnings of names of times.
+TIME_BEGINNINGS = ("time_", "month_", "year_", "day_", "week_")
+
+
+def _is_number() -> Column:
+    return F.col("dtype").isin("int64", "float64")
+
+
+def _room() -> Column:
+    """How many distinct values a dimension of so many rows may have."""
+    return F.greatest(F.lit(2), F.least(F.lit(200), F.floor(F.sqrt("row_count")).cast("int")))
+
+
+def _yes(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
 
 
 def semantic_type(profiled: DataFrame) -> DataFrame:
-    """Add ``semantic_type`` and ``name_confidence``: the name's type, refined by the profile."""
-    name = F.lower("column")
-    named = F.coalesce(*[F.when(name.rlike(p), F.lit(kind)) for kind, p in SEMANTIC_NAMES])
-    alone = dict(SEMANTIC_NAMES)["dimension"].split("|^(")[1].split(")$")[0]
-    sure = F.when(named.isNull(), 0.0).when(name.rlike(SURE_NAME), 0.9).when(name.rlike(f"^({alone})$"), 0.8).otherwise(0.7)
-    is_number = F.col("dtype").isin("int64", "float64")
-    limit = F.greatest(F.lit(2), F.least(F.lit(200), F.floor(F.sqrt("row_count")).cast("int")))
-    unique = is_number & (F.col("uniqueness_ratio") > 0.9)
-    spread = is_number & (F.col("stddev") > 0) & (F.col("max_value") > F.col("min_value"))
-    refined = (
-        F.when((named == "dimension") & unique, F.lit("id")).when(named.isNotNull(), named).when(unique, F.lit("id")).when(spread, F.lit("metric"))
-        .when(F.col("distinct_count") <= limit, F.lit("dimension")).when(is_number & F.col("mean").isNotNull(), F.lit("metric"))
-    )
-    return profiled.withColumn("semantic_type", refined).withColumn("name_confidence", sure)
+    """Add ``semantic_type`` and ``name_confidence``: the name's kind, refined by the profile."""
+    # A numbered type (``some_type_2``) reads like one without a number.
+    name = F.regexp_replace(F.lower("column"), r"_type_\d+$", "_type")
+    hits = [(kind, words, words.match(name)) for kind, words in NAME_KINDS]
+    named = F.coalesce(*[F.when(hit, F.lit(kind)) for kind, _, hit in hits])
+    alone = next(hit for kind, words, hit in hits if "county" in words.whole)
+    sure = F.when(named.isNull(), 0.0).when(SURE_NAMES.match(name), 0.9).when(alone, 0.8).otherwise(0.7)
+    unique = _is_number() & (F.col("uniqueness_ratio") > 0.9)
+    spread = _is_number() & (F.col("stddev") > 0) & (F.col("max_value") > F.col("min_value"))
+    by_data = F.coalesce(F.when(unique, F.lit("id")), F.when(spread, F.lit("metric")), F.when(F.col("distinct_count") <= _room(), F.lit("dimension")), F.when(_is_number() & F.col("mean").isNotNull(), F.lit("metric")))
+    kind = F.coalesce(F.when((named == "dimension") & unique, F.lit("id")), named, by_data)
+    return profiled.withColumn("semantic_type", kind).withColumn("name_confidence", sure)
 
 
 def is_primary_key(key_name: Column) -> Column:
@@ -222,38 +293,61 @@ def key_name_rule(column: Column, table: Column) -> Column:
 
 
 def roles(typed: DataFrame, primary_key: Column) -> DataFrame:
-    """Add ``is_metric``, ``is_dimension``, ``role`` and ``confidence`` to a typed profile."""
-    kind, name = F.col("semantic_type"), F.col("column")
-    is_number = F.col("dtype").isin("int64", "float64")
-    id_like = primary_key | name.rlike(ID_NAME) | F.coalesce(kind.isin("id", "foreign_key", "primary_key"), F.lit(False))
-    barred = F.coalesce(kind.isin("dimension", "temporal", "geographic", "pii", "text"), F.lit(False))
-    metric = is_number & ~id_like & ~name.rlike(NOT_METRIC_NAME) & ~barred
-    few = F.col("distinct_count") <= 200
-    groups = F.coalesce(kind == "dimension", F.lit(False)) | (F.col("dtype") == "varchar") | (is_number & F.coalesce(kind != "metric", F.lit(True)))
-    dimension = ~id_like & F.coalesce(kind != "geographic", F.lit(True)) & groups & few
-    surrogate = (F.col("dtype") == "int64") & (F.col("uniqueness_ratio") >= 0.8)
-    role = (
-        F.when(id_like | surrogate, F.lit("identifier")).when((kind == "metric") & is_number, F.lit("metric")).when(kind == "dimension", F.lit("dimension"))
-        .when(F.col("dtype").isin("date", "timestamp") | (kind == "temporal") | (name.rlike(TEMPORAL_NAME) & (F.col("dtype") != "varchar")), F.lit("temporal"))
-        .when(kind == "geographic", F.lit("geographic")).when(kind.isin("text", "pii"), F.lit("text")).when(metric, F.lit("metric")).when(dimension, F.lit("dimension"))
-        .otherwise(F.lit("unknown"))
-    )
-    return typed.withColumns({"is_metric": metric, "is_dimension": dimension, "role": role, "confidence": confidence()})
+    """Add ``is_metric``, ``is_dimension``, ``role`` and ``confidence`` to a typed profile.
+
+    What is known of a column is gathered as flags first; the role is the first of a list of claims
+    whose flags hold."""
+    kind, name, dtype = F.col("semantic_type"), F.lower("column"), F.col("dtype")
+    tagged = lambda *kinds: _yes(kind.isin(*kinds))
+    number = _is_number()
+    key = primary_key | ID_NAMES.match(name) | tagged("id", "foreign_key", "primary_key")
+    counts = number & ~key & ~NOT_METRIC_NAMES.match(name) & ~tagged("dimension", "temporal", "geographic", "pii", "text")
+    few = _yes(F.col("distinct_count") <= 200)
+    groups = few & ~key & ~tagged("geographic") & (tagged("dimension") | (dtype == "varchar") | (number & ~tagged("metric")))
+    timed = TIME_NAMES.match(name) | reduce(Column.__or__, [name.startswith(w) for w in TIME_BEGINNINGS])
+    claims = (
+        ("identifier", key | _yes((dtype == "int64") & (F.col("uniqueness_ratio") >= 0.8))),
+        ("metric", tagged("metric") & number),
+        ("dimension", tagged("dimension")),
+        ("temporal", dtype.isin("date", "timestamp") | tagged("temporal") | (timed & (dtype != "varchar"))),
+        ("geographic", tagged("geographic")),
+        ("text", tagged("text", "pii")),
+        ("metric", counts),
+        ("dimension", groups),
+    )
+    role = F.coalesce(*[F.when(holds, F.lit(name_)) for name_, holds in claims], F.lit("unknown"))
+    return typed.withColumns({"is_metric": counts, "is_dimension": groups, "role": role, "confidence": confidence()})
+
+
+#: What adds to, or makes up, the confidence in a column's kind. Agreement of a named kind
+#: with the data; by how full a dimension's room is; by how far it is overrun; spread and range of numbers.
+AGREEMENT = {"metric": 0.1, "dimension": 0.05, "id": 0.1}
+BY_FULLNESS = ((0.2, 0.75), (0.5, 0.65), (float("inf"), 0.45))
+BY_OVERRUN = ((1.5, 0.0), (3.0, 0.08), (float("inf"), 0.15))
+OF_SPREAD, OF_RANGE, OF_NUMBERS, OF_NOTHING = 0.1, 0.05, 0.55, 0.3
+OF_UNIQUE, UNIQUE_FROM, UNIQUE_MORE, UNIQUE_MOST = 0.7, 0.9, 2.0, 0.2
+
+
+def _below(value: Column, table: Sequence[tuple[float, float]], or_equal: bool) -> Column:
+    """The figure beside the first limit that the value is below (or, if so asked, equal to)."""
+    return F.coalesce(*[F.when(value <= at if or_equal else value < at, F.lit(figure)) for at, figure in table])
 
 
 def confidence() -> Column:
-    """How sure the semantic type is: the name's part, agreement of the type, distance from limits."""
-    base, kind = F.col("name_confidence"), F.col("semantic_type")
-    is_number = F.col("dtype").isin("int64", "float64")
-    limit = F.greatest(F.lit(2), F.least(F.lit(200), F.floor(F.sqrt("row_count")).cast("int")))
-    share = F.col("distinct_count") / limit
-    bonus = F.when((kind == "metric") & is_number & F.col("mean").isNotNull(), 0.1).when((kind == "dimension") & ~is_number, 0.05).when((kind == "id") & is_number & (F.col("uniqueness_ratio") > 0.9), 0.1).otherwise(0.0)
-    signals = F.when(share > 3, 0.15).when(share > 1.5, 0.08).otherwise(0.0) + F.when(F.col("stddev") > 0, 0.1).otherwise(0.0) + F.when(F.col("max_value") > F.col("min_value"), 0.05).otherwise(0.0)
-    unnamed = (
-        F.when(is_number & (F.col("uniqueness_ratio") > 0.9), 0.7 + F.least(F.lit(0.2), (F.col("uniqueness_ratio") - 0.9) * 2))
-        .when(share <= 1, F.when(share < 0.2, 0.75).when(share < 0.5, 0.65).otherwise(0.45)).when(is_number & F.col("mean").isNotNull(), 0.55 + signals).otherwise(0.3)
+    """How sure the kind is. With a speaking name: the name's part, and more if the data agrees.
+    Otherwise the evidence that decided: uniqueness, fullness of the dimension's room, or numbers."""
+    number, named, kind = _is_number(), F.col("name_confidence"), F.col("semantic_type")
+    ratio, fullness = F.col("uniqueness_ratio"), F.col("distinct_count") / _room()
+    has_mean, is_unique = number & F.col("mean").isNotNull(), number & (ratio > UNIQUE_FROM)
+    agrees = {"metric": has_mean, "dimension": ~number, "id": is_unique}
+    bonus = F.coalesce(*[F.when((kind == k) & holds, F.lit(AGREEMENT[k])) for k, holds in agrees.items()], F.lit(0.0))
+    points = lambda holds, figure: F.when(holds, F.lit(figure)).otherwise(F.lit(0.0))
+    numeric_case = F.lit(OF_NUMBERS) + F.coalesce(_below(fullness, BY_OVERRUN, True), F.lit(0.0)) + points(F.col("stddev") > 0, OF_SPREAD) + points(F.col("max_value") > F.col("min_value"), OF_RANGE)
+    by_data = F.coalesce(
+        F.when(is_unique, OF_UNIQUE + F.least(F.lit(UNIQUE_MOST), (ratio - UNIQUE_FROM) * UNIQUE_MORE)),
+        F.when(fullness <= 1, _below(fullness, BY_FULLNESS, False)), F.when(has_mean, numeric_case), F.lit(OF_NOTHING),
     )
-    return F.round(F.when(base > 0, F.least(F.lit(1.0), base + bonus)).otherwise(unnamed), 4)
+    return F.round(F.when(named > 0, F.least(F.lit(1.0), named + bonus)).otherwise(by_data), 4)
 
 
 def sibling_roles(typed: DataFrame, least: int = 3, majority: float = 0.6) -> DataFrame:

@@ -2,41 +2,92 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one block holds, a bound on what is broadcast: rows times vector length.
+#: Cells (rows times vector length) of a block of queries, and of a block of vectors.
 BLOCK_CELLS = 1_000_000
 #: Leading characters of a term that documents are looked up by.
 GRAM = 4
+#: Terms of a block that global documents meet.
+TERM_BLOCK = 1_000
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "id", vector: str = "v", equal: list[str] | None = None) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest by squared distance, exactly.
 
-    ``queries`` and ``vectors`` have key and vector, and any columns of ``equal`` that must agree. A
-    query set is compared with all vectors block by block: each task keeps only k rows a query
-    before anything is sent."""
-    gap = F.aggregate(F.zip_with("q_v", "b_v", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0).cast("double"), lambda s, x: s + x)
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q_v"), *[F.col(c).alias(f"q_{c}") for c in equal or []])
-    b = vectors.select(F.col(key).alias("id"), F.col(vector).alias("b_v"), *[F.col(c).alias(f"b_{c}") for c in equal or []])
-    width = q.select(F.max(F.size("q_v"))).first()[0] or 1
-    small = q.count() * width <= BLOCK_CELLS
-    condition = F.col("query_id") != F.col("id")
-    for c in equal or []:
-        condition = condition & (F.col(f"q_{c}") == F.col(f"b_{c}"))
-    if small:
-        pairs = b.join(F.broadcast(q), condition)
-    else:
-        # Blocks of queries meet shards of vectors: each pair of block and shard is one join key.
-        blocks, shards = -(-q.count() * width // BLOCK_CELLS), max(2, q.sparkSession.sparkContext.defaultParallelism)
-        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        q = q.withColumn("q_block", deal("query_id", blocks)).withColumn("q_shard", every(shards))
-        b = b.withColumn("b_shard", deal("id", shards)).withColumn("b_block", every(blocks))
-        pairs = b.join(q, (F.col("q_block") == F.col("b_block")) & (F.col("q_shard") == F.col("b_shard")) & condition)
+    ``queries`` and ``vectors`` have key and vector, and any columns of ``equal`` that must agree.
+    Vectors are dealt to shards. In a shard's task they come first and are ordered by their distance
+    from the shard's middle; blocks of queries stream past. The triangle inequality gives each query
+    the vectors that can still be nearer than its k-th so far, and only those are compared, as block
+    products; k rows a query and shard are sent on. Nulls take no part."""
+    names = equal or []
+    group = F.to_json(F.struct(*names)) if names else F.lit("")
+    plain = lambda df: df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), group.alias("same"), F.size(vector).alias("dim")).where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x))")
+    q, b = plain(queries), plain(vectors)
+    width, rows = b.agg(F.max("dim"), F.count(F.lit(1))).first()
+    rows, width = rows or 0, width or 1
+    shards = max(1, -(-rows * width // BLOCK_CELLS), min(b.sparkSession.sparkContext.defaultParallelism, rows // 500))
+    own = b.withColumns({"kind": F.lit(0), "shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")})
+    asked = q.withColumn("kind", F.lit(1)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    dealt = own.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("same", "dim", "kind")
+    found = dealt.mapInPandas(lambda batches: _searched(batches, k), "query_id bigint, id bigint, distance double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return pairs.select("query_id", "id", gap.alias("distance")).withColumn("rank", place).where(F.col("rank") <= k)
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def _searched(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The best k of a partition's vectors for its queries; both come group by group, vectors first."""
+    of, held, base = None, [], None
+    for frame in batches:
+        for (same, dim, kind), part in frame.groupby(["same", "dim", "kind"], sort=True):
+            if kind == 0:
+                if of != (same, dim):
+                    of, held = (same, dim), []
+                held.append(part)
+                base = None
+            elif of == (same, dim):
+                if base is None:
+                    base = _Base(pd.concat(held))
+                step = max(1, BLOCK_CELLS // max(1, len(base.ids)))
+                for at in range(0, len(part), step):
+                    yield base.nearest(part.iloc[at : at + step], k)
+
+
+class _Base:
+    """Vectors in order of their distance from their middle."""
+
+    def __init__(self, frame: pd.DataFrame):
+        v = np.stack(frame["v"].to_numpy()).astype(float).reshape(len(frame), -1)
+        self.middle = v.mean(0)
+        far = np.sqrt(((v - self.middle) ** 2).sum(1))
+        order = np.argsort(far, kind="stable")
+        self.v, self.far, self.ids = v[order], far[order], frame["id"].to_numpy()[order]
+
+    def nearest(self, part: pd.DataFrame, k: int) -> pd.DataFrame:
+        own, x = part["id"].to_numpy(), np.stack(part["v"].to_numpy()).astype(float).reshape(len(part), -1)
+        far = np.sqrt(((x - self.middle) ** 2).sum(1))
+        # A first bound: the k + 1 vectors whose distance from the middle is most like the query's.
+        at = np.clip(np.searchsorted(self.far, far) - (k + 1) // 2, 0, max(0, len(self.ids) - k - 1))
+        some = np.minimum(at[:, None] + np.arange(k + 1), len(self.ids) - 1)
+        bound = np.sqrt(((self.v[some] - x[:, None, :]) ** 2).sum(2).max(1))
+        slack = 1e-9 * (1 + far + bound)
+        low, high = np.searchsorted(self.far, far - bound - slack, "left"), np.searchsorted(self.far, far + bound + slack, "right")
+        rows = []
+        for i, (a, z) in enumerate(zip(low.tolist(), high.tolist())):
+            gap = ((self.v[a:z] - x[i]) ** 2).sum(1)
+            ids = self.ids[a:z]
+            gap, ids = gap[ids != own[i]], ids[ids != own[i]]
+            if len(gap) > k:
+                near = gap <= np.partition(gap, k - 1)[k - 1]
+                gap, ids = gap[near], ids[near]
+            best = np.lexsort((ids, gap))[:k]
+            rows.append(pd.DataFrame({"query_id": own[i], "id": ids[best], "distance": gap[best]}))
+        return pd.concat(rows)
 
 
 def match_confidence(found: DataFrame, most: float = 1.0, floor: float = 0.3) -> DataFrame:
@@ -55,22 +106,32 @@ def mentions(text, term):
 
 
 def match_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", title: str = "title", text: str = "text", scope: str | None = None, least: int = 2) -> DataFrame:
-    """(key, term, confidence): a term in the title counts 0.9, so often in the text 0.7, and a
-    document of global scope 0.5 for every term; the largest counts.
+    """(key, term, confidence): a term in the title, or a title in the term, counts 0.9, so often in the
+    text 0.7, and a document of global scope 0.5 for every term; the largest counts.
 
     A term counts wherever its characters stand, within longer words too. Each term has one gram,
-    its first ``GRAM`` characters (all of a shorter term), and a document meets the terms whose gram
-    is among its own grams of that length, so no pair is missed."""
+    its first ``GRAM`` characters (all of a shorter term). Distinct grams of a document say which
+    terms it may hold; these are brought to the document as one list, so each text moves once and
+    meets only such terms. Titles, which are short, look terms up the same way by their own gram."""
     own = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(title, F.lit(""))).alias("t"), F.lower(F.coalesce(text, F.lit(""))).alias("b"))
+    own = own.withColumn("row", F.xxhash64(F.col("key").cast("string"), "t", "b"))
     known = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct().withColumn("lead", F.substring("term", 1, GRAM))
-    grams = F.concat(*[F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", "t", "b"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in range(1, GRAM + 1)])
-    met = own.select("key", F.explode(grams).alias("lead")).join(known, "lead").select(F.col("key").alias("met"), "term").distinct()
-    hits = own.join(met, F.col("key").eqNullSafe(F.col("met")))
-    score = F.greatest(F.when(F.contains("t", F.col("term")), 0.9).otherwise(0.0), F.when(mentions(F.col("b"), F.col("term")) >= least, 0.7).otherwise(0.0))
-    found = hits.select("key", "term", score.alias("confidence")).where("confidence > 0")
+    grams = lambda c: F.concat(*[F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in range(1, GRAM + 1)])
+    met = own.select("row", F.explode(grams(F.concat_ws("\n", "t", "b"))).alias("lead")).distinct().join(known, "lead").select("row", "term")
+    # A title inside a term: the title's gram is among the term's.
+    held = own.where("t <> ''").select("row", "t", F.substring("t", 1, GRAM).alias("lead")).distinct()
+    inside = known.select("term", F.explode(grams("term")).alias("lead")).distinct().join(held, "lead").where(F.contains("term", F.col("t"))).select("row", "term")
+    lists = met.unionByName(inside).distinct().groupBy("row").agg(F.collect_list("term").alias("terms"))
+    in_title = lambda term: F.contains("t", term) | ((F.col("t") != "") & F.contains(term, F.col("t")))
+    score = lambda term: F.when(in_title(term), 0.9).when(mentions(F.col("b"), term) >= least, 0.7).otherwise(0.0)
+    hits = F.filter(F.transform("terms", lambda term: F.struct(term.alias("term"), score(term).alias("confidence"))), lambda h: h["confidence"] > 0)
+    found = own.join(lists, "row").select("key", F.explode(hits).alias("h")).select("key", "h.term", "h.confidence")
     if scope is not None:
-        everywhere = docs.where(F.col(scope) == "global").select(F.col(key).alias("key")).join(F.broadcast(known.select("term"))).withColumn("confidence", F.lit(0.5))
-        found = found.unionByName(everywhere)
+        # Every term for every global document is the result asked for; terms meet them in blocks.
+        blocks = -(-known.count() // TERM_BLOCK) or 1
+        listed = known.groupBy(F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("term").alias("terms"))
+        everywhere = docs.where(F.col(scope) == "global").select(F.col(key).alias("key"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(listed, "block")
+        found = found.unionByName(everywhere.select("key", F.explode("terms").alias("term"), F.lit(0.5).alias("confidence")))
     return found.groupBy(F.col("key").alias(key), "term").agg(F.max("confidence").alias("confidence"))
 
 

@@ -39,9 +39,10 @@ def normalized_headers(df: DataFrame) -> DataFrame:
 
 
 def normalized_schema(df: DataFrame) -> DataFrame:
-    """(column, position, dtype): the schema under nine type names."""
-    rows = [(f.name, i, normalized(f.dataType)) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "column string, position int, dtype string")
+    """(column, position, dtype, filled): the schema under nine type names, and how many values each
+    column has, by one aggregate."""
+    cells = [F.struct(F.lit(f.name).alias("column"), F.lit(i).alias("position"), F.lit(normalized(f.dataType)).alias("dtype"), F.count(F.col(f.name)).alias("filled")).alias(f"c{i}") for i, f in enumerate(df.schema)]
+    return df.agg(*cells).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(cells))])).alias("r")).select("r.*")
 
 
 def stage(df: DataFrame, casts: dict[str, str] | None = None) -> DataFrame:

@@ -67,13 +67,13 @@ def profile_universal(t):
 @query(union_sql(lambda c: f"""SELECT '{c}' AS "column", CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev,
 quantile_cont(CAST({c} AS DOUBLE), 0.25) AS p25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS p75, round(quantile_cont(CAST({c} AS DOUBLE), 0.95), 6) AS p95 FROM lineitem""", LINE_NUMBERS))
 def profile_numeric(t):
-    got = profile.numeric(profile.frequencies(t.lineitem, LINE_NUMBERS))
+    got = profile.numeric(t.lineitem, LINE_NUMBERS)
     return got.withColumns({c: F.round(c, 6) for c in ("mean", "stddev", "p95")})
 
 
 @query(union_sql(lambda c: f"""SELECT '{c}' AS "column", quantile_cont(CAST({c} AS DOUBLE), 0.25) AS p25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS p75, round(quantile_cont(CAST({c} AS DOUBLE), 0.95), 6) AS p95 FROM lineitem""", LINE_NUMBERS))
 def percentiles_by_rank(t):
-    got = profile.numeric(profile.frequencies(t.lineitem, LINE_NUMBERS), by_rank=True)
+    got = profile.numeric(t.lineitem, LINE_NUMBERS, most=-1)
     return got.select("column", "p25", "median", "p75", F.round("p95", 6).alias("p95"))
 
 
@@ -81,7 +81,7 @@ TEXTS = [("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("customer"
 
 
 def _texts(t, step):
-    parts = [step(profile.frequencies(getattr(t, table), [c])) for table, c in TEXTS]
+    parts = [step(getattr(t, table), [c]) for table, c in TEXTS]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -92,7 +92,7 @@ def profile_strings(t):
 
 @query(union_sql(lambda x: f"""SELECT "column", rank, value, n FROM (SELECT '{x[1]}' AS "column", CAST(row_number() OVER (ORDER BY count(*) DESC, {x[1]}) AS INTEGER) AS rank, {x[1]} AS value, count(*) AS n, count(*) OVER () AS d FROM {x[0]} WHERE {x[1]} IS NOT NULL GROUP BY {x[1]}) WHERE d <= 100 AND rank <= 30""", TEXTS))
 def top_values(t):
-    return _texts(t, profile.top_values)
+    return _texts(t, lambda df, names: profile.top_values(profile.frequencies(df, names)))
 
 
 _SQL_PATTERNS = " ".join(f"WHEN avg(CASE WHEN regexp_matches(CAST({{c}} AS VARCHAR), '{p}') THEN 1.0 ELSE 0.0 END) > 0.7 THEN '{n}'" for n, p in profile.PATTERNS)
@@ -101,7 +101,7 @@ PATTERNED = [("pages", "url"), ("customer", "c_name"), ("orders", "o_orderdate")
 
 @query(union_sql(lambda x: f"""SELECT '{x[1]}' AS "column", CASE {_SQL_PATTERNS.replace('{c}', x[1])} END AS detected_pattern FROM {x[0]} WHERE {x[1]} IS NOT NULL""", PATTERNED))
 def patterns(t):
-    return reduce(DataFrame.unionByName, [profile.patterns(profile.frequencies(getattr(t, table), [c])) for table, c in PATTERNED])
+    return reduce(DataFrame.unionByName, [profile.patterns(getattr(t, table), [c]) for table, c in PATTERNED])
 
 
 _RANGE = """SELECT '{c}' AS "column", strftime(min({c}), '%Y-%m-%d') AS min_day, strftime(max({c}), '%Y-%m-%d') AS max_day, count(DISTINCT CAST({c} AS DATE)) AS days, count(*) AS rows, date_diff('day', CAST(min({c}) AS DATE), CAST(max({c}) AS DATE)) AS span_days FROM {t}"""
@@ -145,9 +145,8 @@ def _universal_all(t, names=TPCH) -> DataFrame:
     return reduce(DataFrame.unionByName, [profile.universal(profile.frequencies(df)).withColumn("table", F.lit(n)) for n, df in t.many(*names).items()])
 
 
-TPCH_COLUMNS = [("region", c) for c in ("r_regionkey", "r_name")] + [("nation", c) for c in ("n_nationkey", "n_name", "n_regionkey")] + [("customer", c) for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")] + [("supplier", c) for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")] + [("part", c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")] + [("orders", c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]
+TPCH_COLUMNS = [("region", c) for c in ("r_regionkey", "r_name")] + [("nation", c) for c in ("n_nationkey", "n_name", "n_regionkey")] + [("customer", c) for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")] + [("supplier", c) for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")] + [("part", c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")] + [("orders", c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")] + [("lineitem", c) for c in LINE_COLUMNS]
 ALL_UNIVERSAL = union_sql(lambda x: f"SELECT '{x[0]}' AS \"table\", * FROM ({UNIVERSAL.format(c=x[1], t=x[0])})", TPCH_COLUMNS)
-SMALLER = TPCH[:-1]
 
 
 @query(f"""SELECT "table", "column" FROM ({ALL_UNIVERSAL}) WHERE null_count = 0 AND distinct_count = row_count AND row_count > 0 AND regexp_matches("column", 'key$')""")
@@ -171,22 +170,46 @@ _ROLE_SQL = """WITH p AS ({profile}), k AS (
         WHEN num AND dev > 0 AND hi > lo THEN 'metric' WHEN distinct_count <= lim THEN 'dimension' WHEN num THEN 'metric' END AS semantic_type,
         null_count = 0 AND distinct_count = row_count AND regexp_matches("column", 'key$') AS pk FROM k
 )
-SELECT "table", "column", dtype, semantic_type,
+SELECT "table", "column", dtype, semantic_type, named, num, lim, pk, row_count, distinct_count, uniqueness_ratio, dev, lo, hi,
     CASE WHEN pk OR regexp_matches("column", '(_id|_key)$') OR coalesce(semantic_type = 'id', false) OR (dtype = 'int64' AND uniqueness_ratio >= 0.8) THEN 'identifier'
          WHEN semantic_type = 'metric' AND num THEN 'metric' WHEN semantic_type = 'dimension' THEN 'dimension'
          WHEN dtype IN ('date', 'timestamp') OR coalesce(semantic_type = 'temporal', false) THEN 'temporal'
          WHEN num AND semantic_type IS NULL THEN 'metric' WHEN dtype = 'varchar' AND distinct_count <= 200 THEN 'dimension' ELSE 'unknown' END AS role
 FROM s"""
-_KINDS = {"r_regionkey": "int64", "n_nationkey": "int64", "n_regionkey": "int64", "c_custkey": "int64", "c_nationkey": "int64", "s_suppkey": "int64", "s_nationkey": "int64", "p_partkey": "int64", "p_size": "int64", "o_orderkey": "int64", "o_custkey": "int64", "c_acctbal": "float64", "s_acctbal": "float64", "p_retailprice": "float64", "o_totalprice": "float64", "o_orderdate": "timestamp"}
-_ROLE_PROFILE = union_sql(lambda x: f"SELECT '{x[0]}' AS \"table\", '{_KINDS.get(x[1], 'varchar')}' AS dtype, stddev_samp(TRY_CAST({x[1]} AS DOUBLE)) AS dev, min(TRY_CAST({x[1]} AS DOUBLE)) AS lo, max(TRY_CAST({x[1]} AS DOUBLE)) AS hi, " + UNIVERSAL.format(c=x[1], t=x[0])[7:], [x for x in TPCH_COLUMNS if x[0] != "region" and x[1] != "o_orderdate"] + [("orders", "o_orderdate")]).replace("TRY_CAST(o_orderdate AS DOUBLE)", "NULL::DOUBLE")
-
-
-@query(_ROLE_SQL.format(profile=_ROLE_PROFILE))
+_KINDS = {"r_regionkey": "int64", "n_nationkey": "int64", "n_regionkey": "int64", "c_custkey": "int64", "c_nationkey": "int64", "s_suppkey": "int64", "s_nationkey": "int64", "p_partkey": "int64", "p_size": "int64", "o_orderkey": "int64", "o_custkey": "int64", "c_acctbal": "float64", "s_acctbal": "float64", "p_retailprice": "float64", "o_totalprice": "float64", "o_orderdate": "timestamp", "l_shipdate": "timestamp", "l_orderkey": "int64", "l_partkey": "int64", "l_suppkey": "int64", "l_linenumber": "int64", "l_quantity": "float64", "l_extendedprice": "float64", "l_discount": "float64", "l_tax": "float64"}
+def _role_profile(x: tuple[str, str]) -> str:
+    number = "NULL::DOUBLE" if _KINDS.get(x[1], "varchar") in ("varchar", "timestamp") else f"CAST({x[1]} AS DOUBLE)"
+    return f"SELECT '{x[0]}' AS \"table\", '{_KINDS.get(x[1], 'varchar')}' AS dtype, stddev_samp({number}) AS dev, min({number}) AS lo, max({number}) AS hi, " + UNIVERSAL.format(c=x[1], t=x[0])[7:]
+
+
+_ROLE_PROFILE = union_sql(_role_profile, TPCH_COLUMNS)
+
+
+_ROLES = _ROLE_SQL.format(profile=_ROLE_PROFILE)
+#: Confidence from the name's part and the data, flags, and what most columns of a token are.
+_CONFIDENCE = f"""WITH r AS ({_ROLES}), c AS (
+    SELECT *, CASE WHEN regexp_matches("column", '(_id|_key)$') OR pk OR coalesce(semantic_type = 'id', false) THEN true ELSE false END AS ident, CASE WHEN named IS NULL THEN 0.0 WHEN regexp_matches("column", '(^|_)id$|email|phone|ssn|(^|_)count$|score|(^|_)rate$|amount|budget') THEN 0.9 ELSE 0.7 END AS base,
+        distinct_count / lim AS fullness FROM r
+), d AS (
+    SELECT *, round(CASE WHEN base > 0 THEN least(1.0, base + CASE WHEN semantic_type = 'metric' AND num THEN 0.1 WHEN semantic_type = 'dimension' AND NOT num THEN 0.05 WHEN semantic_type = 'id' AND num AND uniqueness_ratio > 0.9 THEN 0.1 ELSE 0.0 END)
+        WHEN num AND uniqueness_ratio > 0.9 THEN 0.7 + least(0.2, (uniqueness_ratio - 0.9) * 2) WHEN fullness <= 1 THEN CASE WHEN fullness < 0.2 THEN 0.75 WHEN fullness < 0.5 THEN 0.65 ELSE 0.45 END
+        WHEN num THEN 0.55 + CASE WHEN fullness > 3 THEN 0.15 WHEN fullness > 1.5 THEN 0.08 ELSE 0.0 END + CASE WHEN dev > 0 THEN 0.1 ELSE 0.0 END + CASE WHEN hi > lo THEN 0.05 ELSE 0.0 END ELSE 0.3 END, 4) AS confidence,
+        num AND NOT ident AND NOT regexp_matches("column", '(code|flag|indicator|_number)$') AND coalesce(semantic_type, '') NOT IN ('dimension', 'temporal', 'geographic', 'pii', 'text') AS is_metric,
+        NOT ident AND distinct_count <= 200 AND (coalesce(semantic_type, '') = 'dimension' OR dtype = 'varchar' OR (num AND coalesce(semantic_type, '') <> 'metric')) AS is_dimension FROM c
+), k AS (
+    SELECT "table", "column", role, unnest(list_filter(list_distinct(string_split_regex(lower("column"), '[_ ]+')), lambda x: length(x) >= 3 AND NOT list_contains({list(profile.NOISE)}, x))) AS token FROM d WHERE confidence < 0.8
+), n AS (SELECT "table", token, role, count(*) AS n FROM k GROUP BY ALL), w AS (SELECT "table", token, sum(n) AS size, max(struct_pack(n := n, role := role)) AS best FROM n GROUP BY ALL HAVING sum(n) >= 3),
+m AS (SELECT k."table", k."column", max(struct_pack(share := best.n / size, role := best.role)) AS m FROM k JOIN w USING ("table", token) WHERE best.n >= 0.6 * size AND best.role IN ('metric', 'dimension') GROUP BY ALL),
+e AS (SELECT d.*, m.m IS NOT NULL AND confidence < 0.75 AND m.m.role <> d.role AND (m.m.role = 'dimension' OR num) AS flips, m.m.role AS new_role FROM d LEFT JOIN m USING ("table", "column"))
+SELECT "table", "column", CASE WHEN flips THEN new_role ELSE semantic_type END AS semantic_type, CASE WHEN flips THEN new_role ELSE role END AS role, is_metric, is_dimension, CASE WHEN flips THEN greatest(confidence, 0.65) ELSE confidence END AS confidence FROM e"""
+
+
+@query(f'SELECT "table", "column", dtype, semantic_type, role FROM ({_ROLES})')
 def column_roles(t):
-    return _typed(t, SMALLER[1:]).select("table", "column", "dtype", "semantic_type", "role")
+    return _typed(t, TPCH).select("table", "column", "dtype", "semantic_type", "role")
 
 
-@query()
+@query(_CONFIDENCE)
 def column_confidence(t):
     return profile.sibling_roles(_typed(t, TPCH)).select("table", "column", "semantic_type", "role", "is_metric", "is_dimension", "confidence")
 
@@ -270,9 +293,20 @@ def header_normalization(t):
     return staging.normalized_headers(raw)
 
 
-@query("""SELECT * FROM (VALUES ('event_id', 0, 'int64'), ('ts', 1, 'timestamp'), ('user_id', 2, 'int64'), ('event_type', 3, 'varchar'), ('value', 4, 'float64'), ('props', 5, 'varchar'), ('tags', 6, 'list'), ('pair', 7, 'json')) v("column", position, dtype)""")
+_EVENT_KINDS = "CASE typeof({c}) WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int64' WHEN 'DOUBLE' THEN 'float64' WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'DATE' THEN 'date' WHEN 'VARCHAR' THEN 'varchar' WHEN 'BOOLEAN' THEN 'bool' WHEN 'VARCHAR[]' THEN 'list' ELSE 'json' END"
+
+
+def _kind_sql(name: str, rows: str) -> str:
+    return f"(SELECT {_EVENT_KINDS.format(c=name)} FROM {rows} LIMIT 1)"
+
+
+_WIDE_EVENTS = f"(SELECT e.*, [event_type] AS tags, struct_pack(event_id := event_id, v := value) AS pair, value > 50 AS high, CAST(ts AS DATE) AS day FROM (SELECT * REPLACE (CASE WHEN event_id % 50 <> 0 THEN value END AS value) FROM events) e)"
+
+
+@query(union_sql(lambda x: f"SELECT '{x[1]}' AS \"column\", {x[0]} AS position, {_kind_sql(x[1], _WIDE_EVENTS)} AS dtype, (SELECT count({x[1]}) FROM {_WIDE_EVENTS}) AS filled", list(enumerate(["event_id", "ts", "user_id", "event_type", "value", "props", "tags", "pair", "high", "day"]))))
 def type_normalization(t):
-    return staging.normalized_schema(t.events.withColumn("tags", F.array("event_type")).withColumn("pair", F.struct("event_id", "value")))
+    rows = with_null_values(t.events)
+    return staging.normalized_schema(rows.withColumns({"tags": F.array("event_type"), "pair": F.struct("event_id", "value"), "high": F.col("value") > 50, "day": F.to_date("ts")}))
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
@@ -380,7 +414,11 @@ def mart_summary(t):
     return got.withColumns({f"avg_{c}": F.round(f"avg_{c}", 6) for c in LINE_NUMBERS[4:]})
 
 
-@query()
+@query(f"""WITH s AS (SELECT "table", count(*) FILTER (role = 'temporal') AS times, count(*) FILTER (role = 'metric') AS metrics, max(row_count) AS rows FROM ({_ROLES}) GROUP BY 1),
+e AS (SELECT * FROM ({_fk_sql()}) WHERE n_matched / n_distinct >= 0.5), l AS (SELECT "table", count(*) AS edges, sum(p) AS parents FROM (SELECT from_table AS "table", 1 AS p FROM e UNION ALL SELECT to_table, 0 FROM e) GROUP BY 1),
+x AS (SELECT s.*, coalesce(edges, 0) AS edges, coalesce(parents, 0) AS parents FROM s LEFT JOIN l USING ("table"))
+SELECT "table", 'period_comparison' AS archetype FROM x WHERE times > 0 UNION ALL SELECT "table", 'entity_summary' FROM x WHERE metrics > 0 AND parents > 0 AND (edges >= 2 OR metrics >= 1) AND rows >= 100
+UNION ALL SELECT "table", 'aggregation' FROM x WHERE metrics >= 2 AND edges = 0 AND rows >= 100""")
 def mart_archetypes(t):
     tables = t.many(*TPCH)
     return marts.archetypes(_typed(t, TPCH), relate.detect(tables, KEYS, prefixed=True))
@@ -398,6 +436,16 @@ def metric_aggregates(t):
     return metrics.metric_by(t.events, kinds, ["event_type"]).withColumns({"n_sum": F.round("n_sum", 4), "n_avg": F.round("n_avg", 6)})
 
 
+_NAMED = {"total_amount": "value", "num_orders": "user_id", "error_rate": "value", "lowest_min": "value", "highest_max": "value", "sum_paid": "value", "plain": "value"}
+
+
+@query("SELECT event_type, round(sum(value), 4) AS total_amount, count(user_id) AS num_orders, round(avg(value), 6) AS error_rate, min(value) AS lowest_min, max(value) AS highest_max, round(sum(value), 4) AS sum_paid, round(avg(value), 6) AS plain FROM events GROUP BY event_type")
+def aggregates_by_name(t):
+    rows = t.events.select("event_type", *[F.col(c).alias(n) for n, c in _NAMED.items()])
+    got = metrics.metric_by(rows, [Metric(n, n, metrics.aggregate_for(n)) for n in _NAMED], ["event_type"])
+    return got.withColumns({n: F.round(n, digits) for n, digits in (("total_amount", 4), ("sum_paid", 4), ("error_rate", 6), ("plain", 6))})
+
+
 @query("SELECT l_shipdate_year, round(count(returned) * 1.0 / count(*), 6) AS return_share FROM (SELECT year(l_shipdate) AS l_shipdate_year, CASE WHEN l_returnflag = 'R' THEN 1 END AS returned FROM lineitem) GROUP BY 1")
 def ratio_metric(t):
     rows = t.lineitem.select(F.year("l_shipdate").cast("bigint").alias("l_shipdate_year"), F.when(F.col("l_returnflag") == "R", 1).alias("returned"))
@@ -532,10 +580,24 @@ def correlations(t):
     return insights.correlations(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"]).select("a", "b", "n", F.round("r", 8).alias("r"))
 
 
-@query()
+def _corr_sql(rows: str, names: list[str]) -> str:
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS r FROM {rows}" for a, b in pairs)
+
+
+_LENGTHS = "(SELECT n_chars, length(text) AS text_length FROM documents)"
+_LINE_RATES = "(SELECT l_quantity, l_extendedprice, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross, l_tax FROM lineitem)"
+#: With hundreds of rows and |r| of 0.6 or more, t is beyond 10 and p below 1e-20.
+_STRONG = "SELECT a, b, n, round(r, 6) AS r, 0.0 AS p_value, CASE WHEN abs(r) >= 0.8 THEN 'strong' ELSE 'moderate' END AS strength, '99.9%' AS confidence FROM ({rows}) WHERE n >= 100 AND abs(r) >= 0.6 AND (abs(r) >= 1 OR abs(r) * sqrt((n - 2) / (1 - r * r)) > 6)"
+
+
+@query(_STRONG.format(rows=_corr_sql(_LENGTHS, ["n_chars", "text_length"]) + " UNION ALL " + _corr_sql(_LINE_RATES, ["l_quantity", "l_extendedprice", "net", "gross", "l_tax"])))
 def correlations_strong(t):
     chars = t.documents.select("n_chars", F.length("text").alias("text_length"))
-    return insights.strong_correlations(insights.correlations(chars, ["n_chars", "text_length"]).unionByName(insights.correlations(t.part, ["p_partkey", "p_size", "p_retailprice"])))
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    lines = t.lineitem.select("l_quantity", "l_extendedprice", net.alias("net"), (net * (1 + F.col("l_tax"))).alias("gross"), "l_tax")
+    found = insights.correlations(chars, ["n_chars", "text_length"]).unionByName(insights.correlations(lines, ["l_quantity", "l_extendedprice", "net", "gross", "l_tax"]))
+    return insights.strong_correlations(found).select("a", "b", "n", F.round("r", 6).alias("r"), F.round("p_value", 6).alias("p_value"), "strength", "confidence")
 
 
 _ROLLING = """WITH s AS (SELECT date_trunc('hour', ts) AS t, avg(value) AS value FROM events GROUP BY 1), n AS (SELECT count(*) AS n, greatest(5, CAST(floor(count(*) / 3) AS INTEGER)) AS w FROM s),
@@ -567,41 +629,98 @@ def period_shift_stats(t):
     return got.select("metric", "n_early", "n_late", F.round("mean_early", 4).alias("mean_early"), F.round("mean_late", 4).alias("mean_late"), F.round("t", 5).alias("t"), F.round("df", 2).alias("df"))
 
 
-@query()
+#: Critical values of the normal tail; with thousands of rows those of Student's t are the same.
+_LABEL = "CASE WHEN {x} >= 3.29 THEN '99.9%' WHEN {x} >= 2.576 THEN '99%' WHEN {x} >= 1.96 THEN '95%' WHEN {x} >= 1.645 THEN '90%' ELSE 'low' END"
+_LIFTED = "(SELECT event_id, user_id, ts, value + CASE WHEN epoch_us(ts) >= (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM events) THEN 30 ELSE 0 END AS value FROM events)"
+_SHIFTED = f"""x AS (SELECT value AS v, row_number() OVER (ORDER BY ts, event_id, value) AS i, count(*) OVER () AS n FROM {{rows}}),
+h AS (SELECT count(*) FILTER (i <= n // 2) AS n1, count(*) FILTER (i > n // 2) AS n2, avg(v) FILTER (i <= n // 2) AS m1, avg(v) FILTER (i > n // 2) AS m2, var_samp(v) FILTER (i <= n // 2) AS v1, var_samp(v) FILTER (i > n // 2) AS v2 FROM x),
+w AS (SELECT *, (m2 - m1) / sqrt(v1 / n1 + v2 / n2) AS t, (m2 - m1) * 100 / abs(m1) AS magnitude FROM h)"""
+_SHIFT_ROWS = "round(magnitude, 4) AS magnitude, CASE WHEN abs(t) >= 3.29 THEN 'critical' WHEN abs(t) >= 2.576 THEN 'warning' ELSE 'info' END AS severity, " + _LABEL.format(x="abs(t)") + " AS confidence FROM w WHERE abs(t) >= 1.96"
+
+
+@query("WITH " + _SHIFTED.format(rows=_LIFTED) + " SELECT 'value' AS metric, n1 AS n_early, n2 AS n_late, " + _SHIFT_ROWS)
+def period_shifts(t):
+    """Values that are raised by 30 from the middle of the time on."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = t.events.agg(F.min(at), F.max(at)).first()
+    rows = t.events.withColumn("value", F.col("value") + F.when(at >= ((low or 0) + (high or 0)) // 2, 30).otherwise(0))
+    got = insights.shifts(insights.halves(rows, "ts", ["value"], "event_id"))
+    return got.select("metric", "n_early", "n_late", F.round("magnitude", 4).alias("magnitude"), "severity", "confidence")
+
+
+_DAILY = _ROLLING.replace("date_trunc('hour', ts)", "CAST(ts AS DATE)")
+
+
+@query(_DAILY + f""", g AS (SELECT *, CAST(sign(z) AS INTEGER) AS sg, i - row_number() OVER (PARTITION BY sign(z) ORDER BY i) AS isl FROM f),
+a AS (SELECT arg_max(z, i) AS z, arg_max((value - m) * 100 / abs(nullif(m, 0)), i) AS magnitude FROM g GROUP BY sg, isl), {_SHIFTED.format(rows="events").replace("x AS", "xs AS").replace("FROM x)", "FROM xs)")}
+SELECT 'events' AS "table", 'anomaly' AS kind, 'value' AS metric, NULL AS other, round(magnitude, 4) AS magnitude, CASE WHEN abs(z) >= 3 THEN 'critical' WHEN abs(z) >= 2.5 THEN 'warning' ELSE 'info' END AS severity, {_LABEL.format(x="abs(z)")} AS confidence FROM a
+UNION ALL SELECT 'events', 'shift', 'value', NULL, {_SHIFT_ROWS}
+UNION ALL SELECT 'documents', 'correlation', a, b, round(r, 4), CASE WHEN strength = 'strong' THEN 'warning' ELSE 'info' END, confidence FROM ({_STRONG.format(rows=_corr_sql(_LENGTHS, ["n_chars", "text_length"]))})""")
 def insights_all(t):
-    return insights.detect({"events": t.events.drop("event_id"), "documents": t.documents.select("n_chars", F.length("text").alias("text_length"))}, {"events": "user_id"})
+    found = insights.detect({"events": t.events, "documents": t.documents.select("n_chars", F.length("text").alias("text_length")), "nothing": t.events.limit(0)}, {"events": "event_id"})
+    return found.select("table", "kind", "metric", "other", F.round("magnitude", 4).alias("magnitude"), "severity", "confidence")
 
 
 # Drift --------------------------------------------------------------------------------------------
 
 
 def _versions(t) -> tuple[DataFrame, DataFrame]:
-    """Two snapshots: customer loses a column, gets one and changes another; supplier goes, part comes."""
+    """Two snapshots: customer loses a column, gets one and changes two; supplier goes, part comes."""
     old = drift.snapshot(t.many("customer", "supplier", "nation"), 1)
-    changed = t.customer.drop("c_name").withColumn("c_acctbal", F.col("c_acctbal").cast("string")).withColumn("c_since", F.lit("2024-01-01").cast("date"))
+    changed = t.customer.drop("c_name").withColumns({"c_acctbal": F.col("c_acctbal").cast("bigint").cast("string"), "c_since": F.lit("2024-01-01").cast("date"), "c_mktsegment": F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment"))})
     return old, drift.snapshot({"customer": changed, "nation": t.nation, "part": t.part}, 2)
 
 
-@query("SELECT * FROM (VALUES ('customer', 'c_acctbal', 'type_changed', 'float64', 'varchar'), ('customer', 'c_name', 'removed', 'varchar', NULL), ('customer', 'c_since', 'added', NULL, 'date'), ('customer', 'c_since', 'x', NULL, NULL)) v(\"table\", \"column\", change, before, after) WHERE change <> 'x'")
+_CUSTOMER_2 = "(SELECT c_custkey, c_nationkey, CAST(trunc(c_acctbal) AS BIGINT)::VARCHAR AS c_acctbal, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS c_mktsegment, DATE '2024-01-01' AS c_since FROM customer)"
+
+
+def _snapshot_sql(run: int, table: str, rows: str, columns: list[str]) -> str:
+    """A snapshot's rows computed from the table: types, nulls, and sums of digests of values."""
+    text = lambda c: f"CASE typeof({c}) WHEN 'DOUBLE' THEN CAST(CAST(round(TRY_CAST({c} AS DOUBLE) * 100) AS HUGEINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
+    return union_sql(lambda c: f"SELECT {run} AS run_id, '{table}' AS \"table\", '{c}' AS \"column\", {_kind_sql(c, rows)} AS dtype, count({c}) < count(*) AS nullable, count(*) AS row_count, count({c}) AS filled, CAST(coalesce(sum(CAST('0x' || substr(md5({text(c)}), 1, 8) AS BIGINT)), 0) AS VARCHAR) AS fingerprint FROM {rows}", columns)
+
+
+_CUSTOMER_COLUMNS, _PARTS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+_BEFORE = f"b AS MATERIALIZED ({_snapshot_sql(1, 'customer', 'customer', _CUSTOMER_COLUMNS)} UNION ALL {_snapshot_sql(1, 'supplier', 'supplier', ['s_suppkey', 's_name', 's_nationkey', 's_acctbal'])} UNION ALL {_snapshot_sql(1, 'nation', 'nation', ['n_nationkey', 'n_name', 'n_regionkey'])})"
+_AFTER = f"a AS MATERIALIZED ({_snapshot_sql(2, 'customer', _CUSTOMER_2, ['c_custkey', 'c_nationkey', 'c_acctbal', 'c_mktsegment', 'c_since'])} UNION ALL {_snapshot_sql(2, 'nation', 'nation', ['n_nationkey', 'n_name', 'n_regionkey'])} UNION ALL {_snapshot_sql(2, 'part', 'part', _PARTS)})"
+_DRIFT = f"""WITH {_BEFORE}, {_AFTER}, tables AS (SELECT DISTINCT "table", 'added' AS change FROM a WHERE "table" NOT IN (SELECT "table" FROM b) UNION ALL SELECT DISTINCT "table", 'removed' FROM b WHERE "table" NOT IN (SELECT "table" FROM a)),
+j AS (SELECT coalesce(b."table", a."table") AS "table", coalesce(b."column", a."column") AS "column", b.dtype AS bd, a.dtype AS ad, b.nullable AS bn, a.nullable AS an FROM (SELECT * FROM b WHERE "table" IN (SELECT "table" FROM a)) b FULL JOIN (SELECT * FROM a WHERE "table" IN (SELECT "table" FROM b)) a ON a."table" = b."table" AND a."column" = b."column"),
+columns AS (SELECT "table", "column", 'added' AS change, NULL AS before, ad AS after FROM j WHERE bd IS NULL UNION ALL SELECT "table", "column", 'removed', bd, NULL FROM j WHERE ad IS NULL UNION ALL SELECT "table", "column", 'type_changed', bd, ad FROM j WHERE bd <> ad UNION ALL SELECT "table", "column", 'nullability_changed', CAST(bn AS VARCHAR), CAST(an AS VARCHAR) FROM j WHERE bn <> an)"""
+
+
+@query(f"WITH {_BEFORE} SELECT * FROM b")
+def schema_snapshot(t):
+    return _versions(t)[0]
+
+
+@query(_DRIFT + ' SELECT "table", "column", change, before, after FROM columns')
 def schema_diff(t):
-    both = [x.where("table <> 'x'") for x in _versions(t)]
-    return drift.column_changes(*both).where("change <> 'nullability_changed'")
+    return drift.column_changes(*_versions(t))
 
 
-@query("SELECT * FROM (VALUES ('part', 'added'), ('supplier', 'removed')) v(\"table\", change)")
+@query(_DRIFT + ' SELECT "table", change FROM tables')
 def table_changes(t):
     return drift.table_changes(*_versions(t))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS added, CAST(1 AS BIGINT) AS removed, CAST(1 AS BIGINT) AS updated, CAST(1 AS BIGINT) AS unchanged")
+@query(_DRIFT + """, h AS (SELECT coalesce(b.t, a.t) AS t, b.m AS bm, a.m AS am FROM (SELECT "table" AS t, string_agg("column" || dtype || nullable || row_count || fingerprint, ';' ORDER BY "column") AS m FROM b GROUP BY 1) b FULL JOIN (SELECT "table" AS t, string_agg("column" || dtype || nullable || row_count || fingerprint, ';' ORDER BY "column") AS m FROM a GROUP BY 1) a ON a.t = b.t)
+SELECT count(*) FILTER (bm IS NULL) AS added, count(*) FILTER (am IS NULL) AS removed, count(*) FILTER (bm <> am) AS updated, count(*) FILTER (bm = am) AS unchanged FROM h""")
 def rerun_summary(t):
     return drift.rerun_summary(*_versions(t))
 
 
-@query("SELECT \"table\", count(*) AS columns FROM (VALUES ('customer'), ('customer'), ('customer'), ('customer'), ('customer'), ('supplier'), ('supplier'), ('supplier'), ('supplier'), ('nation'), ('nation'), ('nation')) v(\"table\") GROUP BY 1")
+@query(_DRIFT + """ SELECT 'first' AS run, true AS first_run, (SELECT count(DISTINCT "table") FROM b) AS tables_added, CAST(0 AS BIGINT) AS tables_removed, CAST(0 AS BIGINT) AS column_changes, false AS no_changes UNION ALL SELECT 'same', false, 0, 0, 0, true
+UNION ALL SELECT 'next', false, count(*) FILTER (change = 'added'), count(*) FILTER (change = 'removed'), (SELECT count(*) FROM columns), count(*) + (SELECT count(*) FROM columns) = 0 FROM tables""")
+def drift_overview(t):
+    old, new = _versions(t)
+    runs = {"first": drift.overview(old.where("run_id < 0"), old), "same": drift.overview(old, old), "next": drift.overview(old, new)}
+    return reduce(DataFrame.unionByName, [df.withColumn("run", F.lit(n)) for n, df in runs.items()])
+
+
+@query(f"WITH {_BEFORE}, {_AFTER}, s AS (SELECT * FROM b UNION ALL SELECT * FROM a) SELECT \"table\", count(*) AS columns, sum(row_count) AS cells FROM s WHERE run_id = (SELECT max(run_id) FROM s WHERE run_id < 2) GROUP BY 1")
 def latest_snapshot(t):
     old, new = _versions(t)
-    return drift.latest_before(old.unionByName(new), 2).groupBy("table").agg(F.count(F.lit(1)).alias("columns"))
+    return drift.latest_before(old.unionByName(new), 2).groupBy("table").agg(F.count(F.lit(1)).alias("columns"), F.sum("row_count").alias("cells"))
 
 
 _OLD_CUSTOMERS = "(SELECT c_custkey, c_name, c_acctbal, c_custkey % 5 = 0 AS locked, CASE WHEN c_custkey % 7 = 0 THEN 1 END AS removed FROM customer)"
@@ -668,11 +787,28 @@ def weak_edges(t):
     return graph.weak_edges(table_edges(t), 0.9).select("src", "dst", F.round("ref_integrity", 6).alias("ref_integrity"))
 
 
-@query("SELECT 'lineitem>orders>customer>nation' AS path, 3 AS hops WHERE false UNION ALL SELECT 'lineitem>supplier>nation', 2")
+_WAYS = f"e AS MATERIALIZED ({_EDGE_SQL})"
+
+
+@query(f"""WITH RECURSIVE {_WAYS}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), p AS (SELECT ['lineitem'] AS path, 0 AS hops UNION ALL SELECT list_append(path, b.dst), hops + 1 FROM p JOIN b ON path[-1] = b.src WHERE hops < 3 AND NOT list_contains(path, b.dst))
+SELECT array_to_string(path, '>') AS path, hops FROM p WHERE path[-1] = 'nation' ORDER BY hops, path LIMIT 1""")
 def shortest_path(t):
     return graph.shortest_path(table_edges(t), "lineitem", "nation").select(F.array_join("path", ">").alias("path"), "hops")
 
 
+@query(f"""WITH RECURSIVE {_WAYS}, p AS (SELECT ['nation'] AS path, 0 AS hops UNION ALL SELECT list_append(path, e.dst), hops + 1 FROM p JOIN e ON path[-1] = e.src WHERE hops < 3 AND NOT list_contains(path, e.dst)),
+q AS (SELECT ['lineitem'] AS path, 0 AS hops UNION ALL SELECT list_append(path, e.dst), hops + 1 FROM q JOIN e ON path[-1] = e.src WHERE hops < 3 AND NOT list_contains(path, e.dst))
+SELECT array_to_string(path, '>') AS path, hops FROM (SELECT *, 0 AS turn FROM p WHERE path[-1] = 'lineitem' UNION ALL SELECT *, 1 FROM q WHERE path[-1] = 'nation') ORDER BY turn, hops, path LIMIT 1""")
+def directed_path(t):
+    """There is no way from nation to lineitem along the edges, so the reverse one is given."""
+    return graph.shortest_path(table_edges(t), "nation", "lineitem", directed=True).select(F.array_join("path", ">").alias("path"), "hops")
+
+
+@query("""SELECT DISTINCT event_type AS dst, CAST(user_id AS VARCHAR) AS src FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING count(DISTINCT user_id) >= 2)""")
+def hub_sources(t):
+    return graph.hub_sources(user_types(t))
+
+
 @query("""WITH c AS (SELECT o_custkey, 'c' || o_custkey AS node, least('c' || o_custkey, min('o' || o_orderkey)) AS component FROM orders GROUP BY o_custkey)
 SELECT node, component FROM c UNION ALL SELECT DISTINCT 'o' || o_orderkey, component FROM orders JOIN c USING (o_custkey)""")
 def components(t):
@@ -680,35 +816,52 @@ def components(t):
     return graph.components(edges)
 
 
-@query()
+_REACH = f"""e AS MATERIALIZED (SELECT from_table AS src, to_table AS dst FROM ({{fk}}) WHERE n_matched / n_distinct >= 0.5), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+r AS (SELECT src AS node, src AS other FROM b UNION SELECT node, dst FROM r JOIN b ON other = src), m AS (SELECT node, min(other) AS component FROM r GROUP BY 1),
+z AS ({" UNION ALL ".join(f"SELECT '{n}' AS node, count(*) AS size FROM {n}" for n in TPCH)})"""
+
+
+@query(f"""WITH RECURSIVE {_REACH.format(fk=_fk_sql())}
+SELECT component, CASE WHEN count(*) > 1 AND min(string_split(node, '_')[1]) = max(string_split(node, '_')[1]) THEN min(string_split(node, '_')[1]) ELSE arg_max(node, struct_pack(s := size, n := node)) END AS label FROM m JOIN z USING (node) GROUP BY 1""")
 def cluster_labels(t):
     edges = relate.detect(t.many(*TPCH), KEYS, prefixed=True).select(F.col("from_table").alias("src"), F.col("to_table").alias("dst"))
     sizes = sinks.catalog(t.many(*TPCH)).select(F.col("table").alias("node"), F.col("row_count").alias("size")).distinct()
     return graph.cluster_labels(graph.components(edges), sizes)
 
 
+@query("""WITH x AS (SELECT DISTINCT event_type, user_id % 7 AS u, CAST(user_id AS VARCHAR) AS node FROM events), c AS (SELECT 'user_' || u AS component, count(DISTINCT 'user_' || node) AS members FROM x GROUP BY 1)
+SELECT component, CASE WHEN members > 1 THEN 'user' ELSE (SELECT min('user_' || node) FROM x WHERE 'user_' || u = component) END AS label FROM c""")
+def cluster_prefixes(t):
+    """Users of one remainder as a cluster: all their names begin alike."""
+    members = t.events.select(F.concat(F.lit("user_"), F.col("user_id") % 7).alias("component"), F.concat(F.lit("user_"), "user_id").alias("node")).distinct()
+    return graph.cluster_labels(members, members.groupBy("node").agg(F.count(F.lit(1)).alias("size")))
+
+
 @query("""WITH x AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem) SELECT a.k AS a, b.k AS b, CAST(count(*) AS INTEGER) AS shared FROM x a JOIN x b ON a.p = b.p AND a.k < b.k GROUP BY ALL HAVING count(*) >= 3""")
 def kin_pairs(t):
     baskets = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
     return graph.kin(baskets, "l_orderkey", "parts")
 
 
-@query("""WITH x AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem), s AS (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.p = b.p AND a.k < b.k GROUP BY ALL HAVING count(*) >= 3)
-SELECT b AS item, min(a) AS leader FROM s WHERE a NOT IN (SELECT b FROM s) GROUP BY b""")
+@query("""WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem), s AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.p = b.p AND a.k < b.k GROUP BY ALL HAVING count(*) >= 2),
+near AS (SELECT b AS k, list(a) AS smaller FROM s GROUP BY b), o AS MATERIALIZED (SELECT n.k, coalesce(smaller, CAST([] AS BIGINT[])) AS smaller, row_number() OVER (ORDER BY n.k) AS i FROM (SELECT a AS k FROM s UNION SELECT b FROM s) n LEFT JOIN near USING (k)),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders UNION ALL SELECT o.i, CASE WHEN list_has_any(o.smaller, leaders) THEN leaders ELSE list_append(leaders, o.k) END FROM walk JOIN o ON o.i = walk.i + 1)
+SELECT b AS item, min(a) AS leader FROM s JOIN (SELECT unnest(leaders) AS a FROM walk ORDER BY i DESC LIMIT (SELECT max(len(leaders)) FROM walk)) USING (a) GROUP BY b""")
 def kin_groups(t):
     baskets = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
-    return graph.kin_groups(baskets, "l_orderkey", "parts")
+    return graph.kin_groups(baskets, "l_orderkey", "parts", 2)
 
 
 # Health -------------------------------------------------------------------------------------------
 
 
-def _with_gaps(t, names=SMALLER) -> DataFrame:
-    tables = t.many(*names) | {"events": with_null_values(t.events).drop("props", "ts")}
+def _with_gaps(t) -> DataFrame:
+    tables = t.many(*TPCH) | {"events": with_null_values(t.events)}
     return reduce(DataFrame.unionByName, [profile.universal(profile.frequencies(df)).withColumn("table", F.lit(n)) for n, df in tables.items()])
 
 
-_GAPS = f"WITH p AS ({ALL_UNIVERSAL} UNION ALL " + union_sql(lambda c: f"SELECT 'events' AS \"table\", * FROM ({UNIVERSAL.format(c=c, t=_EVENTS)})", ["event_id", "user_id", "event_type", "value"]) + ")"
+_ALL_EVENTS = "(SELECT * REPLACE (CASE WHEN event_id % 50 = 0 THEN NULL ELSE value END AS value) FROM events)"
+_GAPS = f"WITH p AS ({ALL_UNIVERSAL} UNION ALL " + union_sql(lambda c: f"SELECT 'events' AS \"table\", * FROM ({UNIVERSAL.format(c=c, t=_ALL_EVENTS)})", ["event_id", "ts", "user_id", "event_type", "value", "props"]) + ")"
 
 
 @query(_GAPS + " SELECT count(DISTINCT \"table\") AS tables, CAST(sum(c) AS BIGINT) AS columns, CAST(sum(r) AS BIGINT) AS rows, CAST(sum(s) AS BIGINT) AS cells, round(least(100.0, (sum(s) - sum(n)) * 100.0 / sum(s)), 1) AS completeness FROM (SELECT \"table\", count(*) AS c, max(row_count) AS r, sum(row_count) AS s, sum(null_count) AS n FROM p GROUP BY 1)")
@@ -716,27 +869,29 @@ def overview(t):
     return health.overview(_with_gaps(t))
 
 
-@query(_GAPS + " SELECT \"table\", count(*) AS columns, max(row_count) AS rows, round(avg(null_rate), 4) AS mean_null_rate, round(least(100.0, (sum(row_count) - sum(null_count)) * 100.0 / sum(row_count)), 1) AS completeness, count(*) FILTER (null_count = 0 AND distinct_count = row_count) AS key_columns, \"table\" <> 'events' AND \"table\" <> 'part' AS has_relationships FROM p GROUP BY 1")
+@query(_GAPS + f""", e AS ({_fk_sql()}), r AS (SELECT from_table AS "table", string_agg(from_column || '>' || to_table || '.' || to_column, ',' ORDER BY from_column || '>' || to_table || '.' || to_column) AS refs FROM e WHERE n_matched / n_distinct >= 0.5 GROUP BY 1)
+SELECT "table", count(*) AS columns, max(row_count) AS rows, round(avg(null_rate), 4) AS mean_null_rate, round(least(100.0, (sum(row_count) - sum(null_count)) * 100.0 / sum(row_count)), 1) AS completeness, count(*) FILTER (null_count = 0 AND distinct_count = row_count) AS key_columns,
+coalesce(string_agg("column", ',' ORDER BY "column") FILTER (null_count = 0 AND distinct_count = row_count), '') AS keys, coalesce(any_value(refs), '') AS "references", bool_or("table" IN (SELECT from_table FROM e UNION SELECT to_table FROM e)) AS has_relationships FROM p LEFT JOIN r USING ("table") GROUP BY 1""")
 def table_health(t):
-    edges = relate.detect(t.many(*SMALLER), KEYS, prefixed=True)
+    edges = relate.detect(t.many(*TPCH), KEYS, prefixed=True)
     return health.table_health(_with_gaps(t), edges)
 
 
-@query(_GAPS.replace("event_id % 50 = 0", "event_id % 10 = 0") + " SELECT \"table\", \"column\", 'high_nulls' AS issue, CASE WHEN null_rate > 0.2 THEN 'error' ELSE 'warning' END AS severity FROM p WHERE null_rate > 0.05 UNION ALL SELECT \"table\", \"column\", 'constant_column', 'warning' FROM p WHERE distinct_count = 1 AND row_count > 1 UNION ALL SELECT \"table\", \"column\", 'repeated_id', 'info' FROM p WHERE regexp_matches(\"column\", '(^|_)id$|key$') AND uniqueness_ratio < 1 AND uniqueness_ratio > 0.95")
+@query(_GAPS.replace("event_id % 50 = 0", "event_id % 10 = 0") + " SELECT \"table\", \"column\", 'high_nulls' AS issue, CASE WHEN null_rate > 0.2 THEN 'error' ELSE 'warning' END AS severity FROM p WHERE null_rate > 0.05 AND distinct_count > 0 UNION ALL SELECT \"table\", \"column\", 'constant_column', 'warning' FROM p WHERE distinct_count = 1 AND null_rate = 0 UNION ALL SELECT \"table\", \"column\", 'unexpected_uniqueness', 'info' FROM p WHERE uniqueness_ratio = 1 AND distinct_count > 1 AND NOT ends_with(\"column\", '_id') UNION ALL SELECT \"table\", \"column\", 'empty_column', 'error' FROM p WHERE distinct_count = 0 AND row_count > 0")
 def column_issues(t):
-    events = t.events.withColumn("value", F.when(F.col("event_id") % 10 != 0, F.col("value"))).drop("props", "ts")
+    events = t.events.withColumn("value", F.when(F.col("event_id") % 10 != 0, F.col("value")))
     tables = t.many(*TPCH) | {"events": events}
     return health.column_issues(reduce(DataFrame.unionByName, [profile.universal(profile.frequencies(df)).withColumn("table", F.lit(n)) for n, df in tables.items()]))
 
 
 @query(_GAPS + " SELECT \"table\", \"column\", null_rate FROM p WHERE null_rate > 0")
 def null_ranking(t):
-    return health.null_ranking(_with_gaps(t, TPCH))
+    return health.null_ranking(_with_gaps(t))
 
 
 @query(_GAPS + " SELECT \"table\", \"column\", distinct_count FROM p WHERE uniqueness_ratio = 1 AND distinct_count > 1")
 def unique_columns(t):
-    return health.unique_columns(_with_gaps(t, TPCH))
+    return health.unique_columns(_with_gaps(t))
 
 
 @query("SELECT * FROM (SELECT 'pages' AS \"table\", 'url' AS \"column\", 'url' AS detected_pattern) WHERE (SELECT count(*) FROM pages) > 0")
@@ -750,23 +905,22 @@ def domain_rollup(t):
     return health.domain_rollup(counts.withColumn("domain", F.when(F.col("table").isin("orders", "lineitem"), F.lit("sales")).otherwise(F.lit("master"))))
 
 
-_SMALL_FK = f"SELECT * FROM ({_fk_sql()}) WHERE from_table <> 'lineitem'"
-_SMALL_FEWER = f"SELECT *, n_matched / n_distinct AS share FROM ({_fk_sql(**_FEWER)}) WHERE from_table <> 'lineitem' AND n_matched / n_distinct >= 0.5"
+_GOOD_FEWER = f"SELECT *, n_matched / n_distinct AS share FROM ({_fk_sql(**_FEWER)}) WHERE n_matched / n_distinct >= 0.5"
 
 
 @query(_GAPS + f""", k AS (SELECT "table", bool_or(null_count = 0 AND distinct_count = row_count) AS has_key, count(*) FILTER (null_rate > 0.05) AS sparse, count(*) FILTER (distinct_count = 1) AS constant FROM p GROUP BY 1)
-SELECT round(count(*) FILTER (has_key) * 100.0 / count(*), 1) AS key_coverage, CAST(sum(sparse) AS BIGINT) AS high_null_columns, CAST(sum(constant) AS BIGINT) AS constant_columns, (SELECT round(avg(n_matched / n_distinct) * 100, 1) FROM ({_SMALL_FK})) AS mean_integrity, (SELECT round(count(*) FILTER (passed) * 100.0 / count(*), 1) FROM ({_CHECKS})) AS pass_rate FROM k""")
+SELECT round(count(*) FILTER (has_key) * 100.0 / count(*), 1) AS key_coverage, CAST(sum(sparse) AS BIGINT) AS high_null_columns, CAST(sum(constant) AS BIGINT) AS constant_columns, (SELECT round(avg(n_matched / n_distinct) * 100, 1) FROM ({_fk_sql()})) AS mean_integrity, (SELECT round(count(*) FILTER (passed) * 100.0 / count(*), 1) FROM ({_CHECKS})) AS pass_rate FROM k""")
 def data_profile(t):
-    edges = relate.detect(t.many(*SMALLER), KEYS, prefixed=True)
+    edges = relate.detect(t.many(*TPCH), KEYS, prefixed=True)
     return health.data_profile(_with_gaps(t), edges, quality.check(with_null_values(t.events), _EVENT_RULES))
 
 
-@query(_GAPS + f""", h AS (SELECT "table", count(*) FILTER (null_count = 0 AND distinct_count = row_count) AS keys, round(avg(null_rate), 4) AS gaps FROM p GROUP BY 1), e AS ({_SMALL_FEWER})
+@query(_GAPS + f""", h AS (SELECT "table", count(*) FILTER (null_count = 0 AND distinct_count = row_count) AS keys, round(avg(null_rate), 4) AS gaps FROM p GROUP BY 1), e AS ({_GOOD_FEWER})
 SELECT 1 AS priority, 'failed_contract' AS kind, 'events' AS "table", "column" FROM ({_CHECKS}) WHERE NOT passed UNION ALL SELECT 2, 'weak_reference', from_table, from_column FROM e WHERE share < 0.95
 UNION ALL SELECT 3, 'no_key', "table", NULL FROM h WHERE keys = 0 UNION ALL SELECT 4, 'high_nulls', "table", "column" FROM p WHERE null_rate > 0.05
 UNION ALL SELECT 5, 'isolated_table', "table", NULL FROM h WHERE "table" NOT IN (SELECT from_table FROM e UNION SELECT to_table FROM e) UNION ALL SELECT 6, 'complete_table', "table", NULL FROM h WHERE gaps = 0""")
 def findings(t):
-    edges = relate.detect({k: v for k, v in fewer_customers(t).items() if k != "lineitem"}, KEYS, prefixed=True)
+    edges = relate.detect(fewer_customers(t), KEYS, prefixed=True)
     results = quality.check(with_null_values(t.events), _EVENT_RULES).withColumn("table", F.lit("events"))
     return health.findings(_with_gaps(t), edges, results)
 
@@ -777,29 +931,52 @@ def dedup_suggestions(t):
     return health.dedup_suggestions(_with_gaps(t), edges).withColumn("figure", F.round("figure", 4))
 
 
+_ACTIONS = {"column": ("description_accepted", "description_edited", "locked", "seen"), "model": ("edited", "edited", "locked", "edited"), "contract": ("false_positive", "true_positive", "acknowledged", "muted")}
+
+
 def decisions(t) -> DataFrame:
-    """Events read as a decision log: types as actions, the value as an edit distance in JSON."""
-    action = F.element_at(F.array(*[F.lit(a) for a in ("accepted", "edited", "locked", "false_positive", "confirmed")]), (F.col("event_id") % 5 + 1).cast("int"))
-    payload = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("value").alias("edit_distance")))).otherwise(F.lit("{}"))
-    return t.events.select("event_id", action.alias("action"), payload.alias("payload"))
+    """Events read as a decision log: each is about a column, a model or a contract of one of two
+    sources, and some payloads hold the value as an edit distance."""
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(a) for a in names]), (n + 1).cast("int"))
+    kind = pick(list(_ACTIONS), F.col("event_id") % 3)
+    action = F.coalesce(*[F.when(kind == k, pick(names, F.col("user_id") % 4)) for k, names in _ACTIONS.items()])
+    artifact = F.when(kind == "contract", F.concat(F.lit("c"), F.col("event_id") % 100)).otherwise(F.concat(F.when(F.col("event_id") % 2 == 0, F.lit("shop.")).otherwise(F.lit("crm.")), "event_type"))
+    payload = F.when(F.col("event_id") % 5 < 3, F.to_json(F.struct(F.col("value").alias("edit_distance")))).otherwise(F.lit("{}"))
+    return t.events.select("event_id", kind.alias("artifact_type"), artifact.alias("artifact_id"), action.alias("action"), payload.alias("payload"))
+
+
+def contracts_of(t) -> DataFrame:
+    return t.events.select(F.concat(F.lit("c"), F.col("event_id") % 100).alias("id"), F.concat(F.when(F.col("event_id") % 100 < 60, F.lit("stg_shop_")).otherwise(F.lit("stg_crm_")), F.col("event_id") % 100).alias("model_name")).distinct()
+
+
+_DECISIONS = f"""(SELECT *, CASE artifact_type WHEN 'contract' THEN 'c' || event_id % 100 ELSE CASE WHEN event_id % 2 = 0 THEN 'shop.' ELSE 'crm.' END || event_type END AS artifact_id, CASE artifact_type {" ".join(f"WHEN '{k}' THEN {list(v)}[user_id % 4 + 1]" for k, v in _ACTIONS.items())} END AS action FROM (SELECT *, ['column', 'model', 'contract'][event_id % 3 + 1] AS artifact_type FROM events))"""
+
+
+def _by_source(function) -> DataFrame:
+    """A rate over all sources, for one, and for one that nothing was decided for."""
+    return reduce(DataFrame.unionByName, [function(s).withColumn("source", F.lit(s or "all")) for s in (None, "shop", "nothing")])
+
+
+def _source_sql(figures: str, where: str, scope: Callable[[str], str]) -> str:
+    return " UNION ALL ".join(f"SELECT {figures}, '{s}' AS source FROM {_DECISIONS} WHERE {where} AND {scope(s)}" for s in ("all", "shop", "nothing"))
 
 
-_DECISIONS = "(SELECT event_id, value, ['accepted', 'edited', 'locked', 'false_positive', 'confirmed'][CAST(event_id % 5 AS INTEGER) + 1] AS action FROM events)"
+_DECIDED = "artifact_type = 'column' AND action IN ('locked', 'description_accepted', 'description_edited')"
 
 
-@query(f"SELECT count(*) FILTER (action = 'accepted') AS accepted, count(*) FILTER (action IN ('accepted', 'edited', 'locked')) AS decided, CASE WHEN count(*) FILTER (action IN ('accepted', 'edited', 'locked')) >= 5 THEN round(count(*) FILTER (action = 'accepted') / count(*) FILTER (action IN ('accepted', 'edited', 'locked')), 4) END AS rate FROM {_DECISIONS}")
+@query(_source_sql("count(*) FILTER (action = 'description_accepted') AS accepted, count(*) AS decided, CASE WHEN count(*) >= 5 THEN round(count(*) FILTER (action = 'description_accepted') / count(*), 4) END AS rate", _DECIDED, lambda s: "true" if s == "all" else f"starts_with(artifact_id, '{s}.')"))
 def acceptance_rate(t):
-    return health.acceptance_rate(decisions(t))
+    return _by_source(lambda s: health.acceptance_rate(decisions(t), s))
 
 
-@query("SELECT round(avg(value), 6) AS mean_distance, count(value) AS n FROM events WHERE event_id % 2 = 0")
+@query(_source_sql("round(avg(value) FILTER (event_id % 5 < 3), 4) AS mean_distance, count(value) FILTER (event_id % 5 < 3) AS n", "artifact_type = 'model' AND action = 'edited'", lambda s: "true" if s == "all" else f"starts_with(artifact_id, '{s}')"))
 def edit_distance(t):
-    return health.mean_edit_distance(decisions(t)).withColumn("mean_distance", F.round("mean_distance", 6))
+    return _by_source(lambda s: health.mean_edit_distance(decisions(t), s))
 
 
-@query(f"SELECT count(*) FILTER (action = 'false_positive') AS false_positives, count(*) FILTER (action IN ('false_positive', 'confirmed')) AS decided, round(1 - count(*) FILTER (action = 'false_positive') / count(*) FILTER (action IN ('false_positive', 'confirmed')), 4) AS precision FROM {_DECISIONS}")
+@query(_source_sql("count(*) FILTER (action = 'false_positive') AS false_positives, count(*) AS decided, round(1 - count(*) FILTER (action = 'false_positive') / nullif(count(*), 0), 4) AS precision", "artifact_type = 'contract' AND action IN ('false_positive', 'true_positive', 'acknowledged')", lambda s: {"all": "true", "shop": "event_id % 100 < 60", "nothing": "false"}[s]))
 def contract_precision(t):
-    return health.contract_precision(decisions(t))
+    return _by_source(lambda s: health.contract_precision(decisions(t), contracts_of(t), s))
 
 
 @query(f"SELECT action AS status, count(*) AS n, round(least(100.0, count(*) * 100.0 / (SELECT count(*) FROM events)), 1) AS percent FROM {_DECISIONS} GROUP BY 1")

@@ -67,7 +67,7 @@ def test_profile_of_nested_and_nan(spark):
 
 def test_patterns(spark):
     rows = [(f"user{i}@mail.example", f"+1 555 01{i:02d} 99", f"https://e.example/{i}", f"{i:08x}", "2024-01-05") for i in range(20)]
-    got = profile.patterns(profile.frequencies(spark.createDataFrame(rows, "a string, b string, c string, d string, e string")))
+    got = profile.patterns(spark.createDataFrame(rows, "a string, b string, c string, d string, e string"))
     assert {r.column: r.detected_pattern for r in got.collect()} == {"a": "email", "b": "phone", "c": "url", "d": "hex_id", "e": "phone"}
 
 
@@ -149,6 +149,18 @@ def test_drift(spark):
     assert {(r.table, r.change) for r in drift.table_changes(a, b).collect()} == {("new", "added"), ("old", "removed")}
     assert {r.change for r in drift.table_changes(a.limit(0), b).collect()} == {"added"}
     assert drift.latest_before(a.unionByName(b), 2).count() == 4 and drift.latest_before(a, 1).count() == 0
+    first, same = drift.overview(a.limit(0), a).first(), drift.overview(a, a).first()
+    assert (first.first_run, first.tables_added, first.no_changes) == (True, 2, False) and (same.first_run, same.no_changes) == (False, True)
+
+
+def test_snapshots_read_values(spark):
+    one = spark.createDataFrame([(1, "a", 0.5), (2, None, 1.5)], "id int, name string, x double")
+    two = spark.createDataFrame([(2, None, 1.5), (1, "a", 0.5)], "id int, name string, x double")
+    three = spark.createDataFrame([(1, "b", 0.5), (2, None, 1.5)], "id int, name string, x double")
+    s = {n: drift.snapshot({"t": df}, i) for i, (n, df) in enumerate({"one": one, "two": two, "three": three}.items())}
+    assert {(r.column, r.nullable, r.filled) for r in s["one"].collect()} == {("id", False, 2), ("name", True, 1), ("x", False, 2)}
+    assert drift.rerun_summary(s["one"], s["two"]).first().unchanged == 1
+    assert drift.rerun_summary(s["one"], s["three"]).first().updated == 1
 
 
 def test_graph(spark):
@@ -183,13 +195,47 @@ def test_kin(spark):
     assert {(r.item, r.leader) for r in graph.kin_groups(df, "k", "tokens").collect()} == {("b", "a")}
 
 
+def test_kin_groups_are_greedy(spark):
+    chain = [("a", ["1", "2", "3"]), ("b", ["1", "2", "3", "4", "5", "6"]), ("c", ["4", "5", "6", "7", "8", "9"]), ("d", ["7", "8", "9"])]
+    rng = random.Random(2)
+    many = [(f"{i:02d}", [str(x) for x in rng.sample(range(14), 5)]) for i in range(60)]
+    for rows in (chain, many):
+        sets, free, want = {k: set(t) for k, t in rows}, {k for k, _ in rows}, {}
+        for k in sorted(sets):
+            if k in free:
+                own = {j for j in free if j > k and len(sets[j] & sets[k]) >= 3}
+                want |= dict.fromkeys(own, k)
+                free -= own | {k}
+        got = {r.item: r.leader for r in graph.kin_groups(spark.createDataFrame(rows, "k string, tokens array<string>"), "k", "tokens").collect()}
+        assert got == want
+    assert want and {r.item for r in graph.kin_groups(spark.createDataFrame(chain, "k string, tokens array<string>"), "k", "tokens").collect()} == {"b", "d"}
+
+
+def test_labels_and_directed_paths(spark):
+    c = spark.createDataFrame([("aqs_sites", "x"), ("aqs_daily", "x"), ("b_a", "y"), ("a_b", "y"), ("alone_a", "z")], "node string, component string")
+    sizes = spark.createDataFrame([("b_a", 3), ("a_b", 9)], "node string, size int")
+    assert {r.component: r.label for r in graph.cluster_labels(c, sizes).collect()} == {"x": "aqs", "y": "a_b", "z": "alone_a"}
+    e = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", "d")], "src string, dst string")
+    assert graph.shortest_path(e, "d", "c", directed=True).first().path == ["c", "d"]
+    assert graph.shortest_path(e, "a", "d", directed=True).count() == 0 and graph.shortest_path(e, "a", "d").first().path == ["a", "b", "c", "d"]
+
+
 def test_health(spark):
     rows = [("t", "id", 10, 0, 10, 0.0, 1.0), ("t", "empty", 10, 10, 0, 1.0, 0.0), ("t", "same", 10, 0, 1, 0.0, 0.1), ("t", "some", 10, 1, 5, 0.1, 0.5556), ("t", "nested", 10, 0, None, None, None)]
     p = spark.createDataFrame(rows, "table string, column string, row_count bigint, null_count bigint, distinct_count bigint, null_rate double, uniqueness_ratio double")
     got = {(r.column, r.issue, r.severity) for r in health.column_issues(p).collect()}
-    assert got == {("empty", "empty_column", "error"), ("same", "constant_column", "warning"), ("some", "high_nulls", "warning")}
-    few = spark.createDataFrame([("accepted",)] * 3, "action string")
-    assert health.acceptance_rate(few).first().rate is None
+    assert got == {("id", "unexpected_uniqueness", "info"), ("empty", "empty_column", "error"), ("same", "constant_column", "warning"), ("some", "high_nulls", "warning")}
+    unique = spark.createDataFrame([("t", "code", 5, 0, 5, 0.0, 1.0), ("t", "x_id", 5, 0, 5, 0.0, 1.0), ("t", "one", 1, 0, 1, 0.0, 1.0)], p.schema)
+    assert {(r.column, r.issue) for r in health.column_issues(unique).collect()} == {("code", "unexpected_uniqueness"), ("one", "constant_column")}
+
+
+def test_decisions_by_source_and_artifact(spark):
+    rows = [("column", "a.t.c", "description_accepted", None)] * 4 + [("column", "b.t.c", "locked", None), ("column", "a.t.c", "seen", None), ("model", "a.m", "edited", '{"edit_distance": 2}'), ("model", "a.m", "edited", "{}"), ("model", "b.m", "locked", '{"edit_distance": 9}'), ("contract", "1", "false_positive", None), ("contract", "2", "acknowledged", None)]
+    log = spark.createDataFrame(rows, "artifact_type string, artifact_id string, action string, payload string")
+    contracts = spark.createDataFrame([("1", "stg_a"), ("2", "stg_b")], "id string, model_name string")
+    assert tuple(health.acceptance_rate(log).first()) == (4, 5, 0.8) and tuple(health.acceptance_rate(log, "a").first()) == (4, 4, None)
+    assert tuple(health.mean_edit_distance(log).first()) == (2.0, 1) and tuple(health.mean_edit_distance(log, "b").first()) == (None, 0)
+    assert tuple(health.contract_precision(log).first()) == (1, 2, 0.5) and tuple(health.contract_precision(log, contracts, "b").first()) == (0, 1, 1.0)
 
 
 def test_similarity(spark):
@@ -228,6 +274,28 @@ def test_files(spark, tmp_path):
     assert files.sample_exact(df, 10, "id").collect() == files.sample_exact(df.repartition(7), 10, "id").collect()
 
 
+def test_numeric_by_rank_and_in_task(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(rng.integers(0, 50)), float(rng.normal()) if i % 9 else None, float("nan")) for i in range(500)], "a double, b double, c double")
+    one, two = ({r.column: r for r in profile.numeric(df, most=m).collect()} for m in (None, 60))
+    assert set(one) == set(two) == {"a", "b"}
+    for c in one:
+        assert [one[c][n] for n in ("min_value", "max_value", "p25", "median", "p75", "p95")] == pytest.approx([two[c][n] for n in ("min_value", "max_value", "p25", "median", "p75", "p95")])
+
+
+def test_long_texts_are_grouped_by_digest(spark):
+    df = spark.createDataFrame([("x" * 5000,), ("x" * 5000,), ("y" * 5000,), ("short",), (None,)], "t string")
+    freq = profile.frequencies(df).collect()
+    assert max(len(r.value or "") for r in freq) < 60 and profile.universal(profile.frequencies(df)).first().distinct_count == 3
+    assert profile.profile(df, "t").first().max_length == 5000
+
+
+def test_terms_that_hold_a_title(spark):
+    docs = spark.createDataFrame([(1, "pump", "x"), (2, "", "x")], "doc_id int, title string, text string")
+    got = similarity.match_terms(docs, spark.createDataFrame([("water pumps",), ("pum",), ("valve",)], "term string")).collect()
+    assert {(r.doc_id, r.term, r.confidence) for r in got} == {(1, "water pumps", 0.9), (1, "pum", 0.9)}
+
+
 def test_jdbc_text():
     assert jdbc.tables_query(["a'b"]).endswith("NOT IN ('a''b')")
     sql = jdbc.profile_query("s.t", ['we"ird'])
@@ -270,7 +338,15 @@ def test_percentiles_by_rank(spark):
 
 
 def test_nearest_in_blocks(spark, monkeypatch):
-    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "id int, v array<double>")
-    want = sorted(map(tuple, similarity.nearest(df, df, 3).collect()))
-    monkeypatch.setattr(similarity, "BLOCK_CELLS", 20)
-    assert sorted(map(tuple, similarity.nearest(df, df, 3).collect())) == want
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(i % 7), float(i % 5), 0.0], "a") for i in range(60)] + [(100 + i, rng.normal(size=3).tolist(), "ab"[i % 2]) for i in range(140)] + [(300, None, "a"), (301, [1.0, None, 2.0], "a"), (302, [1.0, 2.0], "a"), (303, [1.5, 2.0], "a")]
+    df = spark.createDataFrame(rows, "id int, v array<double>, kind string")
+    for cells in (1_000_000, 60):
+        monkeypatch.setattr(similarity, "BLOCK_CELLS", cells)
+        for equal in (None, ["kind"]):
+            got = {}
+            for r in similarity.nearest(df, df, 3, equal=equal).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append(r.id)
+            for i, v, kind in rows:
+                near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for j, w, k in rows if j != i and v and w and None not in v and None not in w and len(v) == len(w) and (equal is None or k == kind)) if v else []
+                assert got.get(i, []) == [j for _, j in near[:3]]
