@@ -13,7 +13,7 @@ from tablewise.operators.metrics import Metric
 from tablewise.operators.quality import Rule
 from tablewise.operators.relate import Edge
 from tablewise.sources import files, jdbc, sinks
-from tablewise.sources.paths import scratch
+from tablewise.sources.paths import scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,8 +155,8 @@ def pk_candidates(t):
 
 
 def _typed(t, names):
-    parts = [profile.profile(df, n) for n, df in t.many(*names).items()]
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # A row a column: written once, as what follows reads it more than once.
+    every = stored(profile.profile_all(t.many(*names)))
     return profile.roles(profile.semantic_type(every), profile.is_primary_key(F.col("column").rlike("key$")))
 
 
@@ -666,9 +666,9 @@ def insights_all(t):
 
 def _versions(t) -> tuple[DataFrame, DataFrame]:
     """Two snapshots: customer loses a column, gets one and changes two; supplier goes, part comes."""
-    old = drift.snapshot(t.many("customer", "supplier", "nation"), 1)
+    old = stored(drift.snapshot(t.many("customer", "supplier", "nation"), 1))
     changed = t.customer.drop("c_name").withColumns({"c_acctbal": F.col("c_acctbal").cast("bigint").cast("string"), "c_since": F.lit("2024-01-01").cast("date"), "c_mktsegment": F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment"))})
-    return old, drift.snapshot({"customer": changed, "nation": t.nation, "part": t.part}, 2)
+    return old, stored(drift.snapshot({"customer": changed, "nation": t.nation, "part": t.part}, 2))
 
 
 _CUSTOMER_2 = "(SELECT c_custkey, c_nationkey, CAST(trunc(c_acctbal) AS BIGINT)::VARCHAR AS c_acctbal, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS c_mktsegment, DATE '2024-01-01' AS c_since FROM customer)"
@@ -857,7 +857,7 @@ def kin_groups(t):
 
 def _with_gaps(t) -> DataFrame:
     tables = t.many(*TPCH) | {"events": with_null_values(t.events)}
-    return reduce(DataFrame.unionByName, [profile.universal(profile.frequencies(df)).withColumn("table", F.lit(n)) for n, df in tables.items()])
+    return stored(reduce(DataFrame.unionByName, [profile.universal(profile.frequencies(df)).withColumn("table", F.lit(n)) for n, df in tables.items()]))
 
 
 _ALL_EVENTS = "(SELECT * REPLACE (CASE WHEN event_id % 50 = 0 THEN NULL ELSE value END AS value) FROM events)"
