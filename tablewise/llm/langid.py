@@ -36,6 +36,8 @@ HIDDEN = 8
 WINDOW, CONTEXT, STEP = 224, 16, 16
 DOCS_PER_LANG, TRAIN_CHARS, PIECES_PER_LANG, PIECE = 300, 20_000, 3_000, 64
 EPOCHS, BATCH, RATE = 4, 128, 0.01
+#: Into how many slots the marks of a language are dealt before they are ranked together.
+SLOTS = 64
 #: Windows run through the network at once, and bytes of text that are read at once.
 RUN_WINDOWS, RUN_BYTES = 1_024, 8 << 20
 UNKNOWN = "und"
@@ -215,6 +217,16 @@ def read(w: dict, n_langs: int, texts: list[str | None]) -> tuple[np.ndarray, np
     return np.where(sizes > 0, mean.argmax(1), -1), np.where(sizes > 0, np.clip(mean.max(1), 0, 1), 0.0)
 
 
+def first_marks(marks: DataFrame) -> DataFrame:
+    """The DOCS_PER_LANG smallest marks of each language. They are ranked within SLOTS slots of a
+    language first, so that a language of most rows is spread, and one task ranks at most SLOTS times
+    DOCS_PER_LANG of them."""
+    for by in (["lang", F.pmod("mark", F.lit(SLOTS))], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("mark"))
+        marks = marks.withColumn("place", place).where(F.col("place") <= DOCS_PER_LANG).drop("place")
+    return marks
+
+
 def predict(documents: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """(key, held_out, lang_pred, score); learns from rows with a language that are not held out."""
     docs = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
@@ -222,8 +234,7 @@ def predict(documents: DataFrame, text: str = "text", key: str = "doc_id", lang:
     known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0) & (F.char_length("text") <= TRAIN_CHARS))
     # Rows are chosen by a hash of id and text, which is all that the ranking moves.
     mark = F.xxhash64("doc_id", "text")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
-    marks = known.select("lang", mark.alias("mark")).distinct().withColumn("place", place).where(F.col("place") <= DOCS_PER_LANG).select(F.col("lang").alias("its"), "mark")
+    marks = first_marks(known.select("lang", mark.alias("mark")).distinct()).select(F.col("lang").alias("its"), "mark")
     picked = known.withColumn("mark", mark).join(F.broadcast(marks), ["mark"]).where(F.col("lang") == F.col("its"))
     got = picked.dropDuplicates(["mark", "lang"]).select("lang", "doc_id", "text").collect()
     got = sorted(tuple(r) for r in got)

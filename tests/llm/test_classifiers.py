@@ -219,3 +219,16 @@ def test_odd_rows(spark, odd_docs):
     assert {got[i].lang_pred for i in (1, 2, 6, 8)} == {"und"} and got[3].lang_pred in ("en", "de", "es", "fr")
     assert langid.predict(odd_docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.predict(odd_docs.withColumn("lang", odd_docs["lang"].substr(1, 0)).selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")).collect()} == {"und"}
+
+
+def test_first_marks_are_those_of_the_whole_order(spark, monkeypatch):
+    """One language has most rows, one a single row; marks are negative as well."""
+    monkeypatch.setattr(langid, "DOCS_PER_LANG", 7)
+    monkeypatch.setattr(langid, "SLOTS", 4)
+    marks = spark.range(400).selectExpr("CASE WHEN id = 9 THEN 'fr' WHEN id % 5 = 0 THEN 'de' ELSE 'en' END AS lang", "xxhash64(id) AS mark")
+    got, want = {}, {}
+    for rows, out in ((langid.first_marks(marks), got), (marks, want)):
+        for r in rows.collect():
+            out.setdefault(r.lang, []).append(r.mark)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:7] for k, v in want.items()}
+    assert langid.first_marks(marks.limit(0)).count() == 0
