@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, langid, media, mixing, quality, simhash, suffixes, toxicity, vectors, warc
+from tablewise.llm import bpe, debruijn, langid, media, mixing, quality, simhash, suffixes, toxicity, vectors, warc
 from tablewise.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = debruijn.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
@@ -66,6 +71,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
+    "op11_debruijn": op11_debruijn,
 }
 OP4_SQL = """
 WITH heads AS (

@@ -68,3 +68,22 @@ def brute_near_copies(ids, texts, n=5):
     for i, doc in enumerate(ids):
         low[root(i)] = min(doc, low.get(root(i), doc))
     return [low[root(i)] for i in range(len(ids))]
+
+
+def brute_windows(rows, n=50):
+    """(doc, words, removed, digest) by looking at every window of n words."""
+    rows = [(2**63 - 1 if i is None else i, (t or "").encode().split()) for i, t in rows]
+    first = {}
+    for i, w in rows:
+        for p in range(len(w) - n + 1):
+            k = tuple(w[p : p + n])
+            first[k] = min(i, first.get(k, i))
+    out = []
+    for i, w in rows:
+        gone = np.zeros(len(w), bool)
+        for p in range(len(w) - n + 1):
+            if first[tuple(w[p : p + n])] < i:
+                gone[p : p + n] = True
+        kept = b" ".join(x for x, g in zip(w, gone) if not g)
+        out.append((i, len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
