@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, debruijn, langid, media, mixing, quality, simhash, suffixes, toxicity, vectors, warc
+from tablewise.llm import bpe, debruijn, langid, media, mixing, quality, simhash, suffixes, toxicity, vectors, warc, whitening
 from tablewise.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,10 @@ def op11_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(read_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
     "op11_debruijn": op11_debruijn,
+    "op13_whitening": op13_whitening,
 }
 OP4_SQL = """
 WITH heads AS (
