@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, debruijn, langid, media, mixing, quality, simhash, suffixes, toxicity, vectors, warc, whitening
+from tablewise.llm import alignment, bpe, debruijn, langid, media, mixing, quality, simhash, suffixes, toxicity, vectors, warc, whitening
 from tablewise.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ALIGNED = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,10 @@ def op11_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), *ALIGNED)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(whitening.whiten(read_table(spark, sf_dir, "embeddings")))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_bpe": op10_bpe,
     "op11_debruijn": op11_debruijn,
+    "op12_alignment": op12_alignment,
     "op13_whitening": op13_whitening,
 }
 OP4_SQL = """
