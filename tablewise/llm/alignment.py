@@ -38,6 +38,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tablewise.llm.common import give_back, map_batches, stored
 from tablewise.llm.suffixes import _packed, _tables, _unpacked, returning
@@ -132,6 +133,7 @@ class Tokenizers:
     def __init__(self, byte_path: str, piece_path: str, pattern: str):
         tokens = byte_vocabulary(byte_path)
         self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+        self.byte_path = byte_path
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in name.lstrip("▁") for name in names):
@@ -140,6 +142,20 @@ class Tokenizers:
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (tokens, self.b_bytes))
         self.a_digits, self.b_digits = _Digits(len(self.a_size)), _Digits(len(self.b_size))
 
+    @functools.cached_property
+    def slow_a(self) -> Tokenizer:
+        slow = Tokenizer.from_file(self.byte_path)
+        slow.encode_special_tokens = True
+        return slow
+
+    def encode_a(self, text: str) -> np.ndarray:
+        """A's ids. The faster library gives up on several hundred thousand white-space characters in a
+        row; the other one, of the same vocabulary, does not."""
+        try:
+            return self.a.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        except ValueError:
+            return np.array(self.slow_a.encode(text, add_special_tokens=False).ids, np.int64)
+
 
 @functools.lru_cache(1)
 def tokenizers(byte_path: str, piece_path: str, pattern: str) -> Tokenizers:
@@ -186,7 +202,7 @@ class Aligned:
         filled = [k for k, t in enumerate(texts) if t]
         spaced = [" " + texts[k] for k in filled]
         b, n_b, same = pieces.encode(spaced)
-        got = [both.a.encode_to_numpy(t, disallowed_special=()).astype(np.int64) if ok else np.zeros(0, np.int64) for t, ok in zip(spaced, same.tolist())]
+        got = [both.encode_a(t) if ok else np.zeros(0, np.int64) for t, ok in zip(spaced, same.tolist())]
         n_a = np.array([len(x) for x in got], np.int64)
         a = np.concatenate([np.zeros(0, np.int64), *got])
         bytes_a = np.bincount(np.repeat(np.arange(len(filled)), n_a), both.a_size[a], len(filled))

@@ -94,6 +94,13 @@ def test_galloping(seed):
     assert x[got[0]].tolist() == y[got[1]].tolist() == both.tolist()
 
 
+def test_a_million_spaces():
+    """The faster encoder of A gives up here; the other one takes its place."""
+    both = alignment.tokenizers(*PATHS)
+    found = alignment.Aligned(["a" + " " * 1_000_000 + "b" + "\n" * 1_000_000], both, alignment.Pieces(both), 16)
+    assert [x.tolist() for x in (found.n_a, found.n_b, found.n_groups)] == [[1_500_001], [1_062_503], [562_503]]
+
+
 def test_both_encoders_of_a_agree_on_all_characters():
     a = Tokenizer.from_file(PATHS[0])
     a.encode_special_tokens = True
