@@ -386,12 +386,82 @@ def lake_catalog(t):
     return sinks.catalog(t.many(*TPCH)).groupBy("table").agg(F.max("row_count").alias("row_count"), F.count(F.lit(1)).alias("columns"))
 
 
-@query("SELECT 'o_custkey' AS \"column\", count(*) AS row_count, count(*) - count(o_custkey) AS null_count, count(DISTINCT o_custkey) AS distinct_count, CAST(min(o_custkey) AS VARCHAR) AS min_value, CAST(max(o_custkey) AS VARCHAR) AS max_value FROM orders UNION ALL SELECT 'o_orderstatus', count(*), count(*) - count(o_orderstatus), count(DISTINCT o_orderstatus), min(o_orderstatus), max(o_orderstatus) FROM orders")
+# A database: what it lists and aggregates must be what the tables hold --------------------------------
+
+IN_DATABASE = ("nation", "supplier", "customer", "part", "orders")
+
+
+def _database(t, schema: str, *names: str) -> jdbc.Database:
+    """The database of the session's ``tablewise.jdbc.url``, or else Derby in memory, which only
+    local mode can reach; tables are written to the schema."""
+    url = t.spark.conf.get("tablewise.jdbc.url", None)
+    if url is None:
+        if not t.spark.sparkContext.master.startswith("local["):
+            raise ValueError("tablewise.jdbc.url must name a database that the driver and all executors reach")
+        url = "jdbc:derby:memory:tablewise;create=true"
+    database = jdbc.Database(url)
+    jdbc.attach(t.spark, "tablewise_db", database)
+    jdbc.ensure_schema(t.spark, "tablewise_db", schema)
+    for name in names:
+        jdbc.write(getattr(t, name), database, jdbc.qualified(schema, name))
+    return database
+
+
+@query(union_sql(lambda n: f"""SELECT '{n}' AS table_name, column_name, CAST(ordinal_position AS INTEGER) AS position, (SELECT count(*) FROM {n}) AS row_count
+FROM information_schema.columns WHERE table_name = '{n}'""", IN_DATABASE))
+def jdbc_tables(t):
+    """Tables and columns that the database lists, with the rows that it counts."""
+    database = _database(t, "LISTED", *IN_DATABASE)
+    listed = jdbc.list_columns(t.spark, database).where("schema_name = 'LISTED'").select("table_name", "column_name", "position")
+    counts = [database.query(t.spark, f"SELECT COUNT(*) AS n FROM {jdbc.qualified(s, n)}").select(F.lit(n).alias("table_name"), F.col("n").cast("bigint").alias("row_count")) for s, n in jdbc.list_tables(t.spark, database) if s == "LISTED"]
+    return listed.join(reduce(DataFrame.unionByName, counts), "table_name")
+
+
+def _pushed_sql(table: str, c: str) -> str:
+    return f"""SELECT '{table}' AS table_name, '{c}' AS "column", count(*) AS row_count, count({c}) AS non_null, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count,
+       CAST(try_cast(min({c}) AS DOUBLE) AS DOUBLE) AS min_value, CAST(try_cast(max({c}) AS DOUBLE) AS DOUBLE) AS max_value FROM {table}"""
+
+
+@query("\nUNION ALL\n".join(_pushed_sql(n, c) for n, c in (("orders", "o_orderkey"), ("orders", "o_custkey"), ("orders", "o_totalprice"), ("customer", "c_custkey"), ("customer", "c_nationkey"), ("customer", "c_acctbal"))))
 def pushed_down_profile(t):
-    names = ["o_custkey", "o_orderstatus"]
-    t.orders.createOrReplaceTempView("tablewise_orders")
-    sql = jdbc.profile_query("tablewise_orders", names).replace('"', "`").replace("VARCHAR(4000)", "STRING")
-    return jdbc.unfold(t.spark.sql(sql), names)
+    """Profiles that the database computes, of numbers; texts and times are profiled in jdbc_text_profile."""
+    found = jdbc.profile_all(t.spark, _database(t, "PROFILED", "orders", "customer")).where("schema_name = 'PROFILED'")
+    return found.where(F.col("column").isin("o_orderkey", "o_custkey", "o_totalprice", "c_custkey", "c_nationkey", "c_acctbal")).withColumns({c: F.col(c).cast("double") for c in ("min_value", "max_value")}).drop("schema_name")
+
+
+@query("\nUNION ALL\n".join(f"""SELECT '{c}' AS "column", count({c}) AS non_null, count(DISTINCT {c}) AS distinct_count, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM orders""" for c in ("o_orderstatus", "o_orderpriority", "o_orderdate")))
+def jdbc_text_profile(t):
+    database = _database(t, "TEXTS", "orders")
+    found = jdbc.profile(t.spark, database, jdbc.qualified("TEXTS", "orders")).where(F.col("column").isin("o_orderstatus", "o_orderpriority", "o_orderdate"))
+    return found.select("column", "non_null", "distinct_count", "min_value", "max_value")
+
+
+@query("SELECT least(count(*), 10000) AS sampled, least(count(*), 10000) AS known FROM orders")
+def jdbc_sample(t):
+    """How many rows the sample has, and how many different ones of them the table has."""
+    database = _database(t, "SAMPLED", "orders")
+    sample = jdbc.sample(t.spark, database, jdbc.qualified("SAMPLED", "orders"))
+    known = sample.join(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey", "o_custkey", "o_totalprice"], "left_semi").distinct()
+    return sample.agg(F.count(F.lit(1)).alias("sampled")).crossJoin(known.agg(F.count(F.lit(1)).alias("known")))
+
+
+@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")
+def jdbc_append(t):
+    """Half the table created and half appended, read back in ranges of the key."""
+    database, name = _database(t, "APPENDED"), jdbc.qualified("APPENDED", "orders")
+    half = F.col("o_orderkey") % 2 == 0
+    jdbc.write(t.orders.where(half), database, name)
+    jdbc.write(t.orders.where(~half), database, name, append=True)
+    back = jdbc.read(t.spark, database, name, key="o_orderkey", rows=1_000)
+    return back.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders WHERE o_custkey > 20 GROUP BY o_orderstatus")
+def jdbc_pushed_groups(t):
+    """A filter and a grouped aggregate over the attached database, run by the database."""
+    _database(t, "GROUPED", "orders")
+    orders = t.spark.table("tablewise_db.GROUPED.orders").where("o_custkey > 20")
+    return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
 
 
 # Marts and metric queries -------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from tablewise.functions import stats
 from tablewise.operators import drift, graph, health, insights, marts, metrics, profile, quality, relate, similarity, staging
 from tablewise.operators.quality import Rule
 from tablewise.operators.relate import Edge
-from tablewise.sources import files, jdbc, sinks
+from tablewise.sources import files, sinks
 
 
 @pytest.fixture(scope="module")
@@ -296,13 +296,6 @@ def test_terms_that_hold_a_title(spark):
     assert {(r.doc_id, r.term, r.confidence) for r in got} == {(1, "water pumps", 0.9), (1, "pum", 0.9)}
 
 
-def test_jdbc_text():
-    assert jdbc.tables_query(["a'b"]).endswith("NOT IN ('a''b')")
-    sql = jdbc.profile_query("s.t", ['we"ird'])
-    assert 'COUNT(DISTINCT "we""ird")' in sql and sql.endswith("FROM s.t")
-    assert jdbc.sample_query("t", 5) == "SELECT * FROM t LIMIT 5"
-
-
 def test_materialize(spark):
     sinks.ensure_database(spark, "tablewise_test")
     good = sinks.materialize(spark.range(7), "tablewise_test.seven")
