@@ -1,4 +1,4 @@
-"""Nearest vectors, term matching and ambiguous synonyms."""
+"""Nearest vectors, partition replacement and ambiguous synonyms."""
 
 from __future__ import annotations
 
@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 #: Cells (rows times vector length) of a block of queries, and of a block of vectors.
 BLOCK_CELLS = 1_000_000
-#: Leading characters of a term that documents are looked up by.
-GRAM = 4
-#: Terms of a block that global documents meet.
-TERM_BLOCK = 1_000
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "id", vector: str = "v", equal: list[str] | None = None) -> DataFrame:
@@ -100,41 +96,6 @@ def replace_partition(df: DataFrame, path: str, partition: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def mentions(text, term):
-    """How often a term occurs in a text, without overlaps."""
-    return F.when(F.length(term) > 0, F.floor((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term))).otherwise(0)
-
-
-def match_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", title: str = "title", text: str = "text", scope: str | None = None, least: int = 2) -> DataFrame:
-    """(key, term, confidence): a term in the title, or a title in the term, counts 0.9, so often in the
-    text 0.7, and a document of global scope 0.5 for every term; the largest counts.
-
-    A term counts wherever its characters stand, within longer words too. Each term has one gram,
-    its first ``GRAM`` characters (all of a shorter term). Distinct grams of a document say which
-    terms it may hold; these are brought to the document as one list, so each text moves once and
-    meets only such terms. Titles, which are short, look terms up the same way by their own gram."""
-    own = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(title, F.lit(""))).alias("t"), F.lower(F.coalesce(text, F.lit(""))).alias("b"))
-    own = own.withColumn("row", F.xxhash64(F.col("key").cast("string"), "t", "b"))
-    known = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct().withColumn("lead", F.substring("term", 1, GRAM))
-    grams = lambda c: F.concat(*[F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in range(1, GRAM + 1)])
-    met = own.select("row", F.explode(grams(F.concat_ws("\n", "t", "b"))).alias("lead")).distinct().join(known, "lead").select("row", "term")
-    # A title inside a term: the title's gram is among the term's.
-    held = own.where("t <> ''").select("row", "t", F.substring("t", 1, GRAM).alias("lead")).distinct()
-    inside = known.select("term", F.explode(grams("term")).alias("lead")).distinct().join(held, "lead").where(F.contains("term", F.col("t"))).select("row", "term")
-    lists = met.unionByName(inside).distinct().groupBy("row").agg(F.collect_list("term").alias("terms"))
-    in_title = lambda term: F.contains("t", term) | ((F.col("t") != "") & F.contains(term, F.col("t")))
-    score = lambda term: F.when(in_title(term), 0.9).when(mentions(F.col("b"), term) >= least, 0.7).otherwise(0.0)
-    hits = F.filter(F.transform("terms", lambda term: F.struct(term.alias("term"), score(term).alias("confidence"))), lambda h: h["confidence"] > 0)
-    found = own.join(lists, "row").select("key", F.explode(hits).alias("h")).select("key", "h.term", "h.confidence")
-    if scope is not None:
-        # Every term for every global document is the result asked for; terms meet them in blocks.
-        blocks = -(-known.count() // TERM_BLOCK) or 1
-        listed = known.groupBy(F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("term").alias("terms"))
-        everywhere = docs.where(F.col(scope) == "global").select(F.col(key).alias("key"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(listed, "block")
-        found = found.unionByName(everywhere.select("key", F.explode("terms").alias("term"), F.lit(0.5).alias("confidence")))
-    return found.groupBy(F.col("key").alias(key), "term").agg(F.max("confidence").alias("confidence"))
-
-
 def synonym_collisions(items: DataFrame, key: str = "item", synonym: str = "synonym") -> DataFrame:
     """(synonym, n_items) of rows of an item and one of its names: names, without regard to case,
     that stand for more than one item."""

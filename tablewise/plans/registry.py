@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewise.operators import drift, graph, health, insights, marts, metrics, profile, quality, relate, similarity, staging
+from tablewise.operators import terms as term_matches
 from tablewise.operators.metrics import Metric
 from tablewise.operators.quality import Rule
 from tablewise.operators.relate import Edge
@@ -1074,17 +1075,6 @@ def replaced_partitions(t):
     return t.spark.read.parquet(path).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TERM_SQL = """WITH terms AS (SELECT DISTINCT lower(p_type) AS term FROM part), docs AS (SELECT n_nationkey AS doc_id, n_name AS title, n_name || ' ' || (SELECT string_agg(p_type, ' ' ORDER BY p_partkey) FROM part WHERE p_partkey % 25 = n_nationkey) AS text FROM nation)
-SELECT doc_id, term, CASE WHEN contains(lower(title), term) THEN 0.9 ELSE 0.7 END AS confidence FROM docs, terms WHERE contains(lower(title), term) OR (length(text) - length(replace(lower(text), term, ''))) // length(term) >= 2"""
-
-
-@query(_TERM_SQL)
-def doc_term_match(t):
-    lists = t.part.groupBy((F.col("p_partkey") % 25).alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))), lambda x: x["p_type"]), " ").alias("words"))
-    docs = t.nation.join(lists, F.col("n_nationkey") == F.col("n")).select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("title"), F.concat_ws(" ", "n_name", "words").alias("text"))
-    return similarity.match_terms(docs, t.part.select(F.col("p_type").alias("term")))
-
-
 @query("SELECT lower(p_name) AS synonym, count(DISTINCT p_brand) AS n_items FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def synonym_collisions(t):
     items = t.part.select(F.col("p_brand").alias("item"), F.col("p_name").alias("synonym"))
@@ -1096,4 +1086,14 @@ SELECT doc_id, term, CAST(0.7 AS DOUBLE) AS confidence FROM documents, terms WHE
 def document_term_match(t):
     docs = t.documents.select("doc_id", F.lit("").alias("title"), "text")
     terms = t.part.select(F.explode(F.split("p_name", " ")).alias("term")).unionByName(t.part.select(F.col("p_type").alias("term"))).distinct()
-    return similarity.match_terms(docs, terms)
+    return term_matches.match_terms(docs, terms)
+
+
+@query("""WITH terms AS (SELECT DISTINCT lower(n_name) AS term FROM nation UNION SELECT DISTINCT lower(source) FROM documents WHERE source <> '' UNION SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) FROM part UNION SELECT DISTINCT lower(url) || '/more' FROM pages),
+docs AS (SELECT page_id, lower(coalesce(url, '')) AS t, lower(coalesce(html, '')) AS b FROM pages)
+SELECT page_id, term, max(CASE WHEN contains(t, term) OR (t <> '' AND contains(term, t)) THEN 0.9 ELSE 0.7 END) AS confidence FROM docs, terms
+WHERE term <> '' AND (contains(t, term) OR (t <> '' AND contains(term, t)) OR (length(b) - length(replace(b, term, ''))) // length(term) >= 2) GROUP BY ALL""")
+def page_term_match(t):
+    """Terms in the addresses and texts of pages, and addresses in terms."""
+    parts = [t.nation.select(F.col("n_name").alias("term")), t.documents.select(F.col("source").alias("term")), t.part.select(F.explode(F.split("p_name", " ")).alias("term")), t.pages.select(F.concat("url", F.lit("/more")).alias("term"))]
+    return term_matches.match_terms(t.pages, reduce(DataFrame.unionByName, parts), key="page_id", title="url", text="html")

@@ -11,6 +11,7 @@ from tablewise.functions import stats
 from tablewise.operators import drift, graph, health, insights, marts, metrics, profile, quality, relate, similarity, staging
 from tablewise.operators.quality import Rule
 from tablewise.operators.relate import Edge
+from tablewise.operators import terms as terms_of
 from tablewise.sources import files, sinks
 
 
@@ -247,14 +248,14 @@ def test_similarity(spark):
     assert similarity.match_confidence(near).where("id = 2").first().confidence == 0.3
     docs = spark.createDataFrame([(1, "Pump guide", "pump pump valve", "local"), (2, "Other", "valve valve", "global")], "doc_id int, title string, text string, scope string")
     terms = spark.createDataFrame([("pump",), ("valve",)], "term string")
-    got = {(r.doc_id, r.term): r.confidence for r in similarity.match_terms(docs, terms, scope="scope").collect()}
+    got = {(r.doc_id, r.term): r.confidence for r in terms_of.match_terms(docs, terms, scope="scope").collect()}
     assert got == {(1, "pump"): 0.9, (2, "pump"): 0.5, (2, "valve"): 0.7}
 
 
 def test_terms_within_words(spark):
     docs = spark.createDataFrame([(1, "Reordering", "x"), (2, None, "orders, orders"), (3, "", "reorder reorder"), (4, "", "насосы и насос"), (5, "泵", None), (6, "", "only one order"), (None, "", "or or")], "doc_id int, title string, text string")
     terms = spark.createDataFrame([("Order",), ("насос",), ("泵",), ("or",), ("",), (None,)], "term string")
-    got = {(r.doc_id, r.term): r.confidence for r in similarity.match_terms(docs, terms).collect()}
+    got = {(r.doc_id, r.term): r.confidence for r in terms_of.match_terms(docs, terms).collect()}
     assert got == {(1, "order"): 0.9, (1, "or"): 0.9, (2, "order"): 0.7, (2, "or"): 0.7, (3, "order"): 0.7, (3, "or"): 0.7, (4, "насос"): 0.7, (5, "泵"): 0.9, (None, "or"): 0.7}
 
 
@@ -292,7 +293,7 @@ def test_long_texts_are_grouped_by_digest(spark):
 
 def test_terms_that_hold_a_title(spark):
     docs = spark.createDataFrame([(1, "pump", "x"), (2, "", "x")], "doc_id int, title string, text string")
-    got = similarity.match_terms(docs, spark.createDataFrame([("water pumps",), ("pum",), ("valve",)], "term string")).collect()
+    got = terms_of.match_terms(docs, spark.createDataFrame([("water pumps",), ("pum",), ("valve",)], "term string")).collect()
     assert {(r.doc_id, r.term, r.confidence) for r in got} == {(1, "water pumps", 0.9), (1, "pum", 0.9)}
 
 
