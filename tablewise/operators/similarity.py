@@ -9,81 +9,155 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells (rows times vector length) of a block of queries, and of a block of vectors.
+from tablewise.sources.paths import stored
+
+#: Cells (rows times vector length) of a block of vectors, and of a block of distances.
 BLOCK_CELLS = 1_000_000
+#: Pivots at most, and so cells of vectors that agree in the columns of ``equal``.
+PIVOTS = 4096
+_KEYS = ["same", "dim", "cell", "shard"]
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "id", vector: str = "v", equal: list[str] | None = None) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest by squared distance, exactly.
 
-    ``queries`` and ``vectors`` have key and vector, and any columns of ``equal`` that must agree.
-    Vectors are dealt to shards. In a shard's task they come first and are ordered by their distance
-    from the shard's middle; blocks of queries stream past. The triangle inequality gives each query
-    the vectors that can still be nearer than its k-th so far, and only those are compared, as block
-    products; k rows a query and shard are sent on. Nulls take no part."""
+    ``queries`` and ``vectors`` have key and vector, and any columns of ``equal`` that must agree. Nulls
+    take no part.
+
+    A sample of vectors, about the root of their number and ``PIVOTS`` at most, are pivots. A vector is
+    in the cell of its nearest pivot, and a cell knows the range of its members' distances from it. A
+    query first goes to its nearest cell; the k-th distance there bounds what can still be of use, so
+    afterwards it goes only to those cells of which the triangle inequality doesn't say that all members are
+    farther. Cells are divided into shards of bounded size, which a task holds one at a time
+    while blocks of queries stream past."""
     names = equal or []
     group = F.to_json(F.struct(*names)) if names else F.lit("")
     plain = lambda df: df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), group.alias("same"), F.size(vector).alias("dim")).where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x))")
-    q, b = plain(queries), plain(vectors)
-    width, rows = b.agg(F.max("dim"), F.count(F.lit(1))).first()
-    rows, width = rows or 0, width or 1
-    shards = max(1, -(-rows * width // BLOCK_CELLS), min(b.sparkSession.sparkContext.defaultParallelism, rows // 500))
-    own = b.withColumns({"kind": F.lit(0), "shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")})
-    asked = q.withColumn("kind", F.lit(1)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt = own.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("same", "dim", "kind")
-    found = dealt.mapInPandas(lambda batches: _searched(batches, k), "query_id bigint, id bigint, distance double")
+    b = plain(vectors)
+    pivots = _pivots(b)
+    celled = stored(_celled(b, pivots))
+    cells = stored(celled.groupBy("same", "dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("inner"), F.max("far").alias("outer")).withColumn("shards", F.ceil(F.col("n") * F.col("dim") / BLOCK_CELLS).cast("int")))
+    held = celled.join(cells.select("same", "dim", "cell", "shards"), ["same", "dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.greatest("shards", F.lit(1))).cast("int")).select("id", "v", *_KEYS)
+    # There are no more cells of a group than pivots.
+    known = cells.groupBy("same", "dim").agg(F.collect_list(F.struct("cell", "inner", "outer", "shards")).alias("cells"))
+    asked = plain(queries).join(known, ["same", "dim"])
+    found = stored(_best(_search(_routed(asked.withColumn("bound", F.lit(None).cast("double")), pivots), held, k), k))
+    bound = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
+    # A query whose nearest cell held only itself has no bound yet, and goes everywhere else.
+    again = asked.join(bound.withColumnRenamed("query_id", "id"), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    return _best(found.select("query_id", "id", "distance").unionByName(_search(_routed(again, pivots), held, k)), k).select("query_id", "rank", "id", "distance")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
-
-
-def _searched(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """The best k of a partition's vectors for its queries; both come group by group, vectors first."""
-    of, held, base = None, [], None
-    for frame in batches:
-        for (same, dim, kind), part in frame.groupby(["same", "dim", "kind"], sort=True):
-            if kind == 0:
-                if of != (same, dim):
-                    of, held = (same, dim), []
-                held.append(part)
-                base = None
-            elif of == (same, dim):
-                if base is None:
-                    base = _Base(pd.concat(held))
-                step = max(1, BLOCK_CELLS // max(1, len(base.ids)))
-                for at in range(0, len(part), step):
-                    yield base.nearest(part.iloc[at : at + step], k)
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def _pivots(b: DataFrame) -> dict[int, np.ndarray]:
+    """Different vectors of each length with the smallest hashes: the root of their number, PIVOTS at most."""
+    out = {}
+    for dim, n in b.groupBy("dim").count().collect():
+        most = max(1, min(PIVOTS, int(n**0.5)))
+        rows = b.where(F.col("dim") == dim).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(most).collect()
+        out[dim] = np.array([r.v for r in rows], float).reshape(len(rows), dim)
+    return out
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows, as block products, and so with their rounding."""
+    return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * (x @ y.T), 0)
+
+
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((x - y) ** 2).sum(-1)
+
+
+def _matrix(column: pd.Series, dim: int) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float).reshape(len(column), dim)
+
+
+def _celled(b: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """Adds a vector's cell and its distance from that pivot."""
+
+    def run(frames):
+        for frame in frames:
+            for dim, part in frame.groupby("dim"):
+                own = pivots[dim]
+                for at in range(0, len(part), step := max(1, BLOCK_CELLS // len(own))):
+                    some = part.iloc[at : at + step]
+                    x = _matrix(some["v"], dim)
+                    cell = _distances(x, own).argmin(1)
+                    yield some.assign(cell=cell.astype("int32"), far=np.sqrt(_exact(x, own[cell])))
+
+    return b.mapInPandas(run, "id bigint, v array<double>, same string, dim int, cell int, far double")
+
+
+def _routed(asked: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """A row for each shard that a query goes to: without a bound those of its nearest cell, and with one
+    those of all other cells that may hold something within it."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for dim, part in frame.groupby("dim"):
+                own = pivots[dim]
+                far = np.sqrt(_exact(_matrix(part["v"], dim)[:, None, :], own[None])) if len(part) * own.size <= 8 * BLOCK_CELLS else np.stack([np.sqrt(_exact(x, own)) for x in _matrix(part["v"], dim)])
+                for i, (query, cells, bound) in enumerate(zip(part["id"], part["cells"], part["bound"])):
+                    cell, inner, outer, shards = (np.array([c[n] for c in cells]) for n in ("cell", "inner", "outer", "shards"))
+                    d = far[i, cell]
+                    first = np.lexsort((cell, d))[0]
+                    chosen = np.arange(len(cell)) == first
+                    if not np.isnan(bound):
+                        reach = bound**0.5
+                        gap = np.maximum(d - outer, inner - d)
+                        chosen = ~chosen & (gap <= reach + 1e-9 * (1 + d + outer))
+                    rows += [(query, part["v"].iloc[i], part["same"].iloc[i], dim, c, s) for c, n in zip(cell[chosen].tolist(), shards[chosen].tolist()) for s in range(max(1, n))]
+            yield pd.DataFrame(rows, columns=["id", "v", *_KEYS])
+
+    return asked.select("id", "v", "same", "dim", "cells", "bound").mapInPandas(run, "id bigint, v array<double>, same string, dim int, cell int, shard int")
+
+
+def _search(routed: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance): the best k of each shard for each query that goes there."""
+    dealt = held.withColumn("kind", F.lit(0)).unionByName(routed.withColumn("kind", F.lit(1))).repartition(*_KEYS).sortWithinPartitions(*_KEYS, "kind")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, parts, base = None, [], None
+        for frame in frames:
+            for (*at, kind), part in frame.groupby([*_KEYS, "kind"], sort=True):
+                if kind == 0:
+                    parts = [*parts, part] if of == at else [part]
+                    of, base = at, None
+                elif of == at:
+                    base = base or _Base(pd.concat(parts), at[1])
+                    for low in range(0, len(part), step := max(1, BLOCK_CELLS // len(base.ids))):
+                        yield base.nearest(part.iloc[low : low + step], k)
+
+    return dealt.mapInPandas(run, "query_id bigint, id bigint, distance double")
 
 
 class _Base:
-    """Vectors in order of their distance from their middle."""
+    """The vectors of a shard."""
 
-    def __init__(self, frame: pd.DataFrame):
-        v = np.stack(frame["v"].to_numpy()).astype(float).reshape(len(frame), -1)
-        self.middle = v.mean(0)
-        far = np.sqrt(((v - self.middle) ** 2).sum(1))
-        order = np.argsort(far, kind="stable")
-        self.v, self.far, self.ids = v[order], far[order], frame["id"].to_numpy()[order]
+    def __init__(self, frame: pd.DataFrame, dim: int):
+        self.dim, self.ids, self.v = dim, frame["id"].to_numpy(), _matrix(frame["v"], dim)
+        self.size = (self.v**2).sum(1).max()
 
     def nearest(self, part: pd.DataFrame, k: int) -> pd.DataFrame:
-        own, x = part["id"].to_numpy(), np.stack(part["v"].to_numpy()).astype(float).reshape(len(part), -1)
-        far = np.sqrt(((x - self.middle) ** 2).sum(1))
-        # A first bound: the k + 1 vectors whose distance from the middle is most like the query's.
-        at = np.clip(np.searchsorted(self.far, far) - (k + 1) // 2, 0, max(0, len(self.ids) - k - 1))
-        some = np.minimum(at[:, None] + np.arange(k + 1), len(self.ids) - 1)
-        bound = np.sqrt(((self.v[some] - x[:, None, :]) ** 2).sum(2).max(1))
-        slack = 1e-9 * (1 + far + bound)
-        low, high = np.searchsorted(self.far, far - bound - slack, "left"), np.searchsorted(self.far, far + bound + slack, "right")
-        rows = []
-        for i, (a, z) in enumerate(zip(low.tolist(), high.tolist())):
-            gap = ((self.v[a:z] - x[i]) ** 2).sum(1)
-            ids = self.ids[a:z]
-            gap, ids = gap[ids != own[i]], ids[ids != own[i]]
-            if len(gap) > k:
-                near = gap <= np.partition(gap, k - 1)[k - 1]
-                gap, ids = gap[near], ids[near]
-            best = np.lexsort((ids, gap))[:k]
-            rows.append(pd.DataFrame({"query_id": own[i], "id": ids[best], "distance": gap[best]}))
-        return pd.concat(rows)
+        """Block products say which k vectors are about the nearest; all that their rounding leaves
+        open are measured exactly."""
+        own, x = part["id"].to_numpy(), _matrix(part["v"], self.dim)
+        about = _distances(x, self.v)
+        about[own[:, None] == self.ids] = np.inf
+        limit = np.partition(about, k - 1, 1)[:, k - 1] if about.shape[1] > k else np.full(len(own), np.inf)
+        slack = 1e-9 * ((x**2).sum(1) + self.size + 1)
+        row, column = np.nonzero((about <= (limit + slack)[:, None]) & (about < np.inf))
+        gap, ids = _exact(x[row], self.v[column]), self.ids[column]
+        order = np.lexsort((ids, gap, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = order[place < k]
+        return pd.DataFrame({"query_id": own[row[place < k]], "id": ids[kept], "distance": gap[kept]})
 
 
 def match_confidence(found: DataFrame, most: float = 1.0, floor: float = 0.3) -> DataFrame:
