@@ -69,7 +69,7 @@ class Sizes:
     """Bytes of text of a part; bytes hashed at once; different runs beyond which a gram is divided.
     None of them changes a result."""
 
-    part: int = 8 << 20
+    part: int = 4 << 20
     block: int = 1 << 20
     hot: int = 4096
 
