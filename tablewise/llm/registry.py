@@ -96,10 +96,12 @@ SELECT h.page_id, CAST(h.payload_bytes AS BIGINT) AS payload_bytes, h.payload_di
 FROM heads h LEFT JOIN firsts f USING (payload_digest, payload_bytes)
 """
 
+#: Sweeps over the three marginals after which nothing moves on the given tables.
+SWEEPS = 600
 
 
 def _op5_sql() -> str:
-    """The raking rounds of ``mixing.rake`` as a chain of grouped queries."""
+    """Topics, goals and plain sweeps of raking; their limit does not depend on the way to it."""
     lead = f"""sampled_texts AS MATERIALIZED (
     SELECT lower(coalesce(text, '')) AS t FROM documents WHERE length(coalesce(text, '')) <= {mixing.SAMPLE_CHARS}
     ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) LIMIT {mixing.SAMPLE}
@@ -120,22 +122,25 @@ def _op5_sql() -> str:
 ), cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)"""]
     for level in ("source", "lang", "topic"):
         steps.append(f"goal_{level} AS MATERIALIZED (SELECT {level}, pow(sum(n), {temper}) / sum(pow(sum(n), {temper})) OVER () AS goal FROM cells GROUP BY {level})")
-    steps.append("l0 AS MATERIALIZED (SELECT lang, 1.0::DOUBLE AS b FROM goal_lang), t0 AS MATERIALIZED (SELECT topic, 1.0::DOUBLE AS c FROM goal_topic)")
-    fit_source = "s{k} AS MATERIALIZED (SELECT source, any_value(goal) / sum(n * b * c) AS a FROM cells JOIN l{i} USING (lang) JOIN t{j} USING (topic) JOIN goal_source USING (source) GROUP BY source)"
-    k = 0
-    for r in range(mixing.ROUNDS):
-        steps.append(fit_source.format(k=k, i=r, j=r))
-        steps.append(f"l{r + 1} AS MATERIALIZED (SELECT lang, any_value(b) * any_value(goal) / sum(n * a * b * c) AS b FROM cells JOIN s{k} USING (source) JOIN l{r} USING (lang) JOIN t{r} USING (topic) JOIN goal_lang USING (lang) GROUP BY lang)")
-        k += 1
-        steps.append(fit_source.format(k=k, i=r + 1, j=r))
-        steps.append(f"t{r + 1} AS MATERIALIZED (SELECT topic, any_value(c) * any_value(goal) / sum(n * a * b * c) AS c FROM cells JOIN s{k} USING (source) JOIN l{r + 1} USING (lang) JOIN t{r} USING (topic) JOIN goal_topic USING (topic) GROUP BY topic)")
-        k += 1
-    steps.append(fit_source.format(k=k, i=mixing.ROUNDS, j=mixing.ROUNDS))
+    # Sources, languages and topics in turn, until far below what rounding shows.
+    now = "JOIN r l ON l.kind = 'l' AND l.level = lang JOIN r t ON t.kind = 't' AND t.level = topic"
+    fit_source = "SELECT source, any_value(goal) / sum(n * l.f * t.f) AS a FROM cells {now} JOIN goal_source USING (source) GROUP BY source"
+    steps.append(f"""r(i, kind, level, f) AS (
+    SELECT 0, 'l', lang, 1.0::DOUBLE FROM goal_lang UNION ALL SELECT 0, 't', topic, 1.0::DOUBLE FROM goal_topic
+    UNION ALL
+    (WITH s AS ({fit_source.format(now=now)}),
+     nl AS (SELECT lang, any_value(l.f) * any_value(goal) / sum(n * a * l.f * t.f) AS f FROM cells JOIN s USING (source) {now} JOIN goal_lang USING (lang) GROUP BY lang),
+     nt AS (SELECT topic, any_value(t.f) * any_value(goal) / sum(n * a * nl.f * t.f) AS f FROM cells JOIN s USING (source) JOIN nl USING (lang) JOIN r t ON t.kind = 't' AND t.level = topic JOIN goal_topic USING (topic) GROUP BY topic),
+     k AS (SELECT max(i) AS i FROM r)
+     SELECT k.i + 1, 'l', lang, f FROM nl, k WHERE k.i < {SWEEPS} UNION ALL SELECT k.i + 1, 't', topic, f FROM nt, k WHERE k.i < {SWEEPS})
+)""")
+    steps.append(f"ll AS MATERIALIZED (SELECT level AS lang, f AS b FROM r WHERE i = {SWEEPS} AND kind = 'l'), tt AS MATERIALIZED (SELECT level AS topic, f AS c FROM r WHERE i = {SWEEPS} AND kind = 't')")
+    steps.append("ss AS MATERIALIZED (SELECT source, any_value(goal) / sum(n * b * c) AS a FROM cells JOIN ll USING (lang) JOIN tt USING (topic) JOIN goal_source USING (source) GROUP BY source)")
     factor = "coalesce(a, 1) * coalesce(b, 1) * coalesce(c, 1)"
-    joins = f"LEFT JOIN s{k} USING (source) LEFT JOIN l{mixing.ROUNDS} USING (lang) LEFT JOIN t{mixing.ROUNDS} USING (topic)"
+    joins = "LEFT JOIN ss USING (source) LEFT JOIN ll USING (lang) LEFT JOIN tt USING (topic)"
     steps.append(f"top AS MATERIALIZED (SELECT max({factor}) AS most, sum(n) AS whole FROM cells {joins})")
     steps.append(f"w AS (SELECT d.*, {factor} * whole AS weight, least(1.0, {factor} / most) AS p FROM d {joins} CROSS JOIN top)")
-    return "WITH " + ",\n".join(steps) + """
+    return "WITH RECURSIVE " + ",\n".join(steps) + """
 SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(p, 6) AS probability,
        CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < p AS INTEGER) AS sampled FROM w"""
 

@@ -67,7 +67,7 @@ def test_stages(spark, sf, tmp_path):
 
 def test_odd_rows(spark, sf, odd_docs):
     """Nulls, repeated rows, an empty table, and columns with names that stages use themselves."""
-    clash = odd_docs.selectExpr("*", "1 AS place", "2D AS toxicity_score", "7L AS n_removed", "8L AS n_bytes", "'x' AS kept_doc", "'y' AS carried", "3 AS component", "'z' AS digest")
+    clash = odd_docs.selectExpr("*", "1 AS place", "2D AS toxicity_score", "7L AS n_removed", "8L AS n_bytes", "'x' AS kept_doc", "'y' AS carried", "3 AS component", "'z' AS digest", "map('a', 1) AS extra")
     for docs in (odd_docs.select("doc_id", "text", "lang", "source", "n_chars"), clash):
         for frame in (docs, docs.limit(0)):
             for name, stage in corpus_pipeline.STAGES:
