@@ -5,11 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.stats import confidence_of_p, confidence_of_z, normal_p_value, t_p_value
+from tablewise.operators import ordered
 from tablewise.operators.staging import metric_columns, time_columns
+from tablewise.sources.paths import stored
 
 LEAST_PERIODS, Z_INFO, Z_WARNING, Z_CRITICAL = 7, 2.0, 2.5, 3.0
 
@@ -21,23 +23,29 @@ def series(df: DataFrame, period: Column, metrics: list[str]) -> DataFrame:
     return means.select("t", cells).select("c.metric", "t", "c.value").where("value is not null")
 
 
-def rolling(values: DataFrame) -> DataFrame:
+def rolling(values: DataFrame, parts: int | None = None) -> DataFrame:
     """Add the mean and deviation of the last w periods, the present one included, and the z-score.
 
-    w is a third of a metric's periods, at least 5; the figures are null before w periods exist.
-    Frames of one window size are computed together, and metrics only differ in a few sizes."""
-    sizes = values.groupBy("metric").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.greatest(F.lit(5), F.floor(F.col("n") / 3)).cast("int"))
-    widths = sorted(r.w for r in sizes.select("w").distinct().collect())
-    joined = values.join(F.broadcast(sizes), "metric")
-    parts = []
-    for w in widths:
-        frame = Window.partitionBy("metric").orderBy("t").rowsBetween(-(w - 1), 0)
-        own = joined.where(F.col("w") == w).withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy("t")))
-        full = F.col("i") >= w
-        parts.append(own.withColumns({"rolling_mean": F.when(full, F.avg("value").over(frame)), "rolling_std": F.when(full, F.stddev_samp("value").over(frame))}))
-    if not parts:
-        return joined.withColumns({"i": F.lit(0), "rolling_mean": F.lit(None).cast("double"), "rolling_std": F.lit(None).cast("double"), "z": F.lit(None).cast("double")})
-    return reduce(DataFrame.unionByName, parts).withColumn("z", F.try_divide(F.col("value") - F.col("rolling_mean"), F.nullif("rolling_std", F.lit(0.0))))
+    w is a third of a metric's periods, at least 5; the figures are null before w periods exist. A
+    series is divided by ranges of time. A window is the difference of two running sums, which
+    meet by an equi-join of places; values are centred first, so nothing cancels, and a window in which no
+    value changes has a deviation of exactly 0."""
+    rows = ordered.placed(values, ["metric"], ["t"], parts)
+    # A row for each metric, and so for each column at most.
+    whole = F.broadcast(rows.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("centre")).withColumn("w", F.greatest(F.lit(5), F.floor(F.col("n") / 3)).cast("int")))
+    own = ordered.with_prior(rows.join(whole, "metric"), ["metric"], "t", "value", "prior").withColumn("x", F.col("value") - F.col("centre"))
+    changed = (~F.col("prior").eqNullSafe(F.col("value"))).cast("bigint")
+    summed = ordered.running(own, ["metric"], ["t"], {"i": F.lit(1), "s": F.col("x"), "q": F.col("x") * F.col("x"), "changes": changed})
+    summed = stored(summed.select(*values.columns, "n", "w", "centre", "i", "x", "s", "q", "changes"))
+    first = summed.select("metric", (F.col("i") + F.col("w") - 1).alias("i"), (F.col("s") - F.col("x")).alias("s0"), (F.col("q") - F.col("x") * F.col("x")).alias("q0"), F.col("changes").alias("changes0"))
+    met = summed.join(first, ["metric", "i"], "left")
+    total, w = F.col("s") - F.col("s0"), F.col("w")
+    variance = F.greatest(F.col("q") - F.col("q0") - total * total / w, F.lit(0.0)) / (w - 1)
+    deviation = F.when(F.col("changes") == F.col("changes0"), 0.0).otherwise(F.sqrt(variance))
+    mean = F.when(F.col("changes") == F.col("changes0"), F.col("value")).otherwise(F.col("centre") + total / w)
+    full = F.col("i") >= w
+    got = met.withColumns({"rolling_mean": F.when(full, mean), "rolling_std": F.when(full, deviation)}).drop("centre", "x", "s", "q", "changes", "s0", "q0", "changes0")
+    return got.withColumn("z", F.try_divide(F.col("value") - F.col("rolling_mean"), F.nullif("rolling_std", F.lit(0.0))))
 
 
 def anomalies(values: DataFrame) -> DataFrame:
@@ -51,8 +59,7 @@ def anomalies(values: DataFrame) -> DataFrame:
 def streaks(found: DataFrame) -> DataFrame:
     """Consecutive anomalies of one sign as one row: first and last period, and the last one's figures."""
     sign = F.signum("z").cast("int")
-    island = F.col("i") - F.row_number().over(Window.partitionBy("metric", "sign").orderBy("i"))
-    got = found.withColumn("sign", sign).withColumn("island", island)
+    got = ordered.numbered(found.withColumn("sign", sign), ["metric", "sign"], ["i"], "place").withColumn("island", F.col("i") - F.col("place"))
     last = lambda c: F.max_by(c, "i").alias(c)
     return got.groupBy("metric", "sign", "island").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("periods"), last("value"), last("z"), last("magnitude"), last("severity")).drop("island")
 
@@ -61,21 +68,20 @@ def with_significance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("p_value", normal_p_value("z")).withColumn("confidence", confidence_of_z(F.col("z")))
 
 
-def halves(df: DataFrame, time: str, metrics: list[str], key: str) -> DataFrame:
+def halves(df: DataFrame, time: str, metrics: list[str], key: str, parts: int | None = None) -> DataFrame:
     """Per metric: rows, means and variances of the first half in time and of the rest.
 
-    The half is found from counts per time stamp: a running sum gives the stamp where it falls, and
-    only rows of that one stamp are put in order, by ``key``. No window holds all rows."""
+    The half is found from counts per time stamp: running sums over ranges of time give the stamp where
+    it falls, and only rows of that one stamp are put in order, by ``key``, again in ranges."""
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("c")
     flat = df.where(F.col(time).isNotNull()).select(F.col(time).alias("t"), F.col(key).alias("k"), cells).select("t", "k", "c.metric", "c.value").where("value is not null")
-    counts = flat.groupBy("metric", "t").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("metric").orderBy("t"))
-    whole = F.sum("n").over(Window.partitionBy("metric"))
-    marks = counts.withColumns({"upto": upto, "total": whole}).withColumn("half", F.floor(F.col("total") / 2))
-    border = marks.where((F.col("upto") > F.col("half")) & (F.col("upto") - F.col("n") <= F.col("half"))).select("metric", F.col("t").alias("edge"), (F.col("half") - (F.col("upto") - F.col("n"))).alias("take"))
-    placed = flat.join(F.broadcast(border), "metric")
-    ties = placed.where("t = edge").withColumn("early", F.row_number().over(Window.partitionBy("metric").orderBy("k", "value")) <= F.col("take"))
-    sides = placed.where("t <> edge").withColumn("early", F.col("t") < F.col("edge")).unionByName(ties)
+    counts = ordered.placed(flat.groupBy("metric", "t").agg(F.count(F.lit(1)).alias("n")), ["metric"], ["t"], parts)
+    totals = F.broadcast(counts.groupBy("metric").agg(F.floor(F.sum("n") / 2).alias("half")))
+    marks = ordered.running(counts, ["metric"], ["t"], {"upto": F.col("n")}).join(totals, "metric")
+    border = stored(marks.where((F.col("upto") > F.col("half")) & (F.col("upto") - F.col("n") <= F.col("half"))).select("metric", F.col("t").alias("edge"), (F.col("half") - (F.col("upto") - F.col("n"))).alias("take")))
+    met = flat.join(F.broadcast(border), "metric")
+    ties = ordered.numbered(met.where("t = edge"), ["metric"], ["k", "value"], "place", parts).withColumn("early", F.col("place") <= F.col("take")).drop("place")
+    sides = met.where("t <> edge").withColumn("early", F.col("t") < F.col("edge")).unionByName(ties)
     figures = [x for name, side in (("early", F.col("early")), ("late", ~F.col("early"))) for x in (F.count_if(side).alias(f"n_{name}"), F.avg(F.when(side, F.col("value"))).alias(f"mean_{name}"), F.var_samp(F.when(side, F.col("value"))).alias(f"var_{name}"))]
     return sides.groupBy("metric").agg(*figures)
 
