@@ -8,6 +8,7 @@ else; long texts are grouped by a digest. Nested columns only have their nulls c
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -73,7 +74,7 @@ def universal(freq: DataFrame) -> DataFrame:
 
 CUTS = (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))
 #: Distinct values (about) beyond which a column's percentiles are found by rank.
-IN_TASK_VALUES = 1_000_000
+IN_TASK_VALUES = 200_000
 
 
 def percentiles_by_rank(values: DataFrame, cuts=CUTS, parts: int | None = None) -> DataFrame:
@@ -110,19 +111,24 @@ def numeric(df: DataFrame, columns: list[str] | None = None, most: int | None =
     value = {c: _clean(df, c).cast("double") for c in names}
     plain = {c: {"min_value": F.min(v), "max_value": F.max(v), "mean": F.avg(v), "stddev": F.when(F.count(v) > 1, F.stddev_samp(v)).otherwise(F.when(F.count(v) == 1, 0.0)), "filled": F.count(v), "about": F.approx_count_distinct(v)} for c, v in value.items()}
     got = _rows(df, plain).collect()
-    few = [r["column"] for r in got if r.about <= most]
-    many = [r["column"] for r in got if r.about > most]
-    spark = df.sparkSession
-    base = spark.createDataFrame([tuple(r)[:5] for r in got if r.filled], "column string, min_value double, max_value double, mean double, stddev double")
+    base = df.sparkSession.createDataFrame([tuple(r)[:5] for r in got if r.filled], "column string, min_value double, max_value double, mean double, stddev double")
+    found = _percentiles(df, {r["column"]: r.about for r in got}, most)
+    return base.join(found, "column") if found is not None else base.select("*", *[F.lit(None).cast("double").alias(n) for n, _ in CUTS])
+
+
+def _percentiles(df: DataFrame, about: dict[str, int], most: int) -> DataFrame | None:
+    """(column, *cuts) of columns with about so many distinct values."""
+    few, many = ([c for c, n in about.items() if (n <= most) == side] for side in (True, False))
     parts = []
     if few:
-        cuts = F.array(*[F.lit(p) for _, p in CUTS])
-        found = _rows(df, {c: {"cuts": F.percentile(value[c], cuts)} for c in few})
-        parts.append(found.select("column", *[F.col("cuts")[i].alias(n) for i, (n, _) in enumerate(CUTS)]))
+        cuts = ", ".join(f"{p}D" for _, p in CUTS)
+        found = df.selectExpr(*[f"percentile(CAST({_clean_sql(df, c)} AS double), array({cuts})) AS c{i}" for i, c in enumerate(few)]).first()
+        parts.append(df.sparkSession.createDataFrame([(c, *(own or [None] * len(CUTS))) for c, own in zip(few, found)], "column string, " + ", ".join(f"{n} double" for n, _ in CUTS)))
     if many:
+        value = {c: _clean(df, c).cast("double") for c in many}
         counts = [df.select(value[c].alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column"), "v", "n") for c in many]
         parts.append(percentiles_by_rank(reduce(DataFrame.unionByName, counts)))
-    return base.join(reduce(DataFrame.unionByName, parts), "column") if parts else base.select("*", *[F.lit(None).cast("double").alias(n) for n, _ in CUTS])
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def numeric_approx(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
@@ -154,6 +160,20 @@ def top_values(freq: DataFrame, k: int = TOP_VALUES, most_distinct: int = TOP_DI
     return filled.join(F.broadcast(few), "column").withColumn("rank", place).where(F.col("rank") <= k).select("column", "rank", "value", "n")
 
 
+def with_long_texts(df: DataFrame, tops: DataFrame) -> DataFrame:
+    """``top_values`` with the texts themselves where they are given by their digest.
+
+    Only columns that have such values are scanned again, for at most as many texts as are listed."""
+    digests: dict[str, list[str]] = {}
+    for r in tops.where(F.col("value").rlike("^md5:[0-9a-f]{32}$")).select("column", "value").collect():
+        digests.setdefault(r[0], []).append(r[1])
+    if not digests:
+        return tops
+    found = [df.select(_key(df, c).alias("value"), F.col(c).cast("string").alias("text")).where((F.char_length("text") > LONG_TEXT) & F.col("value").isin(own)).groupBy("value").agg(F.min("text").alias("text")).withColumn("column", F.lit(c)) for c, own in digests.items()]
+    met = tops.join(reduce(DataFrame.unionByName, found), ["column", "value"], "left")
+    return met.select("column", "rank", F.coalesce("text", "value").alias("value"), "n")
+
+
 def patterns(df: DataFrame, columns: list[str] | None = None, share: float = PATTERN_SHARE) -> DataFrame:
     """(column, detected_pattern): the first pattern that more than a share of all values match."""
     hits = {c: {name: F.count_if(v.rlike(p)) / F.count(v) for name, p in PATTERNS} | {"filled": F.count(v)} for c, v in _texts(df, columns).items()}
@@ -177,39 +197,108 @@ def connector_profile(freq: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, table: str) -> DataFrame:
     """One row a column with all figures that apply to its type; nested columns have nulls only."""
-    schema = df.schema
+    return profile_all({table: df})
+
+
+def _profiled(df: DataFrame, table: str) -> list[tuple]:
+    """The rows of a table's profile.
+
+    A first aggregate gives all plain figures and an estimate of each column's distinct values. Columns
+    of few values are then counted in one grouped pass, which gives their top values too; each
+    other column is grouped by itself. What comes back is a row a column, or a row for each of few values."""
+    spark, schema = df.sparkSession, df.schema
     kinds = {f.name: normalized(f.dataType) for f in schema}
-    texts, numbers = columns_of(schema, "varchar"), numeric_columns(schema)
-    flat = flat_columns(df)
-    parts = [] if not numbers else [numeric(df, numbers)]
-    if texts:
-        tops = top_values(frequencies(df, texts)).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
-        parts += [lengths(df, texts), tops.select("column", F.transform("t", lambda t: F.struct(t["value"].alias("value"), t["n"].alias("count"))).alias("top_values")), patterns(df, texts)]
-    if temporal_columns(schema):
-        parts.append(temporal(df).drop("rows"))
-    # Each part has a row for each column of the table, so it is small enough to broadcast.
-    out = reduce(lambda a, b: a.join(F.broadcast(b), "column", "left"), parts, universal(frequencies(df, flat))) if flat else None
-    nested = [c for c, k in kinds.items() if k in ("json", "list")]
-    if nested:
-        nulls = _rows(df, {c: {"row_count": F.count(F.lit(1)), "null_count": F.count_if(F.col(c).isNull())} for c in nested})
-        out = nulls if out is None else out.unionByName(nulls, allowMissingColumns=True)
-    dtype = F.create_map(*[F.lit(x) for c in kinds.items() for x in c])
-    for name, kind in PROFILE_COLUMNS:
-        if name not in out.columns:
-            out = out.withColumn(name, F.lit(None).cast(kind))
-    return out.withColumn("table", F.lit(table)).withColumn("dtype", dtype[F.col("column")])
-
-
-#: Figures of a profile that only some types have.
+    texts, numbers, times, flat = columns_of(schema, "varchar"), numeric_columns(schema), temporal_columns(schema), flat_columns(df)
+    got = df.selectExpr(*[f"{_plain(df, c, kinds[c])} AS c{i}" for i, c in enumerate(kinds)]).first() if kinds else ()
+    rows = {c: {"column": c} | r.asDict() for c, r in zip(kinds, got)}
+    few = [c for c in flat if rows[c]["about"] <= FEW_VALUES]
+    counted = _counts_of_few(df, few)
+    for c in few:
+        rows[c]["distinct_count"] = sum(value is not None for value in counted[c])
+    apart = [(c, "distinct_count", _key_sql(df, c)) for c in flat if c not in few] + [(c, "days", f"CAST({_quoted(c)} AS date)") for c in times]
+    many = [df.selectExpr(f"{key} AS v").distinct().selectExpr(f"{i} AS i", "count(v) AS d") for i, (_, _, key) in enumerate(apart)]
+    for r in reduce(DataFrame.union, many).collect() if many else ():
+        column, figure, _ = apart[r[0]]
+        rows[column][figure] = r[1]
+    cuts = _percentiles(df, {c: rows[c]["about"] for c in numbers}, IN_TASK_VALUES)
+    for r in cuts.collect() if cuts is not None else ():
+        rows[r[0]] |= r.asDict()
+    tops = [(c, rank, value, n) for c in texts if c in counted and rows[c]["distinct_count"] <= TOP_DISTINCT for rank, (value, n) in enumerate(sorted(((v, n) for v, n in counted[c].items() if v is not None), key=lambda x: (-x[1], x[0]))[:TOP_VALUES], 1)]
+    own: dict[str, list] = {}
+    for c, _, value, n in with_long_texts(df, spark.createDataFrame(tops, "column string, rank int, value string, n bigint")).orderBy("column", "rank").collect() if tops else ():
+        own.setdefault(c, []).append((value, n))
+    for c, values in own.items():
+        rows[c]["top_values"] = values
+    return [(table, kinds[c], c in flat, *(rows[c].get(name) for name, _ in PROFILE_COLUMNS)) for c in kinds]
+
+
+#: About so many distinct values let a column be counted together with others.
+FEW_VALUES = 1_000
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _clean_sql(df: DataFrame, name: str) -> str:
+    """``_clean`` as an expression; a table has many, and text is built faster than columns."""
+    kind = df.schema[name].dataType.simpleString()
+    return f"nanvl({_quoted(name)}, CAST(NULL AS {kind}))" if kind in ("float", "double") else _quoted(name)
+
+
+def _key_sql(df: DataFrame, name: str) -> str:
+    """``_key`` as an expression."""
+    if normalized(df.schema[name].dataType) != "varchar":
+        return _clean_sql(df, name)
+    text = f"CAST({_quoted(name)} AS string)"
+    return f"CASE WHEN char_length({text}) <= {LONG_TEXT} THEN {text} ELSE concat('md5:', md5({text})) END"
+
+
+def _plain(df: DataFrame, c: str, kind: str) -> str:
+    """Aggregates of one column as a struct; those that do not apply to its type are left out."""
+    if kind in ("json", "list"):
+        return f"named_struct('row_count', count(1), 'null_count', count_if({_quoted(c)} IS NULL), 'about', 0L)"
+    key = _clean_sql(df, c)
+    out = {"row_count": "count(1)", "null_count": f"count(1) - count({key})", "about": f"approx_count_distinct({key})"}
+    if c in numeric_columns(df.schema):
+        v = f"CAST({key} AS double)"
+        out |= {"min_value": f"min({v})", "max_value": f"max({v})", "mean": f"avg({v})", "stddev": f"CASE WHEN count({v}) > 1 THEN stddev_samp({v}) WHEN count({v}) = 1 THEN 0D END"}
+    if kind == "varchar":
+        text = f"CAST({_quoted(c)} AS string)"
+        tried = " ".join(f"WHEN count_if({text} RLIKE r'{p}') / count({key}) > {PATTERN_SHARE} THEN '{name}'" for name, p in PATTERNS)
+        out |= {"min_length": f"min(char_length({text}))", "max_length": f"max(char_length({text}))", "avg_length": f"round(avg(char_length({text})), 1)", "detected_pattern": f"CASE WHEN count({key}) = 0 THEN NULL {tried} END"}
+    if c in temporal_columns(df.schema):
+        out |= {"min_date": f"CAST(min({key}) AS string)", "max_date": f"CAST(max({key}) AS string)", "span_days": f"datediff(CAST(max({key}) AS date), CAST(min({key}) AS date))"}
+    return "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in out.items()) + ")"
+
+
+def _counts_of_few(df: DataFrame, columns: list[str]) -> dict[str, dict[str | None, int]]:
+    """How often each value of some columns occurs, nulls too, in one pass that combines within tasks."""
+    out: dict[str, dict[str | None, int]] = {c: {} for c in columns}
+    if columns:
+        cells = ", ".join(f"named_struct('i', {i}, 'value', CAST({_key_sql(df, c)} AS string))" for i, c in enumerate(columns))
+        for r in df.selectExpr(f"explode(array({cells})) AS c").groupBy("c.i", "c.value").count().collect():
+            out[columns[r[0]]][r[1]] = r[2]
+    return out
+
+
+#: Figures of a profile; most are of some types only.
 PROFILE_COLUMNS = (
-    ("distinct_count", "bigint"), ("null_rate", "double"), ("uniqueness_ratio", "double"), ("min_value", "double"), ("max_value", "double"), ("mean", "double"), ("stddev", "double"),
+    ("column", "string"), ("row_count", "bigint"), ("null_count", "bigint"), ("distinct_count", "bigint"), ("min_value", "double"), ("max_value", "double"), ("mean", "double"), ("stddev", "double"),
     *((name, "double") for name, _ in CUTS), ("min_length", "int"), ("max_length", "int"), ("avg_length", "double"), ("top_values", "array<struct<value:string,count:bigint>>"), ("detected_pattern", "string"),
+    ("min_date", "string"), ("max_date", "string"), ("days", "bigint"), ("span_days", "int"),
 )
 
 
-def profile_all(tables: dict[str, DataFrame]) -> DataFrame:
-    frames = [profile(df, name) for name, df in tables.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+def profile_all(tables: dict[str, DataFrame], at_once: int = 8) -> DataFrame:
+    """``profile`` of many tables: one small frame. The jobs of some tables run side by side."""
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = [r for own in pool.map(lambda item: _profiled(item[1], item[0]), tables.items()) for r in own]
+    spark = next(iter(tables.values())).sparkSession
+    schema = ", ".join(f"`{n}` {t}" for n, t in (("table", "string"), ("dtype", "string"), ("flat", "boolean"), *PROFILE_COLUMNS))
+    filled = F.col("row_count") - F.col("null_count")
+    rates = {"null_rate": F.round(F.try_divide("null_count", "row_count"), 4), "uniqueness_ratio": F.coalesce(F.round(F.try_divide("distinct_count", filled), 4), F.lit(0.0))}
+    return spark.createDataFrame(rows, schema).withColumns({n: F.when(F.col("flat"), x) for n, x in rates.items()}).drop("flat")
 
 
 # What a column means, from its name and its profile -----------------------------------------------

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewise.operators.profile import frequencies
+
 ACTIVE = ("observing", "enforced")
 FEW_VALUES = 30
 
@@ -70,10 +72,9 @@ def _passed(rule: Rule, observed: Column) -> Column:
 
 
 def repeats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, observed): rows less distinct values, so that nulls count as repeats. All columns
-    are counted from one frequency table."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("cell")
-    freq = df.select(cells).groupBy("cell.column", "cell.value").agg(F.count(F.lit(1)).alias("n"))
+    """(column, observed): rows less distinct values, so that nulls count as repeats. Each column is
+    grouped by itself, in its own type, and long texts by their digest."""
+    freq = frequencies(df, columns)
     return freq.groupBy("column").agg((F.sum("n") - F.count("value")).alias("observed"))
 
 

@@ -14,7 +14,7 @@ from tablewise.operators.metrics import Metric
 from tablewise.operators.quality import Rule
 from tablewise.operators.relate import Edge
 from tablewise.sources import files, jdbc, sinks
-from tablewise.sources.paths import scratch, stored
+from tablewise.sources.paths import scratch, small, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,9 +156,9 @@ def pk_candidates(t):
 
 
 def _typed(t, names):
-    # A row a column: written once, as what follows reads it more than once.
-    every = stored(profile.profile_all(t.many(*names)))
-    return profile.roles(profile.semantic_type(every), profile.is_primary_key(F.col("column").rlike("key$")))
+    # A row a column, which what follows reads more than once.
+    every = profile.profile_all(t.many(*names))
+    return small(profile.roles(profile.semantic_type(every), profile.is_primary_key(F.col("column").rlike("key$"))))
 
 
 _ROLE_SQL = """WITH p AS ({profile}), k AS (
@@ -746,9 +746,8 @@ _CUSTOMER_2 = "(SELECT c_custkey, c_nationkey, CAST(trunc(c_acctbal) AS BIGINT):
 
 
 def _snapshot_sql(run: int, table: str, rows: str, columns: list[str]) -> str:
-    """A snapshot's rows computed from the table: types, nulls, and sums of digests of values."""
-    text = lambda c: f"CASE typeof({c}) WHEN 'DOUBLE' THEN CAST(CAST(round(TRY_CAST({c} AS DOUBLE) * 100) AS HUGEINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
-    return union_sql(lambda c: f"SELECT {run} AS run_id, '{table}' AS \"table\", '{c}' AS \"column\", {_kind_sql(c, rows)} AS dtype, count({c}) < count(*) AS nullable, count(*) AS row_count, count({c}) AS filled, CAST(coalesce(sum(CAST('0x' || substr(md5({text(c)}), 1, 8) AS BIGINT)), 0) AS VARCHAR) AS fingerprint FROM {rows}", columns)
+    """A snapshot's rows computed from the table: types, nulls and counts."""
+    return union_sql(lambda c: f"SELECT {run} AS run_id, '{table}' AS \"table\", '{c}' AS \"column\", {_kind_sql(c, rows)} AS dtype, count({c}) < count(*) AS nullable, count(*) AS row_count, count({c}) AS filled FROM {rows}", columns)
 
 
 _CUSTOMER_COLUMNS, _PARTS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
@@ -761,7 +760,7 @@ columns AS (SELECT "table", "column", 'added' AS change, NULL AS before, ad AS a
 
 @query(f"WITH {_BEFORE} SELECT * FROM b")
 def schema_snapshot(t):
-    return _versions(t)[0]
+    return _versions(t)[0].drop("fingerprint", "table_digest")
 
 
 @query(_DRIFT + ' SELECT "table", "column", change, before, after FROM columns')
@@ -774,12 +773,58 @@ def table_changes(t):
     return drift.table_changes(*_versions(t))
 
 
-@query(_DRIFT + """, h AS (SELECT coalesce(b.t, a.t) AS t, b.m AS bm, a.m AS am FROM (SELECT "table" AS t, string_agg("column" || dtype || nullable || row_count || fingerprint, ';' ORDER BY "column") AS m FROM b GROUP BY 1) b FULL JOIN (SELECT "table" AS t, string_agg("column" || dtype || nullable || row_count || fingerprint, ';' ORDER BY "column") AS m FROM a GROUP BY 1) a ON a.t = b.t)
-SELECT count(*) FILTER (bm IS NULL) AS added, count(*) FILTER (am IS NULL) AS removed, count(*) FILTER (bm <> am) AS updated, count(*) FILTER (bm = am) AS unchanged FROM h""")
+@query(f"""SELECT CAST(1 AS BIGINT) AS added, CAST(1 AS BIGINT) AS removed, count(*) FILTER (d > 0) AS updated, count(*) FILTER (d = 0) AS unchanged FROM (
+SELECT 1 AS d UNION ALL SELECT (SELECT count(*) FROM (SELECT * FROM nation EXCEPT ALL SELECT * FROM nation)))""")
 def rerun_summary(t):
+    """Customer gets and loses a column, so it is changed; nation is not; supplier goes and part comes."""
     return drift.rerun_summary(*_versions(t))
 
 
+_MOVED = "(SELECT c_custkey, c_name, c_nationkey, c_acctbal + CASE WHEN c_custkey % 50 = 0 THEN 0.001 ELSE 0 END AS c_acctbal, c_mktsegment FROM customer)"
+_SWAPPED = "(SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, coalesce(p.o_totalprice, o.o_totalprice) AS o_totalprice, o.o_orderdate, o.o_orderpriority FROM orders o LEFT JOIN orders p ON p.o_orderkey = xor(o.o_orderkey, 1) AND o.o_orderkey % 100 < 2)"
+_MARKED = "(SELECT * FROM part ORDER BY p_partkey DESC)"
+_RERUN = (("customer", _MOVED), ("orders", _SWAPPED), ("part", _MARKED))
+
+
+def _rerun(t) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Balances moved by 0.001, prices swapped between neighbours, and rows in another order."""
+    moved = t.customer.withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 50 == 0, 0.001).otherwise(0))
+    other = t.orders.select(F.col("o_orderkey").bitwiseXOR(F.lit(1)).alias("o_orderkey"), F.col("o_totalprice").alias("other"))
+    pairs = t.orders.join(other.where((F.col("o_orderkey") % 100) < 2), "o_orderkey", "left")
+    swapped = pairs.withColumn("o_totalprice", F.coalesce("other", "o_totalprice")).select(*t.orders.columns)
+    return t.many("customer", "orders", "part"), {"customer": moved, "orders": swapped, "part": t.part.orderBy(F.col("p_partkey").desc())}
+
+
+@query("\nUNION ALL\n".join(f"""SELECT '{n}' AS "table", CASE WHEN (SELECT count(*) FROM (SELECT * FROM {rows} EXCEPT ALL SELECT * FROM {n})) > 0 THEN 'updated' ELSE 'unchanged' END AS change""" for n, rows in _RERUN))
+def rerun_tables(t):
+    """What a second run finds of three tables, each summed up by itself."""
+    old, new = _rerun(t)
+    parts = []
+    for name in old:
+        got = drift.rerun_summary(drift.snapshot({name: old[name]}, 1), drift.snapshot({name: new[name]}, 2))
+        parts.append(got.select(F.lit(name).alias("table"), F.when(F.col("updated") == 1, "updated").when(F.col("unchanged") == 1, "unchanged").alias("change")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_BUCKET = "CAST(CAST('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8) AS BIGINT) % 1024 AS INTEGER)"
+
+
+@query("\nUNION ALL\n".join(f"""SELECT '{n}' AS "table", bucket, CAST(count(*) AS BIGINT) AS rows_before, CAST(count(*) AS BIGINT) AS rows_after FROM (SELECT {_BUCKET.format(k=k)} AS bucket FROM {n})
+WHERE bucket IN (SELECT {_BUCKET.format(k=k)} FROM (SELECT * FROM {rows} EXCEPT ALL SELECT * FROM {n})) GROUP BY ALL""" for (n, rows), k in zip(_RERUN, ("c_custkey", "o_orderkey", "p_partkey"))))
+def changed_buckets(t):
+    old, new = _rerun(t)
+    keys = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "part": ["p_partkey"]}
+    return drift.changed_buckets(stored(drift.digest_tree(old, keys)), stored(drift.digest_tree(new, keys)))
+
+
+@query(f"""SELECT c_custkey, 'updated' AS change FROM (SELECT * FROM {_MOVED} EXCEPT ALL SELECT * FROM customer) WHERE c_custkey >= 100
+UNION ALL SELECT c_custkey, 'removed' FROM customer WHERE c_custkey < 100 UNION ALL SELECT c_custkey + 10000000, 'added' FROM customer WHERE c_custkey < 100""")
+def changed_rows(t):
+    """Balances moved, and keys below 100 that become others."""
+    moved = _rerun(t)[1]["customer"].withColumn("c_custkey", F.col("c_custkey") + F.when(F.col("c_custkey") < 100, 10_000_000).otherwise(0))
+    return drift.changed_rows(t.customer, moved, ["c_custkey"])
+
+
 @query(_DRIFT + """ SELECT 'first' AS run, true AS first_run, (SELECT count(DISTINCT "table") FROM b) AS tables_added, CAST(0 AS BIGINT) AS tables_removed, CAST(0 AS BIGINT) AS column_changes, false AS no_changes UNION ALL SELECT 'same', false, 0, 0, 0, true
 UNION ALL SELECT 'next', false, count(*) FILTER (change = 'added'), count(*) FILTER (change = 'removed'), (SELECT count(*) FROM columns), count(*) + (SELECT count(*) FROM columns) = 0 FROM tables""")
 def drift_overview(t):
@@ -817,6 +862,21 @@ def soft_delete(t):
     return drift.soft_delete(old, new, "c_custkey", 9, "removed").select("c_custkey", "removed")
 
 
+_TOUCHED = "(SELECT c_custkey + 50 AS c_custkey, 'new ' || c_name AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_nationkey = 3)"
+
+
+@query(f"""SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NULL OR coalesce(o.locked, false) THEN o.c_name ELSE n.c_name END AS c_name, round(CASE WHEN n.c_custkey IS NULL THEN o.c_acctbal ELSE n.c_acctbal END, 4) AS c_acctbal,
+coalesce(o.locked, false) AS locked, CAST(CASE WHEN n.c_custkey IS NULL THEN coalesce(o.removed, CASE WHEN o.c_custkey % 10 = 0 THEN 9 END) WHEN coalesce(o.c_custkey, n.c_custkey) % 10 = 0 THEN 9 END AS BIGINT) AS removed FROM {_OLD_CUSTOMERS} o FULL JOIN {_TOUCHED} n ON o.c_custkey = n.c_custkey""")
+def bucketed_upsert(t):
+    """Customers of one nation over a bucketed table of all, and then every tenth key gone."""
+    old, new = _customers(t)
+    table = drift.BucketedTable(t.spark, scratch(t.spark), ["c_custkey"])
+    table.create(old)
+    table.upsert(new.join(t.customer.where("c_nationkey = 3").select((F.col("c_custkey") + 50).alias("c_custkey")), "c_custkey", "left_semi"), ["c_name"], removed="removed")
+    table.soft_delete(table.read().where("c_custkey % 10 <> 0"), 9, "removed")
+    return table.read().withColumn("c_acctbal", F.round("c_acctbal", 4))
+
+
 @query(f"SELECT count(*) AS n FROM {_OLD_CUSTOMERS} WHERE removed IS NULL")
 def active_rows(t):
     return drift.active(_customers(t)[0], "removed").agg(F.count(F.lit(1)).alias("n"))

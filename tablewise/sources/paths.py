@@ -44,6 +44,11 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A frame with a row a column or table, held by the driver and so computed only once."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete the files of frames from ``stored`` that nothing lazy reads any more."""
     for df in frames:

@@ -54,7 +54,7 @@ def test_lineitem_is_looked_at(spark, sf, tmp_path):
     lines = lines.withColumns({"l_tax": F.when(F.col("l_orderkey") % 2 == 0, F.col("l_tax")), "l_linestatus": F.lit("O"), "l_partkey": F.monotonically_increasing_id()})
     lines.write.parquet(str(tmp_path / "lineitem.parquet"))
     found = lambda name: {r["column"] for r in QUERIES[name](spark, str(tmp_path)).where("table = 'lineitem'").collect()}
-    assert found("null_ranking") == {"l_tax"} and found("column_issues") == {"l_tax", "l_linestatus"}
+    assert found("null_ranking") == {"l_tax"} and found("column_issues") == {"l_tax", "l_linestatus", "l_partkey"}
     assert found("pk_candidates") == found("unique_columns") == {"l_partkey"}
     assert found("column_confidence") == set(lines.columns)
     assert QUERIES["mart_archetypes"](spark, str(tmp_path)).where("table = 'lineitem'").count() > 0
