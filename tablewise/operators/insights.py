@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,13 +104,57 @@ def shifts(two: DataFrame, most_p: float = 0.05) -> DataFrame:
     return got.withColumns({"severity": level, "confidence": confidence_of_p(F.col("p_value"))})
 
 
-def correlations(df: DataFrame, metrics: list[str]) -> DataFrame:
-    """(a, b, n, r, t) for every pair of metrics on the rows that have both: one aggregate for all."""
-    pairs = list(combinations(metrics, 2))
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    x = lambda a, b: F.when(both(a, b), F.col(a).cast("double"))
-    wide = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), F.corr(x(a, b), x(b, a)).alias("r")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = wide.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("p")).select("p.*")
+#: Columns of a block of the tables of products that a task holds.
+BLOCK_COLUMNS = 512
+
+
+def _products(cells: DataFrame, first: list[int], second: list[int]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) of a task's rows that have both columns, i before j: six products of
+    matrices a batch, added up. ``cells`` has a centred column c0, c1 and so on for each metric."""
+    columns = sorted({*first, *second})
+    at = {c: k for k, c in enumerate(columns)}
+    x_at, y_at = np.array([at[c] for c in first]), np.array([at[c] for c in second])
+    i, j = (g.ravel() for g in np.meshgrid(np.array(first), np.array(second), indexing="ij"))
+    upper = i < j
+
+    def run(batches):
+        total = np.zeros((6, len(first), len(second)))
+        for batch in batches:
+            table = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+            seen = ~np.isnan(table)
+            x, y = np.where(seen, table, 0.0)[:, x_at], np.where(seen, table, 0.0)[:, y_at]
+            u, v = seen[:, x_at].astype(float), seen[:, y_at].astype(float)
+            for k, (left, right) in enumerate(((u, v), (x, v), (u, y), (x * x, v), (u, y * y), (x, y))):
+                total[k] += left.T @ right
+        flat = total.reshape(6, -1)[:, upper]
+        yield pa.RecordBatch.from_arrays([pa.array(i[upper]), pa.array(j[upper]), *map(pa.array, flat)], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    schema = "i bigint, j bigint, n double, sx double, sy double, sxx double, syy double, sxy double"
+    return cells.select(*[f"c{c}" for c in columns]).mapInArrow(run, schema)
+
+
+def correlations(df: DataFrame, metrics: list[str], block: int = BLOCK_COLUMNS) -> DataFrame:
+    """(a, b, n, r, t) for every pair of metrics on the rows that have both; NaN counts as null.
+
+    Columns are centred by their means. Each pair of blocks of columns is a scan of these columns only, in
+    which tasks add up matrix products; a row a task and pair is sent on. A column that does not vary on the
+    pair's rows has no correlation."""
+    spark = df.sparkSession
+    clean = [f"nanvl(CAST(`{m}` AS double), CAST(NULL AS double))" for m in metrics]
+    means = [x or 0.0 for x in df.selectExpr(*[f"avg({c})" for c in clean]).first()] if metrics else []
+    cells = df.selectExpr(*[f"{c} - {x!r}D AS c{k}" for k, (c, x) in enumerate(zip(clean, means))])
+    blocks = [list(range(k, min(k + block, len(metrics)))) for k in range(0, len(metrics), block)]
+    parts = [_products(cells, first, second) for k, first in enumerate(blocks) for second in blocks[k:] if len({*first, *second}) > 1]
+    if not parts:
+        return spark.createDataFrame([], "a string, b string, n bigint, r double, t double")
+    sums = reduce(DataFrame.unionByName, parts).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    named = spark.createDataFrame([(k, m, x) for k, (m, x) in enumerate(zip(metrics, means))], "k bigint, name string, mean double")
+    side = lambda k, name: F.broadcast(named.select(F.col("k").alias(k), F.col("name").alias(name), F.col("mean").alias(f"mean_{name}")))
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    spread = lambda s, ss, mean: F.when(F.col(ss) - F.col(s) * F.col(s) / n > 1e-28 * n * F.col(mean) * F.col(mean), F.col(ss) - F.col(s) * F.col(s) / n)
+    r = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(spread("sx", "sxx", "mean_a") * spread("sy", "syy", "mean_b"))
+    bounded = F.when(r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    rows = sums.join(side("i", "a"), "i").join(side("j", "b"), "j").select("a", "b", F.col("n").cast("bigint").alias("n"), bounded.alias("r"))
     rest = 1 - F.col("r") * F.col("r")
     t = F.when(rest > 0, F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, rest)))
     return rows.withColumn("t", t)

@@ -374,13 +374,6 @@ def is_primary_key(key_name: Column) -> Column:
     return key_name & (F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count")) & (F.col("row_count") > 0)
 
 
-def key_name_rule(column: Column, table: Column) -> Column:
-    """``id``, or ``<table>_id`` for the table's name or its singular."""
-    stem = F.regexp_replace(column, "_id$", "")
-    singular = F.regexp_replace(F.regexp_replace(table, "ies$", "y"), "(?<!s)s$", "")
-    return (column == "id") | (column.rlike("_id$") & ((stem == table) | (stem == singular)))
-
-
 def roles(typed: DataFrame, primary_key: Column) -> DataFrame:
     """Add ``is_metric``, ``is_dimension``, ``role`` and ``confidence`` to a typed profile.
 
