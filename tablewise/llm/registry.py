@@ -121,7 +121,7 @@ def _op5_sql() -> str:
            CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS n_tokens FROM d0 LEFT JOIN topics ON rowid_ = row_id
 ), cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)"""]
     for level in ("source", "lang", "topic"):
-        steps.append(f"goal_{level} AS MATERIALIZED (SELECT {level}, pow(sum(n), {temper}) / sum(pow(sum(n), {temper})) OVER () AS goal FROM cells GROUP BY {level})")
+        steps.append(f"goal_{level} AS MATERIALIZED (SELECT {level}, sum(pow(n, {temper})) / sum(sum(pow(n, {temper}))) OVER () AS goal FROM cells GROUP BY {level})")
     # Sources, languages and topics in turn, until far below what rounding shows.
     now = "JOIN r l ON l.kind = 'l' AND l.level = lang JOIN r t ON t.kind = 't' AND t.level = topic"
     fit_source = "SELECT source, any_value(goal) / sum(n * l.f * t.f) AS a FROM cells {now} JOIN goal_source USING (source) GROUP BY source"
