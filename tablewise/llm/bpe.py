@@ -12,7 +12,8 @@ space, lower case, word pattern, byte alphabet, end-of-word suffix. Decoding is
 over token ids that gives text as ids arrive.
 
 Defined results: null and empty texts give no tokens, an empty id string and empty decoded text;
-texts of any length are processed whole; equal texts give equal rows; further input columns are
+texts of any length are processed whole; equal texts give equal rows; null and repeated ids stay, a
+row each, whatever their texts; further input columns are
 ignored; an empty table gives an empty table.
 """
 

@@ -6,7 +6,8 @@ the row filters with numpy and gives the samples back. ``cosine_hash`` keeps the
 low-frequency terms of a discrete cosine transform of the image, shrunk by area.
 
 Defined results: null and empty texts are a payload of 64 zero bytes; the width of 64 makes every
-payload whole rows; equal texts have equal rows; a damaged image raises ``ValueError``; further
+payload whole rows; texts of any length are stored whole, one image a text; equal texts have equal
+rows; null and repeated ids stay, a row each; a damaged image raises ``ValueError``; further
 input columns are ignored; an empty table gives an empty table.
 """
 

@@ -27,7 +27,7 @@ never gathers more than its share, whatever the texts. Splitters are one short r
 any range partitioning.
 
 Defined results: null and empty texts lose nothing; documents shorter than 50 bytes neither lose
-nor cause a loss; rows with the same id never cost each other anything; null ids count as larger
+nor cause a loss; a text of any length is treated whole, within one part; rows with the same id never cost each other anything; null ids count as larger
 than all others and as one id; further columns stay as they are, but for those with the name of a
 computed figure, which the figure replaces; an empty table gives an empty table.
 """
