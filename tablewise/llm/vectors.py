@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by inner product with robust-pruned directed graphs.
 
 Equal vectors are one node that carries the smallest few ids it stands for. Nodes are dealt by hash
-to shards of about ``SHARD`` nodes. In each shard a directed graph is built in batches: a greedy
-search from fixed entry nodes proposes neighbours, and relaxed distance pruning keeps those that no
-kept neighbour is much nearer to, so that edges stay diverse; reverse edges are pruned the same way.
-One more coordinate turns largest inner product into smallest Euclidean distance. Graphs are
-written to the shared folder, one row a shard.
+to shards of about ``SHARD`` nodes, and a shard's nodes to bands of like norms. In each band a
+directed graph is built in batches over the directions of its nodes: a greedy search from fixed entry
+nodes proposes neighbours, and relaxed distance pruning keeps those that no kept neighbour is much
+nearer to, so that edges stay diverse; reverse edges are pruned the same way. A search follows them
+by inner product, which one more coordinate turns into a Euclidean distance; within a band that
+coordinate is small, so the graph leads the right way however much norms differ. Graphs are written
+to the shared folder, one row a shard.
 
 A task takes one shard: its graph comes first in the partition, and the queries stream past it.
-Each beam search gives a query's best ``k`` of the shard, scored again in double precision on the
+Each beam search gives a query's best ``k`` of a band, scored again in double precision on the
 original vectors; while the last of a beam ties with the k-th, the query is searched again with a
-wider beam. A ranking over shards keeps ``k``.
+wider beam. Bands come by falling norm, and a query leaves out those whose largest norm cannot give
+its k-th score of this shard. A ranking over shards keeps ``k``.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no
 part, nor do null ids; only vectors of equal length meet; a repeated row counts once; a query id
@@ -36,6 +39,8 @@ SHARD = 4_096
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 80, 1.2
 #: Nodes from which every search starts, nodes expanded at once, searches run at once.
 ENTRIES, EXPAND, LOCKSTEP = 32, 4, 256
+#: A band ends where norms are below its largest by this factor, but has at least so many nodes.
+BAND_RATIO, BAND_NODES = 1.25, 128
 K = 20
 
 
@@ -149,9 +154,25 @@ def build_graph(base: np.ndarray, seed: int = 7) -> np.ndarray:
     return edges
 
 
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths, also of vectors whose squares are out of range."""
+    top = np.abs(vectors).max(1)
+    return top * np.sqrt(((vectors / top[:, None]) ** 2).sum(1))
+
+
+def bands(norm: np.ndarray) -> list[int]:
+    """Where bands of like norms begin, and the end of the last; norms fall."""
+    cuts = [0]
+    for at in np.flatnonzero(np.diff(norm) < 0) + 1:
+        if norm[at] * BAND_RATIO < norm[cuts[-1]] and at - cuts[-1] >= BAND_NODES and len(norm) - at >= BAND_NODES:
+            cuts.append(int(at))
+    return [*cuts, len(norm)]
+
+
 def lifted(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with one more coordinate that makes all norms equal."""
-    square = (vectors.astype(np.float64) ** 2).sum(1)
+    """Vectors, divided by the largest norm, with one more coordinate that makes all norms equal."""
+    vectors = vectors / norms(vectors).max()
+    square = (vectors**2).sum(1)
     return np.concatenate([vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], 1).astype(np.float32)
 
 
@@ -164,7 +185,7 @@ def usable(vectors: DataFrame, vector: str, key: str) -> DataFrame:
 
 
 def graphs(nodes: DataFrame, shards: int, k: int = K) -> DataFrame:
-    """(shard, dim, n, ids, vectors, edges): one graph a shard and vector length, stored."""
+    """(shard, dim, n, ids, vectors, cuts, edges): the bands' graphs of a shard and vector length, stored."""
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = nodes.distinct().withColumn("place", place).where(F.col("place") <= k + 1)
     merged = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -179,51 +200,71 @@ def graphs(nodes: DataFrame, shards: int, k: int = K) -> DataFrame:
     def built(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ids", key=lambda c: c.map(lambda x: x[0]), kind="stable")
         base = np.stack(frame["v"].to_numpy()).astype(np.float64)
+        order = np.argsort(-norms(base), kind="stable")
+        frame, base = frame.iloc[order], base[order]
         ids = np.full((len(frame), k + 1), np.iinfo(np.int64).min)
         for row, own in enumerate(frame["ids"]):
             ids[row, : len(own)] = own
-        edges = build_graph(lifted(base)).astype("<i4")
-        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "dim": [base.shape[1]], "n": [len(frame)], "ids": [ids.astype("<i8").tobytes()], "vectors": [base.astype("<f8").tobytes()], "edges": [edges.tobytes()]})
+        cuts = bands(norms(base))
+        edges = np.full((len(base), DEGREE + 1), -1, "<i4")
+        for low, high in zip(cuts, cuts[1:]):
+            own = build_graph((base[low:high] / norms(base[low:high])[:, None]).astype(np.float32))
+            edges[low:high, : own.shape[1]] = own
+        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "dim": [base.shape[1]], "n": [len(frame)], "ids": [ids.astype("<i8").tobytes()], "vectors": [base.astype("<f8").tobytes()], "cuts": [np.array(cuts, "<i4").tobytes()], "edges": [edges.tobytes()]})
 
-    return stored(dealt.repartitionById(shards, "shard").mapInPandas(build, "shard int, dim int, n int, ids binary, vectors binary, edges binary"))
+    return stored(dealt.repartitionById(shards, "shard").mapInPandas(build, "shard int, dim int, n int, ids binary, vectors binary, cuts binary, edges binary"))
 
 
 class Graph:
-    """One shard's graph, ready to be searched."""
+    """One shard's graphs, ready to be searched."""
 
-    def __init__(self, n: int, ids: bytes, vectors: bytes, edges: bytes):
+    def __init__(self, n: int, ids: bytes, vectors: bytes, cuts: bytes, edges: bytes):
         self.base = np.frombuffer(vectors, "<f8").reshape(n, -1)
         self.ids = np.frombuffer(ids, "<i8").reshape(n, -1)
-        self.edges = np.frombuffer(edges, "<i4").reshape(n, -1).astype(np.int64)
-        self.space = lifted(self.base)
+        cuts = np.frombuffer(cuts, "<i4").tolist()
+        self.bands = list(zip(cuts, cuts[1:]))
+        edges = np.frombuffer(edges, "<i4").reshape(n, -1).astype(np.int64)
+        self.edges = [edges[low:high] for low, high in self.bands]
+        self.space = [lifted(self.base[low:high]) for low, high in self.bands]
+        self.norm = norms(self.base)
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, id, score): each query's best k, by exact score and then id."""
+        parts = [self._search(own[at : at + LOCKSTEP], queries[at : at + LOCKSTEP], k) for at in range(0, len(queries), LOCKSTEP)]
+        return tuple(np.concatenate(c) for c in zip(*parts))
+
+    def _search(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = norms(queries)
         # Length of a query doesn't change its order of neighbours; a common one keeps distances alike.
-        scale = np.sqrt((self.space[0].astype(np.float64) ** 2).sum()) / np.sqrt((queries**2).sum(1))
-        points = np.concatenate([queries * scale[:, None], np.zeros((len(queries), 1))], 1).astype(np.float32)
-        found = []
-        for at in range(0, len(queries), LOCKSTEP):
-            todo, beam = np.arange(at, min(at + LOCKSTEP, len(queries))), SEARCH_BEAM
+        points = np.concatenate([queries / size[:, None], np.zeros((len(queries), 1))], 1).astype(np.float32)
+        best, least = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(len(own), -np.inf)
+        for band, (low, _) in enumerate(self.bands):
+            with np.errstate(over="ignore"):
+                todo = np.flatnonzero(size * self.norm[low] * (1 + 1e-9) >= least)
+            found = [best]
+            beam = SEARCH_BEAM
             while len(todo):
-                rows, _ = beam_search(self.space, self.edges, points[todo], beam)
+                rows, _ = beam_search(self.space[band], self.edges[band], points[todo], beam)
+                rows = np.where(rows >= 0, rows + low, -1)
                 score = np.where(rows >= 0, np.einsum("nbd,nd->nb", self.base[np.maximum(rows, 0)], queries[todo]), -np.inf)
                 sorted_score = -np.sort(-score, 1)
                 # Its own node may be among the first k + 1; a full beam that ends in a tie with them goes on.
-                tied = (sorted_score[:, -1] == sorted_score[:, min(k, beam - 1)]) & np.isfinite(sorted_score[:, -1]) & (beam < len(self.base))
-                found.append(self._best(own[todo[~tied]], rows[~tied], score[~tied], k))
+                tied = (sorted_score[:, -1] == sorted_score[:, min(k, beam - 1)]) & np.isfinite(sorted_score[:, -1]) & (beam < len(self.space[band]))
+                found.append(self._members(todo[~tied], own[todo[~tied]], rows[~tied], score[~tied]))
                 todo, beam = todo[tied], 2 * beam
-        return tuple(np.concatenate(c) for c in zip(*found))
-
-    def _best(self, own: np.ndarray, rows: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q, vec, value = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((vec, -value, q))
+            q, vec, value = q[order], vec[order], value[order]
+            place = np.arange(len(q)) - np.searchsorted(q, np.arange(len(own)))[q]
+            least[q[place == k - 1]] = value[place == k - 1]
+            best = tuple(c[place < k] for c in (q, vec, value))
+        return own[best[0]], best[1], best[2]
+
+    def _members(self, at: np.ndarray, own: np.ndarray, rows: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, id, score) of the ids that found nodes stand for."""
         member = self.ids[np.maximum(rows, 0)]
         q, b, m = np.nonzero((member != np.iinfo(np.int64).min) & (rows >= 0)[..., None] & (member != own[:, None, None]))
-        vec, value = member[q, b, m], score[q, b]
-        order = np.lexsort((vec, -value, q))
-        q, vec, value = q[order], vec[order], value[order]
-        first = np.searchsorted(q, np.arange(len(own)))
-        keep = np.arange(len(q)) - first[q] < k
-        return own[q[keep]], vec[keep], value[keep]
+        return at[q], member[q, b, m], score[q, b]
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -236,7 +277,7 @@ def _streamed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         for low, high in zip(cuts, cuts[1:]):
             part = b.slice(low, high - low)
             if kind[low] == 0:
-                graph, of = Graph(*(part.column(n)[0].as_py() for n in ("n", "ids", "vectors", "edges"))), (shard[low], dim[low])
+                graph, of = Graph(*(part.column(n)[0].as_py() for n in ("n", "ids", "vectors", "cuts", "edges"))), (shard[low], dim[low])
             elif of == (shard[low], dim[low]):
                 vectors = part.column("v").flatten().to_numpy().reshape(high - low, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in graph.search(part.column("id").to_numpy(), vectors, k)], ["query_id", "vec_id", "score"])

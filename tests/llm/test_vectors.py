@@ -50,3 +50,35 @@ def test_ties_of_different_vectors(spark):
     df = spark.createDataFrame([(int(i), v) for i, v in rows], "vec_id bigint, embedding array<double>")
     got = vectors.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {1.0}
+
+
+def _norm_inputs():
+    rng = np.random.default_rng(1)
+    plain, middle = rng.normal(size=(3000, 64)), rng.normal(size=(30, 64))
+    grouped = middle[rng.integers(0, 30, 3000)] + 0.3 * rng.normal(size=(3000, 64))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    return {"unit": unit(plain), "grouped": unit(grouped), "natural": plain, "log-normal": unit(plain) * np.exp(rng.normal(size=3000))[:, None]}
+
+
+@pytest.mark.parametrize("kind", ["unit", "grouped", "natural", "log-normal"])
+def test_recall_for_any_norms(spark, kind):
+    x = _norm_inputs()[kind]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    got = vectors.nearest(df, df.where("vec_id % 20 = 0")).toPandas()
+    assert got.groupby("query_id").size().tolist() == [20] * 150
+    ids = np.arange(len(x))
+    hits = sum(len(set(own.vec_id) & set(exact(ids, x, q))) for q, own in got.groupby("query_id"))
+    assert hits / len(got) >= 0.95
+    assert np.allclose(got.score, np.einsum("nd,nd->n", x[got.query_id], x[got.vec_id]), atol=1e-9)
+
+
+def test_bands_end_where_norms_fall(monkeypatch):
+    monkeypatch.setattr(vectors, "BAND_NODES", 3)
+    assert vectors.bands(np.array([8.0] * 4 + [4.0] * 4 + [1.0, 0.5])) == [0, 4, 10]
+    assert vectors.bands(np.ones(9)) == [0, 9] and vectors.bands(np.array([2.0])) == [0, 1]
+
+
+def test_norms_out_of_range_of_squares(spark):
+    df = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e100, 1e100]), (2, [1e-200, 0.0]), (3, [-1e200, 0.0]), (20, [1e-170, 0.0])], "vec_id bigint, embedding array<double>")
+    got = vectors.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 20), (0, 2), (0, 3), (20, 0), (20, 1), (20, 2), (20, 3)]
