@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -166,25 +167,47 @@ def strong_correlations(rows: DataFrame, least: float = 0.6, most_p: float = 0.0
     return got.withColumns({"strength": F.when(F.abs("r") >= 0.8, F.lit("strong")).otherwise(F.lit("moderate")), "confidence": confidence_of_p(F.col("p_value"))})
 
 
-def detect(tables: dict[str, DataFrame], keys: dict[str, str], least_rows: int = 10) -> DataFrame:
+#: What ``detect`` says of each finding.
+_FINDING = "table string, kind string, metric string, other string, magnitude double, p_value double, severity string, confidence string"
+
+
+def _anomalous(df: DataFrame, time: str, metrics: list[str], key: str) -> DataFrame:
+    found = with_significance(streaks(anomalies(series(df, F.to_date(time), metrics))))
+    return found.select(F.lit("anomaly").alias("kind"), "metric", F.lit(None).cast("string").alias("other"), "magnitude", "p_value", "severity", "confidence")
+
+
+def _moved(df: DataFrame, time: str, metrics: list[str], key: str) -> DataFrame:
+    found = shifts(halves(df, time, metrics, key))
+    return found.select(F.lit("shift").alias("kind"), "metric", F.lit(None).cast("string").alias("other"), "magnitude", "p_value", "severity", "confidence")
+
+
+def _tied(df: DataFrame, time: str, metrics: list[str], key: str) -> DataFrame:
+    level = F.when(F.col("strength") == "strong", F.lit("warning")).otherwise(F.lit("info"))
+    found = strong_correlations(correlations(df, metrics))
+    return found.select(F.lit("correlation").alias("kind"), F.col("a").alias("metric"), F.col("b").alias("other"), F.col("r").alias("magnitude"), "p_value", level.alias("severity"), "confidence")
+
+
+def detect(tables: dict[str, DataFrame], keys: dict[str, str], least_rows: int = 10, at_once: int = 8) -> DataFrame:
     """(table, kind, metric, other, magnitude, p_value, severity, confidence) over many tables.
 
-    A table that cannot be analyzed is left out, and only that one."""
-    parts = []
-    text = lambda v: F.lit(v).cast("string")
-    for name, df in tables.items():
-        if df.limit(least_rows).count() < least_rows:
-            continue
-        metrics, times = metric_columns(df), time_columns(df)
-        if metrics and times:
-            found = with_significance(streaks(anomalies(series(df, F.to_date(times[0]), metrics))))
-            parts.append(found.select(F.lit(name).alias("table"), F.lit("anomaly").alias("kind"), "metric", text(None).alias("other"), "magnitude", "p_value", "severity", "confidence"))
-            moved = shifts(halves(df, times[0], metrics, keys.get(name, metrics[0])))
-            parts.append(moved.select(F.lit(name).alias("table"), F.lit("shift").alias("kind"), "metric", text(None).alias("other"), "magnitude", "p_value", "severity", "confidence"))
-        if len(metrics) > 1:
-            tied = strong_correlations(correlations(df, metrics))
-            parts.append(tied.select(F.lit(name).alias("table"), F.lit("correlation").alias("kind"), F.col("a").alias("metric"), F.col("b").alias("other"), F.col("r").alias("magnitude"), "p_value", F.when(F.col("strength") == "strong", F.lit("warning")).otherwise(F.lit("info")).alias("severity"), "confidence"))
+    A table with too few rows, or without numbers, gives nothing. Rows of one time are ordered by the
+    table's key in ``keys``, else by its first metric. Tables and kinds of findings run side by side, each
+    written as it is found."""
+
+    def picked(df: DataFrame) -> tuple[list[str], list[str]]:
+        few = df.limit(least_rows).count() < least_rows
+        return ([], []) if few else (metric_columns(df), time_columns(df))
+
+    def run(job) -> DataFrame:
+        name, find, times, metrics = job
+        time = times[0] if times else None
+        return stored(find(tables[name], time, metrics, keys.get(name, metrics[0])).withColumn("table", F.lit(name)))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        columns = dict(zip(tables, pool.map(picked, tables.values())))
+        jobs = [(name, find, times, metrics) for name, (metrics, times) in columns.items() if metrics and times for find in (_anomalous, _moved)]
+        jobs += [(name, _tied, times, metrics) for name, (metrics, times) in columns.items() if len(metrics) > 1]
+        parts = list(pool.map(run, jobs))
     if parts:
-        return reduce(DataFrame.unionByName, parts)
-    spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame([], "table string, kind string, metric string, other string, magnitude double, p_value double, severity string, confidence string")
+        return reduce(DataFrame.unionByName, parts).select(*[c.split()[0] for c in _FINDING.split(", ")])
+    return next(iter(tables.values())).sparkSession.createDataFrame([], _FINDING)

@@ -366,6 +366,22 @@ def csv_as_text(t):
     return files.read_csv_as_text(t.spark, path).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.max("p_size").alias("size_text"))
 
 
+@query("""WITH x AS (SELECT *, CASE WHEN p_partkey % 101 = 0 THEN 'line' WHEN p_partkey % 97 = 0 THEN 'value' ELSE 'none' END AS odd FROM part)
+SELECT odd, CASE WHEN odd <> 'line' THEN p_brand END AS p_brand, count(*) AS n, CAST(sum(CASE WHEN odd <> 'line' THEN p_partkey END) AS BIGINT) AS keys, CAST(sum(CASE WHEN odd = 'none' THEN p_size END) AS BIGINT) AS sizes,
+sum(CASE WHEN odd = 'value' THEN p_size ELSE 0 END) AS rescued_sizes, round(sum(CASE WHEN odd <> 'line' THEN p_retailprice END), 2) AS price, 'bigint,string,string,bigint,double,string' AS types FROM x GROUP BY 1, 2""")
+def csv_rescued(t):
+    """Some sizes of the file are words, and some lines have a quote that is never closed."""
+    path, line = f"{scratch(t.spark)}/part.csv", F.col("p_partkey") % 101 == 0
+    name = F.when(line, F.concat(F.lit('"'), "p_name")).otherwise(F.col("p_name"))
+    size = F.when(F.col("p_partkey") % 97 == 0, F.concat(F.lit("about "), "p_size")).otherwise(F.col("p_size").cast("string"))
+    t.part.select("p_partkey", name.alias("p_name"), "p_brand", size.alias("p_size"), "p_retailprice").write.option("header", True).option("quote", "").csv(path)
+    read = files.read_csv_rescued(t.spark, path)
+    odd = F.when(F.get_json_object("_rescued", "$._line").isNotNull(), "line").when(F.get_json_object("_rescued", "$.p_size").isNotNull(), "value").otherwise("none")
+    words = F.regexp_extract(F.get_json_object("_rescued", "$.p_size"), "([0-9]+)", 1).cast("bigint")
+    types = F.lit(",".join(f.dataType.simpleString() for f in read.schema))
+    return read.groupBy(odd.alias("odd"), "p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"), F.sum("p_size").alias("sizes"), F.coalesce(F.sum(words), F.lit(0)).alias("rescued_sizes"), F.round(F.sum("p_retailprice"), 2).alias("price")).withColumn("types", types)
+
+
 @query("SELECT event_id, user_id FROM events ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT 1000")
 def uniform_sample(t):
     return files.sample_exact(t.events, 1000, "event_id").select("event_id", "user_id")
@@ -719,17 +735,68 @@ def period_shifts(t):
     return got.select("metric", "n_early", "n_late", F.round("magnitude", 4).alias("magnitude"), "severity", "confidence")
 
 
-_DAILY = _ROLLING.replace("date_trunc('hour', ts)", "CAST(ts AS DATE)")
+_ROUGH = "SELECT '{t}' AS \"table\", '{kind}' AS kind, {metric} AS metric, {other} AS other, round({size}, 4) AS magnitude, round(p_value, 8) AS p_value, {level} AS severity, {label} AS confidence FROM ({rows})"
+_OF_P = "CASE WHEN p_value < 0.001 THEN '99.9%' WHEN p_value < 0.01 THEN '99%' WHEN p_value < 0.05 THEN '95%' WHEN p_value < 0.1 THEN '90%' ELSE 'low' END"
+
+
+def _tails_sql(x: str, density: str, factor: str) -> str:
+    """Both tails beyond x of an even density: Simpson's rule with a thousand steps up to x, or 40."""
+    return f"greatest(0.0, 1 - 2 * {factor} * least(abs({x}), 40.0) / 3000 * (SELECT sum((CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * {density.format(u=f'(least(abs({x}), 40.0) * k / 1000)')}) FROM range(1001) g(k)))"
+
+
+_NORMAL_P = _tails_sql("z", "exp(-{u} * {u} / 2)", "(1 / sqrt(2 * pi()))")
+_T_P = _tails_sql("t", "pow(1 + {u} * {u} / df, -(df + 1) / 2)", "(exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()))")
+
+
+def _anomalies_sql(table: str, time: str, metric: str) -> str:
+    daily = _ROLLING.replace("date_trunc('hour', ts)", f"CAST({time} AS DATE)").replace("avg(value) AS value FROM events", f"avg({metric}) AS value FROM {table}")
+    rows = daily + f""", g AS (SELECT *, CAST(sign(z) AS INTEGER) AS sg, i - row_number() OVER (PARTITION BY sign(z) ORDER BY i) AS isl FROM f),
+a AS (SELECT arg_max(z, i) AS z, arg_max((value - m) * 100 / abs(nullif(m, 0)), i) AS size FROM g GROUP BY sg, isl) SELECT *, {_NORMAL_P} AS p_value FROM a"""
+    return _ROUGH.format(t=table, kind="anomaly", metric=f"'{metric}'", other="NULL", size="size", level="CASE WHEN abs(z) >= 3 THEN 'critical' WHEN abs(z) >= 2.5 THEN 'warning' ELSE 'info' END", label=_LABEL.format(x="abs(z)"), rows=rows)
+
+
+def _shifts_sql(table: str, time: str, key: str, metric: str) -> str:
+    rows = "WITH " + _SHIFTED.format(rows=table).replace("value AS v", f"{metric} AS v").replace("ORDER BY ts, event_id, value", f"ORDER BY {time}, {key}, {metric}")
+    rows += f", d AS (SELECT *, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df FROM w WHERE n1 >= 10 AND n2 >= 10) SELECT * FROM (SELECT *, {_T_P} AS p_value FROM d) WHERE p_value < 0.05"
+    return _ROUGH.format(t=table, kind="shift", metric=f"'{metric}'", other="NULL", size="magnitude", level="CASE WHEN p_value < 0.001 THEN 'critical' WHEN p_value < 0.01 THEN 'warning' ELSE 'info' END", label=_OF_P, rows=rows)
+
+
+def _tied_sql(table: str, rows: str, metrics: list[str]) -> str:
+    found = f"SELECT *, {_T_P} AS p_value FROM (SELECT a, b, n, r, n - 2 AS df, CASE WHEN abs(r) >= 1 THEN 40.0 ELSE r * sqrt((n - 2) / (1 - r * r)) END AS t FROM ({_corr_sql(rows, metrics)}) WHERE n >= 10 AND abs(r) >= 0.6)"
+    return _ROUGH.format(t=table, kind="correlation", metric="a", other="b", size="r", level="CASE WHEN abs(r) >= 0.8 THEN 'warning' ELSE 'info' END", label=_OF_P, rows=f"SELECT * FROM ({found}) WHERE p_value < 0.05")
+
+
+#: Metrics of the tables that can have ten rows and more: numbers that are no ids.
+MEASURED = {
+    "nation": ["n_nationkey", "n_regionkey"],
+    "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
+    "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
+    "lineitem": LINE_NUMBERS,
+    "events": ["value"],
+    "documents": ["n_chars", "text_length"],
+    "embeddings": ["label"],
+    "labels": ["quality", "toxic"],
+    "conversations": ["turn"],
+}
+#: Time and order of the rows of one time.
+TIMED = {"orders": ("o_orderdate", "o_orderkey"), "lineitem": ("l_shipdate", "l_orderkey"), "events": ("ts", "event_id")}
+
+
+def _insights_sql() -> str:
+    parts = [x for t, (time, key) in TIMED.items() for m in MEASURED[t] for x in (_anomalies_sql(t, time, m), _shifts_sql(t, time, key, m))]
+    parts += [_tied_sql(t, _LENGTHS if t == "documents" else t, names) for t, names in MEASURED.items() if len(names) > 1]
+    return "\nUNION ALL\n".join(parts)
 
 
-@query(_DAILY + f""", g AS (SELECT *, CAST(sign(z) AS INTEGER) AS sg, i - row_number() OVER (PARTITION BY sign(z) ORDER BY i) AS isl FROM f),
-a AS (SELECT arg_max(z, i) AS z, arg_max((value - m) * 100 / abs(nullif(m, 0)), i) AS magnitude FROM g GROUP BY sg, isl), {_SHIFTED.format(rows="events").replace("x AS", "xs AS").replace("FROM x)", "FROM xs)")}
-SELECT 'events' AS "table", 'anomaly' AS kind, 'value' AS metric, NULL AS other, round(magnitude, 4) AS magnitude, CASE WHEN abs(z) >= 3 THEN 'critical' WHEN abs(z) >= 2.5 THEN 'warning' ELSE 'info' END AS severity, {_LABEL.format(x="abs(z)")} AS confidence FROM a
-UNION ALL SELECT 'events', 'shift', 'value', NULL, {_SHIFT_ROWS}
-UNION ALL SELECT 'documents', 'correlation', a, b, round(r, 4), CASE WHEN strength = 'strong' THEN 'warning' ELSE 'info' END, confidence FROM ({_STRONG.format(rows=_corr_sql(_LENGTHS, ["n_chars", "text_length"]))})""")
+@query(_insights_sql())
 def insights_all(t):
-    found = insights.detect({"events": t.events, "documents": t.documents.select("n_chars", F.length("text").alias("text_length")), "nothing": t.events.limit(0)}, {"events": "event_id"})
-    return found.select("table", "kind", "metric", "other", F.round("magnitude", 4).alias("magnitude"), "severity", "confidence")
+    """Every table, also those that have too few rows or no numbers and so no insights."""
+    tables = t.many(*TPCH, "events", "embeddings", "pages", "benchmark", "labels", "conversations")
+    tables["documents"] = t.documents.withColumn("text_length", F.length("text"))
+    found = insights.detect(tables, {name: key for name, (_, key) in TIMED.items()})
+    return found.select("table", "kind", "metric", "other", F.round("magnitude", 4).alias("magnitude"), F.round("p_value", 8).alias("p_value"), "severity", "confidence")
 
 
 # Drift --------------------------------------------------------------------------------------------
