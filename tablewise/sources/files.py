@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tablewise.operators.staging import unique_names
 
 _DATE_FORMATS = {"dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
 
@@ -41,12 +44,53 @@ def read_csv_as_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
+#: Types that a column of text is tried with, in order, and what a value of each looks like. Numbers with
+#: leading zeros are codes, and a day with a time is no date.
+CSV_TYPES = (
+    ("bigint", r"^-?(0|[1-9][0-9]*)$"),
+    ("double", r"^[+-]?(0|[1-9][0-9]*)?(\.[0-9]*)?([eE][+-]?[0-9]+)?$"),
+    ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    ("timestamp", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}.*$"),
+    ("boolean", r"^(?i)(true|false)$"),
+)
+
+
+def read_csv_rescued(spark: SparkSession, path: str, least: float = 0.9, rescued: str = "_rescued") -> DataFrame:
+    """Typed columns of a CSV with a header, and what does not fit them, so that no line is lost.
+
+    Lines are read as text. A line with too few or too many cells, as a quote that is never closed makes
+    it, is kept whole: its columns are null, and ``rescued`` holds it under ``_line``. Of the others one
+    aggregate counts for each column how many values each type in ``CSV_TYPES`` takes; the first that takes
+    the share ``least`` of those that are not null is the column's type, else it stays text. A value that
+    its column's type does not take is null there and stands in ``rescued`` under the column's name.
+    ``rescued`` is a JSON object, null for lines that fit."""
+    names = spark.read.option("header", True).csv(path).columns
+    whole = unique_names([*names, "_line"], str)[-1]
+    schema = StructType([StructField(n, StringType()) for n in [*names, whole]])
+    # With columns pruned, a reader of some columns would not see that a line has too few cells.
+    lines = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", whole).schema(schema).csv(path)
+    cells = lines.toDF(*[f"c{k}" for k in range(len(names))], "line")
+    value = [F.when(F.col("line").isNull(), F.col(f"c{k}")) for k in range(len(names))]
+    taken = lambda v, kind, looks: F.when(v.rlike(looks), v.try_cast(kind))
+    counts = cells.agg(*[F.struct(F.count(v).alias("n"), *[F.count(taken(v, kind, looks)).alias(kind) for kind, looks in CSV_TYPES]).alias(f"c{k}") for k, v in enumerate(value)]).first()
+    typed, odd = [], [F.struct(F.lit(whole).alias("key"), F.col("line").alias("value"))]
+    for k, (name, v) in enumerate(zip(names, value)):
+        own = counts[f"c{k}"]
+        fit = next(((kind, looks) for kind, looks in CSV_TYPES if own["n"] and own[kind] >= least * own["n"]), None)
+        got = taken(v, *fit) if fit else v
+        typed.append(got.alias(name))
+        if fit:
+            odd.append(F.struct(F.lit(name).alias("key"), F.when(got.isNull(), v).alias("value")))
+    kept = F.map_from_entries(F.filter(F.array(*odd), lambda x: x["value"].isNotNull()))
+    return cells.select(*typed, F.when(F.size(kept) > 0, F.to_json(kept)).alias(unique_names([*names, rescued], str)[-1]))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
 #: Readers by kind; add to it to register another.
-READERS = {"ndjson": (".json", read_ndjson), "csv": (".csv", read_csv), "parquet": (".parquet", read_parquet)}
+READERS = {"ndjson": (".json", read_ndjson), "csv": (".csv", read_csv), "csv_rescued": (".csv", read_csv_rescued), "parquet": (".parquet", read_parquet)}
 
 
 def load_folder(spark: SparkSession, folder: str, kind: str, prefix: str = "") -> dict[str, DataFrame]:
