@@ -51,6 +51,26 @@ def snapshot(tables: dict[str, DataFrame], run_id: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _canonical(df: DataFrame, name: str) -> Column:
+    """A value as text that does not depend on how an engine prints fractions, of which it keeps two digits."""
+    kind, cell = normalized(df.schema[name].dataType), F.col(f"`{name}`")
+    if kind == "float64":
+        return F.round(cell * 100).cast("decimal(38,0)").cast("string")
+    return F.to_json(F.struct(cell)) if kind in ("json", "list") else cell.cast("string")
+
+
+def text_fingerprints(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, fingerprint) of whole tables: the sum of the first 32 bits of the MD5 of each
+    value's text, which other engines can compute too. Coarser than the digests of ``snapshot``."""
+    parts = []
+    for t, df in tables.items():
+        digest = lambda c: F.conv(F.substring(F.md5(_canonical(df, c)), 1, 8), 16, 10).cast("decimal(20,0)")
+        sums = df.agg(*[F.coalesce(F.sum(digest(c)), F.lit(0)).cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])
+        cells = [F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("fingerprint")) for i, c in enumerate(df.columns)]
+        parts.append(sums.select(F.lit(t).alias("table"), F.explode(F.array(*cells)).alias("r")).select("table", "r.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def digest_tree(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]], buckets: int = BUCKETS) -> DataFrame:
     """(table, bucket, rows, digest): the rows of each bucket of keys, summed up. A table's own digest
     is the sum of its buckets, and a run keeps no more than this to be compared with the next."""

@@ -68,3 +68,18 @@ def test_contracts_of_long_texts_hold(spark):
 def test_repeats_shuffle_no_text(spark):
     df = spark.createDataFrame([(1, "a" * 1000, 1.5), (2, "a" * 1000, None), (3, None, None)], "id int, s string, x double")
     assert {r.column: r.observed for r in quality.repeats(df, ["id", "s", "x"]).collect()} == {"id": 0, "s": 2, "x": 2}
+
+
+def test_snapshot_query_tells_values_apart(spark, sf):
+    """The registered snapshot has a fingerprint of each column's values, which order does not change."""
+    import hashlib
+
+    from tablewise.plans.registry import QUERIES
+
+    got = {(r.table, r.column): r.fingerprint for r in QUERIES["schema_snapshot"](spark, sf).collect()}
+    nation = spark.read.parquet(f"{sf}/nation.parquet")
+    digest = lambda v: int(hashlib.md5(str(v).encode()).hexdigest()[:8], 16)
+    assert got["nation", "n_name"] == str(sum(digest(r.n_name) for r in nation.collect()))
+    changed = nation.withColumn("n_name", F.when(F.col("n_nationkey") == 3, F.lit("X")).otherwise(F.col("n_name")))
+    other = {r.column: r.fingerprint for r in drift.text_fingerprints({"nation": changed.orderBy(F.col("n_nationkey").desc())}).collect()}
+    assert other["n_name"] != got["nation", "n_name"] and other["n_nationkey"] == got["nation", "n_nationkey"]
