@@ -66,3 +66,20 @@ def test_one_scan_and_no_join(spark):
     docs = spark.createDataFrame([(1, "", "pump pump")], "doc_id int, title string, text string")
     plan = terms.match_terms(docs, spark.createDataFrame([("pump",), ("valve",)], "term string"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Generate" not in plan
+
+
+def test_work_does_not_grow_with_terms_times_documents(spark, monkeypatch):
+    """Many long terms, some of them alike: documents are read a fixed number of times, and matches are
+    those of each pair; titles in terms, too, and a document that holds more terms than are tried one by one."""
+    monkeypatch.setattr(terms, "BLOCK", 200)
+    monkeypatch.setattr(terms, "BITS", 16)
+    rng = random.Random(3)
+    words = [f"http://a.example/é/{k % 40}/page-{k}/more" for k in range(300)] + [f"term{k}" for k in range(0, 60)] + ["aaaaaaaaaaaaaa", "aaaaaaa", "ab", "é泵🙂é泵🙂é泵🙂é泵🙂"]
+    rows = [(k, rng.choice([f"http://a.example/é/{k % 40}/page-{k}", "", "page-1", "ab", words[k]]), " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5]))) * rng.choice([1, 2])) for k in range(80)]
+    rows += [(90, "", "a" * 27), (91, "", "a" * 28), (92, None, " ".join(words) * 2), (93, "no", "é泵🙂" * 8)]
+    docs = spark.createDataFrame(rows, "doc_id int, title string, text string")
+    want = {(k, w): 0.9 if w in (t or "") or (t and t in w) else 0.7 for k, t, b in rows for w in words if w in (t or "") or (t and t in w) or b.count(w) >= 2}
+    got = terms.match_terms(docs, spark.createDataFrame([(w,) for w in words], "term string"))
+    rows_got = got.collect()
+    assert {(r.doc_id, r.term): r.confidence for r in rows_got} == want and len(rows_got) == len(want)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 12
