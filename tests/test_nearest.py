@@ -61,3 +61,16 @@ def test_groups_and_odd_rows(spark):
     got = similarity.nearest(df, df, 3, equal=["kind"]).collect()
     assert {(r.query_id, r.id, r.distance) for r in got} == {(1, 2, 1.0), (2, 1, 1.0)}
     assert similarity.nearest(df, df.limit(0), 3).count() == 0 and similarity.nearest(df.limit(0), df, 3).count() == 0
+
+
+def test_rows_carry_no_lists_of_cells(spark, monkeypatch):
+    """Queries meet their group's cells in place: no list of cells is made or sent along with each of them."""
+    plans, plain = [], similarity._search
+    monkeypatch.setattr(similarity, "_search", lambda routed, held, k: plans.append(routed._jdf.queryExecution().toString()) or plain(routed, held, k))
+    monkeypatch.setattr(similarity, "PART", 7, raising=False)
+    x = clusters(300)
+    df = table(spark, x)
+    got = similarity.nearest(df.where("id % 20 = 0"), df, 5).collect()
+    want = brute(np.arange(len(x)), x, range(0, len(x), 20), 5)
+    assert {q: [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in want} == want
+    assert len(plans) == 2 and not any("collect_list" in p for p in plans)
