@@ -200,8 +200,8 @@ def profile(df: DataFrame, table: str) -> DataFrame:
     return profile_all({table: df})
 
 
-def _profiled(df: DataFrame, table: str) -> list[tuple]:
-    """The rows of a table's profile.
+def _profiled(df: DataFrame, table: str, brief: bool = False) -> list[tuple]:
+    """The rows of a table's profile; a brief one has the figures that roles are found by, and no others.
 
     A first aggregate gives all plain figures and an estimate of each column's distinct values. Columns
     of few values are then counted in one grouped pass, which gives their top values too; each
@@ -209,21 +209,21 @@ def _profiled(df: DataFrame, table: str) -> list[tuple]:
     spark, schema = df.sparkSession, df.schema
     kinds = {f.name: normalized(f.dataType) for f in schema}
     texts, numbers, times, flat = columns_of(schema, "varchar"), numeric_columns(schema), temporal_columns(schema), flat_columns(df)
-    got = df.selectExpr(*[f"{_plain(df, c, kinds[c])} AS c{i}" for i, c in enumerate(kinds)]).first() if kinds else ()
+    got = df.selectExpr(*[f"{_plain(df, c, kinds[c], brief)} AS c{i}" for i, c in enumerate(kinds)]).first() if kinds else ()
     rows = {c: {"column": c} | r.asDict() for c, r in zip(kinds, got)}
     few = [c for c in flat if rows[c]["about"] <= FEW_VALUES]
     counted = _counts_of_few(df, few)
     for c in few:
         rows[c]["distinct_count"] = sum(value is not None for value in counted[c])
-    apart = [(c, "distinct_count", _key_sql(df, c)) for c in flat if c not in few] + [(c, "days", f"CAST({_quoted(c)} AS date)") for c in times]
+    apart = [(c, "distinct_count", _key_sql(df, c)) for c in flat if c not in few] + [(c, "days", f"CAST({_quoted(c)} AS date)") for c in times if not brief]
     many = [df.selectExpr(f"{key} AS v").distinct().selectExpr(f"{i} AS i", "count(v) AS d") for i, (_, _, key) in enumerate(apart)]
     for r in reduce(DataFrame.union, many).collect() if many else ():
         column, figure, _ = apart[r[0]]
         rows[column][figure] = r[1]
-    cuts = _percentiles(df, {c: rows[c]["about"] for c in numbers}, IN_TASK_VALUES)
+    cuts = None if brief else _percentiles(df, {c: rows[c]["about"] for c in numbers}, IN_TASK_VALUES)
     for r in cuts.collect() if cuts is not None else ():
         rows[r[0]] |= r.asDict()
-    tops = [(c, rank, value, n) for c in texts if c in counted and rows[c]["distinct_count"] <= TOP_DISTINCT for rank, (value, n) in enumerate(sorted(((v, n) for v, n in counted[c].items() if v is not None), key=lambda x: (-x[1], x[0]))[:TOP_VALUES], 1)]
+    tops = [(c, rank, value, n) for c in texts if not brief and c in counted and rows[c]["distinct_count"] <= TOP_DISTINCT for rank, (value, n) in enumerate(sorted(((v, n) for v, n in counted[c].items() if v is not None), key=lambda x: (-x[1], x[0]))[:TOP_VALUES], 1)]
     own: dict[str, list] = {}
     for c, _, value, n in with_long_texts(df, spark.createDataFrame(tops, "column string, rank int, value string, n bigint")).orderBy("column", "rank").collect() if tops else ():
         own.setdefault(c, []).append((value, n))
@@ -254,7 +254,7 @@ def _key_sql(df: DataFrame, name: str) -> str:
     return f"CASE WHEN char_length({text}) <= {LONG_TEXT} THEN {text} ELSE concat('md5:', md5({text})) END"
 
 
-def _plain(df: DataFrame, c: str, kind: str) -> str:
+def _plain(df: DataFrame, c: str, kind: str, brief: bool = False) -> str:
     """Aggregates of one column as a struct; those that do not apply to its type are left out."""
     if kind in ("json", "list"):
         return f"named_struct('row_count', count(1), 'null_count', count_if({_quoted(c)} IS NULL), 'about', 0L)"
@@ -263,11 +263,11 @@ def _plain(df: DataFrame, c: str, kind: str) -> str:
     if c in numeric_columns(df.schema):
         v = f"CAST({key} AS double)"
         out |= {"min_value": f"min({v})", "max_value": f"max({v})", "mean": f"avg({v})", "stddev": f"CASE WHEN count({v}) > 1 THEN stddev_samp({v}) WHEN count({v}) = 1 THEN 0D END"}
-    if kind == "varchar":
+    if kind == "varchar" and not brief:
         text = f"CAST({_quoted(c)} AS string)"
         tried = " ".join(f"WHEN count_if({text} RLIKE r'{p}') / count({key}) > {PATTERN_SHARE} THEN '{name}'" for name, p in PATTERNS)
         out |= {"min_length": f"min(char_length({text}))", "max_length": f"max(char_length({text}))", "avg_length": f"round(avg(char_length({text})), 1)", "detected_pattern": f"CASE WHEN count({key}) = 0 THEN NULL {tried} END"}
-    if c in temporal_columns(df.schema):
+    if c in temporal_columns(df.schema) and not brief:
         out |= {"min_date": f"CAST(min({key}) AS string)", "max_date": f"CAST(max({key}) AS string)", "span_days": f"datediff(CAST(max({key}) AS date), CAST(min({key}) AS date))"}
     return "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in out.items()) + ")"
 
@@ -290,10 +290,11 @@ PROFILE_COLUMNS = (
 )
 
 
-def profile_all(tables: dict[str, DataFrame], at_once: int = 8) -> DataFrame:
-    """``profile`` of many tables: one small frame. The jobs of some tables run side by side."""
+def profile_all(tables: dict[str, DataFrame], at_once: int = 8, brief: bool = False) -> DataFrame:
+    """``profile`` of many tables: one small frame. The jobs of some tables run side by side. A brief one
+    has exact counts, ranges, means and spreads, and nulls for all figures that no role is found by."""
     with ThreadPoolExecutor(at_once) as pool:
-        rows = [r for own in pool.map(lambda item: _profiled(item[1], item[0]), tables.items()) for r in own]
+        rows = [r for own in pool.map(lambda item: _profiled(item[1], item[0], brief), tables.items()) for r in own]
     spark = next(iter(tables.values())).sparkSession
     schema = ", ".join(f"`{n}` {t}" for n, t in (("table", "string"), ("dtype", "string"), ("flat", "boolean"), *PROFILE_COLUMNS))
     filled = F.col("row_count") - F.col("null_count")

@@ -54,17 +54,18 @@ def candidates(columns: dict[str, list[str]], keys: dict[str, str], prefixed: bo
 def integrity(tables: dict[str, DataFrame], found: list[Candidate]) -> DataFrame:
     """Per candidate: distinct values, those that exist, share, and the edge's cardinality.
 
-    All candidates are one job: values are tagged, counted per key and side and then compared, so a
-    key is one row and no raw rows meet.
+    All candidates are one job: the values of each are counted by key and side, in their own type if both
+    columns have the same, and then compared, so a key is one row and no raw rows meet.
     """
-    sides = []
+    parts = []
     for c in found:
-        own = tables[c.from_table].select(F.lit(c.name).alias("edge"), F.col(c.from_column).cast("string").alias("value"), F.lit(1).alias("uses"), F.lit(0).alias("is_key"))
-        key = tables[c.to_table].select(F.lit(c.name).alias("edge"), F.col(c.to_column).cast("string").alias("value"), F.lit(0).alias("uses"), F.lit(1).alias("is_key"))
-        sides += [own, key]
-    tagged = reduce(DataFrame.unionByName, sides).where("value is not null")
-    values = tagged.groupBy("edge", "value").agg(F.sum("uses").alias("uses"), F.max("is_key").alias("is_key")).where("uses > 0")
-    got = values.groupBy("edge").agg(F.sum("uses").alias("n_values"), F.count(F.lit(1)).alias("n_distinct"), F.sum("is_key").cast("bigint").alias("n_matched"))
+        own, key = tables[c.from_table], tables[c.to_table]
+        kinds = [df.schema[name].dataType.simpleString() for df, name in ((own, c.from_column), (key, c.to_column))]
+        kind = kinds[0] if kinds[0] == kinds[1] and kinds[0] in ("tinyint", "smallint", "int", "bigint", "string", "date") else "string"
+        side = lambda df, name, uses: df.select(F.col(name).cast(kind).alias("value"), F.lit(uses).alias("uses"), F.lit(1 - uses).alias("is_key"))  # noqa: E731, B023
+        values = side(own, c.from_column, 1).unionByName(side(key, c.to_column, 0)).where("value is not null").groupBy("value").agg(F.sum("uses").alias("uses"), F.max("is_key").alias("is_key")).where("uses > 0")
+        parts.append(values.agg(F.sum("uses").alias("n_values"), F.count(F.lit(1)).alias("n_distinct"), F.sum("is_key").cast("bigint").alias("n_matched")).select(F.lit(c.name).alias("edge"), "*"))
+    got = reduce(DataFrame.unionByName, parts)
     spark = next(iter(tables.values())).sparkSession
     ends = spark.createDataFrame([(c.name, c.from_table, c.from_column, c.to_table, c.to_column) for c in found], "edge string, from_table string, from_column string, to_table string, to_column string")
     share = F.coalesce(F.try_divide("n_matched", "n_distinct"), F.lit(0.0))

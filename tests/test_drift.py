@@ -83,3 +83,19 @@ def test_snapshot_query_tells_values_apart(spark, sf):
     changed = nation.withColumn("n_name", F.when(F.col("n_nationkey") == 3, F.lit("X")).otherwise(F.col("n_name")))
     other = {r.column: r.fingerprint for r in drift.text_fingerprints({"nation": changed.orderBy(F.col("n_nationkey").desc())}).collect()}
     assert other["n_name"] != got["nation", "n_name"] and other["n_nationkey"] == got["nation", "n_nationkey"]
+
+
+def test_roles_need_no_percentiles(spark, sf, monkeypatch):
+    """Roles come from a brief profile: equal to those of the full one, and no percentile is looked for."""
+    from tablewise.plans import registry
+
+    tables = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("supplier", "part")}
+    names = ("table", "column", "row_count", "null_count", "distinct_count", "min_value", "max_value", "stddev", "uniqueness_ratio")
+    full = sorted(map(tuple, profile.profile_all(tables).select(*names).collect()))
+
+    def fail(*_):
+        raise AssertionError("percentiles")
+
+    monkeypatch.setattr(profile, "_percentiles", fail)
+    assert sorted(map(tuple, profile.profile_all(tables, brief=True).select(*names).collect())) == full
+    assert registry._typed(registry.Tables(spark, sf), ("supplier",)).count() == 4
