@@ -70,3 +70,16 @@ def test_sketches_keep_similar_sets_and_drop_others(spark):
     assert all(r.n == r.m for r in got)
     assert max(r.m for r in got if r.kind == "like") <= shingles.MOST_UNLIKE - 10
     assert sum(r.m > shingles.MOST_UNLIKE for r in got if r.kind == "unlike") > 50
+
+
+def test_sieve_loses_nothing_and_keeps_most_others_out(spark):
+    from pyspark.sql import functions as F
+
+    from tablewise.llm.common import sieve, sifted
+
+    for n in (0, 1, 3000, 30_000):
+        rows = spark.range(60_000).withColumn("h", F.xxhash64("id"))
+        marks = sieve(rows.where(F.col("id") < n).select("h"), n)
+        got = sifted(rows, F.col("h"), marks, "near").groupBy((F.col("id") < n).alias("own"), "near").count().collect()
+        found = {(r.own, r.near): r["count"] for r in got}
+        assert found.get((True, True), 0) == n and (True, False) not in found and found.get((False, True), 0) < 0.1 * 60_000
