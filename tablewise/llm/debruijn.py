@@ -178,7 +178,7 @@ class Part:
         self.inside = self.row[:n] == self.row[LENGTH - 1 :] if n else np.zeros(0, bool)
         edge = np.where(self.inside, self.edge, np.uint64(0))
         same = np.zeros(n + 1, bool)
-        same[1:n] = self.row[1:n] == self.row[: n - 1]
+        same[1:n] = self.row[1:n] == self.row[: max(0, n - 1)]
         self.before = np.where(same[:n], np.concatenate([edge[:1], edge[:-1]]), np.uint64(0))
         self.after = np.where(same[1:], np.concatenate([edge[1:], edge[:1]]), np.uint64(0))
         new = np.ones(n, bool)
