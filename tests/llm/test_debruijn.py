@@ -81,3 +81,13 @@ def test_anchors_are_the_first_smallest():
     h = np.random.default_rng(0).integers(0, 50, 400).astype(np.uint64) << np.uint64(40)
     for block in (64, 1 << 18):
         assert debruijn.anchors(h, 39, block).tolist() == [p + int(np.argmin(h[p : p + 39])) for p in range(len(h) - 38)]
+
+
+def test_parts_of_few_words_have_no_windows():
+    import pyarrow as pa
+
+    from tablewise.llm.debruijn import Part
+
+    for text in ("one two three", "", "w " * 49):
+        part = Part(pa.table({"doc": pa.array([1], pa.int64()), "text": [text]}), Sizes())
+        assert len(part.first) == len(part.edge) == 0
