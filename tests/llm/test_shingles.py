@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+from brute import brute_near_copies
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablewise.llm import shingles
@@ -72,6 +74,51 @@ def test_sketches_keep_similar_sets_and_drop_others(spark):
     assert sum(r.m > shingles.MOST_UNLIKE for r in got if r.kind == "unlike") > 50
 
 
+def test_bitmaps_never_count_more_than_the_sets_differ(spark):
+    """Bits that differ are at most the shingles of one set only, widths folded; near the limit they tell pairs apart."""
+    rng, rows = np.random.default_rng(3), []
+    for n in (0, 1, 16, 17, 60, 130, 500, 1000, 20_000):
+        for lost in (0, 0.05, 0.1, 0.2, 0.5, 0.9):
+            whole = rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64)
+            a, b = whole[:n], whole[int(n * lost) : int(n * (1 + lost * rng.choice([0.2, 1])))]
+            rows.append((len(a), len(b), len(np.setxor1d(a, b)), *[shingles.odd_bits(x).tolist() for x in (a, b)]))
+    df = spark.createDataFrame(rows, "x int, y int, truth int, a array<bigint>, b array<bigint>")
+    apart = shingles.unmatched(df.a, df.b, df.x, df.y)
+    for turned in (df.select("x", "y", "truth", apart.alias("d"), shingles.can_link(apart, df.x, df.y).alias("near")), df.select("x", "y", "truth", shingles.unmatched(df.b, df.a, df.y, df.x).alias("d"), F.lit(None).alias("near"))):
+        for r in turned.collect():
+            assert r.d <= r.truth
+            if r.near is not None:
+                assert r.near or 9 * r.truth > r.x + r.y
+                assert not r.near or r.x > 16_384 or 9 * r.truth <= 1.6 * (r.x + r.y)
+
+
+def test_large_group_of_near_copies_makes_few_rows(spark):
+    """Variants of one text that are less than 0.8 alike share keys: rows of candidates follow the group's size, not its square."""
+    made = []
+    for count in (150, 300):
+        rng = random.Random(5)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows = []
+        for i in range(count):
+            words = list(base)
+            for at in rng.sample(range(150), rng.choice([1, 1, 2, 2, 3, 4, 6])):
+                words[at] = f"new{rng.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        sent = []
+        stored = shingles._verified
+        shingles._verified = lambda pairs, *rest: (sent.append(pairs.count()), stored(pairs, *rest))[1]
+        try:
+            got = shingles.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        finally:
+            shingles._verified = stored
+        want, first = brute_near_copies([i for i, _ in rows], [t for _, t in rows]), {}
+        for r in sorted(got, key=lambda r: r.doc):
+            first.setdefault(r.component, r.doc)
+        assert [first[r.component] for r in sorted(got, key=lambda r: r.doc)] == want
+        made.append(sum(sent))
+    assert made[0] < 150 * 149 / 4 and made[1] < 3 * made[0]
+
+
 def test_sieve_loses_nothing_and_keeps_most_others_out(spark):
     from pyspark.sql import functions as F
 
