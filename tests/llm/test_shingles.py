@@ -5,7 +5,7 @@ from brute import brute_near_copies
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablewise.llm import shingles
+from tablewise.llm import shingles, simhash
 
 
 def cut(text):
@@ -119,6 +119,19 @@ def test_large_group_of_near_copies_makes_few_rows(spark):
     assert made[0] < 150 * 149 / 4 and made[1] < 3 * made[0]
 
 
+def test_fingerprints_find_candidates_and_sets_decide(spark, monkeypatch):
+    """Texts link by their SimHash where they share no other key, and only if their sets are similar."""
+    words = [f"w{i}" for i in range(600)]
+    near, far = [*words, "more"], ["x y z"] * 400
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join([*far, *(f"a{i}" for i in range(9))])), (4, " ".join([*far, *(f"b{i}" for i in range(9))])), (5, " ".join(reversed(words)))]
+    fp = {i: simhash.fingerprint(t) for i, t in rows}
+    assert (fp[1] ^ fp[2]).bit_count() <= 3 and (fp[3] ^ fp[4]).bit_count() <= 3
+    whole = shingles._prints
+    monkeypatch.setattr(shingles, "_prints", lambda texts: whole(texts).withColumn("keys", F.expr("slice(keys, 1, 0)")))
+    got = {r.doc: r.component for r in shingles.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == got[2] and len(set(got.values())) == 4
+
+
 def test_sieve_loses_nothing_and_keeps_most_others_out(spark):
     from pyspark.sql import functions as F
 
