@@ -63,6 +63,8 @@ _BYTE_HASH, _OFFSET_HASH = np.random.default_rng(5).integers(0, 1 << 63, (2, 256
 _FIRST = np.array([(1 << 64) - (1 << 8 * (8 - n)) for n in range(9)], np.uint64)
 _FINAL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _FRONT, _BACK = 32, 64
+#: Runs whose bytes are gathered at once; a byte takes some fifty then.
+_GATHERED = 5_000
 
 
 @dataclass(frozen=True)
@@ -73,7 +75,7 @@ class Sizes:
 
     part: int = 8 << 20
     block: int = 1 << 18
-    strings: int = 1_500_000
+    strings: int = 300_000
     sample: int = 60_000
     bits: int = 63
 
@@ -174,6 +176,19 @@ def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def _bytes_of(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of runs, one run after the other."""
+    out = np.empty(int(size.sum()), np.uint8)
+    done = 0
+    for low in range(0, len(first), _GATHERED):
+        own = slice(low, low + _GATHERED)
+        _, shift = _spread(size[own])
+        shift += np.repeat(first[own], size[own])
+        out[done : done + len(shift)] = data[shift]
+        done += len(shift)
+    return out
+
+
 def merged(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each key united where they overlap or touch."""
     order = np.lexsort((start, key))
@@ -429,12 +444,12 @@ def _equal_runs(part: Part, keep: np.ndarray, bits: int) -> np.ndarray:
     count = np.diff(np.append(at, len(order)))
     some = keep[order[np.repeat(count > 1, count)]]
     name = np.zeros(len(some), np.uint64)
-    for low in range(0, len(some), 50_000):
-        own = some[low : low + 50_000]
+    for low in range(0, len(some), _GATHERED):
+        own = some[low : low + _GATHERED]
         _, shift = _spread(part.size[own])
         value = _BYTE_HASH[part.data[np.repeat(part.first[own] + _FRONT, part.size[own]) + shift]] * _OFFSET_HASH[shift]
         sums = np.add.reduceat(value, np.cumsum(part.size[own]) - part.size[own])
-        name[low : low + 50_000] = _mix(sums, part.code[own] + (part.size[own] << 8 | part.ahead[own]).astype(np.uint64)) & np.uint64((1 << bits) - 1)
+        name[low : low + _GATHERED] = _mix(sums, part.code[own] + (part.size[own] << 8 | part.ahead[own]).astype(np.uint64)) & np.uint64((1 << bits) - 1)
     doc = part.doc[part.row[some]]
     order = np.lexsort((doc, name))
     at = _starts(name[order])
@@ -442,12 +457,12 @@ def _equal_runs(part: Part, keep: np.ndarray, bits: int) -> np.ndarray:
     own, doc = some[order], doc[order]
     later = np.flatnonzero((doc > part.doc[part.row[first]]) & (part.size[own] == part.size[first]) & (part.ahead[own] == part.ahead[first]))
     same = np.zeros(len(later), bool)
-    for low in range(0, len(later), 50_000):
-        pick = later[low : low + 50_000]
+    for low in range(0, len(later), _GATHERED):
+        pick = later[low : low + _GATHERED]
         size = part.size[own[pick]]
         _, shift = _spread(size)
         a, b = (part.data[np.repeat(part.first[x[pick]] + _FRONT, size) + shift] for x in (own, first))
-        same[low : low + 50_000] = np.logical_and.reduceat(a == b, np.cumsum(size) - size)
+        same[low : low + _GATHERED] = np.logical_and.reduceat(a == b, np.cumsum(size) - size)
     gone[np.searchsorted(keep, own[later[same]])] = True
     return gone
 
@@ -479,8 +494,7 @@ def _candidates(parts: DataFrame, shared: DataFrame, splitters: np.ndarray, slot
         slot = bucket_of(splitters, words, every, name * 0x9E3779B1 >> 7)
         for bucket, own in _split_by(slot, keep):
             size = part.size[own]
-            _, shift = _spread(size)
-            text = part.data[np.repeat(part.first[own] + _FRONT, size) + shift]
+            text = _bytes_of(part.data, part.first[own] + _FRONT, size)
             arrays = (part.row[own].astype("<i4"), part.doc[part.row[own]].astype("<i8"), start[own].astype("<i8"), size.astype("<u1"), part.ahead[own].astype("<u1"), text)
             body = b"".join(a.tobytes() for a in arrays)
             rows.append((bucket, name, len(own), len(body), pa.compress(body, "zstd", asbytes=True)))

@@ -1,11 +1,13 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from brute import brute_near_copies
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablewise.llm import shingles, simhash
+from tablewise.llm import common, shingles, simhash
 
 
 def cut(text):
@@ -143,3 +145,39 @@ def test_sieve_loses_nothing_and_keeps_most_others_out(spark):
         got = sifted(rows, F.col("h"), marks, "near").groupBy((F.col("id") < n).alias("own"), "near").count().collect()
         found = {(r.own, r.near): r["count"] for r in got}
         assert found.get((True, True), 0) == n and (True, False) not in found and found.get((False, True), 0) < 0.1 * 60_000
+
+
+class Caught:
+    """A frame that hands out the function it should run."""
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def held(run, batch):
+    """Bytes that a task holds at most beyond its input."""
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch])):
+            pass
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_hold_few_sets_at_once():
+    """A worker's memory doesn't follow the rows of a batch."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefgh", k=200)) for _ in range(3000)]
+    batch = pa.record_batch({"doc": pa.array(range(3000)), "digest": pa.array(map(str, range(3000))), "text": pa.array(texts)})
+    run = shingles._prints(Caught())
+    assert held(run, batch) < 2 * held(run, batch.slice(0, 600))
+    run, batch = shingles._sets(Caught()), batch.select(["text"])
+    assert held(run, batch) < 2 * held(run, batch.slice(0, 600))
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.map_batches(Caught(), lambda batches: batches, "a int")(iter([1, 2]))) == [1, 2]
+    assert calls == [1]

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import brute_repeats
 
@@ -99,3 +101,18 @@ def test_every_string_has_one_anchor():
     for f, l, a in zip(*runs(b"zz" + text[5:], 100)[:3]):
         for p in range(max(f, 2), l + 1):
             assert at[text[p + 3 : p + 53]] == a - p
+
+
+def test_equal_runs_take_little_memory():
+    """Two copies of a megabyte: their runs' bytes are compared a few at a time."""
+    body = np.random.default_rng(2).integers(97, 123, 1_000_000).astype(np.uint8).tobytes().decode()
+    part = suffixes.Part(pa.table({"doc": [1, 2], "text": [body, body]}), 1, Sizes())
+    keep = np.arange(len(part.first))
+    tracemalloc.start()
+    try:
+        gone = suffixes._equal_runs(part, keep, 63)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # Blocks cut a few runs of the two copies in different places.
+    assert most < 60e6 and not gone[part.row == 0].any() and gone.sum() > 0.99 * (part.row == 1).sum()
