@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tablewise.llm.common import give_back, map_batches
+from tablewise.llm.common import give_back, map_batches, slices
 
 #: Remembered encodings of white-space-delimited chunks, a bound per task.
 MEMO_ENTRIES = 700_000
@@ -40,6 +40,8 @@ MEMO_ENTRIES = 700_000
 LEARN_CHUNKS = 100_000
 #: Chunks longer than this are not remembered; they stream through the transducer.
 MEMO_CHARS = 64
+#: Texts that a task holds at once.
+TEXTS = 500
 #: White space of the word pattern, which str.split() exceeds by four control characters.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _EXTRA_SPACE = "\x1c\x1d\x1e\x1f"
@@ -354,7 +356,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
 
     def run(batches):
         encoder, decoder = Encoder(table), Decoder(table)
-        for b in batches:
+        for b in slices(batches, TEXTS):
             n, of_ids, of_text = [], [], []
             texts = b.column(1).to_pylist()
             encoder.prime(texts)

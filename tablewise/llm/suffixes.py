@@ -131,7 +131,11 @@ def find_runs(data: np.ndarray, end: np.ndarray, block: int) -> tuple[np.ndarray
         stop = np.append(np.flatnonzero(new | own), len(where))
         last = stop[np.searchsorted(stop, first, "right")] - 1
         out.append((first + at, last + at, where[first] + at, head[where[first]]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
+    if not out:
+        return *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64)
+    columns = list(zip(*out))
+    out.clear()
+    return tuple(np.concatenate(columns.pop(0)) for _ in range(4))
 
 
 def multikey_order(words: list) -> tuple[np.ndarray, np.ndarray]:

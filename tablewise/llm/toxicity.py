@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tablewise.llm.common import held_out, labelled_sample, map_batches
+from tablewise.llm.common import held_out, labelled_sample, map_batches, slices
 
 BUCKETS, DIM = 1 << 17, 8
 GRAMS = (3, 4, 5, 6)
@@ -176,9 +176,9 @@ def with_scores(documents: DataFrame, labels: DataFrame, text: str = "text", key
 
     def run(batches):
         scorer = Scorer(*model) if model else None
-        for b in batches:
+        for b in slices(batches, 500):
             texts = b.column(place).to_pylist()
-            p = [x for at in range(0, len(texts), 500) for x in scorer.score(texts[at : at + 500])] if scorer else [0.0] * len(texts)
+            p = scorer.score(texts) if scorer else [0.0] * len(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, score])
 
     place = documents.columns.index(text)
