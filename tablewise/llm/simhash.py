@@ -175,7 +175,8 @@ def links(reps: DataFrame) -> DataFrame:
         met = index.unionByName(probe).join(hot, "key", "left_semi").select("fp").distinct()
         apart, index = _ball_links(stored(met)), index.join(hot, "key", "left_anti")
     near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("i.fp"))) <= RADIUS
-    found = probe.alias("p").join(index.alias("i"), (F.col("p.key") == F.col("i.key")) & near & (F.col("p.fp") != F.col("i.fp")))
+    # Spark takes the probes, made in Python, to be as few as the fingerprints, and would broadcast them.
+    found = probe.hint("merge").alias("p").join(index.alias("i"), (F.col("p.key") == F.col("i.key")) & near & (F.col("p.fp") != F.col("i.fp")))
     found = found.select(F.greatest("p.fp", "i.fp").alias("a"), F.least("p.fp", "i.fp").alias("b"))
     return (found if apart is None else found.unionByName(apart)).distinct()
 

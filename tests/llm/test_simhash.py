@@ -73,3 +73,11 @@ def test_one_frequent_fingerprint(spark):
     docs = spark.createDataFrame([(i, "the same text in many rows here") for i in range(500, 0, -1)] + [(1000 + i, f"another text {i} entirely {i * i} of its own {i % 7}") for i in range(50)], "doc_id bigint, text string").selectExpr("*", "1 AS component_id", "2 AS n")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert {got[i] for i in range(1, 501)} == {1} and len(got) == 550
+
+
+def test_probes_are_not_broadcast(spark):
+    """Some 197 rows of keys come from a fingerprint, which Spark's sizes don't know."""
+    reps = spark.range(2_000).selectExpr("xxhash64(id) AS fp")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) == 10 << 20
+    plan = simhash.links(reps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
