@@ -1,4 +1,5 @@
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablewise.llm import common, shingles, simhash
+from tablewise.operators import graph
 
 
 def cut(text):
@@ -181,3 +183,26 @@ def test_tasks_give_memory_back(monkeypatch):
     monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
     assert list(common.map_batches(Caught(), lambda batches: batches, "a int")(iter([1, 2]))) == [1, 2]
     assert calls == [1]
+
+
+def below_broadcasts(plan):
+    """The operators whose rows a plan broadcasts."""
+    found, depth = [], None
+    for line in plan.splitlines():
+        at = len(re.match(r"[\s:+*()\d-]*", line)[0])
+        if depth is not None and at > depth:
+            found.append(line[at:].split()[0])
+        else:
+            depth = at if line[at:].startswith("BroadcastExchange") else None
+    return found
+
+
+def test_nothing_that_grew_is_broadcast(spark, sf, monkeypatch):
+    """Spark sizes what Python or an explode makes of a row as that row, so it must not choose by this."""
+    plans = []
+    for module in (shingles, simhash, graph, common, corpus_pipeline):
+        monkeypatch.setattr(module, "stored", lambda df, plain=module.stored: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.keep_one_of_each(spark, docs, sf).count() < docs.count()
+    sent = {x for p in plans for x in below_broadcasts(p)}
+    assert len(plans) > 20 and sent and not sent & {"MapInArrow", "Generate"}
